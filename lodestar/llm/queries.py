@@ -1,11 +1,88 @@
 """Queries of the training-data operators and, where SQL can say it, the same in DuckDB SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import archives, chat, fingerprint, language, neighbours, packing, secrets
 from lodestar.llm.ngram_join import near_duplicate_components
 
 
-def op2_ngram_join(spark, sf_dir):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer(name: str) -> str:
+    from public_tokenizers import path
+
+    return path(name)
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against their edited texts and their next documents."""
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: set size and component under 5-word shingles with a similarity of 0.75 or more."""
-    return near_duplicate_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to ZIP-packaged archives and read back by range."""
+    return archives.archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
+
+
+def op4_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings: links at cosine 0.95 or more and their components."""
+    return neighbours.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, formatted and read back from the formatted examples."""
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_back(chat.expand(rows))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False).drop("ids")
+
+
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' languages, learned from those whose crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.learn(docs.where(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: counts of base spans, their digest, and all spans."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.tiktoken"))
+    n = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS[:3]))
+    return found.select(
+        "doc_id", *n, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans")
+    )
 
 
 OP2_SQL = r"""
@@ -28,6 +105,50 @@ SELECT n.doc_id, n.n AS n_shingles, m.component_id
 FROM n JOIN (SELECT src, min(dst) AS component_id FROM r GROUP BY src) m ON m.src = n.doc_id
 """
 
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+OP4_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+      AND list_cosine_similarity(x.e, y.e) >= 0.95),
+r AS (SELECT vec_id AS src, vec_id AS dst FROM v UNION SELECT r.src, l.b FROM r JOIN l ON l.a = r.dst)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+FROM v JOIN (SELECT src, min(dst) AS c FROM r GROUP BY src) m ON m.src = v.vec_id
+"""
+
+OP5_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, regexp_replace(replace(text, '\', '\\'), '(<|\[)(/?s>|/?INST\])', '\1\\\2', 'g') AS e0,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM rows),
+f AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN '<s>' || role || chr(10) || e0 || '</s>'
+    ELSE '<s>[INST] ' || role || chr(10) || e0 || ' [/INST]</s>' END AS part FROM t),
+c AS (SELECT *, sum(length(part)) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(upto) FILTER (role = 'assistant' OR k = n)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
 
-QUERIES = {"op2_ngram_join": op2_ngram_join}
-ORACLE_SQL = {"op2_ngram_join": OP2_SQL}
+QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_warc": op3_warc,
+    "op4_epsilon_grid": op4_epsilon_grid,
+    "op5_chat_format": op5_chat_format,
+    "op7_cost_packing": op7_cost_packing,
+    "op8_language_spans": op8_language_spans,
+    "op9_secret_scan": op9_secret_scan,
+}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op3_warc": OP3_SQL, "op4_epsilon_grid": OP4_SQL, "op5_chat_format": OP5_SQL}
