@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import archives, chat, fingerprint, language, neighbours, packing, secrets
+from lodestar.llm import archives, chat, fingerprint, language, mixture, neighbours, packing, secrets, shards
 from lodestar.llm.ngram_join import near_duplicate_components
+from lodestar.llm.shared import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,36 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixture_levels() -> dict:
+    """Domain (the source's number mod 4), language and source of documents."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    domain = F.concat(F.lit("domain"), F.coalesce(F.try_to_number(number, F.lit("999999999")).cast("long") % 4, F.lit(0)).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mixture_weights() -> dict:
+    """Weights of nodes: domains 4, 3, 2, 1; English 5, other languages 2; sources alike."""
+    domain = F.lit(4) - F.substring("domain", 7, 1).cast("long")
+    return {"domain": domain, "lang": F.when(F.col("lang") == "en", 5).otherwise(2)}
+
+
+def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to as many tokens as there are, up to 4 epochs: one row per document and epoch taken."""
+    mixed = mixture.mix(table(spark, sf_dir, "documents"), mixture_levels(), mixture_weights(), F.col("tokens"))
+    return mixture.epochs_of(mixed)
+
+
+def op10_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, appended in four arrivals, compacted after each, and read from the newest manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, shared_folder(spark), docs.schema)
+    for k in range(4):
+        store.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) == k))
+        store.compact()
+        store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False).drop("ids")
@@ -141,14 +172,54 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
+LEVEL_SQL = """
+SELECT {up}, w.{name}, w.capacity, w.weight, w.budget FROM (
+  SELECT *, CASE WHEN full_ THEN capacity WHEN all_weight = 0 THEN 0
+    ELSE (upto_weight * rest) // all_weight - ((upto_weight - weight) * rest) // all_weight END::BIGINT AS budget FROM (
+    SELECT *, parent_budget - coalesce(sum(capacity) FILTER (full_) OVER (PARTITION BY {up}), 0)::BIGINT AS rest,
+      coalesce(sum(weight) FILTER (NOT full_) OVER (PARTITION BY {up}), 0)::BIGINT AS all_weight,
+      coalesce(sum(weight) FILTER (NOT full_) OVER (PARTITION BY {up} ORDER BY ratio, {name} ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS upto_weight FROM (
+      SELECT *, bool_and(own) OVER (PARTITION BY {up} ORDER BY ratio, {name} ROWS UNBOUNDED PRECEDING) AS full_ FROM (
+        SELECT *, capacity / weight::DOUBLE AS ratio, capacity * sum(weight) OVER (PARTITION BY {up} ORDER BY capacity / weight::DOUBLE, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+          <= weight * (parent_budget - coalesce(sum(capacity) OVER (PARTITION BY {up} ORDER BY capacity / weight::DOUBLE, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS own FROM ({nodes}))))) w
+"""
+
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, 'domain' || (regexp_extract(source, '([0-9]+)$', 1)::BIGINT % 4) AS domain, lang, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+leaf AS (SELECT 0 AS root, domain, lang, source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+l1 AS ({LEVEL_SQL.format(up="root", name="domain", nodes="SELECT root, domain, 4 * sum(tokens)::BIGINT AS capacity, 4 - substr(domain, 7, 1)::BIGINT AS weight, (SELECT sum(tokens) FROM leaf)::BIGINT AS parent_budget FROM leaf GROUP BY ALL")}),
+l2 AS ({LEVEL_SQL.format(up="domain", name="lang", nodes="SELECT n.*, l1.budget AS parent_budget FROM (SELECT domain, lang, 4 * sum(tokens)::BIGINT AS capacity, CASE WHEN lang = 'en' THEN 5 ELSE 2 END AS weight FROM leaf GROUP BY ALL) n JOIN l1 USING (domain)")}),
+l3 AS ({LEVEL_SQL.format(up="domain, lang", name="source", nodes="SELECT n.*, l2.budget AS parent_budget FROM (SELECT domain, lang, source, 4 * sum(tokens)::BIGINT AS capacity, 1 AS weight FROM leaf GROUP BY ALL) n JOIN l2 USING (domain, lang)")}),
+plan AS (
+  SELECT domain, lang, source, CASE WHEN tokens = 0 THEN 0 ELSE budget // tokens END AS epochs, CASE WHEN tokens = 0 THEN budget ELSE budget % tokens END AS rest
+  FROM l3 JOIN leaf USING (domain, lang, source)),
+p AS (SELECT d.*, epochs, rest, md5('17:' || (epochs + 1) || ':' || doc_id) AS key FROM d JOIN plan USING (domain, lang, source)),
+s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p)
+SELECT doc_id, domain, lang, source, tokens, unnest(range(1, epochs + 1)) AS epoch, tokens AS taken FROM s
+UNION ALL SELECT doc_id, domain, lang, source, tokens, epochs + 1, least(tokens, rest - start) FROM s WHERE start < rest
+"""
+
+OP10_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_ngram_join": op2_ngram_join,
     "op3_warc": op3_warc,
     "op4_epsilon_grid": op4_epsilon_grid,
     "op5_chat_format": op5_chat_format,
+    "op6_hierarchical_mix": op6_hierarchical_mix,
     "op7_cost_packing": op7_cost_packing,
     "op8_language_spans": op8_language_spans,
     "op9_secret_scan": op9_secret_scan,
+    "op10_tiered_shards": op10_tiered_shards,
+}
+ORACLE_SQL = {
+    "op2_ngram_join": OP2_SQL,
+    "op3_warc": OP3_SQL,
+    "op4_epsilon_grid": OP4_SQL,
+    "op5_chat_format": OP5_SQL,
+    "op6_hierarchical_mix": OP6_SQL,
+    "op10_tiered_shards": OP10_SQL,
 }
-ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op3_warc": OP3_SQL, "op4_epsilon_grid": OP4_SQL, "op5_chat_format": OP5_SQL}
