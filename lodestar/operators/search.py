@@ -77,8 +77,8 @@ def _score_blocks(metric: str, k: int):
 def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip") -> DataFrame:
     """qid, id, score, rank: the k nearest documents (id, vector) of each query (qid, vector).
 
-    Both sides are packed into matrices; every block of queries meets every block of documents once, by an equi-join on
-    the block of queries, and leaves at most k rows per query (and ties) for the top-k. Vectors must not be null.
+    Both sides are packed into matrices; every block of queries meets every block of documents once and
+    leaves at most k rows per query (and ties) for the top-k. Vectors must not be null.
     """
     q = queries.select("qid", "vector").mapInArrow(_matrix_rows("qids", QUERY_BLOCK), "qids array<long>, width long, matrix binary")
     q = q.select("qids", F.col("width").alias("q_width"), F.col("matrix").alias("q_matrix"))
