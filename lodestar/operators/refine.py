@@ -118,7 +118,7 @@ def linear_classifier(labelled: DataFrame, penalties: tuple[float, ...] = (1e-4,
             for fold in range(folds):
                 w, b = _newton(rows.where(F.col("fold") != fold), dim, zero, penalty, "weight", steps, 1e-6)
                 said = rows.where(F.col("fold") == fold).select("label", (affine(F.col("vector"), w.tolist(), b) > 0).alias("said"))
-                hits += np.array(said.agg(F.count_if("label and said"), F.count_if("not label and said"), F.count_if("label and not said")).first())
+                hits += np.array(said.agg(F.count_if(F.expr("label and said")), F.count_if(F.expr("not label and said")), F.count_if(F.expr("label and not said"))).first())
             best = max(best, (2 * hits[0] / max(1.0, 2 * hits[0] + hits[1] + hits[2]), penalty))
     w, b = _newton(rows, dim, zero, best[1], "weight", steps, 1e-8)
     rows.unpersist()
@@ -158,5 +158,5 @@ def regression_quality(rows: DataFrame) -> DataFrame:
 
 def f1_positive(rows: DataFrame) -> DataFrame:
     """F1 of the positive class of rows (label, said), booleans."""
-    n = rows.agg(F.count_if("label and said").alias("tp"), F.count_if("not label and said").alias("fp"), F.count_if("label and not said").alias("fn"))
+    n = rows.agg(F.count_if(F.expr("label and said")).alias("tp"), F.count_if(F.expr("not label and said")).alias("fp"), F.count_if(F.expr("label and not said")).alias("fn"))
     return n.select("tp", "fp", "fn", F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"))

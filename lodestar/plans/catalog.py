@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lodestar.plans import aggregates, ingest, joins, management, refinement, search, streams  # noqa: F401
+from lodestar.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Filtered top-10 cosine search with result envelope."""
+    return QUERIES["search_flagship"](spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,9 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(archive))
         _SHIPPED.add(app)
     return spark
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
