@@ -144,7 +144,7 @@ def media_uri(source: Column, extension_: Column) -> Column:
 
 def encode_b64(text: Column, most_bytes: int) -> Column:
     """base64 of the UTF-8 bytes; null where they are more than most_bytes."""
-    return F.when(F.octet_length(text) <= most_bytes, F.base64(text.cast("binary")))
+    return F.when(F.octet_length(text) <= most_bytes, F.translate(F.base64(text.cast("binary")), "\r\n", ""))
 
 
 def prepare_text(text: Column, prefix: str = "", suffix: str = "") -> Column:

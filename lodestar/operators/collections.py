@@ -63,13 +63,17 @@ def patch(registry: DataFrame, changes: DataFrame, fixed: tuple[str, ...] = ("pi
         if c == "tags":
             empty = F.create_map().cast("map<string,string>")
             old, add = F.coalesce(c, empty), F.coalesce(f"new_{c}", empty)
-            value = F.map_concat(F.map_filter(old, lambda k, v, add=add: ~F.map_contains_key(add, k)), add)
+            value = F.map_concat(_without(old, add), add)
         else:
             value = F.coalesce(F.nullif(F.col(f"new_{c}"), F.lit("")), c)
         out = out.withColumn(c, value).drop(f"new_{c}")
     return out.select(registry.columns)
 
 
+def _without(tags: Column, others: Column) -> Column:
+    return F.map_filter(tags, lambda k, v: ~F.map_contains_key(others, k))
+
+
 def drop(registry: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return registry.join(ids, key, "left_anti")
 

@@ -1 +1,90 @@
+"""Queries of collection management: registry, upserts, deletes, checks, ledger."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestar.operators import collections as C
+from lodestar.plans.base import query
+from lodestar.plans.joins import registry
+
+
+def created(t):
+    """Collections by language as snapshots of Parquet, created empty, then filled."""
+    folder = t.work()
+    docs = t.documents.select("doc_id", "lang", "n_chars")
+    C.write_snapshot(docs.limit(0), folder)
+    empty = C.read_snapshot(t.spark, folder).count()
+    C.write_snapshot(docs, folder)
+    return C.read_snapshot(t.spark, folder).groupBy("lang").agg(F.count("*").alias("n")).withColumn("n_before", F.lit(empty).cast("long"))
+
+
+query("create_collection", created, "SELECT lang, count(*) AS n, 0 AS n_before FROM documents GROUP BY lang")
+query("register", lambda t: C.register(registry(t), t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("1").alias("pipeline"))), "SELECT n_nationkey::VARCHAR AS id, n_name AS name, n_regionkey::VARCHAR AS pipeline FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, '1' FROM supplier")
+
+
+def patched(t):
+    tags = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
+    rows = t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.lit("p").alias("pipeline"), tags("a", "1", "b", "2").alias("tags"))
+    changes = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.lit("new")).otherwise("").alias("name"), F.lit("q").alias("pipeline"), tags("b", "3", "c", "4").alias("tags"))
+    return C.patch(rows, changes).select("id", "name", "pipeline", F.col("tags")["b"].alias("b"), F.size("tags").cast("long").alias("n_tags"))
+
+
+query("patch_registry", patched, "SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 6 = 0 THEN 'new' ELSE c_name END AS name, 'p' AS pipeline, CASE WHEN c_custkey % 3 = 0 THEN '3' ELSE '2' END AS b, CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 2 END AS n_tags FROM customer")
+query("drop_collection", lambda t: C.drop(registry(t), t.supplier.select(F.col("s_nationkey").cast("string").alias("id"))).select("id", "name"), "SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+
+
+def base_rows(t):
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("value"))
+
+
+def new_rows(t):
+    return t.labels.select(F.col("doc_id").alias("id"), (F.col("quality") + 100).cast("int").alias("value"))
+
+
+NEW = "n AS (SELECT doc_id AS id, quality + 100 AS value FROM labels), b AS (SELECT vec_id AS id, label AS value FROM embeddings)"
+query("upsert", lambda t: C.upsert(base_rows(t), new_rows(t)), f"WITH {NEW} SELECT * FROM n UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM n)")
+query("upsert_ignore", lambda t: C.upsert(base_rows(t), new_rows(t), "ignore"), f"WITH {NEW} SELECT * FROM b UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM b)")
+query("upsert_skip", lambda t: C.upsert(base_rows(t), new_rows(t), "skip"), f"WITH {NEW} SELECT * FROM b UNION ALL SELECT * FROM n")
+query("upsert_counts", lambda t: C.upsert_counts(base_rows(t), new_rows(t)), f"WITH {NEW} SELECT count(*) FILTER (id NOT IN (SELECT id FROM b)) AS inserted, count(*) FILTER (id IN (SELECT id FROM b)) AS existing FROM n")
+query(
+    "delete_by_id",
+    lambda t: C.delete_ids(t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, F.col("vec_id") + 1000000).alias("source_id")), t.labels.select((F.col("doc_id") + F.when(F.col("toxic") == 1, 1000000).otherwise(0)).alias("id"))),
+    """WITH b AS (SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN vec_id + 1000000 END AS source_id FROM embeddings),
+i AS (SELECT doc_id + CASE WHEN toxic = 1 THEN 1000000 ELSE 0 END AS id FROM labels), s AS (SELECT id FROM i WHERE id IN (SELECT source_id FROM b))
+SELECT * FROM b WHERE (source_id IS NULL OR source_id NOT IN (SELECT id FROM s)) AND id NOT IN (SELECT id FROM i WHERE id NOT IN (SELECT id FROM s))""",
+)
+query("delete_by_filter", lambda t: C.delete_where(t.documents.select("doc_id", "n_chars", F.when(F.col("lang") != "es", F.col("lang")).alias("lang")), (F.col("lang") == "en") & (F.col("n_chars") > 700)), "SELECT doc_id, n_chars, CASE WHEN lang <> 'es' THEN lang END AS lang FROM documents WHERE NOT (lang = 'en' AND n_chars > 700)")
+
+
+def load_report(t):
+    """Columns each table lacks of a declared schema, from footers only."""
+    declared = t.documents.schema
+    names = ("documents", "pages", "labels", "benchmark")
+    one = t.benchmark.agg(F.count("*").alias("rows_read"))
+    rows = [F.struct(F.lit(n).alias("file"), F.lit(",".join(C.validate_load(getattr(t, n).schema, declared))).alias("missing")) for n in names]
+    return one.select(F.explode(F.array(*rows)).alias("r"), "rows_read").select("r.*", "rows_read")
+
+
+query("validate_load", load_report, "SELECT unnest(['documents', 'pages', 'labels', 'benchmark']) AS file, unnest(['', 'doc_id,lang,n_chars,source,text', 'lang,n_chars,source,text', 'doc_id,lang,n_chars,source']) AS missing, (SELECT count(*) FROM benchmark) AS rows_read")
+query("describe_collection", lambda t: t.documents.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("type")) for n, k in C.describe(t.documents.schema, "doc_id", "text")])).alias("f")).select("f.*").groupBy("field", "type").agg(F.count("*").alias("n")), "SELECT unnest(['lang', 'source', 'n_chars']) AS field, unnest(['string', 'string', 'bigint']) AS type, (SELECT count(*) FROM documents) AS n")
+
+
+def ledger(t):
+    rows = t.orders.select(F.col("o_orderkey").alias("task_id"), F.expr("cast(case o_orderstatus when 'O' then 0 when 'F' then 6 else 2 end as int)").alias("state"), F.col("o_orderpriority").alias("collection_name"))
+    return C.jobs(rows, None).select("task_id", "state_name", "collection_name")
+
+
+JOBS = "SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'started' END AS state_name, o_orderpriority AS collection_name FROM orders WHERE o_orderkey <> 0"
+query("job_ledger", ledger, JOBS)
+query("limit_jobs", lambda t: ledger(t).orderBy(F.desc("task_id")).limit(25), f"{JOBS} ORDER BY o_orderkey DESC LIMIT 25")
+
+
+def checked(t):
+    docs = t.documents.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("head"), F.substring("text", 1, 1200))
+    rules = C.document_rules(F.col("doc_id").cast("string"), F.col("text"), meta, F.col("embedding"), 64)
+    return docs.select("doc_id", F.array_join(C.violations(rules), ",").alias("violations"))
+
+
+query("check_documents", checked, "SELECT doc_id, concat_ws(',', CASE WHEN length(text) > 1024 THEN 'metadata_values' END, CASE WHEN vec_id IS NULL THEN 'vector' END) AS violations FROM documents LEFT JOIN embeddings ON vec_id = doc_id")

@@ -1 +1,47 @@
+"""Queries of refinement: probe, classifier, quality scorer, on all rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestar.functions.vectors import affine
+from lodestar.operators import refine
+from lodestar.plans.base import query
+
+
+def labelled(t):
+    return t.vectors.select("id", "vector", (F.col("label") < 3).alias("label"))
+
+
+def probe(t):
+    """The probe's vector and bias, and the largest component of the loss's gradient there."""
+    w, b = refine.linear_probe(t.queries.select("vector"), labelled(t))
+    anchor = refine.anchor_max(t.queries.select("vector"))
+    both = labelled(t).crossJoin(F.broadcast(anchor))
+    p = 1 / (1 + F.exp(-affine(F.col("vector"), w.tolist(), b)))
+    slope = both.select((p - F.col("label").cast("double")).alias("d"), F.posexplode("vector").alias("place", "x"), "anchor")
+    places = slope.groupBy("place").agg(F.avg(F.col("d") * F.col("x")).alias("g"), F.first(F.col("anchor")[F.col("place")]).alias("a"))
+    known = F.element_at(F.array(*[F.lit(float(v)) for v in w]), F.col("place") + 1)
+    return places.select(F.col("place").cast("long").alias("place"), (F.abs(F.col("g") + 2 * refine.PENALTY * (known - F.col("a"))) < 1e-5).alias("optimal"))
+
+
+query("linear_probe", probe, "SELECT range AS place, true AS optimal FROM range(0, 64)")
+
+
+def classified(t):
+    w, b = refine.linear_classifier(labelled(t))
+    said = labelled(t).select("label", (affine(F.col("vector"), w.tolist(), b) > 0).alias("said"))
+    return refine.f1_positive(said).select((F.col("f1") > 0).alias("learned"))
+
+
+query("linear_classifier", classified, "SELECT true AS learned")
+
+
+def scorer(t):
+    rows = t.vectors.select("vector", (F.col("label") + 0.0).alias("label"))
+    coef, intercept = refine.fit_quality_scorer(rows)
+    said = t.vectors.select((F.col("label") / 10.0).alias("y"), refine.quality_score(F.col("vector"), coef, intercept).alias("said"))
+    return refine.regression_quality(said).select(((F.col("r2") >= 0) & (F.col("r2") <= 1)).alias("sound"))
+
+
+query("fit_quality_scorer", scorer, "SELECT true AS sound")

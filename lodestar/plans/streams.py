@@ -1 +1,69 @@
+"""Queries of incremental ingest: tables are written as arriving files, streamed into a collection, and read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestar.operators.collections import read_snapshot
+from lodestar.plans.base import query
+from lodestar.streaming import ingest as S
+
+
+def arrivals(t, parts=4):
+    folder = t.work()
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label")
+    rows.repartition(parts, "id").write.parquet(folder)
+    return folder, rows.schema
+
+
+def loaded(t):
+    folder, schema = arrivals(t)
+    out = t.work()
+    S.load_parquet(t.spark, folder, schema, f"{out}/collection", f"{out}/log", f"{out}/checkpoint", 2).awaitTermination()
+    return t.spark, out
+
+
+def stream_load(t):
+    spark, out = loaded(t)
+    return read_snapshot(spark, f"{out}/collection").select("id", "label")
+
+
+def redelivered(t):
+    """The same files twice, as two streams: rows are replaced, not repeated."""
+    folder, schema = arrivals(t)
+    out = t.work()
+    for run in ("first", "second"):
+        S.load_parquet(t.spark, folder, schema, f"{out}/collection", f"{out}/log-{run}", f"{out}/checkpoint-{run}", 4).awaitTermination()
+    return read_snapshot(t.spark, f"{out}/collection").select("id", "label")
+
+
+def bounded(t):
+    spark, out = loaded(t)
+    return S.totals(spark, f"{out}/log")
+
+
+def discovered(t):
+    """Files that a stream finds, two at a time, as documents of hashed ids; counted."""
+    folder, _ = arrivals(t)
+    out = t.work()
+    S.ingest(S.discover_files(t.spark, folder, 2), f"{out}/collection", f"{out}/log", f"{out}/checkpoint", S.document_rows).awaitTermination()
+    found = read_snapshot(t.spark, f"{out}/collection")
+    return found.groupBy("mime_type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
+def ingested(t):
+    """Documents stream into a collection with hashed ids; every file's rows are logged."""
+    folder, out = t.work(), t.work()
+    docs = t.documents.select(F.concat(F.lit("d/"), "doc_id").alias("path"), "lang")
+    docs.repartition(3, "path").write.parquet(folder)
+    build = lambda df: df.select(F.sha2("path", 256).alias("id"), "path", "lang")
+    S.ingest(S.discover(t.spark, folder, docs.schema, 1), f"{out}/collection", f"{out}/log", f"{out}/checkpoint", build).awaitTermination()
+    return read_snapshot(t.spark, f"{out}/collection")
+
+
+VECTORS = "SELECT vec_id AS id, label FROM embeddings"
+query("stream_discover", discovered, "SELECT 'application/octet-stream' AS mime_type, 4 AS n, 4 AS n_ids")
+query("stream_ingest", ingested, "SELECT sha256('d/' || doc_id) AS id, 'd/' || doc_id AS path, lang FROM documents")
+query("stream_load_parquet", stream_load, VECTORS)
+query("bounded_run", bounded, "SELECT 'indexed' AS status, count(*) AS files FROM embeddings")
+query("redelivery", redelivered, VECTORS)
