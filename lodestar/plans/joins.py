@@ -23,7 +23,7 @@ def id_vectors(t):
 
 
 query("join_sidecar", lambda t: ingest.join_sidecar(id_vectors(t), sidecars(t))[0].select("id", F.size("embedding").cast("long").alias("dim"), F.get_json_object("$meta", "$.source").alias("source")), "SELECT vec_id::VARCHAR AS id, 64 AS dim, source FROM embeddings JOIN documents ON doc_id = vec_id WHERE lang <> 'fr' AND doc_id % 7 <> 0")
-query("sidecar_mismatch", lambda t: ingest.join_sidecar(id_vectors(t), sidecars(t))[1], "SELECT vec_id::VARCHAR AS id, CASE WHEN lang <> 'fr' THEN 'id mismatch' ELSE 'no sidecar' END AS fault FROM embeddings JOIN documents ON doc_id = vec_id WHERE lang = 'fr' OR doc_id % 7 = 0")
+query("sidecar_mismatch", lambda t: ingest.join_sidecar(id_vectors(t), sidecars(t))[1], "SELECT vec_id::VARCHAR AS id, CASE WHEN lang <> 'fr' THEN 'id mismatch' ELSE 'no sidecar' END AS fault FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE lang IS NULL OR lang = 'fr' OR doc_id % 7 = 0")
 KEY = "concat('a/b/', doc_id, '.txt')"
 query(
     "join_file_metadata",
