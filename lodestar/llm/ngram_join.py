@@ -255,7 +255,8 @@ def near_duplicate_components(
 
     out = described.select("doc_id", "n", "k1", "k2").join(copies, ["k1", "k2", "n"], "left")
     out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(found, F.col("rep") == F.col("node"), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     out = materialize(out, folder, "result")
     for part in ("common", "groups", "texts", "sketches", "mixed", "described", "first", "second"):
         drop_folder(spark, f"{folder}/{part}")
