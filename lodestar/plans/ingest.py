@@ -19,6 +19,17 @@ from lodestar.sources import records, sinks
 query("scan_embeddings", lambda t: records.scan_embeddings(t.spark, f"{t.folder}/embeddings.parquet").select("vec_id", "label", F.size("embedding").cast("long").alias("dim")), "SELECT vec_id, label, len(embedding) AS dim FROM embeddings")
 query("scan_files", lambda t: records.scan_files(t.spark, t.folder, [".parquet"]).select(X.basename(F.col("path")).alias("name"), "length"))
 
+query("first_n_files", lambda t: records.scan_files(t.spark, t.folder, [".parquet"], 5).select(X.basename(F.col("path")).alias("name"), "length"))
+
+
+def schema_rows(t):
+    """Fields of the embedding file, from its footer, next to its row count."""
+    fields = [F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type")) for f in records.read_schema(t.spark, f"{t.folder}/embeddings.parquet")]
+    return t.embeddings.agg(F.count("*").alias("n")).select(F.explode(F.array(*fields)).alias("f"), "n").select("f.*", "n")
+
+
+query("read_schema", schema_rows, "SELECT unnest(['vec_id', 'embedding', 'label']) AS field, unnest(['bigint', 'array<float>', 'int']) AS type, (SELECT count(*) FROM embeddings) AS n")
+
 
 def truthy_docs(t):
     return t.documents.select(F.col("doc_id").cast("string").alias("video_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".mp4")).alias("video_path"), F.when(F.col("lang") != "es", F.col("text")).alias("caption"))

@@ -67,6 +67,7 @@ def load_report(t):
 
 
 query("validate_load", load_report, "SELECT unnest(['documents', 'pages', 'labels', 'benchmark']) AS file, unnest(['', 'doc_id,lang,n_chars,source,text', 'lang,n_chars,source,text', 'doc_id,lang,n_chars,source']) AS missing, (SELECT count(*) FROM benchmark) AS rows_read")
+query("schema_difference", lambda t: load_report(t).where("missing <> ''").select("file", F.explode(F.split("missing", ",")).alias("column"), "rows_read"), "SELECT file, unnest(string_split(missing, ',')) AS column, (SELECT count(*) FROM benchmark) AS rows_read FROM (SELECT unnest(['pages', 'labels', 'benchmark']) AS file, unnest(['doc_id,lang,n_chars,source,text', 'lang,n_chars,source,text', 'doc_id,lang,n_chars,source']) AS missing)")
 query("describe_collection", lambda t: t.documents.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("type")) for n, k in C.describe(t.documents.schema, "doc_id", "text")])).alias("f")).select("f.*").groupBy("field", "type").agg(F.count("*").alias("n")), "SELECT unnest(['lang', 'source', 'n_chars']) AS field, unnest(['string', 'string', 'bigint']) AS type, (SELECT count(*) FROM documents) AS n")
 
 

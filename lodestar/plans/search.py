@@ -81,6 +81,15 @@ SELECT qid, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER
     )
 
 
+query(
+    "knn_exact",
+    lambda t: search.knn_exact(filters.where_tree(t.vectors, leaf("label", "not in", [0, 1])), t.queries, 20).select("qid", "id", F.col("rank").cast("long").alias("rank")),
+    """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0)
+SELECT qid, id, rank FROM (SELECT qid, vec_id AS id, row_number() OVER (PARTITION BY qid ORDER BY list_inner_product(qv, embedding::DOUBLE[]) DESC, vec_id) AS rank
+FROM q, embeddings WHERE label NOT IN (0, 1)) WHERE rank <= 20""",
+)
+
+
 def topk_pairs(t):
     return search.top_k(search.score_pairs(t.vectors, t.queries), 10).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
