@@ -29,6 +29,7 @@ from lodestar.llm.shared import mix
 LEVELS = (2, 3)
 BINS = 64
 CHUNK = 400_000
+BLOCKS = 8
 EMPTY = 0xFFFF
 _ONE = np.uint64(1)
 _RUN = np.uint64(0x9FB21C651E98DF25)
@@ -194,12 +195,14 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Each text's fingerprint against that of its edited text and that of the next document by doc_id.
 
     The edited text has its last quarter replaced by the first code points of the next document. Documents are dealt to
-    blocks of consecutive doc_ids, one for each shuffle partition; the first document of a block is also sent to the
-    block before as a guest, so the texts are shuffled once. Sent to the driver: a bound and a first doc_id per block.
+    blocks of consecutive doc_ids, BLOCKS for each shuffle partition, so that partitions are even; the first document of
+    a block is also sent to the block before as a guest, so the texts are shuffled once. Sent to the driver: a bound and
+    a first doc_id per block.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = BLOCKS * parts
     shares = [k / blocks for k in range(1, blocks)]
     cuts = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("c")).first().c if shares else None
     bounds = np.unique(np.array(cuts or [], np.int64))
@@ -224,5 +227,5 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     sent = placed.select("doc_id", "text", F.explode(places("block", "doc_id")).alias("place"))
-    sent = sent.select("place.block", "place.guest", "doc_id", "text").repartition(blocks, "block")
+    sent = sent.select("place.block", "place.guest", "doc_id", "text").repartition(parts, "block")
     return sent.sortWithinPartitions("block", "guest", "doc_id", "text").mapInArrow(_compare, COMPARED)
