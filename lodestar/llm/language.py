@@ -33,7 +33,7 @@ SWITCH = 12.0
 PER_LANGUAGE = 2000
 LEAST_SHARE = 0.01
 BLOCK = 256
-CHUNK = 1_000_000
+CHUNK = 250_000
 RESULT = "struct<lang:string,score:double,spans:array<struct<lang:string,start:int,end:int>>>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -243,4 +243,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "lan
     def labelled(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(label_texts(sent.value, texts.tolist(), switch), columns=["lang", "score", "spans"])
 
-    return docs.withColumn(into, labelled(F.col(text).cast("string")))
+    # Not deterministic to Spark, so that a filter on the result does not make it compute the column twice.
+    return docs.withColumn(into, labelled.asNondeterministic()(F.col(text).cast("string")))

@@ -85,7 +85,8 @@ def find_secrets(docs: DataFrame, vocabulary: str, text: str = "text", spans: st
         tokens = token_counter(vocabulary)
         return pd.Series([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t, tokens, min_run, max_ratio)] for t in texts])
 
-    return docs.withColumn(spans, spans_of(F.col(text).cast("string")))
+    # Not deterministic to Spark, so that several uses of the spans do not make it scan the texts again.
+    return docs.withColumn(spans, spans_of.asNondeterministic()(F.col(text).cast("string")))
 
 
 @F.pandas_udf(StringType())
