@@ -23,24 +23,25 @@ def check_k(k: int) -> int:
     return k
 
 
-def top_k(scored: DataFrame, k: int, by: str = "qid", score: str = "score", tie: str = "id", largest: bool = True) -> DataFrame:
+def top_k(scored: DataFrame, k: int, by: str | list[str] = "qid", score: str = "score", tie: str = "id", largest: bool = True) -> DataFrame:
     """The k best rows of each query with their rank. Spark cuts each partition to k rows before the shuffle."""
     order = F.col(score).desc_nulls_last() if largest else F.col(score).asc_nulls_last()
-    ranks = Window.partitionBy(by).orderBy(order, F.col(tie).asc())
+    ranks = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(order, F.col(tie).asc())
     return scored.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= check_k(k))
 
 
 def _matrix_rows(id_name: str, rows: int):
-    """(id, vector) -> one row per block: ids and a matrix of doubles."""
+    """(id, group, vector) -> one row per block: ids, groups and a matrix of doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, rows):
                 part = batch.slice(low, rows)
-                flat = np.asarray(part.column(1).flatten().cast(pa.float64()))
+                flat = np.asarray(part.column(2).flatten().cast(pa.float64()))
                 yield pa.RecordBatch.from_pydict(
                     {
                         id_name: pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
+                        "groups": pa.array([part.column(1).to_pylist()], pa.list_(pa.string())),
                         "width": pa.array([len(flat) // part.num_rows], pa.int64()),
                         "matrix": pa.array([flat.astype("<f8").tobytes()], pa.binary()),
                     }
@@ -50,6 +51,8 @@ def _matrix_rows(id_name: str, rows: int):
 
 
 def _score_blocks(metric: str, k: int):
+    """A block of documents and one of queries -> per query and group its k best documents and all that tie with them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -62,29 +65,36 @@ def _score_blocks(metric: str, k: int):
                     score /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
                 elif metric == "l2":
                     score = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * score
-                ids = np.array(row["ids"])
-                key = np.where(np.isnan(score), np.inf, score if metric == "l2" else -score)
-                n = min(k, len(ids))
-                edge = np.partition(key, n - 1, axis=1)[:, n - 1 : n]
-                at, best = np.nonzero(key <= edge)  # ties at the edge all stay; the window decides
-                yield pa.RecordBatch.from_pydict(
-                    {"qid": pa.array(np.array(row["qids"])[at]), "id": pa.array(ids[best]), "score": pa.array(score[at, best])}
-                )
+                ids, qids = np.array(row["ids"]), np.array(row["qids"])
+                names, group = np.unique(np.array(row["groups"], dtype=object).astype(str), return_inverse=True)
+                for g, name in enumerate(names):
+                    own = np.flatnonzero(group == g)
+                    part = score[:, own]
+                    key = np.where(np.isnan(part), np.inf, part if metric == "l2" else -part)
+                    n = min(k, len(own))
+                    at, best = np.nonzero(key <= np.partition(key, n - 1, axis=1)[:, n - 1 : n])
+                    columns = [pa.array(qids[at]), pa.array(ids[own[best]]), pa.array([str(name)] * len(at), pa.string()), pa.array(part[at, best])]
+                    yield pa.RecordBatch.from_arrays(columns, ["qid", "id", "grp", "score"])
 
     return run
 
 
-def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip") -> DataFrame:
-    """qid, id, score, rank: the k nearest documents (id, vector) of each query (qid, vector).
+def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", group: str | None = None) -> DataFrame:
+    """qid, id, score, rank: the k nearest documents (id, vector) of each query (qid, vector); with `group` (a column of
+    docs), of each query and group, and the column grp.
 
-    Both sides are packed into matrices; every block of queries meets every block of documents once and
-    leaves at most k rows per query (and ties) for the top-k. Vectors must not be null.
+    Both sides are packed into matrices; every block of queries meets every block of documents once and leaves at most k
+    rows per query (and ties) for the top-k. Vectors must not be null.
     """
-    q = queries.select("qid", "vector").mapInArrow(_matrix_rows("qids", QUERY_BLOCK), "qids array<long>, width long, matrix binary")
+    shape = "array<long>, groups array<string>, width long, matrix binary"
+    none = F.lit("").alias("grp")
+    q = queries.select("qid", none, "vector").mapInArrow(_matrix_rows("qids", QUERY_BLOCK), f"qids {shape}")
     q = q.select("qids", F.col("width").alias("q_width"), F.col("matrix").alias("q_matrix"))
-    d = docs.select("id", "vector").mapInArrow(_matrix_rows("ids", DOC_BLOCK), "ids array<long>, width long, matrix binary")
-    scored = d.crossJoin(q).mapInArrow(_score_blocks(metric, check_k(k)), "qid long, id long, score double")
-    return top_k(scored, k, largest=V.METRICS[metric][1])
+    own = F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp") if group else none
+    d = docs.select("id", own, "vector").mapInArrow(_matrix_rows("ids", DOC_BLOCK), f"ids {shape}")
+    scored = d.crossJoin(q).mapInArrow(_score_blocks(metric, check_k(k)), "qid long, id long, grp string, score double")
+    largest = V.METRICS[metric][1]
+    return top_k(scored, k, by=["qid", "grp"], largest=largest) if group else top_k(scored.drop("grp"), k, largest=largest)
 
 
 def score_pairs(docs: DataFrame, queries: DataFrame, metric: str = "ip") -> DataFrame:
@@ -160,10 +170,10 @@ def fuse_max(hits: DataFrame, k: int, by: list[str] = []) -> DataFrame:  # noqa:
     return best.orderBy(F.desc("score"), "id").limit(check_k(k)) if not by else top_k(best, k, by=by[0])
 
 
-def group_best(hits: DataFrame, field: str, k: int) -> DataFrame:
-    """Grouped search: per query the best hit of each value of a field, then the k best of those."""
-    best = Window.partitionBy("qid", field).orderBy(F.desc("score"), "id")
-    return top_k(hits.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n"), k)
+def group_best(docs: DataFrame, queries: DataFrame, field: str, k: int, metric: str = "ip") -> DataFrame:
+    """Grouped search: per query the best document of each value of a field, then the k best of those."""
+    best = knn_exact(docs, queries, 1, metric, group=field).drop("rank").withColumnRenamed("grp", field)
+    return top_k(best, k, largest=V.METRICS[metric][1])
 
 
 def page(hits: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -196,16 +206,12 @@ def envelope(hits: DataFrame, collection: Column) -> DataFrame:
 
 
 def search_collections(docs: DataFrame, queries: DataFrame, k: int, rerank: bool = True, metric: str = "ip") -> DataFrame:
-    """The k nearest documents of each query in each collection (collection_id), in one pass over docs.
+    """qid, collection_id, id, score, rank: the k nearest documents of each query in each collection, in one pass.
 
     With rerank, `place` numbers a query's hits over all collections by score, nulls last; there is no second limit.
     """
-    score, largest = V.METRICS[metric]
-    q = queries.select("qid", F.col("vector").alias("q_vector"))
-    scored = docs.crossJoin(q).withColumn("score", score(F.col("vector"), F.col("q_vector"))).drop("q_vector", "vector")
-    ranks = Window.partitionBy("qid", "collection_id").orderBy(F.desc("score") if largest else F.asc("score"), "id")
-    hits = scored.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= check_k(k))
+    hits = knn_exact(docs, queries, k, metric, group="collection_id").withColumnRenamed("grp", "collection_id")
     if not rerank:
         return hits
-    order = F.col("score").desc_nulls_last() if largest else F.col("score").asc_nulls_last()
+    order = F.col("score").desc_nulls_last() if V.METRICS[metric][1] else F.col("score").asc_nulls_last()
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(order, "id")))

@@ -152,7 +152,7 @@ query(
 )
 query(
     "search_flagship",
-    lambda t: search.top_k(search.score_pairs(filters.where_tree(t.vectors, group("AND", leaf("label", "in", [1, 3, 5, 7, 9]))), t.queries, "cosine"), 10)
+    lambda t: search.knn_exact(filters.where_tree(t.vectors, group("AND", leaf("label", "in", [1, 3, 5, 7, 9]))), t.queries, 10, "cosine")
     .join(t.documents.select(F.col("doc_id").alias("id"), "lang", "source"), "id", "left")
     .select("qid", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "lang", "source"),
     """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
@@ -170,7 +170,7 @@ query(
 # --- ranking, windows, pages, set operations
 query("score_rank", lambda t: search.rank_scores(t.hits, 25).select("id", F.round("score", 6).alias("score")), f"WITH {HITS} SELECT id, round(max(score), 6) AS score FROM h GROUP BY id ORDER BY max(score) DESC, id LIMIT 25")
 query("dedup_keep_best", lambda t: search.rank_scores(t.hits).select("id", F.round("score", 6).alias("score")), f"WITH {HITS} SELECT id, round(max(score), 6) AS score FROM h GROUP BY id")
-query("group_best", lambda t: search.group_best(search.score_pairs(t.vectors, t.queries), "label", 5).select("qid", "label", "id", F.col("rank").cast("long").alias("rank")), f"WITH {HITS}, g AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS n FROM s) SELECT qid, label, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM g WHERE n = 1) WHERE rank <= 5")
+query("group_best", lambda t: search.group_best(t.vectors, t.queries, "label", 5).select("qid", F.col("label").cast("int").alias("label"), "id", F.col("rank").cast("long").alias("rank")), f"WITH {HITS}, g AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS n FROM s) SELECT qid, label, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM g WHERE n = 1) WHERE rank <= 5")
 query("page", lambda t: search.page(t.hits, [F.desc("score"), F.asc("qid"), F.asc("id")], 3, 10).select("qid", "id"), f"WITH {HITS} SELECT qid, id FROM h ORDER BY score DESC, qid, id LIMIT 10 OFFSET 20")
 query("concat_with_source", lambda t: t.hits.select("id", F.lit(0).cast("long").alias("source_index")).unionByName(t.vectors.select("id", F.lit(1).cast("long").alias("source_index"))), f"WITH {HITS} SELECT id, 0 AS source_index FROM h UNION ALL SELECT vec_id, 1 FROM embeddings")
 query("flatten_with_index", lambda t: t.vectors.select("id", F.posexplode("vector").alias("place", "x")).select("id", F.col("place").cast("long").alias("place"), "x"), "SELECT vec_id AS id, unnest(range(0, len(embedding))) AS place, unnest(embedding) AS x FROM embeddings")
