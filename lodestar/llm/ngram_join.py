@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import connected_components, drop_folder, materialize, mix, shared_folder, shingle_sets
+from lodestar.llm.shared import arrow_batches, connected_components, drop_folder, materialize, mix, shared_folder, shingle_sets
 
 FREQUENT = 1 << 18
 SKETCH_BITS = 1024
 ORDERS = 3
+#: Pairs of whole texts in one batch.
+PAIRS = 128
 _TOP = np.uint64(1 << 63)
 
 
@@ -223,16 +225,18 @@ def near_duplicate_components(
     sketches = own.select("doc_id", "n", "sketch").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sketches = materialize(sketches, folder, "sketches")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         left, right = (sketches.toDF(x, f"n{x}", f"s{x}") for x in "ab")
         near = pairs.join(left, "a").join(right, "b").where(f"{den} * na >= {num} * nb and {den} * nb >= {num} * na")
         near = near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketches_allow(num, den), "a long, b long")
         left, right = (texts.toDF(x, f"text_{x}") for x in "ab")
         both = near.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(_verify(words, num, den, frequent, place, orders), "a long, b long")
+        linked = both.mapInArrow(_verify(words, num, den, frequent, place, orders), "a long, b long")
+        with arrow_batches(spark, PAIRS):
+            return materialize(linked, folder, name)
 
     stars = groups.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialize(verified(stars), folder, "links-1")
+    links = verified(stars, "links-1")
     found = materialize(connected_components(links, f"{folder}/first"), folder, "components-1")
 
     # What is left: pairs of different components. In a group, one side is outside the group's main component.
@@ -248,7 +252,7 @@ def near_duplicate_components(
         f" and least(n_x - pos_x, n - pos) >= {need}"
     )
     rest = x.join(mixed, "token").where(apart).select(F.least("doc_id_x", "doc_id").alias("a"), F.greatest("doc_id_x", "doc_id").alias("b"))
-    more = materialize(verified(rest.distinct()), folder, "links-2")
+    more = verified(rest.distinct(), "links-2")
     if more.limit(1).count():
         every = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         found = connected_components(every, f"{folder}/second")
