@@ -69,16 +69,19 @@ def connected_components(edges: DataFrame, folder: str, a: str = "a", b: str = "
             )
         return moved.where("u <> v").distinct()
 
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    links = materialize(links, folder, "cc-0")
-    seen, step = None, 0
-    while True:
+    def is_forest(links: DataFrame) -> bool:
+        """Whether every link ends at the root of a star: no u has two links, and none is a v."""
+        ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            links.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        sums = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return sums.where("up > 1 or (up = 1 and down = 1)").limit(1).count() == 0
+
+    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    links, step = materialize(links, folder, "cc-0"), 0
+    while not is_forest(links):
         step += 1
         links = materialize(star(star(links, True), False), folder, f"cc-{step}")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
