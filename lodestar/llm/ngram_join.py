@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.shared import arrow_batches, connected_components, drop_folder, materialize, mix, shared_folder, shingle_sets
 
 FREQUENT = 1 << 18
-SKETCH_BITS = 1024
+SKETCH_BITS = (256, 1 << 13)
 ORDERS = 3
 #: Pairs of whole texts in one batch.
 PAIRS = 128
@@ -70,8 +70,8 @@ def _count_common(words: int):
 def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray):
     """Rows (doc_id, n, k1, k2, sketch, rare, common) of all documents.
 
-    n: set size; k1, k2: two hashes of the set; sketch: parity of the set's hashes by SKETCH_BITS places; rare and
-    common: the prefix under order 1, in order, cut where the frequent shingles begin.
+    n: set size; k1, k2: two hashes of the set; sketch: parity of the set's hashes by places, a power of two of at least
+    2 n / 3 within SKETCH_BITS; rare and common: the prefix under order 1, in order, cut where the frequent shingles begin.
     """
     names = ["doc_id", "n", "k1", "k2", "sketch", "rare", "common"]
 
@@ -92,7 +92,8 @@ def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.nd
                     continue
                 s = upcoming[1]
                 upcoming = next(sets, None)
-                bits = np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                places = min(max(1 << (2 * len(s) // 3).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+                bits = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
                 keys = _order(s, frequent, place, 0)
                 prefix = _prefix(s, keys, num, den)
                 cut = int(np.count_nonzero(_order(prefix, frequent, place, 0) < _TOP))
@@ -126,18 +127,23 @@ def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.nd
 def _sketches_allow(num: int, den: int):
     """Pairs (a, b, na, nb, sa, sb) whose parity sketches leave room for the overlap that a link needs.
 
-    Each place where the parities differ holds at least one shingle of only one of the two sets.
+    Each place where the parities differ holds at least one shingle of only one of the two sets. The longer sketch is
+    folded to the length of the shorter, which gives the parities for fewer places.
     """
 
+    def apart(x: bytes, y: bytes) -> int:
+        short, long_ = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+        folded = np.bitwise_xor.reduce(long_.reshape(-1, len(short)), axis=0)
+        return int(np.bitwise_count(folded ^ short).sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, sa, sb = batch.columns
             if not len(a):
                 continue
-            bits = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(a), -1) for x in (sa, sb)]
-            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            differ = np.array([apart(x, y) for x, y in zip(sa.to_pylist(), sb.to_pylist(), strict=True)])
             total = na.to_numpy() + nb.to_numpy()
-            keep = pa.array((total - apart) // 2 >= -(-num * total // (num + den)))
+            keep = pa.array((total - differ) // 2 >= -(-num * total // (num + den)))
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
     return run
