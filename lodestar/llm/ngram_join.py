@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import arrow_batches, connected_components, drop_folder, materialize, mix, shared_folder, shingle_sets
+from lodestar.llm.shared import arrow_batches, connected_components, drop_folder, materialize, mix, release, shared_folder, shingle_sets
 
 FREQUENT = 1 << 18
 SKETCH_BITS = (256, 1 << 13)
@@ -58,10 +58,12 @@ def _prefix(tokens: np.ndarray, keys: np.ndarray, num: int, den: int) -> np.ndar
 def _count_common(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, s in shingle_sets(batch.column(0), words)]
-            if sets:
-                token, n = np.unique(np.concatenate(sets), return_counts=True)
-                token, n = token[n > 1], n[n > 1]
+            tokens = np.concatenate([np.empty(0, np.uint64), *(s for _, s in shingle_sets(batch.column(0), words))])
+            if len(tokens):
+                tokens.sort()
+                first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+                n = np.diff(np.concatenate([first, [len(tokens)]]))
+                token, n = tokens[first[n > 1]], n[n > 1]
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
     return run
@@ -226,6 +228,7 @@ def near_duplicate_components(
     shared = common.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("centre")).where("df > 1").drop("df")
     groups = materialize(rare.unionByName(common.join(shared, "token")), folder, "groups")
 
+    release(spark)
     ids = groups.select("doc_id").distinct()
     texts = materialize(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), folder, "texts")
     sketches = own.select("doc_id", "n", "sketch").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -243,6 +246,7 @@ def near_duplicate_components(
 
     stars = groups.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = verified(stars, "links-1")
+    release(spark)
     found = materialize(connected_components(links, f"{folder}/first"), folder, "components-1")
 
     # What is left: pairs of different components. In a group, one side is outside the group's main component.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -40,6 +41,12 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does so once the driver has collected their handles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder of steps through Hadoop's file system, whatever the store."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
