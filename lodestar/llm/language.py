@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,15 @@ LEAST_SHARE = 0.01
 BLOCK = 256
 CHUNK = 250_000
 RESULT = "struct<lang:string,score:double,spans:array<struct<lang:string,start:int,end:int>>>"
+SPANS = pa.struct(
+    [
+        ("lang", pa.string()),
+        ("score", pa.float64()),
+        ("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))),
+    ]
+)
+#: Texts that are Python strings at a time.
+ROWS = 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -239,9 +247,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "lan
     """docs with a column `into`: struct of lang, score and spans (lang, start, end in code points)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(RESULT)
-    def labelled(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(label_texts(sent.value, texts.tolist(), switch), columns=["lang", "score", "spans"])
+    @F.arrow_udf(RESULT)
+    def labelled(texts: pa.Array) -> pa.Array:
+        parts = [label_texts(sent.value, texts.slice(k, ROWS).to_pylist(), switch) for k in range(0, len(texts), ROWS)]
+        return pa.array([row for part in parts for row in part], SPANS)
 
     # Not deterministic to Spark, so that a filter on the result does not make it compute the column twice.
     return docs.withColumn(into, labelled.asNondeterministic()(F.col(text).cast("string")))

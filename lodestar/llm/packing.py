@@ -40,6 +40,13 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@functools.cache
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @functools.cache
 def encoder(path: str) -> Callable[[str], list[int]]:
     """text -> ids as the `tokenizers` library gives them for this file, without added special tokens.
@@ -47,12 +54,9 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     Where the vocabulary is a byte-level BPE whose ids follow its merges, tiktoken computes the same ids about four times
     as fast; texts that hold the string of an added token, and all other vocabularies, go to `tokenizers`.
     """
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
 
     def exact(text: str) -> list[int]:
-        return whole.encode(text, add_special_tokens=False).ids
+        return _library(path).encode(text, add_special_tokens=False).ids
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)

@@ -16,7 +16,7 @@ import base64
 import functools
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -34,6 +34,7 @@ DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_/+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
 MIN_RUN, MAX_RATIO = 20, 2.0
+SPAN_LIST = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -80,29 +81,42 @@ def scan(text: str | None, tokens, min_run: int = MIN_RUN, max_ratio: float = MA
 def find_secrets(docs: DataFrame, vocabulary: str, text: str = "text", spans: str = "spans", min_run: int = MIN_RUN, max_ratio: float = MAX_RATIO) -> DataFrame:
     """docs with a column of spans, an array of (kind, start, end). vocabulary: a tiktoken rank file on every executor."""
 
-    @F.pandas_udf(SPANS)
-    def spans_of(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(SPANS)
+    def spans_of(texts: pa.Array) -> pa.Array:
         tokens = token_counter(vocabulary)
-        return pd.Series([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t, tokens, min_run, max_ratio)] for t in texts])
+        found = (scan(t.as_py(), tokens, min_run, max_ratio) for t in texts)
+        return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in row] for row in found], SPAN_LIST)
 
     # Not deterministic to Spark, so that several uses of the spans do not make it scan the texts again.
     return docs.withColumn(spans, spans_of.asNondeterministic()(F.col(text).cast("string")))
 
 
-@F.pandas_udf(StringType())
-def redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Texts with each span, or run of overlapping spans, replaced by [SECRET]."""
-    out = []
-    for text, found in zip(texts, spans, strict=True):
-        if text is not None and found is not None and len(found):
-            parts, at = [], 0
-            for s in sorted(found, key=lambda x: x["start"]):
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], "[SECRET]"]
-                at = max(at, s["end"])
-            text = "".join(parts) + text[at:]
-        out.append(text)
-    return pd.Series(out)
+def hide(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
+    """text with each span, or run of overlapping spans, replaced by [SECRET]."""
+    if not text or not found:
+        return text
+    parts, at = [], 0
+    for _, start, end in sorted(found, key=lambda x: x[1]):
+        if start >= at:
+            parts += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
+
+
+def redact(docs: DataFrame, vocabulary: str, text: str = "text", digests: bool = False) -> DataFrame:
+    """docs with the spans of their texts hidden; hexadecimal strings of digest lengths only if digests."""
+
+    @F.arrow_udf(StringType())
+    def hidden(texts: pa.Array) -> pa.Array:
+        tokens = token_counter(vocabulary)
+
+        def one(value: str | None) -> str | None:
+            found = scan(value, tokens)
+            return hide(value, [s for s in found if digests or s[0] != "hex" or s[2] - s[1] not in DIGEST_LENGTHS])
+
+        return pa.array((one(t.as_py()) for t in texts), pa.string())
+
+    return docs.withColumn(text, hidden.asNondeterministic()(F.col(text).cast("string")))
 
 
 def joined(spans: Column) -> Column:
