@@ -41,10 +41,7 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(docs, queries.tokenizer("byte_bpe_50k.tiktoken"), spans="_spans")
-    lengths = ", ".join(str(n) for n in sorted(secrets.DIGEST_LENGTHS))
-    real = F.expr(f"filter(_spans, s -> s.kind <> 'hex' or s.end - s.start not in ({lengths}))")
-    hidden = found.withColumn("text", F.when(F.size(real) > 0, secrets.redacted(F.col("text"), real)).otherwise(F.col("text")))
+    hidden = secrets.redact(docs, queries.tokenizer("byte_bpe_50k.tiktoken"))
     return hidden.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
