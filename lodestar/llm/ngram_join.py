@@ -70,12 +70,13 @@ def _count_common(words: int):
 
 
 def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray):
-    """Rows (doc_id, n, k1, k2, sketch, rare, common) of all documents.
+    """Rows (doc_id, n, k1, k2, cut, sketch, rare, common) of all documents.
 
     n: set size; k1, k2: two hashes of the set; sketch: parity of the set's hashes by places, a power of two of at least
-    2 n / 3 within SKETCH_BITS; rare and common: the prefix under order 1, in order, cut where the frequent shingles begin.
+    2 n / 3 within SKETCH_BITS; rare and common: the prefix under order 1, in order, cut (after `cut` shingles) where the
+    frequent ones begin.
     """
-    names = ["doc_id", "n", "k1", "k2", "sketch", "rare", "common"]
+    names = ["doc_id", "n", "k1", "k2", "cut", "sketch", "rare", "common"]
 
     def lists(parts: list) -> pa.Array:
         ends = np.cumsum([0] + [0 if p is None else len(p) for p in parts]).astype(np.int32)
@@ -90,7 +91,7 @@ def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.nd
             ids = batch.column(0).to_pylist()
             for row, doc_id in enumerate(ids):
                 if upcoming is None or upcoming[0] != row:
-                    made.append((doc_id, 0, None, None, None, None, None))
+                    made.append((doc_id, 0, None, None, None, None, None, None))
                     continue
                 s = upcoming[1]
                 upcoming = next(sets, None)
@@ -106,6 +107,7 @@ def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.nd
                         len(s),
                         int(np.bitwise_xor.reduce(s).view(np.int64)),
                         int(np.add.reduce(mix(s)).view(np.int64)),
+                        cut,
                         np.packbits(bits.astype(np.uint8)).tobytes(),
                         prefix[:cut],
                         prefix[cut:],
@@ -119,8 +121,8 @@ def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.nd
                 yield out(made)
 
     def out(made: list) -> pa.RecordBatch:
-        doc_id, n, k1, k2, sketch, rare, common = zip(*made, strict=True)
-        longs = [pa.array(x, pa.int64()) for x in (doc_id, n, k1, k2)]
+        doc_id, n, k1, k2, cut, sketch, rare, common = zip(*made, strict=True)
+        longs = [pa.array(x, pa.int64()) for x in (doc_id, n, k1, k2, cut)]
         return pa.RecordBatch.from_arrays([*longs, pa.array(sketch, pa.binary()), lists(rare), lists(common)], names)
 
     return run
@@ -206,7 +208,7 @@ def near_duplicate_components(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent, place = frequent_shingles(docs, words, frequent_most, folder)
 
-    shape = "doc_id long, n long, k1 long, k2 long, sketch binary, rare array<long>, common array<long>"
+    shape = "doc_id long, n long, k1 long, k2 long, cut long, sketch binary, rare array<long>, common array<long>"
     described = materialize(docs.mapInArrow(_describe(words, num, den, frequent, place), shape), folder, "described")
     own = described.where("doc_id is not null and n > 0")
     classes = own.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -216,7 +218,7 @@ def near_duplicate_components(
     # Prefix shingles that two representatives share. Rare ones have small groups and need one shuffle; the frequent
     # ones are counted before the shuffle and joined, where Spark can split a skewed side.
     def exploded(which: str) -> DataFrame:
-        first = F.lit(0) if which == "rare" else F.size("rare")
+        first = F.lit(0) if which == "rare" else F.col("cut").cast("int")
         return reps.select("doc_id", "n", F.posexplode(which).alias("pos", "token"), first.alias("first")).select(
             "token", "doc_id", "n", (F.col("pos") + F.col("first")).alias("pos")
         )
