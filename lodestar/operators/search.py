@@ -155,6 +155,26 @@ def quantize_sq8(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vectors.crossJoin(F.broadcast(bounds)).withColumn("codes", code).drop("bounds"), places
 
 
+def knn_sq8(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """qid, id, score, rank: the k nearest documents by inner product, found by 8-bit codes and exact.
+
+    A quantized score is off by at most half a step per place times |query component|, summed (`off`, with room for the
+    rounding of floats). So every row whose quantized score plus `off` reaches the k-th best quantized score minus `off`
+    may be among the k best: all of them are scored exactly, where they are read, however many they are.
+    """
+    coded, places = quantize_sq8(docs.select("id", "vector"))
+    low, high = F.col("low").cast("double"), F.col("high").cast("double")
+    slack = (high - low) * (0.5 / QUANTIZED_LEVELS + 1e-6) + F.greatest(F.abs(low), F.abs(high)) * 1e-9
+    bounds = F.broadcast(places.agg(F.sort_array(F.collect_list(F.struct("place", "low", "high", slack.alias("slack")))).alias("b")))
+    back = F.zip_with("codes", "b", lambda c, b: b["low"] + c / float(QUANTIZED_LEVELS) * (b["high"] - b["low"]))
+    coded = coded.crossJoin(bounds).select("id", "vector", back.alias("rough"))
+    kth = knn_exact(coded.select("id", F.col("rough").alias("vector")), queries, k).groupBy("qid").agg(F.min("score").alias("kth"))
+    off = V.dot(F.transform("vector", F.abs), F.transform("b", lambda b: b["slack"]))
+    q = queries.join(kth, "qid").crossJoin(bounds).select("qid", F.col("vector").alias("q_vector"), (F.col("kth") - 2 * off).alias("least"))
+    near = coded.crossJoin(F.broadcast(q)).where(V.dot(F.col("rough"), F.col("q_vector")) >= F.col("least"))
+    return top_k(near.select("qid", "id", V.dot(F.col("vector"), F.col("q_vector")).alias("score")), k)
+
+
 def rank_scores(hits: DataFrame, k: int | None = None, dedup: bool = True, largest: bool = True, keep: str = "id") -> DataFrame:
     """Hits by score (nulls last), one per id if dedup, at most k, with their place."""
     order = [F.col("score").desc_nulls_last() if largest else F.col("score").asc_nulls_last(), F.col(keep).asc()]

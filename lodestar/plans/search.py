@@ -116,14 +116,7 @@ query("knn_ivf_probe", lambda t: ivf(t, 16, 8))
 
 
 def sq8(t):
-    """Codes give candidates; the 4k best of them are scored again exactly."""
-    coded, places = search.quantize_sq8(t.vectors)
-    bounds = places.agg(F.sort_array(F.collect_list(F.struct("place", "low", "high"))).alias("b"))
-    back = F.zip_with("codes", "b", lambda c, b: b["low"] + c / 255.0 * (b["high"] - b["low"]))
-    rough = coded.crossJoin(F.broadcast(bounds)).select("id", back.alias("vector"))
-    near = search.top_k(search.score_pairs(rough, t.queries), 40).select("qid", "id")
-    again = near.join(t.vectors, "id").join(t.queries.withColumnRenamed("vector", "qv"), "qid").withColumn("score", V.dot(F.col("vector"), F.col("qv")))
-    return search.top_k(again, 10).select("qid", "id", F.col("rank").cast("long").alias("rank"))
+    return search.knn_sq8(t.vectors, t.queries, 10).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
 query("quantize_sq8", sq8, TOPK)

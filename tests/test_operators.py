@@ -1,5 +1,6 @@
 import json
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from lodestar.functions import text as X
 from lodestar.functions import vectors as V
 from lodestar.operators import collections as C
 from lodestar.operators import embedding, ingest, refine, sampling, search, sessions
+from lodestar.plans import search as plans
 from lodestar.sources import records, sinks
 
 
@@ -54,6 +56,17 @@ def test_full_probe_equals_exact(spark):
     assert len(some & exact) / len(exact) > 0.7
 
 
+def test_codes_keep_all_near_copies(spark):
+    """Hundreds of copies within one step of the codes, the best of them with the highest ids."""
+    base = np.array([1.0, -2.0, 3.0, 0.5])
+    copies = [(base * (1 + 1e-6 * i)).tolist() for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate([[-50.0] * 4, [-40.0, 40.0, -40.0, 40.0], *copies])), "id long, vector array<double>")
+    queries = spark.createDataFrame([(0, base.tolist()), (1, [0.0] * 4)], "qid long, vector array<double>")
+    got = plans.sq8(SimpleNamespace(vectors=docs, queries=queries)).collect()
+    exact = search.knn_exact(docs, queries, 10).collect()
+    assert {(r.qid, r.id, r["rank"]) for r in got} == {(r.qid, r.id, r["rank"]) for r in exact}
+
+
 def test_dimension_mismatch_is_an_error(spark):
     _, docs = vectors(spark, 5)
     queries = spark.createDataFrame([(0, [1.0])], "qid long, vector array<double>")
