@@ -6,16 +6,23 @@ in a folder of its own and only then switches the pointer that readers follow.
 
 from __future__ import annotations
 
+import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import urlsplit
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestar.functions.text import state_name, valid_id
+from lodestar.functions.vectors import has_dim
 
 MOST_KEYS, MOST_VALUE, MOST_TEXT = 42, 1024, 5 << 20
+#: Footers read at a time.
+FOOTERS = 8
 
 
 def write_snapshot(df: DataFrame, folder: str, partition_by: list[str] = []) -> str:  # noqa: B006
@@ -147,6 +154,32 @@ def validate_load(incoming: StructType, declared: StructType) -> list[str]:
     return sorted(set(declared.names) - set(incoming.names))
 
 
+def _lacks(spark: SparkSession, root: str, path: str, declared: StructType) -> list[str]:
+    """Declared columns that are neither in a file's footer nor among its partition folders below root."""
+    below = path[path.find(root) + len(root) :] if root in path else ""
+    folders = {part.split("=")[0] for part in below.split("/")[:-1] if "=" in part}
+    footer = spark.read.parquet(re.sub(r"([\[\]{}*?\\])", r"\\\1", path)).schema
+    return [c for c in validate_load(footer, declared) if c not in folders]
+
+
+def missing_by_file(spark: SparkSession, folder: str, declared: StructType) -> dict[str, list[str]]:
+    """path -> declared columns that the file lacks, of every Parquet file in folder that lacks any.
+
+    Each footer is read by a Spark task of its own, a few at a time, so any store that Spark reads will do.
+    """
+    paths = [r.path for r in spark.read.format("binaryFile").load(folder).select("path").toLocalIterator()]
+    root = urlsplit(folder).path.rstrip("/") + "/"
+    lacks = inheritable_thread_target(spark)(lambda path: _lacks(spark, root, path, declared))
+    with ThreadPoolExecutor(FOOTERS) as pool:
+        return {p: names for p, names in zip(paths, pool.map(lacks, paths), strict=True) if names}
+
+
+def wrong_widths(spark: SparkSession, folder: str, declared: StructType, vector: str, dim: int) -> DataFrame:
+    """path, wrong: files with vectors that are null or not dim wide, and how many."""
+    rows = spark.read.schema(declared).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"))
+    return rows.agg(F.count_if(~has_dim(F.col(vector), dim)).alias("wrong")).where("wrong > 0")
+
+
 def violations(rules: dict[str, Column]) -> Column:
     """The names of the rules a row breaks (or leaves null), as an array."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))

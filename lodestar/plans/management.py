@@ -58,11 +58,12 @@ query("delete_by_filter", lambda t: C.delete_where(t.documents.select("doc_id",
 
 
 def load_report(t):
-    """Columns each table lacks of a declared schema, from footers only."""
+    """Columns that any file of each table lacks of a declared schema, from the footers of all its files."""
     declared = t.documents.schema
     names = ("documents", "pages", "labels", "benchmark")
     one = t.benchmark.agg(F.count("*").alias("rows_read"))
-    rows = [F.struct(F.lit(n).alias("file"), F.lit(",".join(C.validate_load(getattr(t, n).schema, declared))).alias("missing")) for n in names]
+    lacking = {n: C.missing_by_file(t.spark, f"{t.folder}/{n}.parquet", declared).values() for n in names}
+    rows = [F.struct(F.lit(n).alias("file"), F.lit(",".join(sorted(set().union(*lacking[n])))).alias("missing")) for n in names]
     return one.select(F.explode(F.array(*rows)).alias("r"), "rows_read").select("r.*", "rows_read")
 
 

@@ -8,6 +8,8 @@ from lodestar.operators.collections import read_snapshot
 from lodestar.plans.base import query
 from lodestar.streaming import ingest as S
 
+DIM = 64
+
 
 def arrivals(t, parts=4):
     folder = t.work()
@@ -19,7 +21,7 @@ def arrivals(t, parts=4):
 def loaded(t):
     folder, schema = arrivals(t)
     out = t.work()
-    S.load_parquet(t.spark, folder, schema, f"{out}/collection", f"{out}/log", f"{out}/checkpoint", 2).awaitTermination()
+    S.load_parquet(t.spark, folder, schema, f"{out}/collection", f"{out}/log", f"{out}/checkpoint", 2, dim=DIM).awaitTermination()
     return t.spark, out
 
 
@@ -33,7 +35,7 @@ def redelivered(t):
     folder, schema = arrivals(t)
     out = t.work()
     for run in ("first", "second"):
-        S.load_parquet(t.spark, folder, schema, f"{out}/collection", f"{out}/log-{run}", f"{out}/checkpoint-{run}", 4).awaitTermination()
+        S.load_parquet(t.spark, folder, schema, f"{out}/collection", f"{out}/log-{run}", f"{out}/checkpoint-{run}", 4, dim=DIM).awaitTermination()
     return read_snapshot(t.spark, f"{out}/collection").select("id", "label")
 
 

@@ -10,7 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lodestar.functions.text import basename, guess_mime, path_id
-from lodestar.operators.collections import last_of, read_snapshot, upsert, validate_load, write_snapshot
+from lodestar.operators.collections import last_of, missing_by_file, read_snapshot, upsert, write_snapshot, wrong_widths
+
+#: Files named in an error.
+MOST_NAMED = 20
 
 
 def discover(spark: SparkSession, folder: str, schema: StructType, per_batch: int = 64) -> DataFrame:
@@ -55,12 +58,26 @@ def ingest(stream: DataFrame, collection: str, log: str, checkpoint: str, build:
     return writer.trigger(availableNow=True).start()
 
 
-def load_parquet(spark: SparkSession, folder: str, declared: StructType, collection: str, log: str, checkpoint: str, per_batch: int = 8) -> StreamingQuery:
-    """Stream vector files into a collection; files that lack a declared column stop it before anything is written."""
-    found = spark.read.parquet(folder).schema
-    missing = validate_load(found, declared)
+def load_parquet(
+    spark: SparkSession,
+    folder: str,
+    declared: StructType,
+    collection: str,
+    log: str,
+    checkpoint: str,
+    per_batch: int = 8,
+    vector: str = "embedding",
+    dim: int | None = None,
+) -> StreamingQuery:
+    """Stream vector files into a collection. Before anything is written every file that is there is checked: one that lacks
+    a declared column, or, if dim is given, holds a vector that is null or of another width, stops the load."""
+    missing = missing_by_file(spark, folder, declared)
     if missing:
-        raise ValueError(f"columns are missing: {missing}")
+        raise ValueError(f"columns are missing in {len(missing)} files: {dict(list(missing.items())[:MOST_NAMED])}")
+    if dim is not None:
+        wrong = wrong_widths(spark, folder, declared, vector, dim).limit(MOST_NAMED).collect()
+        if wrong:
+            raise ValueError(f"vectors are not {dim} wide: {[tuple(r) for r in wrong]}")
     return ingest(discover(spark, folder, declared, per_batch), collection, log, checkpoint)
 
 

@@ -12,6 +12,7 @@ from lodestar.operators import collections as C
 from lodestar.operators import embedding, ingest, refine, sampling, search, sessions
 from lodestar.plans import search as plans
 from lodestar.sources import records, sinks
+from lodestar.streaming import ingest as stream
 
 
 def one(spark, expression):
@@ -320,3 +321,34 @@ def test_embedder_contract(spark):
     assert got == again
     with pytest.raises(Exception, match="embedder made"):
         embedding.embed_column(df, "text", embedding.hash_embedder(8), 16).collect()
+
+
+# --- files of a load
+
+
+def test_every_file_of_a_load_is_checked(spark, tmp_path):
+    def write(folder, *frames):
+        (tmp_path / folder).mkdir()
+        for n, (rows, shape) in enumerate(frames):
+            spark.createDataFrame(rows, shape).toPandas().to_parquet(tmp_path / folder / f"f{n}[{n}].parquet")
+        return str(tmp_path / folder)
+
+    shape = "id long, embedding array<double>, label long"
+    full = ([(1, [1.0, 2.0], 0)], shape)
+    declared = spark.createDataFrame(*full).schema
+    load = lambda folder, **more: stream.load_parquet(spark, folder, declared, f"{folder}-c", f"{folder}-l", f"{folder}-k", **more)
+    lacking = write("lacking", full, ([(2, [1.0, 2.0])], "id long, embedding array<double>"))
+    with pytest.raises(ValueError, match="missing in 1 files.*label"):
+        load(lacking)
+    wide = write("wide", full, ([(2, [1.0, 2.0, 3.0], 0)], shape))
+    with pytest.raises(ValueError, match="not 2 wide.*1"):
+        load(wide, dim=2)
+    assert not list(tmp_path.glob("*-c"))
+    load(write("good", full, ([(2, [3.0, 4.0], 1, "x")], shape + ", more string")), dim=2).awaitTermination()
+    assert C.read_snapshot(spark, str(tmp_path / "good-c")).count() == 2
+
+
+def test_partition_folders_count_as_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2, "a"), (2, 3, "b")], "id long, n long, part string")
+    df.write.partitionBy("part").parquet(str(tmp_path / "t"))
+    assert C.missing_by_file(spark, str(tmp_path / "t"), df.schema) == {}
