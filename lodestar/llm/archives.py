@@ -4,7 +4,7 @@ An archive is a ZIP file with stored (not compressed) members: `archive/data.war
 `indexes/index.cdxj`, one line per record with its offset and length. A reader takes the end of the file, follows the
 ZIP64 locator where there is one, parses the central directory, then reads the index and single records by range; the
 archive is never extracted. Archives made elsewhere are read alike; members that are compressed are refused, and an
-archive without an index is scanned record by record.
+archive without an index, or a WARC member that no line of the index names, is scanned record by record.
 
 Records of equal payloads of at least `least` bytes: the one of the smallest page_id is a response, the others are
 revisits that name it and have no payload. Every other record is a response.
@@ -235,28 +235,60 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_byte
     return materialize(files, folder, "manifest")
 
 
+def _index_lines(file, at: int, left: int) -> Iterator[bytes]:
+    """The lines of a stored index, the last one with or without a newline."""
+    kept = b""
+    while left:
+        part = file.read_at(min(left, SLICE_BYTES), at)
+        if not part:
+            raise ValueError("archive ends within its index")
+        at, left = at + len(part), left - len(part)
+        *full, kept = (kept + part).split(b"\n")
+        yield from full
+    yield kept
+
+
+def _named_member(named: str | None, data: dict) -> str:
+    """The WARC member that an index line means: by its name, or the end of it, or the only one if the line has none."""
+    if named is None and len(data) == 1:
+        return next(iter(data))
+    if named in data:
+        return named
+    ends = [m for m in data if named is not None and m.endswith(f"/{named}")]
+    if len(ends) != 1:
+        raise ValueError(f"an index line names {named!r}, which is none or several of the members {sorted(data)}")
+    return ends[0]
+
+
+def _places(file, members: dict) -> Iterator[tuple[int, int, bool]]:
+    """(offset, length, whether to scan) of the records of all WARC members: by the index, and whole members that no line
+    of it names."""
+    data = {m: member_data(file, members, m) for m in members if m.endswith((".warc.gz", ".warc"))}
+    if not data:
+        raise ValueError("an archive without WARC members")
+    indexed = set()
+    for line in _index_lines(file, *member_data(file, members, INDEX)) if INDEX in members else ():
+        if b"{" in line:
+            x = json.loads(line[line.index(b"{") :])
+            member = _named_member(x.get("filename"), data)
+            indexed.add(member)
+            yield data[member][0] + int(x["offset"]), int(x["length"]), False
+    for member in data.keys() - indexed:
+        base, size = data[member]
+        if size:
+            yield base, size, True
+
+
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths of archives -> where their records are: path, offset, length; length 0: scan the rest of the member."""
+    """Paths of archives -> where their records are: path, offset, length, and whether it is a member to scan whole."""
     for batch in batches:
         for path in batch.column(0).to_pylist():
             store, name = file_system(path)
             with store.open_input_file(name) as file:
-                members = directory(file, file.size())
-                data = next(m for m in members if m.endswith((".warc.gz", ".warc")))
-                base, size = member_data(file, members, data)
-                places = [(base, size, True)]
-                if INDEX in members:
-                    at, left = member_data(file, members, INDEX)
-                    lines, kept = [], b""
-                    while left:
-                        part = file.read_at(min(left, SLICE_BYTES), at)
-                        at, left = at + len(part), left - len(part)
-                        *full, kept = (kept + part).split(b"\n")
-                        lines += [json.loads(line[line.index(b"{") :]) for line in full]
-                    places = [(base + x["offset"], x["length"], False) for x in lines]
-                offsets, lengths, scans = zip(*places, strict=True) if places else ((), (), ())
-                arrays = [pa.array([path] * len(places), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(scans, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(arrays, ["path", "offset", "length", "scan"])
+                places = list(_places(file, directory(file, file.size())))
+            offsets, lengths, scans = zip(*places, strict=True) if places else ((), (), ())
+            arrays = [pa.array([path] * len(places), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(scans, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, ["path", "offset", "length", "scan"])
 
 
 def _scan(file, offset: int, length: int) -> Iterator[bytes]:

@@ -97,6 +97,33 @@ def test_foreign_archives(spark, tmp_path, force, packed):
     assert sorted((r.page_id, r.payload_bytes) for r in got) == [(k, k) for k in range(4)]
 
 
+@pytest.mark.parametrize("end", ["", "\n"])
+def test_foreign_archives_of_several_members(spark, tmp_path, end):
+    """Two members by the index, whose lines name them either way, and two that it does not cover."""
+    records = [gzip.compress(A.record(k, "http://x", b"y" * k, hashlib.sha256(b"y" * k).hexdigest(), None, "2020-01-01T00:00:00Z")) for k in range(12)]
+    members = {"archive/a.warc.gz": records[:3], "archive/b.warc.gz": records[3:6], "archive/c.warc.gz": records[6:9], "d.warc": [gzip.decompress(r) for r in records[9:]]}
+    lines = []
+    for name, shown in (("archive/b.warc.gz", "b.warc.gz"), ("archive/a.warc.gz", "archive/a.warc.gz")):
+        at = 0
+        for r in members[name]:
+            lines.append(f'x 2020 {{"offset": "{at}", "length": "{len(r)}", "filename": "{shown}"}}')
+            at += len(r)
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        for name, parts in members.items():
+            z.writestr(name, b"".join(parts))
+        z.writestr(A.INDEX, "\n".join(lines) + end)
+    got = A.read_archives(spark.createDataFrame([(f"file://{tmp_path}/f.zip",)], "path string")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(k, k) for k in range(12)]
+
+
+def test_unclear_index_lines_are_errors():
+    data = {"x/a.warc": (0, 1), "y/a.warc": (1, 1)}
+    assert A._named_member("y/a.warc", data) == "y/a.warc"
+    for named in ("a.warc", "b.warc", None):
+        with pytest.raises(ValueError, match="index line"):
+            A._named_member(named, data)
+
+
 def test_faults(tmp_path):
     with zipfile.ZipFile(tmp_path / "c.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("a", "x" * 1000)
