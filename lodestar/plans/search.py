@@ -112,7 +112,7 @@ def ivf(t, cells, probes):
 
 
 query("knn_ivf", lambda t: ivf(t, 8, 8), TOPK)
-query("knn_ivf_probe", lambda t: ivf(t, 16, 8))
+query("knn_ivf_probe", lambda t: ivf(t, 16, 11))
 
 
 def sq8(t):
