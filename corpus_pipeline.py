@@ -31,9 +31,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_duplicate_components(docs)
-    others = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
+    classes = near_duplicate_components(docs, text_hash=True)
+    others = classes.where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    kept = docs.withColumn("text_hash", F.xxhash64("text")).join(others, ["doc_id", "text_hash"], "left_anti")
     repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeated.limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])

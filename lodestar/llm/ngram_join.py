@@ -70,13 +70,13 @@ def _count_common(words: int):
 
 
 def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray):
-    """Rows (doc_id, n, k1, k2, cut, sketch, rare, common) of all documents.
+    """Rows (doc_id, h, n, k1, k2, cut, sketch, rare, common) of all documents.
 
-    n: set size; k1, k2: two hashes of the set; sketch: parity of the set's hashes by places, a power of two of at least
+    h: a hash of the text; n: set size; k1, k2: two hashes of the set; sketch: parity of the set's hashes by places, a power of two of at least
     2 n / 3 within SKETCH_BITS; rare and common: the prefix under order 1, in order, cut (after `cut` shingles) where the
     frequent ones begin.
     """
-    names = ["doc_id", "n", "k1", "k2", "cut", "sketch", "rare", "common"]
+    names = ["doc_id", "h", "n", "k1", "k2", "cut", "sketch", "rare", "common"]
 
     def lists(parts: list) -> pa.Array:
         ends = np.cumsum([0] + [0 if p is None else len(p) for p in parts]).astype(np.int32)
@@ -88,10 +88,10 @@ def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.nd
             made, held = [], 0
             sets = shingle_sets(batch.column(1), words)
             upcoming = next(sets, None)
-            ids = batch.column(0).to_pylist()
-            for row, doc_id in enumerate(ids):
+            ids = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for row, (doc_id, h) in enumerate(ids):
                 if upcoming is None or upcoming[0] != row:
-                    made.append((doc_id, 0, None, None, None, None, None, None))
+                    made.append((doc_id, h, 0, None, None, None, None, None, None))
                     continue
                 s = upcoming[1]
                 upcoming = next(sets, None)
@@ -104,6 +104,7 @@ def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.nd
                 made.append(
                     (
                         doc_id,
+                        h,
                         len(s),
                         int(np.bitwise_xor.reduce(s).view(np.int64)),
                         int(np.add.reduce(mix(s)).view(np.int64)),
@@ -121,8 +122,8 @@ def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.nd
                 yield out(made)
 
     def out(made: list) -> pa.RecordBatch:
-        doc_id, n, k1, k2, cut, sketch, rare, common = zip(*made, strict=True)
-        longs = [pa.array(x, pa.int64()) for x in (doc_id, n, k1, k2, cut)]
+        doc_id, h, n, k1, k2, cut, sketch, rare, common = zip(*made, strict=True)
+        longs = [pa.array(x, pa.int64()) for x in (doc_id, h, n, k1, k2, cut)]
         return pa.RecordBatch.from_arrays([*longs, pa.array(sketch, pa.binary()), lists(rare), lists(common)], names)
 
     return run
@@ -194,9 +195,10 @@ def frequent_shingles(docs: DataFrame, words: int, most: int, folder: str) -> tu
 
 
 def near_duplicate_components(
-    docs: DataFrame, words: int = 5, threshold: str = "0.75", frequent_most: int = FREQUENT, orders: int = ORDERS
+    docs: DataFrame, words: int = 5, threshold: str = "0.75", frequent_most: int = FREQUENT, orders: int = ORDERS, text_hash: bool = False
 ) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id reachable by links;
+    with text_hash also xxhash64(text), by which rows of one doc_id are told apart.
 
     threshold is a decimal or a ratio in text, so that the test is exact in integers. At most `frequent_most` hashes
     are sent to the executors, whatever the size of docs.
@@ -205,35 +207,46 @@ def near_duplicate_components(
     share = Fraction(threshold)
     num, den = share.numerator, share.denominator
     folder = shared_folder(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     frequent, place = frequent_shingles(docs, words, frequent_most, folder)
 
-    shape = "doc_id long, n long, k1 long, k2 long, cut long, sketch binary, rare array<long>, common array<long>"
+    shape = "doc_id long, h long, n long, k1 long, k2 long, cut long, sketch binary, rare array<long>, common array<long>"
     described = materialize(docs.mapInArrow(_describe(words, num, den, frequent, place), shape), folder, "described")
-    own = described.where("doc_id is not null and n > 0")
-    classes = own.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+
+    # A row's key is its doc_id, or, where rows of one doc_id differ in text, a hash of both.
+    several = described.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    several = materialize(several.where("low <> high").select("doc_id", F.lit(True).alias("several")), folder, "several")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        key = F.when(F.col("several"), F.xxhash64("doc_id", "h")).otherwise(F.col("doc_id"))
+        return df.join(several, "doc_id", "left").withColumn("key", key).drop("several")
+
+    own = keyed(described).where("doc_id is not null and n > 0")
+    least = (F.min("key").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    classes = own.groupBy("k1", "k2", "n").agg(*least)
     copies = materialize(classes.where("copies > 1").drop("copies"), folder, "copies")
-    reps = own.join(copies, ["k1", "k2", "n"], "left").where("rep is null or rep = doc_id")
+    reps = own.join(copies, ["k1", "k2", "n"], "left").where("rep is null or rep = key")
 
     # Prefix shingles that two representatives share. Rare ones have small groups and need one shuffle; the frequent
     # ones are counted before the shuffle and joined, where Spark can split a skewed side.
     def exploded(which: str) -> DataFrame:
         first = F.lit(0) if which == "rare" else F.col("cut").cast("int")
-        return reps.select("doc_id", "n", F.posexplode(which).alias("pos", "token"), first.alias("first")).select(
-            "token", "doc_id", "n", (F.col("pos") + F.col("first")).alias("pos")
+        return reps.select("key", "n", F.posexplode(which).alias("pos", "token"), first.alias("first")).select(
+            "token", "key", "n", (F.col("pos") + F.col("first")).alias("pos")
         )
 
     group = Window.partitionBy("token")
     rare = exploded("rare").withColumn("df", F.count("*").over(group)).where("df > 1")
-    rare = rare.withColumn("centre", F.min("doc_id").over(group)).drop("df")
+    rare = rare.withColumn("centre", F.min("key").over(group)).drop("df")
     common = exploded("common")
-    shared = common.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("centre")).where("df > 1").drop("df")
+    shared = common.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("centre")).where("df > 1").drop("df")
     groups = materialize(rare.unionByName(common.join(shared, "token")), folder, "groups")
 
     release(spark)
-    ids = groups.select("doc_id").distinct()
-    texts = materialize(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), folder, "texts")
-    sketches = own.select("doc_id", "n", "sketch").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = groups.select("key").distinct()
+    texts = keyed(docs).select("key", "text").join(ids, "key", "left_semi").dropDuplicates(["key"])
+    texts = materialize(texts, folder, "texts")
+    sketches = own.select("key", "n", "sketch").join(ids, "key", "left_semi").dropDuplicates(["key"])
     sketches = materialize(sketches, folder, "sketches")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -246,34 +259,39 @@ def near_duplicate_components(
         with arrow_batches(spark, PAIRS):
             return materialize(linked, folder, name)
 
-    stars = groups.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = groups.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
     links = verified(stars, "links-1")
     release(spark)
     found = materialize(connected_components(links, f"{folder}/first"), folder, "components-1")
 
     # What is left: pairs of different components. In a group, one side is outside the group's main component.
-    label = F.coalesce("component", "doc_id").alias("comp")
-    named = groups.join(found, groups.doc_id == found.node, "left").select("token", "doc_id", "n", "pos", label)
+    label = F.coalesce("component", "key").alias("comp")
+    named = groups.join(found, groups.key == found.node, "left").select("token", "key", "n", "pos", label)
     spread = named.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
     spread = spread.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     mixed = materialize(named.join(spread.select("token", "main"), "token"), folder, "mixed")
-    x = mixed.where("comp <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "pos", "comp")))
+    x = mixed.where("comp <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("key", "n", "pos", "comp")))
     need = f"ceil({num} * (n_x + n) / double({num + den}))"
     apart = (
-        f"comp_x <> comp and (comp = main or doc_id_x < doc_id) and {den} * n_x >= {num} * n and {den} * n >= {num} * n_x"
+        f"comp_x <> comp and (comp = main or key_x < key) and {den} * n_x >= {num} * n and {den} * n >= {num} * n_x"
         f" and least(n_x - pos_x, n - pos) >= {need}"
     )
-    rest = x.join(mixed, "token").where(apart).select(F.least("doc_id_x", "doc_id").alias("a"), F.greatest("doc_id_x", "doc_id").alias("b"))
+    rest = x.join(mixed, "token").where(apart).select(F.least("key_x", "key").alias("a"), F.greatest("key_x", "key").alias("b"))
     more = verified(rest.distinct(), "links-2")
     if more.limit(1).count():
         every = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         found = connected_components(every, f"{folder}/second")
 
-    out = described.select("doc_id", "n", "k1", "k2").join(copies, ["k1", "k2", "n"], "left")
-    out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(found, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = keyed(described.select("doc_id", "h", "n", "k1", "k2")).join(copies, ["k1", "k2", "n"], "left")
+    out = out.withColumn("rep", F.coalesce("rep", "key")).join(found, F.col("rep") == F.col("node"), "left")
+    out = out.withColumn("component", F.coalesce("component", "rep"))
+    if several.limit(1).count():
+        # The smallest key is not that of the smallest doc_id.
+        first = out.groupBy("component").agg(F.min(F.coalesce("first_id", "doc_id")).alias("first_of_all"))
+        out = out.join(first, "component", "left").withColumn("component", F.col("first_of_all"))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *([F.col("h").alias("text_hash")] if text_hash else []))
     out = materialize(out, folder, "result")
-    for part in ("common", "groups", "texts", "sketches", "mixed", "described", "first", "second"):
+    for part in ("common", "groups", "texts", "sketches", "mixed", "described", "several", "first", "second"):
         drop_folder(spark, f"{folder}/{part}")
     return out

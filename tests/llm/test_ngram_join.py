@@ -82,6 +82,21 @@ def test_null_repeated_and_extra_columns(spark):
     assert got == [(5, 2, 5), (5, 2, 5), (9, 2, 5), (None, 2, None)]
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """Each row is judged by its own text; a null or blank one beside it changes nothing."""
+    texts = corpus(7, 80)
+    rows = [(1000 - k // 3 if k % 2 else k, text) for k, (_, text) in enumerate(texts)]
+    rows += [(d, t) for d, _ in rows[::4] for t in (None, " ", "a b")]
+    by_row = brute(list(enumerate(t for _, t in rows)))
+    first = {}
+    for k, (d, _) in enumerate(rows):
+        first[by_row[k][1]] = min(d, first.get(by_row[k][1], d))
+    expected = sorted((d, by_row[k][0], first[by_row[k][1]]) for k, (d, _) in enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicate_components(df).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
+
+
 def test_empty_table(spark):
     assert near_duplicate_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -77,3 +77,11 @@ def test_run_on_a_folder(spark, docs, tmp_path):
 def test_empty_table(spark, docs, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_one_id_are_kept_by_their_own_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (5, a + " more"), (5, b), (7, None)], "doc_id long, text string")
+    kept = P.keep_representatives(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (7, None)], key=str)
