@@ -1,12 +1,17 @@
 """Collections on plain Parquet: registry, upserts and deletes as new snapshots, checks and the ledger of load jobs.
 
-Tables are never overwritten in place. An operator here computes the new snapshot as a DataFrame; write_snapshot() puts it
-in a folder of its own and only then switches the pointer that readers follow.
+A collection is a folder of immutable parts. Each version is one small file that lists the parts it consists of, oldest
+first, and that is created without overwriting, so of two writers that follow the same version one gets an error and has
+changed nothing. A batch is added as one new part; where a key is in several parts, the newest part's row counts. Parts
+are merged when four or more at the end are together as large as the one before them, so a row is rewritten about
+log4(rows / batch) times in all, and a reader meets few parts.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -19,34 +24,99 @@ from pyspark.sql.types import StructType
 
 from lodestar.functions.text import state_name, valid_id
 from lodestar.functions.vectors import has_dim
+from lodestar.sources.commits import Commits
 
-MOST_KEYS, MOST_VALUE, MOST_TEXT = 42, 1024, 5 << 20
+MOST_KEYS, MOST_VALUE, MOST_TEXT, MOST_OTHER = 42, 1024, 5 << 20, 50 << 20
+#: Bounds of text columns of a collection's schema.
+SHORTEST, LONGEST = 1, 65535
+#: Parts that are merged at once, at least.
+MERGE = 4
 #: Footers read at a time.
 FOOTERS = 8
 
 
-def write_snapshot(df: DataFrame, folder: str, partition_by: list[str] = []) -> str:  # noqa: B006
-    """Write df as a new snapshot and make it current; returns its path."""
-    spark = df.sparkSession
-    path = f"{folder}/snapshots/{uuid.uuid4().hex}"
+def _versions(spark: SparkSession, folder: str) -> Commits:
+    return Commits(spark, f"{folder}/versions")
+
+
+def _parts(spark: SparkSession, folder: str, version: int) -> list[dict]:
+    """path and rows of the parts of a version, oldest first."""
+    return json.loads(_versions(spark, folder).text(version)) if version else []
+
+
+def _written(df: DataFrame, folder: str, partition_by: list[str]) -> dict:
+    path = f"{folder}/parts/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    store = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    name = f"{folder}/current"
-    number = len(store.listStatus(fs_path(name))) if store.exists(fs_path(name)) else 0
-    aside = f"{folder}/_pointer-{uuid.uuid4().hex}"
-    spark.range(1).select(F.lit(path).alias("path")).coalesce(1).write.parquet(aside)
-    store.mkdirs(fs_path(name))
-    if not store.rename(fs_path(aside), fs_path(f"{name}/p{number + 1:08d}")):
-        raise RuntimeError("another snapshot was committed meanwhile")
-    return path
+    return {"path": path, "rows": df.sparkSession.read.parquet(path).count()}
 
 
-def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    store = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    newest = max(s.getPath().getName() for s in store.listStatus(fs_path(f"{folder}/current")))
-    return spark.read.parquet(spark.read.parquet(f"{folder}/current/{newest}").first().path)
+def version_of(spark: SparkSession, folder: str) -> int:
+    """The newest version of a collection; 0 before the first."""
+    return _versions(spark, folder).newest()
+
+
+def write_snapshot(df: DataFrame, folder: str, partition_by: list[str] = [], after: int | None = None) -> int:  # noqa: B006
+    """Make df the whole content of a collection; returns the version. after: the version that df was computed from, by
+    default the newest one; if another writer has followed it, this is an error."""
+    spark = df.sparkSession
+    after = version_of(spark, folder) if after is None else after
+    return _versions(spark, folder).add(json.dumps([_written(df, folder, partition_by)]), after)
+
+
+def append_part(df: DataFrame, folder: str, key: str = "id") -> int:
+    """Add rows, one per key, that replace those of equal key; returns their number. Writes no more than df, but for the
+    merging of parts."""
+    spark = df.sparkSession
+    version = version_of(spark, folder)
+    parts = _parts(spark, folder, version)
+    new = _written(df, folder, [])
+    version = _versions(spark, folder).add(json.dumps([*parts, new]), version)
+    _merge_parts(spark, folder, key, version)
+    return new["rows"]
+
+
+def _merge_parts(spark: SparkSession, folder: str, key: str, version: int) -> None:
+    parts = _parts(spark, folder, version)
+    first, rows = len(parts) - 1, parts[-1]["rows"]
+    while first > 0 and parts[first - 1]["rows"] <= rows:
+        first -= 1
+        rows += parts[first]["rows"]
+    if len(parts) - first >= MERGE:
+        merged = _written(_newest_rows(spark, parts[first:], key), folder, [])
+        _versions(spark, folder).add(json.dumps([*parts[:first], merged]), version)
+
+
+def _newest_rows(spark: SparkSession, parts: list[dict], key: str | None) -> DataFrame:
+    frames = [spark.read.parquet(p["path"]) for p in parts]
+    if len(frames) == 1 or key is None:
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    marked = [f.withColumn("_part", F.lit(n)) for n, f in enumerate(frames)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max("_part").alias("_newest"))
+    same = rows[key].eqNullSafe(newest["_key"]) & (rows["_part"] == newest["_newest"])
+    return rows.join(newest, same, "left_semi").drop("_part")
+
+
+def read_snapshot(spark: SparkSession, folder: str, key: str | None = "id", version: int | None = None) -> DataFrame:
+    """The rows of the newest or a given version; without a key, parts are not reconciled."""
+    version = version_of(spark, folder) if version is None else version
+    if not version:
+        raise ValueError(f"{folder} has no version")
+    return _newest_rows(spark, _parts(spark, folder, version), key)
+
+
+def vacuum(spark: SparkSession, folder: str, older_than: float = 86_400) -> None:
+    """Remove parts that the newest version does not list and that are older than so many seconds: longer than a writer
+    takes from its first file to its commit, and than readers keep an older version."""
+    versions = _versions(spark, folder)
+    newest = versions.newest()
+    used = {p["path"].rsplit("/", 1)[1] for p in _parts(spark, folder, newest)}
+    root = versions.path(f"{folder}/parts")
+    for status in versions.fs.listStatus(root) if versions.fs.exists(root) else ():
+        old = time.time() - status.getModificationTime() / 1000 >= older_than
+        if old and status.getPath().getName() not in used:
+            versions.fs.delete(status.getPath(), True)
+    versions.remove_stale(older_than, keep=newest)
 
 
 # --- registry
@@ -92,15 +162,40 @@ def info(registry: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.withColumn("n_documents", F.coalesce("n_documents", F.lit(0)))
 
 
+def visible(registry: DataFrame, pipelines: DataFrame, key: str = "pipeline") -> DataFrame:
+    """Registry rows of the pipelines (a column of that name) that are served."""
+    return registry.join(pipelines.select(key).distinct(), key, "left_semi").select(registry.columns)
+
+
+def requested_once(requested: DataFrame, key: str = "id") -> DataFrame:
+    """The requested ids; one that is requested twice is an error."""
+    twice = requested.groupBy(key).count().where("count > 1")
+    if twice.limit(1).count():
+        raise ValueError(f"a collection is requested more than once, such as {twice.first()[key]!r}")
+    return requested
+
+
+def request_counts(requests: DataFrame, by: str, key: str = "id") -> DataFrame:
+    """Per request its ids, distinct ids, and whether one is repeated."""
+    counts = requests.groupBy(by, key).agg(F.count("*").alias("n"))
+    return counts.groupBy(by).agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_distinct"), (F.max("n") > 1).alias("repeated")
+    )
+
+
 def select_collections(requested: DataFrame, registry: DataFrame, strict: bool = True) -> DataFrame:
-    """Requested ids with their registry rows; unknown ids are an error, or left out if not strict."""
-    if strict and requested.join(registry, "id", "left_anti").limit(1).count():
+    """Requested ids with their registry rows; unknown or repeated ids are an error, unknown ones left out if not strict."""
+    if strict and requested_once(requested).join(registry, "id", "left_anti").limit(1).count():
         raise ValueError("unknown collection")
     return requested.join(registry, "id")
 
 
-def describe(schema: StructType, id_col: str = "id", vector_col: str = "embedding") -> list[tuple[str, str]]:
-    return [(f.name, f.dataType.simpleString()) for f in schema if f.name not in (id_col, vector_col)]
+def describe(stored: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """field, type and number of values of a stored collection's declared fields: all but the id and the vector."""
+    fields = [f for f in stored.schema if f.name not in (id_col, vector_col)]
+    counts = stored.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"n{k}") for k, f in enumerate(fields)])
+    rows = [F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"n{k}").alias("n")) for k, f in enumerate(fields)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 # --- rows
@@ -185,24 +280,45 @@ def violations(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
 
 
-def document_rules(id_: Column, content: Column, metadata: Column, vector: Column, dim: int) -> dict[str, Column]:
-    """Limits of documents: id form, content present and at most 5 MiB, metadata keys and lengths, vector width."""
+def document_rules(
+    id_: Column, content: Column, metadata: Column, vector: Column, dim: int, mime_type: Column | None = None, texts: dict[str, int] = {}, arrays: dict[str, int] = {}  # noqa: B006
+) -> dict[str, Column]:
+    """Limits of documents: id form, content present and at most 5 MiB (50 MiB unless its mime_type is plain text),
+    metadata keys and lengths, vector width, and of declared columns: the most characters of texts, the most elements of
+    arrays. A null value of a declared column passes."""
+    plain = F.lit(True) if mime_type is None else F.coalesce(mime_type == "text/plain", F.lit(False))
+    size = F.octet_length(content)
+    wide = {f"text:{c}": F.col(c).isNull() | (F.char_length(c) <= most) for c, most in texts.items()}
+    many = {f"array:{c}": F.col(c).isNull() | (F.size(c) <= most) for c, most in arrays.items()}
+    if any(not SHORTEST <= most <= LONGEST for most in texts.values()):
+        raise ValueError(f"the length of a text column must be {SHORTEST} to {LONGEST}")
     return {
         "id": valid_id(id_),
         "content": F.length(content) > 0,
-        "content_size": F.octet_length(content) <= MOST_TEXT,
+        "content_size": F.when(plain, size <= MOST_TEXT).otherwise(size <= MOST_OTHER),
         "metadata_keys": F.size(metadata) <= MOST_KEYS,
         "metadata_values": F.forall(F.map_values(metadata), lambda v: v.isNull() | (F.char_length(v) <= MOST_VALUE)),
         "vector": F.size(vector) == dim,
+        **wide,
+        **many,
     }
 
 
-def jobs(ledger: DataFrame, collection: Column | None = None, limit: int | None = None) -> DataFrame:
-    """Load jobs with state names, without job 0, newest first."""
+def split_documents(docs: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(documents that break no rule, the others with their `violations`)."""
+    marked = docs.withColumn("violations", violations(rules))
+    return marked.where(F.size("violations") == 0).drop("violations"), marked.where(F.size("violations") > 0)
+
+
+def jobs(ledger: DataFrame, collection: Column | None = None, limit: int | None = None, source: str = "collection_name") -> DataFrame:
+    """Load jobs with state names, without job 0, newest first: at most `limit` of each source, and of all."""
     rows = ledger.where("task_id <> 0").withColumn("state_name", state_name(F.col("state")))
     rows = rows if collection is None else rows.where(F.col("collection_name") == collection)
-    rows = rows.orderBy(F.desc("task_id"))
-    return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return rows.orderBy(F.desc("task_id"))
+    newest = Window.partitionBy(source).orderBy(F.desc("task_id"))
+    own = rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit).drop("_n")
+    return own.orderBy(F.desc("task_id")).limit(limit)
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -75,7 +75,10 @@ def gaussian_vector(key: Column, dim: int, seed: int = 0) -> Column:
     return l2_normalize(F.transform(F.sequence(F.lit(1), F.lit(dim)), draw), 1e-8)
 
 
-def with_random_vectors(df: DataFrame, text: str, dim: int, most_chars: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows with a random vector, rows whose text is longer than most_chars)."""
+def with_random_vectors(df: DataFrame, text: str, dim: int, most_chars: int, seed: int = 0, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows with a random vector, rejected rows whose text is longer than most_chars); if strict, such a text is an error."""
     long_ = F.coalesce(F.char_length(text) > most_chars, F.lit(False))
-    return df.where(~long_).withColumn("embedding", random_vector(F.col(text), dim, seed)), df.where(long_)
+    rejected = df.where(long_)
+    if strict and rejected.limit(1).count():
+        raise ValueError(f"a text is longer than {most_chars} characters")
+    return df.where(~long_).withColumn("embedding", random_vector(F.col(text), dim, seed)), rejected

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType, StructType
 
-from lodestar.functions.text import basename, fill_nan, hash_id, stem
+from lodestar.functions.text import basename, fill_nan, guess_mime, hash_id, stem
 from lodestar.functions.vectors import l2_normalize
 
 ID_NAMES = ("video_id", "id", "item_id", "doc_id")
@@ -44,6 +44,19 @@ def build_bulk_table(
     return df.select(*out)
 
 
+def typed_meta(df: DataFrame, meta: str, declared: dict[str, str]) -> DataFrame:
+    """df with the declared keys of a metadata map of strings as columns of their types; a value that its type cannot hold
+    is an error, a missing one null."""
+    return df.select("*", *[F.col(meta)[name].cast(kind).alias(name) for name, kind in declared.items()])
+
+
+def stamp_documents(df: DataFrame, id_col: str, path_col: str | None = None, mime_type: str = "text/plain") -> DataFrame:
+    """df with source_id (the id, or a new UUID), indexed_at (the query's time) and mime_type (by the path, or as given)."""
+    kind = guess_mime(F.col(path_col)) if path_col else F.lit(mime_type)
+    own = F.coalesce(F.col(id_col).cast("string"), F.expr("uuid()"))
+    return df.select("*", own.alias("source_id"), F.current_timestamp().alias("indexed_at"), kind.alias("mime_type"))
+
+
 def flatten_nested(schema: StructType, separator: str = "_", prefix: str = "", path: str = "") -> list[Column]:
     """All leaves of nested structs as string columns named by their path."""
     out = []

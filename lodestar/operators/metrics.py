@@ -61,5 +61,5 @@ def bundle(queries: DataFrame, hits: DataFrame, relevant: DataFrame, k: int) ->
 
 
 def label_map(records: DataFrame, label: str, member: str) -> DataFrame:
-    """The set of members of each label, sorted."""
-    return records.where(F.col(label).isNotNull()).groupBy(label).agg(F.sort_array(F.collect_set(member)).alias("members"))
+    """The members of each label, one row per label and member, so that a label of very many members is many rows."""
+    return records.where(F.col(label).isNotNull()).select(label, member).distinct()

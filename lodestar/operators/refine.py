@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from lodestar.functions.vectors import affine, l2_normalize
 
 PENALTY = 0.05
+#: Ids named in an error.
+MOST_NAMED = 20
+#: The grid of inverse penalties (fixed values).
+GRID = tuple(float(c) for c in np.logspace(-5, 5, 100))
 
 
 def anchor_max(vectors: DataFrame) -> DataFrame:
@@ -28,38 +32,47 @@ def missing_labels(labels: DataFrame, vectors: DataFrame) -> DataFrame:
     return labels.join(vectors, "id", "left_anti")
 
 
+def require_labelled(labels: DataFrame, vectors: DataFrame) -> DataFrame:
+    """labels with their vectors; a labelled id that is not stored is an error."""
+    missing = missing_labels(labels, vectors).select("id").limit(MOST_NAMED + 1).collect()
+    if missing:
+        raise ValueError(f"labelled ids are not stored: {[r.id for r in missing[:MOST_NAMED]]}{' and more' if len(missing) > MOST_NAMED else ''}")
+    return labelled_vectors(labels, vectors)
+
+
 def label_balance(labels: DataFrame) -> DataFrame:
     """Positives, negatives, and whether there are two of each to train on."""
     n = labels.agg(F.count_if(F.col("label")).alias("positives"), F.count_if(~F.col("label")).alias("negatives"))
     return n.withColumn("trainable", (F.col("positives") >= 2) & (F.col("negatives") >= 2))
 
 
-def _derivatives(w: np.ndarray, b: float, weight: str | None):
-    """Per batch: loss, gradient and Hessian of the logistic loss, as one packed row."""
+def _derivatives(w: np.ndarray, b: float):
+    """Per task, one row: loss, rows, gradient and Hessian of the logistic loss, packed."""
 
     def run(batches):
+        total = 0.0
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf["vector"].to_numpy()).astype(float)
             y = pdf["label"].to_numpy(float)
-            c = pdf[weight].to_numpy(float) if weight else np.ones(len(y))
             x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
             z = x @ w + b
-            loss = (c * (np.logaddexp(0, z) - y * z)).sum()
+            loss = (np.logaddexp(0, z) - y * z).sum()
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            grad = x1.T @ (c * (p - y))
-            hess = (x1 * (c * p * (1 - p))[:, None]).T @ x1
-            yield pd.DataFrame({"values": [np.concatenate([[loss, c.sum()], grad, hess.reshape(-1)])]})
+            hess = (x1 * (p * (1 - p))[:, None]).T @ x1
+            total = total + np.concatenate([[loss, len(y)], x1.T @ (p - y), hess.reshape(-1)])
+        if not np.isscalar(total):
+            yield pd.DataFrame({"values": [total]})
 
     return run
 
 
-def _newton(rows: DataFrame, dim: int, anchor: np.ndarray, penalty: float, weight: str | None, steps: int, tolerance: float):
-    """Minimise mean loss + penalty |w - anchor|^2; each step is one aggregation of the rows."""
+def _newton(rows: DataFrame, dim: int, anchor: np.ndarray, penalty: float, steps: int, tolerance: float):
+    """Minimise mean loss + penalty |w - anchor|^2; each step is one aggregation of one row per task."""
     w, b = anchor.astype(float).copy(), 0.0
     for _ in range(steps):
-        parts = rows.mapInPandas(_derivatives(w, b, weight), "values array<double>")
+        parts = rows.mapInPandas(_derivatives(w, b), "values array<double>")
         size = 2 + (dim + 1) + (dim + 1) ** 2
         summed = parts.select(F.posexplode("values").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).toPandas()
         flat = np.zeros(size)
@@ -93,36 +106,51 @@ def linear_probe(grounding: DataFrame, labelled: DataFrame, penalty: float = PEN
     anchor = np.array(anchor, float)
     if not has_labels:
         return anchor, 0.0
-    return _newton(labelled.select("vector", "label"), len(anchor), anchor, penalty, None, steps, tolerance)
+    return _newton(labelled.select("vector", "label"), len(anchor), anchor, penalty, steps, tolerance)
 
 
-def linear_classifier(labelled: DataFrame, penalties: tuple[float, ...] = (1e-4, 1e-3, 1e-2), folds: int = 5, steps: int = 25) -> tuple[np.ndarray, float]:
-    """(coef, intercept) of L2 logistic regression with balanced classes; the penalty of best F1 over stratified folds.
+def linear_classifier(labelled: DataFrame, grid: tuple[float, ...] = GRID, folds: int = 5, parallelism: int = 8) -> tuple[np.ndarray, float, float]:
+    """(coef, intercept, c) of an L2 logistic regression with balanced classes: c is the inverse penalty of the grid with
+    the best mean F1 of the true class over stratified folds (the smallest of equals), the rest a fit of it on all rows.
 
-    labelled: id, vector, label (boolean).
+    labelled: id, vector, label (boolean). The intercept is not penalised. Each label needs as many rows as there are folds.
     """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
     from lodestar.operators.sampling import stratified_folds
 
     counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        raise ValueError("both classes are needed")
+    if len(counts) < 2 or min(counts.values()) < folds:
+        raise ValueError(f"each of two classes needs {folds} rows, not {counts}")
     total = sum(counts.values())
     weight = F.when(F.col("label"), total / (2 * counts[True])).otherwise(total / (2 * counts[False]))
-    rows = stratified_folds(labelled, "label", [F.xxhash64("id"), F.col("id")], folds).select("vector", "label", "fold", weight.alias("weight")).persist()
-    dim = len(rows.first().vector)
-    zero = np.zeros(dim)
-    best = (-1.0, penalties[0])
-    if len(penalties) > 1:
-        for penalty in penalties:
-            hits = np.zeros(3)
-            for fold in range(folds):
-                w, b = _newton(rows.where(F.col("fold") != fold), dim, zero, penalty, "weight", steps, 1e-6)
-                said = rows.where(F.col("fold") == fold).select("label", (affine(F.col("vector"), w.tolist(), b) > 0).alias("said"))
-                hits += np.array(said.agg(F.count_if(F.expr("label and said")), F.count_if(F.expr("not label and said")), F.count_if(F.expr("label and not said"))).first())
-            best = max(best, (2 * hits[0] / max(1.0, 2 * hits[0] + hits[1] + hits[2]), penalty))
-    w, b = _newton(rows, dim, zero, best[1], "weight", steps, 1e-8)
+    rows = stratified_folds(labelled, "label", [F.xxhash64("id"), F.col("id")], folds)
+    rows = rows.select(array_to_vector("vector").alias("features"), F.col("label").cast("double").alias("label"), F.col("fold").cast("int").alias("fold"), weight.alias("weight")).persist()
+
+    def estimator(share: float, c: float) -> LogisticRegression:
+        # Mean loss + penalty / 2 |w|^2 here, c * sum of losses + 1/2 |w|^2 where c comes from.
+        return LogisticRegression(weightCol="weight", standardization=False, maxIter=1000, tol=1e-8, regParam=1 / (c * share * total))
+
+    best = float(grid[0])
+    if len(grid) > 1:
+        plain = estimator(1.0, 1.0)
+        penalties = [1 / (c * (1 - 1 / folds) * total) for c in sorted(grid)]
+        search = CrossValidator(
+            estimator=plain,
+            estimatorParamMaps=ParamGridBuilder().addGrid(plain.regParam, penalties).build(),
+            evaluator=MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0),
+            foldCol="fold",
+            numFolds=folds,
+            parallelism=parallelism,
+        )
+        scores = search.fit(rows).avgMetrics
+        best = sorted(grid)[int(np.argmax(scores))]
+    fit = estimator(1.0, best).fit(rows)
     rows.unpersist()
-    return w, b
+    return np.array(fit.coefficients.toArray()), float(fit.intercept), float(best)
 
 
 def keep_by_classifier(docs: DataFrame, coef: list[float] | None, intercept: float = 0.0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.sampling import numbered
+
 
 def nan_mean(column: Column) -> Column:
     """Mean without NaN and null."""
@@ -81,4 +83,4 @@ def progress(polls: DataFrame) -> DataFrame:
 
 def queue_positions(requests: DataFrame, queue: str, created: list[Column]) -> DataFrame:
     """Place, from 1, of each pending request in its queue."""
-    return requests.where("status = 'pending'").withColumn("position", F.row_number().over(Window.partitionBy(queue).orderBy(*created)))
+    return numbered(requests.where("status = 'pending'"), queue, created, "position")

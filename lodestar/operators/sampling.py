@@ -5,6 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import stored
+
+
+def numbered(df: DataFrame, group: str, order: list[Column], name: str = "place") -> DataFrame:
+    """df with the place, from 1, of each row in its group by order: for few groups that may be very large.
+
+    Rows are dealt by ranges of group and order and written; a row's place is the number of its group's rows in earlier
+    ranges and its place in its own one. So a group is shared by many tasks, and only counts per range meet in one.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = stored(df.repartitionByRange(parts, group, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_in")).agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("_group").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_group", "_in", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    placed = ranges.withColumn("_here", here)
+    joined = placed.join(offsets, placed[group].eqNullSafe(offsets["_group"]) & (placed["_range"] == offsets["_in"]))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_here")).alias(name))
+
 
 def uniform_rows(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """n rows of each group spread evenly over its order, sample 0..n-1; short groups repeat rows."""
@@ -34,8 +53,7 @@ def step_rows(df: DataFrame, group: str, order: list[Column], n: int) -> tuple[D
 
 def assign_batches(df: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
     """Batch number (from 0) of each row within its group by order."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("batch", F.floor(place / size))
+    return numbered(df, group, order, "_place").withColumn("batch", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -51,8 +69,7 @@ def split_validation(df: DataFrame, key: str, share: float, seed: int = 0) -> Da
 
 def stratified_folds(df: DataFrame, label: str, order: list[Column], k: int) -> DataFrame:
     """df with `fold` 0..k-1, balanced within each label."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1
-    return df.withColumn("fold", F.pmod(place, F.lit(k)))
+    return numbered(df, label, order, "_place").withColumn("fold", F.pmod(F.col("_place") - 1, F.lit(k))).drop("_place")
 
 
 def patch_grid(images: DataFrame, grids: list[tuple[int, int]]) -> DataFrame:

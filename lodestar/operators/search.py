@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,78 +31,141 @@ def top_k(scored: DataFrame, k: int, by: str | list[str] = "qid", score: str = "
     return scored.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= check_k(k))
 
 
-def _matrix_rows(id_name: str, rows: int):
-    """(id, group, vector) -> one row per block: ids, groups and a matrix of doubles."""
+def _widths(vectors: pa.Array) -> int:
+    """The one width of the vectors of a batch; vectors of several widths are an error."""
+    found = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(found) > 1:
+        raise ValueError(f"vectors of {sorted(found)} components in one column")
+    return found[0]
+
+
+def _matrix_rows(id_name: str, rows: int, keys: list[str]):
+    """(id, keys.., group, vector), sorted by the keys -> one row per block of equal keys: ids, keys, groups, a matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, rows):
-                part = batch.slice(low, rows)
-                flat = np.asarray(part.column(2).flatten().cast(pa.float64()))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        id_name: pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
-                        "groups": pa.array([part.column(1).to_pylist()], pa.list_(pa.string())),
-                        "width": pa.array([len(flat) // part.num_rows], pa.int64()),
-                        "matrix": pa.array([flat.astype("<f8").tobytes()], pa.binary()),
-                    }
-                )
+            if not batch.num_rows:
+                continue
+            columns = dict(zip(("id", *keys, "group", "vector"), batch.columns, strict=True))
+            width = _widths(columns["vector"])
+            values = columns["vector"].flatten()
+            narrow = values.type == pa.float32()
+            flat = np.asarray(values if narrow else values.cast(pa.float64())).reshape(batch.num_rows, width)
+            cuts = np.zeros(batch.num_rows + 1, bool)
+            cuts[[0, -1]] = True
+            for key in keys:
+                cuts[1:-1] |= np.diff(columns[key].to_numpy(zero_copy_only=False)) != 0
+            ends = np.flatnonzero(cuts)
+            for start, stop in zip(ends[:-1], ends[1:], strict=True):
+                for low in range(start, stop, rows):
+                    n = min(rows, stop - low)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            id_name: pa.array([columns["id"].slice(low, n).to_pylist()], pa.list_(pa.int64())),
+                            **{key: columns[key].slice(low, 1) for key in keys},
+                            "groups": pa.array([columns["group"].slice(low, n).to_pylist()], pa.list_(pa.string())),
+                            "width": pa.array([width], pa.int64()),
+                            "matrix": pa.array([flat[low : low + n].astype("<f4" if narrow else "<f8").tobytes()], pa.binary()),
+                        }
+                    )
 
     return run
 
 
-def _score_blocks(metric: str, k: int):
-    """A block of documents and one of queries -> per query and group its k best documents and all that tie with them."""
+def _blocks(rows: DataFrame, id_name: str, size: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows (id, keys.., group, vector) as matrices; rows without a vector are left out."""
+    shape = f"{id_name} array<long>, {''.join(f'{k} long, ' for k in keys)}groups array<string>, width long, matrix binary"
+    return rows.where("vector is not null").mapInArrow(_matrix_rows(id_name, size, keys), shape)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
+    """The doubles of a block, stored as 32-bit numbers where its column had those."""
+    kind = "<f4" if len(data) == 4 * rows * width else "<f8"
+    return np.frombuffer(data, kind).reshape(rows, width).astype(np.float64)
+
+
+def _block_scores(metric: str):
+    """Rows of blocks -> ids, query ids, groups and the matrix of scores (queries x documents)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for row in batch.to_pylist():
                 if row["width"] != row["q_width"]:
                     raise ValueError(f"query vectors have {row['q_width']} components, documents {row['width']}")
-                x = np.frombuffer(row["matrix"], "<f8").reshape(-1, row["width"])
-                q = np.frombuffer(row["q_matrix"], "<f8").reshape(-1, row["width"])
+                x = _matrix(row["matrix"], len(row["ids"]), row["width"])
+                q = _matrix(row["q_matrix"], len(row["qids"]), row["width"])
                 score = q @ x.T
                 if metric == "cosine":
-                    score /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        score /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
                 elif metric == "l2":
                     score = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * score
-                ids, qids = np.array(row["ids"]), np.array(row["qids"])
-                names, group = np.unique(np.array(row["groups"], dtype=object).astype(str), return_inverse=True)
-                for g, name in enumerate(names):
-                    own = np.flatnonzero(group == g)
-                    part = score[:, own]
-                    key = np.where(np.isnan(part), np.inf, part if metric == "l2" else -part)
-                    n = min(k, len(own))
-                    at, best = np.nonzero(key <= np.partition(key, n - 1, axis=1)[:, n - 1 : n])
-                    columns = [pa.array(qids[at]), pa.array(ids[own[best]]), pa.array([str(name)] * len(at), pa.string()), pa.array(part[at, best])]
-                    yield pa.RecordBatch.from_arrays(columns, ["qid", "id", "grp", "score"])
+                yield np.array(row["ids"]), np.array(row["qids"]), row["groups"], score
 
     return run
 
 
+def _score_blocks(metric: str, k: int):
+    """A block of documents and one of queries -> per query and group its k best documents and all that tie with them."""
+    scores = _block_scores(metric)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, qids, groups, score in scores(batches):
+            names, group = np.unique(np.array(groups, dtype=object).astype(str), return_inverse=True)
+            for g, name in enumerate(names):
+                own = np.flatnonzero(group == g)
+                part = score[:, own]
+                key = np.where(np.isnan(part), np.inf, part if metric == "l2" else -part)
+                n = min(k, len(own))
+                at, best = np.nonzero(key <= np.partition(key, n - 1, axis=1)[:, n - 1 : n])
+                columns = [pa.array(qids[at]), pa.array(ids[own[best]]), pa.array([str(name)] * len(at), pa.string()), pa.array(part[at, best], from_pandas=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["qid", "id", "grp", "score"])
+
+    return run
+
+
+def _all_scores(metric: str, least: float | None):
+    """A block of documents and one of queries -> every pair, or those of at least a score (at most a distance)."""
+    scores = _block_scores(metric)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, qids, _, score in scores(batches):
+            for low in range(0, len(qids), 16):
+                part = score[low : low + 16]
+                good = np.ones(part.shape, bool) if least is None else part <= least if metric == "l2" else part >= least
+                at, best = np.nonzero(good)
+                columns = [pa.array(qids[low + at]), pa.array(ids[best]), pa.array(part[at, best], from_pandas=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["qid", "id", "score"])
+
+    return run
+
+
+def _query_blocks(queries: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Blocks of the queries (qid, keys.., vector), the side of a search that is sent around if it is small enough."""
+    q = _blocks(queries.select("qid", *keys, F.lit("").alias("grp"), "vector"), "qids", QUERY_BLOCK, keys)
+    return q.select("qids", *keys, F.col("width").alias("q_width"), F.col("matrix").alias("q_matrix"))
+
+
 def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", group: str | None = None) -> DataFrame:
     """qid, id, score, rank: the k nearest documents (id, vector) of each query (qid, vector); with `group` (a column of
     docs), of each query and group, and the column grp.
 
     Both sides are packed into matrices; every block of queries meets every block of documents once and leaves at most k
-    rows per query (and ties) for the top-k. Vectors must not be null.
+    rows per query (and ties) for the top-k. Documents and queries with a null vector are left out; a vector of another
+    width than the others is an error.
     """
-    shape = "array<long>, groups array<string>, width long, matrix binary"
-    none = F.lit("").alias("grp")
-    q = queries.select("qid", none, "vector").mapInArrow(_matrix_rows("qids", QUERY_BLOCK), f"qids {shape}")
-    q = q.select("qids", F.col("width").alias("q_width"), F.col("matrix").alias("q_matrix"))
-    own = F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp") if group else none
-    d = docs.select("id", own, "vector").mapInArrow(_matrix_rows("ids", DOC_BLOCK), f"ids {shape}")
-    scored = d.crossJoin(q).mapInArrow(_score_blocks(metric, check_k(k)), "qid long, id long, grp string, score double")
+    own = F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp") if group else F.lit("").alias("grp")
+    d = _blocks(docs.select("id", own, "vector"), "ids", DOC_BLOCK)
+    scored = d.crossJoin(_query_blocks(queries)).mapInArrow(_score_blocks(metric, check_k(k)), "qid long, id long, grp string, score double")
     largest = V.METRICS[metric][1]
     return top_k(scored, k, by=["qid", "grp"], largest=largest) if group else top_k(scored.drop("grp"), k, largest=largest)
 
 
-def score_pairs(docs: DataFrame, queries: DataFrame, metric: str = "ip") -> DataFrame:
-    """qid, id, score of every query and document (similarity join); the queries are the side that is sent around."""
-    score, _ = V.METRICS[metric]
-    q = queries.select("qid", F.col("vector").alias("q_vector"))
-    return docs.crossJoin(q).withColumn("score", score(F.col("vector"), F.col("q_vector"))).drop("q_vector", "vector")
+def score_pairs(docs: DataFrame, queries: DataFrame, metric: str = "ip", least: float | None = None) -> DataFrame:
+    """qid, id, score of every query (a stated set) and document, block by block; with `least`, of the pairs that reach it
+    (l2: that are as near), which is all that leaves a block."""
+    d = _blocks(docs.select("id", F.lit("").alias("grp"), "vector"), "ids", DOC_BLOCK)
+    return d.crossJoin(_query_blocks(queries)).mapInArrow(_all_scores(metric, least), "qid long, id long, score double")
 
 
 def assign_cells(vectors: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
@@ -129,18 +193,32 @@ def train_cells(docs: DataFrame, cells: int, seed: int = 7, most_rows: int = 100
     return np.array(fit.clusterCenters())
 
 
+def build_ivf(docs: DataFrame, centres: np.ndarray) -> DataFrame:
+    """The index: every document with a vector in a block of its cell. Cells are dealt by ranges of cell and a hash of the
+    id, so a large cell is several tasks. Write it, to search it more than once."""
+    placed = assign_cells(docs.where("vector is not null").select("id", "vector"), centres, 1)
+    placed = placed.select("id", F.col("cells")[0].cast("long").alias("cell"), F.lit("").alias("grp"), "vector")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = placed.repartitionByRange(parts, "cell", F.xxhash64("id")).sortWithinPartitions("cell")
+    return _blocks(ranges, "ids", DOC_BLOCK, ["cell"])
+
+
+def search_ivf(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 10, probes: int = 4, metric: str = "ip") -> DataFrame:
+    """qid, id, score, rank from an index: each query meets the blocks of its `probes` nearest cells, scored exactly."""
+    q = assign_cells(queries.where("vector is not null").select("qid", "vector"), centres, min(probes, len(centres)))
+    q = q.select("qid", F.explode(F.col("cells").cast("array<long>")).alias("cell"), "vector").repartition("cell").sortWithinPartitions("cell")
+    near = index.join(_query_blocks(q, ["cell"]), "cell").drop("cell")
+    scored = near.mapInArrow(_score_blocks(metric, check_k(k)), "qid long, id long, grp string, score double")
+    return top_k(scored.drop("grp"), k, largest=V.METRICS[metric][1])
+
+
 def knn_ivf(docs: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 10, probes: int = 4, metric: str = "ip") -> DataFrame:
     """Approximate k nearest: only documents in a query's `probes` nearest cells are scored, exactly.
 
-    Every document is indexed. With as many probes as cells the result is that of knn_exact. Documents and queries meet
-    by an equi-join on the cell; a skewed cell is split by Spark.
+    Every document is indexed. With as many probes as cells the result is that of knn_exact. Blocks of documents and of
+    queries meet by an equi-join on the cell.
     """
-    d = assign_cells(docs.select("id", "vector"), centres, 1).withColumn("cell", F.col("cells")[0]).drop("cells")
-    q = assign_cells(queries.select("qid", "vector"), centres, min(probes, len(centres)))
-    q = q.select("qid", F.col("vector").alias("q_vector"), F.explode("cells").alias("cell"))
-    score, largest = V.METRICS[metric]
-    scored = d.join(q, "cell").select("qid", "id", score(F.col("vector"), F.col("q_vector")).alias("score"))
-    return top_k(scored, k, largest=largest)
+    return search_ivf(build_ivf(docs, centres), queries, centres, k, probes, metric)
 
 
 def quantize_sq8(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import word_count
-from lodestar.operators import metrics, refine, reports
+from lodestar.operators import collections, metrics, refine, reports
 from lodestar.plans.base import HITS, query
 
 
@@ -28,7 +28,7 @@ query("metric_per_query", lambda t: rounded(metrics.per_query(t.queries, t.hits,
 query("metric_bundle", lambda t: rounded(bundle(t)), f"WITH {PER_QUERY} SELECT count(*) AS n_queries, sum(n_hits)::BIGINT AS total_hits, {', '.join(f'round(avg({m}), 6) AS {m}' for m in metrics.METRICS)} FROM pq")
 for name, column in (("metric_hit_at_1", "hit_at_1"), ("metric_recall_at_k", "recall_at_k"), ("metric_precision_at_k", "precision_at_k"), ("metric_f1_at_k", "f1_at_k"), ("metric_mrr", "mrr"), ("metric_ndcg", "ndcg")):
     query(name, lambda t, c=column: bundle(t).select(F.round(c, 6).alias(c)), f"WITH {PER_QUERY} SELECT round(avg({column}), 6) AS {column} FROM pq")
-query("label_map", lambda t: metrics.label_map(t.embeddings, "label", "vec_id").select("label", F.size("members").cast("long").alias("n"), F.md5(F.array_join(F.transform("members", lambda m: m.cast("string")), ",")).alias("members")), "SELECT label, count(DISTINCT vec_id) AS n, md5(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) AS members FROM embeddings GROUP BY label")
+query("label_map", lambda t: metrics.label_map(t.embeddings, "label", "vec_id"), "SELECT DISTINCT label, vec_id FROM embeddings WHERE label IS NOT NULL")
 query("log2_discount", lambda t: t.hits.select("qid", "id", F.round(1 / F.log2(F.col("rank") + 1.0), 6).alias("discount")), f"WITH {HITS} SELECT qid, id, round(1 / log2(rank + 1), 6) AS discount FROM h")
 query("count_documents", lambda t: t.documents.groupBy(F.col("source").alias("collection_id")).agg(F.count("*").alias("n")), "SELECT source AS collection_id, count(*) AS n FROM documents GROUP BY 1")
 query("delete_count", lambda t: t.documents.where("lang = 'de' and n_chars < 1000").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM documents WHERE lang = 'de' AND n_chars < 1000")
@@ -55,7 +55,7 @@ query("batch_report", lambda t: rounded(reports.batch_report(t.lineitem.groupBy(
 query("usage_totals", lambda t: t.conversations.agg(F.sum(F.when(F.col("role") == "user", word_count(F.col("text"))).otherwise(0)).alias("prompt_tokens"), F.count_if(F.col("role") == "assistant").alias("videos")), "SELECT sum(CASE WHEN role = 'user' THEN greatest(1, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) ELSE 0 END)::BIGINT AS prompt_tokens, count(*) FILTER (role = 'assistant') AS videos FROM conversations")
 query("service_counters", lambda t: rounded(reports.service_counters(t.events.select((F.col("event_type") != "error").alias("ok"), F.lit(1).alias("embeddings"), (F.col("event_type") == "view").cast("int").alias("videos"), F.col("value").alias("seconds")))), "SELECT count(*) AS requests, count(*) FILTER (event_type <> 'error') AS successes, count(*) FILTER (event_type = 'error') AS errors, count(*) AS embeddings, count(*) FILTER (event_type = 'view') AS videos, round(sum(value), 6) AS total_seconds, round(avg(value), 6) AS mean_seconds FROM events")
 query("label_balance", lambda t: refine.label_balance(t.labels.select((F.col("quality") == 1).alias("label"))), "SELECT count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality <> 1) AS negatives, count(*) FILTER (quality = 1) >= 2 AND count(*) FILTER (quality <> 1) >= 2 AS trainable FROM labels")
-query("distinct_collections", lambda t: t.documents.agg(F.count("source").alias("n"), F.count_distinct("source").alias("n_distinct")), "SELECT count(source) AS n, count(DISTINCT source) AS n_distinct FROM documents")
+query("distinct_collections", lambda t: collections.request_counts(t.orders, "o_custkey", "o_orderpriority"), "SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS n_distinct, count(*) > count(DISTINCT o_orderpriority) AS repeated FROM orders GROUP BY 1")
 query("anchor_max", lambda t: refine.anchor_max(t.vectors).select(F.posexplode("anchor").alias("place", "x")).select(F.col("place").cast("long").alias("place"), "x"), "SELECT i AS place, max(embedding[i + 1]) AS x FROM embeddings, range(0, 64) g(i) GROUP BY i")
 query("regression_quality", lambda t: rounded(refine.regression_quality(t.events.select(F.col("value").alias("y"), (F.col("value") * 0.9 + 1).alias("said")))), "SELECT round(1 - sum((y - s) ** 2) / sum((y - m) ** 2), 6) AS r2, round(avg(abs(y - s) / greatest(abs(y), 1.17e-6)), 6) AS mape FROM (SELECT value AS y, value * 0.9::DOUBLE + 1 AS s, avg(value) OVER () AS m FROM events)")
 query("f1_positive", lambda t: rounded(refine.f1_positive(t.labels.select((F.col("quality") == 1).alias("label"), (F.col("toxic") == 0).alias("said")))), "SELECT tp, fp, fn, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn FROM labels)")

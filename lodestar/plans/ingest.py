@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions import text as X
-from lodestar.operators import embedding, ingest
+from lodestar.functions import vectors as V
+from lodestar.operators import embedding, ingest, routing
 from lodestar.plans.aggregates import PER_QUERY, bundle
 from lodestar.plans.base import RESULTS, query
 from lodestar.sources import records, sinks
@@ -22,13 +23,11 @@ query("scan_files", lambda t: records.scan_files(t.spark, t.folder, [".parquet"]
 query("first_n_files", lambda t: records.scan_files(t.spark, t.folder, [".parquet"], 5).select(X.basename(F.col("path")).alias("name"), "length"))
 
 
-def schema_rows(t):
-    """Fields of the embedding file, from its footer, next to its row count."""
-    fields = [F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type")) for f in records.read_schema(t.spark, f"{t.folder}/embeddings.parquet")]
-    return t.embeddings.agg(F.count("*").alias("n")).select(F.explode(F.array(*fields)).alias("f"), "n").select("f.*", "n")
-
-
-query("read_schema", schema_rows, "SELECT unnest(['vec_id', 'embedding', 'label']) AS field, unnest(['bigint', 'array<float>', 'int']) AS type, (SELECT count(*) FROM embeddings) AS n")
+query(
+    "read_schema",
+    lambda t: records.field_counts(t.spark, f"{t.folder}/embeddings.parquet"),
+    "SELECT unnest(['vec_id', 'embedding', 'label']) AS field, unnest(['bigint', 'array<float>', 'int']) AS type, unnest([count(vec_id), count(embedding), count(label)]) AS n FROM embeddings",
+)
 
 
 def truthy_docs(t):
@@ -79,8 +78,20 @@ def sidecar_map(t):
 
 
 query("scan_sidecar_map", sidecar_map, "SELECT doc_id::VARCHAR AS key, lang, source FROM documents")
-query("gen_embeddings", lambda t: t.documents.select("doc_id", embedding.gaussian_vector(F.col("doc_id"), 32).alias("v")).select("doc_id", F.size("v").cast("long").alias("dim"), F.expr("round(sqrt(aggregate(v, 0D, (s, x) -> s + x * x)), 6)").alias("norm")), "SELECT doc_id, 32 AS dim, 1.0::DOUBLE AS norm FROM documents")
-query("random_vectors", lambda t: embedding.with_random_vectors(t.documents, "text", 16, 3000)[0].select("doc_id", F.size("embedding").cast("long").alias("dim"), F.forall("embedding", lambda x: (x >= 0) & (x < 1)).alias("unit")), "SELECT doc_id, 16 AS dim, true AS unit FROM documents WHERE length(text) <= 3000")
+query(
+    "gen_embeddings",
+    lambda t: records.gen_embeddings(t.spark, t.documents.count(), 32).select("id", F.get_json_object("$meta", "$.index").cast("long").alias("index"), F.size("embedding").cast("long").alias("dim"), F.round(V.norm(F.col("embedding")), 5).alias("norm")),
+    "SELECT 'vec_' || lpad(i::VARCHAR, 8, '0') AS id, i AS index, 32 AS dim, 1.0::DOUBLE AS norm FROM range(0, (SELECT count(*) FROM documents)) r(i)",
+)
+def random_vectors(t):
+    """All documents: with a vector, or rejected as too long."""
+    good, long_ = embedding.with_random_vectors(t.documents, "text", 16, 3000, strict=False)
+    unit = F.forall("embedding", lambda x: (x >= 0) & (x < 1))
+    made = good.select("doc_id", F.size("embedding").cast("long").alias("dim"), unit.alias("unit"), F.lit(False).alias("rejected"))
+    return made.unionByName(long_.select("doc_id", F.lit(True).alias("rejected")), allowMissingColumns=True)
+
+
+query("random_vectors", random_vectors, "SELECT doc_id, CASE WHEN length(text) <= 3000 THEN 16 END AS dim, CASE WHEN length(text) <= 3000 THEN true END AS unit, length(text) > 3000 AS rejected FROM documents")
 query("unnest_query_matrix", lambda t: records.unnest_query_matrix(t.embeddings, F.array(F.col("embedding"), F.reverse("embedding")), "vec_id").select("vec_id", F.col("place").cast("long").alias("place"), F.element_at("vector", 1).alias("first")), "SELECT vec_id, 0 AS place, embedding[1] AS first FROM embeddings UNION ALL SELECT vec_id, 1, embedding[64] FROM embeddings")
 query("embed_column", lambda t: embedding.embed_column(t.documents.select("doc_id", "text"), "text", embedding.hash_embedder(64), 64).select("doc_id", F.size("embedding").cast("long").alias("dim"), F.expr("round(sqrt(aggregate(embedding, 0D, (s, x) -> s + x * x)), 6)").alias("norm")), "SELECT doc_id, 64 AS dim, 1.0::DOUBLE AS norm FROM documents")
 
@@ -116,7 +127,14 @@ def json_bulk(t):
 
 query("json_to_bulk", json_bulk, "SELECT vec_id::VARCHAR AS id, round(embedding[1]::DOUBLE, 5) AS first, '{\"label\":' || label || '}' AS meta FROM embeddings")
 query("pack_dynamic_meta", lambda t: t.events.withColumn("gap", F.when(F.col("event_id") % 3 > 0, F.lit(1.5))).transform(lambda d: d.select("event_id", ingest.pack_meta(d, ["user_id", "gap", "event_type"]).alias("m"))).select("event_id", F.get_json_object("m", "$.gap").cast("double").alias("gap"), F.get_json_object("m", "$.event_type").alias("event_type")), "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 1.5 ELSE 0.0 END AS gap, event_type FROM events")
-query("typed_meta", lambda t: t.documents.select("doc_id", F.col("n_chars").cast("string").cast("int").cast("long").alias("n_chars"), F.col("lang").cast("string").alias("lang")), "SELECT doc_id, n_chars, lang FROM documents")
+def typed(t):
+    """Metadata maps of strings, with the declared keys as columns of their types."""
+    meta = {"n_chars": F.col("n_chars").cast("string"), "share": (F.col("n_chars") / 7).cast("string"), "english": (F.col("lang") == "en").cast("string"), "lang": F.col("lang")}
+    rows = t.documents.select("doc_id", F.create_map(*[x for name, value in meta.items() for x in (F.lit(name), value)]).alias("meta"))
+    return ingest.typed_meta(rows, "meta", {"n_chars": "long", "share": "double", "english": "boolean", "lang": "string", "none": "long"}).drop("meta")
+
+
+query("typed_meta", typed, "SELECT doc_id, n_chars, n_chars / 7.0::DOUBLE AS share, lang = 'en' AS english, lang, NULL::BIGINT AS none FROM documents")
 query("flatten_nested", lambda t: t.documents.select("doc_id", F.struct(F.col("lang").alias("code"), F.struct(F.col("source").alias("name"), F.col("n_chars").alias("size")).alias("origin")).alias("meta")).transform(lambda d: d.select(*ingest.flatten_nested(d.schema))), "SELECT doc_id::VARCHAR AS doc_id, lang AS meta_code, source AS meta_origin_name, n_chars::VARCHAR AS meta_origin_size FROM documents")
 PREP = "SELECT doc_id::VARCHAR AS video_id, 'v/' || source || '/' || doc_id || '.mp4' AS video_path, md5(text) AS caption, doc_id || '.mp4' AS name FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 100"
 query(
@@ -213,4 +231,27 @@ query("scale_label", lambda t: t.labels.select("doc_id", (F.col("quality") / 10.
 query("status_name", lambda t: t.events.select("event_id", X.state_name((F.col("event_id") % 9).cast("int")).alias("state")), "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' WHEN 2 THEN 'started' WHEN 5 THEN 'persisted' WHEN 6 THEN 'completed' WHEN 7 THEN 'failed_and_cleaned' ELSE 'unknown' END AS state FROM events")
 query("flag_local_urls", lambda t: t.pages.select("page_id", X.is_local_url(F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("http://localhost:8000/"), F.col("page_id"))).otherwise(F.col("url"))).alias("local")), "SELECT page_id, page_id % 4 = 0 AS local FROM pages")
 query("select_by_allow_list", lambda t: t.documents.where(F.size(F.array_except(F.split(F.concat_ws(",", "lang", "source"), ","), F.array(*map(F.lit, ["en", "de", "src0", "src1", "src2"])))) == 0).select("doc_id"), "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source IN ('src0', 'src1', 'src2')")
-query("filter_valid_media", lambda t: t.part.select("p_partkey", F.when(F.col("p_size") > 40, "too large").when(F.expr("p_type like 'ECO%'"), "type").when(F.col("p_brand").isin("Brand#1", "Brand#2"), "codec").alias("reject")), "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'too large' WHEN p_type LIKE 'ECO%' THEN 'type' WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'codec' END AS reject FROM part")
+def probes(t):
+    """Probe results made from parts: a codec, container formats, and a frame size that is unknown for every eleventh."""
+    names = F.array(*map(F.lit, (*routing.CODECS, "ffv1", " VP9 ")))
+    size = F.when(F.col("p_partkey") % 11 > 0, F.col("p_size") * 100)
+    return t.part.select(
+        "p_partkey",
+        names[(F.col("p_partkey") % 13).cast("int")].alias("codec"),
+        F.when(F.col("p_size") % 3 == 0, F.array(F.lit("Matroska"), F.lit("webm"))).otherwise(F.array(F.lit("mp4"))).alias("formats"),
+        size.alias("width"),
+        (size * 0.5625).cast("int").alias("height"),
+    )
+
+
+def media_split(t):
+    good, bad = routing.split_media(probes(t))
+    return good.select("p_partkey", F.lit(None).cast("string").alias("fault")).unionByName(bad.select("p_partkey", "fault"))
+
+
+query(
+    "filter_valid_media",
+    media_split,
+    """SELECT p_partkey, CASE WHEN p_partkey % 13 = 11 THEN 'codec' WHEN p_partkey % 13 IN (8, 12) AND p_size % 3 = 0 THEN 'vp9 container'
+WHEN p_partkey % 11 > 0 AND p_size > 40 THEN 'too large' END AS fault FROM part""",
+)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import basename
 from lodestar.operators import collections as C
-from lodestar.operators import ingest, reports, sampling, sessions
+from lodestar.operators import ingest, refine, reports, routing, sampling, sessions
 from lodestar.plans.base import query
+from lodestar.sources import records
 
 # --- joins of ingest
 
@@ -30,8 +31,15 @@ query(
     lambda t: ingest.join_file_metadata(t.documents.select(F.expr(KEY).alias("key"), "doc_id"), t.documents.select(F.expr(KEY).alias("key"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))).select("doc_id", F.col("metadata")["filename"].alias("filename"), F.col("metadata")["lang"].alias("lang")),
     "SELECT doc_id, doc_id || '.txt' AS filename, lang FROM documents",
 )
-query("join_labels", lambda t: t.labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("label")).join(t.vectors.select("id", F.col("label").alias("collection")), "id"), "SELECT doc_id AS id, quality = 1 AS label, label AS collection FROM labels JOIN embeddings ON vec_id = doc_id")
-query("missing_labels", lambda t: t.labels.select(F.col("doc_id").alias("id")).join(t.vectors, "id", "left_anti"), "SELECT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def labels_of(t, stored=True):
+    """Labelled ids, those that are stored or all, and the stored vectors."""
+    labels = t.labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("label"))
+    vectors = t.vectors.select("id", "vector", F.col("label").alias("collection"))
+    return labels.join(vectors, "id", "left_semi") if stored else labels, vectors
+
+
+query("join_labels", lambda t: refine.require_labelled(*labels_of(t)).select("id", "label", "collection", F.size("vector").cast("long").alias("dim")), "SELECT doc_id AS id, quality = 1 AS label, label AS collection, 64 AS dim FROM labels JOIN embeddings ON vec_id = doc_id")
+query("missing_labels", lambda t: refine.missing_labels(*labels_of(t, False)), "SELECT doc_id AS id, quality = 1 AS label FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 query("existing_ids", lambda t: t.documents.select(F.col("doc_id").alias("id")).join(t.vectors, "id", "left_semi"), "SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
 query("limit_semi_join", lambda t: ingest.limit_records(t.conversations.withColumnRenamed("conv_id", "video_id"), 40, [F.asc("video_id"), F.asc("turn")]).select("video_id", "turn"), "SELECT conv_id AS video_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations ORDER BY conv_id, turn LIMIT 40)")
 
@@ -42,10 +50,22 @@ def registry(t):
 
 query("select_collections", lambda t: C.select_collections(t.customer.select(F.col("c_nationkey").cast("string").alias("id")).distinct(), registry(t)), "SELECT n_nationkey::VARCHAR AS id, n_name AS name, n_regionkey::VARCHAR AS pipeline FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
 query("collection_info", lambda t: C.info(registry(t), t.supplier.select(F.col("s_nationkey").cast("string").alias("collection_id"))), "SELECT n_nationkey::VARCHAR AS id, n_name AS name, n_regionkey::VARCHAR AS pipeline, count(s_suppkey) AS n_documents FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
-query("filter_visible_collections", lambda t: registry(t).join(t.region.where("r_name <> 'ASIA'").select(F.col("r_regionkey").cast("string").alias("pipeline")), "pipeline", "left_semi").select("id", "name"), "SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name <> 'ASIA')")
+query("filter_visible_collections", lambda t: C.visible(registry(t), t.region.where("r_name <> 'ASIA'").select(F.col("r_regionkey").cast("string").alias("pipeline"))).select("id", "name"), "SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name <> 'ASIA')")
 FILES = "concat('/data/', source, '/', doc_id, '.mp4')"
 query("resolve_paths", lambda t: ingest.resolve_paths(t.embeddings.select(F.col("vec_id").alias("video_id"), F.expr("concat('x/', vec_id, '.mp4')").alias("video_path")), t.documents.select(F.expr(FILES).alias("path"))).select("video_id", "found_path"), "SELECT vec_id AS video_id, '/data/' || source || '/' || doc_id || '.mp4' AS found_path FROM embeddings LEFT JOIN documents ON doc_id = vec_id")
-query("valid_path_split", lambda t: t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(True).alias("there")), "doc_id", "left").select("doc_id", F.col("there").isNotNull().alias("valid")), "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS valid FROM documents")
+
+
+def by_presence(t):
+    """Customers' files, of which those of one segment were never written, against the listing of what there is."""
+    folder = t.work()
+    t.customer.where("c_mktsegment <> 'BUILDING'").write.partitionBy("c_mktsegment").parquet(folder)
+    listed = records.scan_files(t.spark, folder, [".parquet"]).select(F.regexp_extract("path", "/(c_mktsegment=[^/]+)/[^/]+$", 1).alias("path"))
+    rows = t.customer.select("c_custkey", F.concat(F.lit("c_mktsegment="), "c_mktsegment").alias("video_path"))
+    there, absent = routing.split_by_presence(rows, listed)
+    return there.select("c_custkey", F.lit(True).alias("valid")).unionByName(absent.select("c_custkey", F.lit(False).alias("valid")))
+
+
+query("valid_path_split", by_presence, "SELECT c_custkey, c_mktsegment <> 'BUILDING' AS valid FROM customer")
 
 # --- time
 EVENT_ROWS = "e AS (SELECT user_id AS session, epoch_us(ts) / 1e6 AS ts, event_id AS id, event_type FROM events)"
@@ -107,18 +127,23 @@ query(
 
 
 def cropped(t):
-    """Pages' first bytes as 6 x 4 gray images, cut in 2 x 2 patches."""
-    images = t.pages.select(F.col("page_id").cast("string").alias("id"), F.unhex(F.substring(F.concat(F.hex(F.encode("html", "utf-8")), F.lit("20" * 24)), 1, 48)).alias("data"))
+    """Pages' bytes as gray images 64 pixels wide (the last row filled with blanks), cut in 2 x 2 patches."""
+    size = F.octet_length("html")
+    height = F.greatest(F.lit(1), F.ceil(size / 64)).cast("int")
+    images = t.pages.select(F.col("page_id").cast("string").alias("id"), F.unhex(F.concat(F.hex(F.encode("html", "utf-8")), F.repeat(F.lit("20"), (height * 64 - size).cast("int")))).alias("data"), height.alias("height"))
     boxes = sampling.patch_grid(images, [(2, 2)])
-    pixels = boxes.join(images.withColumnRenamed("id", "source_id"), "source_id").select("*", F.lit(6).alias("width"), F.lit(4).alias("height"), F.lit(1).alias("channels"))
-    return sampling.crop_patches(pixels).select("source_id", F.col("patch_id").cast("long").alias("patch_id"), F.hex("data").alias("pixels"))
+    pixels = boxes.join(images.withColumnRenamed("id", "source_id"), "source_id").select("*", F.lit(64).alias("width"), F.lit(1).alias("channels"))
+    return sampling.crop_patches(pixels).select("source_id", F.col("patch_id").cast("long").alias("patch_id"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.md5(F.hex("data")).alias("pixels"))
 
 
 query(
     "patch_crop",
     cropped,
-    """WITH p AS (SELECT page_id::VARCHAR AS source_id, substr(hex(encode(html)) || repeat('20', 24), 1, 48) AS d FROM pages)
-SELECT source_id, i AS patch_id, substr(d, 1 + 24 * (i // 2) + 6 * (i % 2), 6) || substr(d, 13 + 24 * (i // 2) + 6 * (i % 2), 6) AS pixels FROM p, range(0, 4) g(i)""",
+    """WITH p AS (SELECT page_id::VARCHAR AS source_id, hex(encode(html)) AS d, greatest(1, (strlen(html) + 63) // 64) AS h FROM pages),
+q AS (SELECT source_id, h, d || repeat('20', (h * 64 - strlen(d) // 2)::BIGINT) AS d FROM p)
+SELECT source_id, i AS patch_id, 32 AS width, h // 2 AS height,
+  md5(coalesce(list_aggregate(list_transform(range((h // 2) * (i // 2), (h // 2) * (i // 2 + 1)), lambda r: substr(d, (1 + 128 * r + 64 * (i % 2))::BIGINT, 64)), 'string_agg', ''), '')) AS pixels
+FROM q, range(0, 4) g(i)""",
 )
 query("unique_first", lambda t: ingest.unique_first(t.pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")), "host", [F.col("page_id")]), "SELECT min(page_id) AS page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages GROUP BY 2")
 query("sidecar_map_build", lambda t: ingest.sidecar_map(t.conversations.select(F.concat(F.lit("r/"), F.col("role"), F.lit("_"), F.col("turn"), F.lit(".mp4")).alias("video_path"), F.col("conv_id").alias("video_id")), F.col("video_id")), "SELECT role || '_' || turn || '.mp4' AS name, max(conv_id) AS video_id FROM conversations GROUP BY 1")

@@ -15,7 +15,7 @@ def created(t):
     docs = t.documents.select("doc_id", "lang", "n_chars")
     C.write_snapshot(docs.limit(0), folder)
     empty = C.read_snapshot(t.spark, folder).count()
-    C.write_snapshot(docs, folder)
+    C.write_snapshot(docs, folder, after=1)
     return C.read_snapshot(t.spark, folder).groupBy("lang").agg(F.count("*").alias("n")).withColumn("n_before", F.lit(empty).cast("long"))
 
 
@@ -57,36 +57,66 @@ SELECT * FROM b WHERE (source_id IS NULL OR source_id NOT IN (SELECT id FROM s))
 query("delete_by_filter", lambda t: C.delete_where(t.documents.select("doc_id", "n_chars", F.when(F.col("lang") != "es", F.col("lang")).alias("lang")), (F.col("lang") == "en") & (F.col("n_chars") > 700)), "SELECT doc_id, n_chars, CASE WHEN lang <> 'es' THEN lang END AS lang FROM documents WHERE NOT (lang = 'en' AND n_chars > 700)")
 
 
+DIM = 64
+
+
+def deliveries(t):
+    """Vector files as they arrive, one folder each: a good one, one without labels, and one with some vectors cut short."""
+    folder = t.work()
+    rows = t.embeddings.withColumn("n", F.col("vec_id") % 4)
+    short = F.when((F.col("n") == 2) & (F.col("vec_id") % 8 == 2), F.slice("embedding", 1, DIM - 1)).otherwise(F.col("embedding"))
+    for n in range(4):
+        own = rows.where(F.col("n") == n).select("vec_id", short.alias("embedding"), "label")
+        own = own.withColumn("more", F.lit("x")) if n == 3 else own.drop("label") if n == 1 else own
+        own.coalesce(1).write.parquet(f"{folder}/delivery-{n}")
+    return folder
+
+
 def load_report(t):
-    """Columns that any file of each table lacks of a declared schema, from the footers of all its files."""
-    declared = t.documents.schema
-    names = ("documents", "pages", "labels", "benchmark")
-    one = t.benchmark.agg(F.count("*").alias("rows_read"))
-    lacking = {n: C.missing_by_file(t.spark, f"{t.folder}/{n}.parquet", declared).values() for n in names}
-    rows = [F.struct(F.lit(n).alias("file"), F.lit(",".join(sorted(set().union(*lacking[n])))).alias("missing")) for n in names]
-    return one.select(F.explode(F.array(*rows)).alias("r"), "rows_read").select("r.*", "rows_read")
+    """Per delivery: the declared columns that its files lack, and its rows with vectors of a wrong width."""
+    folder, declared = deliveries(t), t.embeddings.schema
+    missing = C.missing_by_file(t.spark, f"{folder}/*", declared)
+    lacks = [(path, ",".join(names)) for path, names in missing.items()]
+    delivery = F.regexp_extract("path", "/(delivery-[0-9]+)/", 1)
+    wrong = C.wrong_widths(t.spark, f"{folder}/*", declared, "embedding", DIM).select(delivery.alias("delivery"), "wrong")
+    sizes = t.spark.read.schema("vec_id long").parquet(f"{folder}/*").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n")).select(delivery.alias("delivery"), "n")
+    faults = t.spark.createDataFrame(lacks, "path string, missing string").select(delivery.alias("delivery"), "missing")
+    report = sizes.join(faults, "delivery", "left").join(wrong, "delivery", "left")
+    return report.select("delivery", "n", F.coalesce("missing", F.lit("")).alias("missing"), F.coalesce("wrong", F.lit(0)).alias("wrong"))
+
+
+query("validate_load", load_report, "SELECT 'delivery-' || vec_id % 4 AS delivery, count(*) AS n, CASE WHEN vec_id % 4 = 1 THEN 'label' ELSE '' END AS missing, count(*) FILTER (vec_id % 8 = 2) AS wrong FROM embeddings GROUP BY ALL")
+query("schema_difference", lambda t: load_report(t).select("delivery", F.explode(F.split("missing", ",")).alias("column"), "n").where("column <> ''"), "SELECT 'delivery-1' AS delivery, 'label' AS column, count(*) AS n FROM embeddings WHERE vec_id % 4 = 1")
+
+
+def described(t):
+    """The declared fields of a stored collection, with how many rows have a value."""
+    folder = t.work()
+    C.write_snapshot(t.documents.select(F.col("doc_id").alias("id"), F.when(F.col("lang") != "es", F.col("lang")).alias("lang"), "source", "n_chars", F.array(F.col("n_chars").cast("float")).alias("embedding")), folder)
+    return C.describe(C.read_snapshot(t.spark, folder))
 
 
-query("validate_load", load_report, "SELECT unnest(['documents', 'pages', 'labels', 'benchmark']) AS file, unnest(['', 'doc_id,lang,n_chars,source,text', 'lang,n_chars,source,text', 'doc_id,lang,n_chars,source']) AS missing, (SELECT count(*) FROM benchmark) AS rows_read")
-query("schema_difference", lambda t: load_report(t).where("missing <> ''").select("file", F.explode(F.split("missing", ",")).alias("column"), "rows_read"), "SELECT file, unnest(string_split(missing, ',')) AS column, (SELECT count(*) FROM benchmark) AS rows_read FROM (SELECT unnest(['pages', 'labels', 'benchmark']) AS file, unnest(['doc_id,lang,n_chars,source,text', 'lang,n_chars,source,text', 'doc_id,lang,n_chars,source']) AS missing)")
-query("describe_collection", lambda t: t.documents.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("type")) for n, k in C.describe(t.documents.schema, "doc_id", "text")])).alias("f")).select("f.*").groupBy("field", "type").agg(F.count("*").alias("n")), "SELECT unnest(['lang', 'source', 'n_chars']) AS field, unnest(['string', 'string', 'bigint']) AS type, (SELECT count(*) FROM documents) AS n")
+query("describe_collection", described, "SELECT unnest(['lang', 'source', 'n_chars']) AS field, unnest(['string', 'string', 'bigint']) AS type, unnest([count(*) FILTER (lang <> 'es'), count(source), count(n_chars)]) AS n FROM documents")
 
 
-def ledger(t):
+def ledger(t, limit=None):
     rows = t.orders.select(F.col("o_orderkey").alias("task_id"), F.expr("cast(case o_orderstatus when 'O' then 0 when 'F' then 6 else 2 end as int)").alias("state"), F.col("o_orderpriority").alias("collection_name"))
-    return C.jobs(rows, None).select("task_id", "state_name", "collection_name")
+    return C.jobs(rows, None, limit).select("task_id", "state_name", "collection_name")
 
 
 JOBS = "SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'started' END AS state_name, o_orderpriority AS collection_name FROM orders WHERE o_orderkey <> 0"
 query("job_ledger", ledger, JOBS)
-query("limit_jobs", lambda t: ledger(t).orderBy(F.desc("task_id")).limit(25), f"{JOBS} ORDER BY o_orderkey DESC LIMIT 25")
+query("limit_jobs", lambda t: ledger(t, 25), f"SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY collection_name ORDER BY task_id DESC) AS n FROM ({JOBS})) WHERE n <= 25 ORDER BY task_id DESC LIMIT 25")
 
 
 def checked(t):
+    """Documents against all limits; those of one source are files, and texts and languages have bounds of their own."""
     docs = t.documents.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
-    meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("head"), F.substring("text", 1, 1200))
-    rules = C.document_rules(F.col("doc_id").cast("string"), F.col("text"), meta, F.col("embedding"), 64)
-    return docs.select("doc_id", F.array_join(C.violations(rules), ",").alias("violations"))
+    docs = docs.withColumn("parts", F.split("text", "\n")).withColumn("mime", F.when(F.col("source") == "src0", "video/mp4").otherwise("text/plain"))
+    meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("text"), F.col("text"))
+    rules = C.document_rules(F.col("doc_id").cast("string"), F.col("text"), meta, F.col("embedding"), 64, F.col("mime"), {"text": 2000, "lang": 2}, {"parts": 3})
+    good, bad = C.split_documents(docs, rules)
+    return good.select("doc_id", F.lit("").alias("violations")).unionByName(bad.select("doc_id", F.array_join("violations", ",").alias("violations")))
 
 
-query("check_documents", checked, "SELECT doc_id, concat_ws(',', CASE WHEN length(text) > 1024 THEN 'metadata_values' END, CASE WHEN vec_id IS NULL THEN 'vector' END) AS violations FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+query("check_documents", checked, "SELECT doc_id, concat_ws(',', CASE WHEN text = '' THEN 'content' END, CASE WHEN length(text) > 1024 THEN 'metadata_values' END, CASE WHEN vec_id IS NULL THEN 'vector' END, CASE WHEN length(text) > 2000 THEN 'text:text' END, CASE WHEN length(text) - length(replace(text, chr(10), '')) > 2 THEN 'array:parts' END) AS violations FROM documents LEFT JOIN embeddings ON vec_id = doc_id")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lodestar.functions import vectors as V
+from lodestar.functions.text import is_uuid
 from lodestar.operators import collections as C
-from lodestar.operators import filters, search
+from lodestar.operators import filters, ingest, routing, search
 from lodestar.operators.metrics import relevance_join
 from lodestar.plans.base import HITS, RESULTS, query
 
 
+def union(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
 def leaf(field, op, value):
     return {"field": field, "operator": op, "value": value}
 
@@ -55,7 +62,7 @@ query(
 )
 query(
     "min_similarity",
-    lambda t: search.score_pairs(t.vectors, t.queries, "cosine").where("score >= 0.25").select("qid", "id", F.round("score", 6).alias("score")),
+    lambda t: search.score_pairs(t.vectors, t.queries, "cosine", least=0.25).select("qid", "id", F.round("score", 6).alias("score")),
     f"WITH {HITS} SELECT qid, s.id, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6) AS score FROM s JOIN q USING (qid) JOIN embeddings ON vec_id = s.id WHERE list_cosine_similarity(qv, embedding::DOUBLE[]) >= 0.25",
 )
 
@@ -184,13 +191,55 @@ query(
     f"WITH {RESULTS} SELECT 'docs' AS collection_id, id, round(score, 6) AS score, md5(content) AS content, 'text/' || lang AS mime_type, 3 AS n_keys FROM r",
 )
 query("strip_blob_content", lambda t: t.documents.drop("text"), "SELECT doc_id, lang, source, n_chars FROM documents")
-query("stamp_document", lambda t: t.documents.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.expr("uuid()")).alias("source_id"), F.current_timestamp().isNotNull().alias("stamped"), F.lit("text/plain").alias("mime_type")), "SELECT doc_id, doc_id::VARCHAR AS source_id, true AS stamped, 'text/plain' AS mime_type FROM documents")
+def stamped(t):
+    """Documents, of which every fourth has no id of its own, with what stamping adds."""
+    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")).alias("id"), F.concat("source", F.lit("/"), "doc_id", F.when(F.col("lang") == "en", ".mp4").otherwise(".png")).alias("path"))
+    done = ingest.stamp_documents(rows, "id", "path")
+    return done.select("doc_id", F.when(F.col("id").isNotNull(), F.col("source_id")).alias("source_id"), is_uuid(F.col("source_id")).alias("new"), (F.col("indexed_at") >= F.current_date()).alias("today"), "mime_type")
+
+
+query("stamp_document", stamped, "SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN doc_id::VARCHAR END AS source_id, doc_id % 4 = 0 AS new, true AS today, CASE lang WHEN 'en' THEN 'video/mp4' ELSE 'image/png' END AS mime_type FROM documents")
+
+
+def documents_to_route(t):
+    """Documents with vectors where there are any; of those, only every fifth keeps its content."""
+    docs = t.documents.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return docs.select("doc_id", "embedding", F.when(F.col("embedding").isNull() | (F.col("doc_id") % 5 == 0), F.col("text")).alias("content"))
+
+
+def routed(t):
+    parts = routing.route_documents(documents_to_route(t), strict=False)
+    return union(df.select("doc_id", F.lit(name).alias("route")) for name, df in parts.items())
+
+
 query(
     "route_documents",
-    lambda t: t.documents.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").select("doc_id", F.when(F.col("embedding").isNotNull() & (F.length("text") < 500), "embedded").when(F.col("embedding").isNull() & (F.length("text") > 0), "to_index").otherwise("ambiguous").alias("route")),
-    "SELECT doc_id, CASE WHEN vec_id IS NOT NULL AND length(text) < 500 THEN 'embedded' WHEN vec_id IS NULL AND length(text) > 0 THEN 'to_index' ELSE 'ambiguous' END AS route FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
+    routed,
+    "SELECT doc_id, CASE WHEN vec_id IS NOT NULL AND (doc_id % 5 > 0 OR text = '') THEN 'embedded' WHEN vec_id IS NULL AND text <> '' THEN 'to_index' ELSE 'ambiguous' END AS route FROM documents LEFT JOIN embeddings ON vec_id = doc_id",
+)
+
+
+def mixed_queries(t):
+    """A batch of queries of all kinds, one per turn of the conversations."""
+    n = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    place = F.struct(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("at"))
+    made = {"text": F.col("text"), "video": F.concat(F.lit("https://h/"), "conv_id"), "episode": F.base64(F.encode("text", "utf-8")), "embedding": F.array(F.col("turn") / 2, F.lit(1.0)), "segment": place, "frame": place}
+    return t.conversations.select("conv_id", "turn", *[F.when(n == k, made[kind]).alias(kind) for k, kind in enumerate(routing.QUERY_KINDS)])
+
+
+def queries_by_kind(t):
+    text = {"text": F.col("payload"), "video": F.col("payload"), "episode": F.col("payload").cast("string"), "embedding": F.col("payload")[0].cast("string")}
+    shown = lambda kind: F.md5(text.get(kind, F.to_json("payload")))
+    return union(df.select("conv_id", "turn", F.lit(kind).alias("kind"), shown(kind).alias("payload")) for kind, df in routing.route_queries(mixed_queries(t)).items())
+
+
+query(
+    "route_queries",
+    queries_by_kind,
+    """SELECT conv_id, turn, ['text', 'video', 'episode', 'embedding', 'segment', 'frame'][1 + (conv_id + turn) % 6] AS kind,
+md5(CASE (conv_id + turn) % 6 WHEN 1 THEN 'https://h/' || conv_id WHEN 3 THEN (turn / 2.0::DOUBLE)::VARCHAR WHEN 4 THEN '{"session":"' || conv_id || '","at":' || turn || '}'
+  WHEN 5 THEN '{"session":"' || conv_id || '","at":' || turn || '}' ELSE text END) AS payload FROM conversations""",
 )
-query("route_queries", lambda t: t.events.groupBy(F.when(F.col("event_type") == "view", "frame").when(F.col("event_type") == "click", "text").otherwise("segment").alias("kind")).agg(F.count("*").alias("n")), "SELECT CASE event_type WHEN 'view' THEN 'frame' WHEN 'click' THEN 'text' ELSE 'segment' END AS kind, count(*) AS n FROM events GROUP BY 1")
 query("relevance_join", lambda t: relevance_join(t.hits, t.relevant).select("qid", "id", "rel"), f"WITH {HITS} SELECT qid, h.id, h.label = e.label AS rel FROM h JOIN embeddings e ON e.vec_id = qid")
 query("first_relevant_rank", lambda t: relevance_join(t.hits, t.relevant).groupBy("qid").agg(F.min(F.when(F.col("rel"), F.col("rank"))).cast("long").alias("first_rank"), F.count_if("rel").alias("n_hits")), f"WITH {HITS} SELECT qid, min(rank) FILTER (h.label = e.label) AS first_rank, count(*) FILTER (h.label = e.label) AS n_hits FROM h JOIN embeddings e ON e.vec_id = qid GROUP BY qid")
 query("get_by_ids", lambda t: C.get_by_ids(t.vectors, t.queries.select(F.col("qid").alias("id"))).select("id", "label"), "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 50 = 0")

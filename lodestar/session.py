@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,7 +26,25 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_base(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share: below spark.checkpoint.dir; only where that is unset and Spark is local,
+    below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + f"/_{name}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    """A new shared folder for the files of a query."""
+    return shared_base(spark, "work")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a new shared folder and read again, so that it is computed once and survives lost executors."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestar.operators.collections import describe
 from lodestar.operators.embedding import gaussian_vector
 
 
@@ -18,6 +19,11 @@ def read_schema(spark: SparkSession, path: str) -> StructType:
     return spark.read.parquet(path).schema
 
 
+def field_counts(spark: SparkSession, path: str) -> DataFrame:
+    """field, type (from the footer) and number of values of each column of a file."""
+    return describe(spark.read.parquet(path), "", "")
+
+
 def scan_files(spark: SparkSession, root: str, extensions: list[str], limit: int | None = None) -> DataFrame:
     """path and length of the files below root whose names end with an extension (case matters), by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")

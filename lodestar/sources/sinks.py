@@ -39,7 +39,8 @@ def append_collection(docs: DataFrame, path: str) -> DataFrame:
 
 
 def partitioned_write(docs: DataFrame, path: str, key: str) -> None:
-    docs.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+    """Write docs by the values of key. Rows are dealt by key, and Spark splits a value of many rows into several tasks."""
+    docs.hint("rebalance", key).write.mode("overwrite").partitionBy(key).parquet(path)
 
 
 def ingest_log(outcomes: DataFrame, path: str) -> None:

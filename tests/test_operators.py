@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as X
 from lodestar.functions import vectors as V
 from lodestar.operators import collections as C
-from lodestar.operators import embedding, ingest, refine, sampling, search, sessions
+from lodestar.operators import embedding, ingest, refine, routing, sampling, search, sessions
 from lodestar.plans import search as plans
 from lodestar.sources import records, sinks
 from lodestar.streaming import ingest as stream
@@ -75,6 +75,44 @@ def test_dimension_mismatch_is_an_error(spark):
         search.knn_exact(docs, queries, 2).collect()
 
 
+def test_vectors_of_several_widths_are_an_error(spark):
+    docs = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [1.0] * 5), (2, [1.0])], "id long, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "qid long, vector array<double>")
+    with pytest.raises(Exception, match="components"):
+        search.knn_exact(docs, queries, 2).collect()
+
+
+def test_rows_without_a_vector_are_left_out(spark):
+    docs = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.5, None])], "id long, vector array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "qid long, vector array<double>")
+    got = search.knn_exact(docs, queries, 2).collect()
+    assert sorted((r.qid, r.id, r["rank"]) for r in got) == [(0, 0, 1), (0, 2, 2)]
+    centres = np.array([[1.0, 0.0], [0.0, 1.0]])
+    assert [r.id for r in search.knn_ivf(docs.where("id < 2"), queries, centres, 2, 2).collect()] == [0]
+
+
+@pytest.mark.parametrize(("spread", "probes"), [(0.15, 2), (None, 10)])
+def test_recall_of_cells(spark, spread, probes):
+    """Recall of the ten nearest of 40 queries: 2 of 16 cells where vectors cluster, 10 of 16 where they do not."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16)) if spread is None else rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + spread * rng.normal(size=(3000, 16))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    queries = docs.where("id % 75 = 0").withColumnRenamed("id", "qid")
+    exact = {(r.qid, r.id) for r in search.knn_exact(docs, queries, 10, "cosine").collect()}
+    index = search.build_ivf(docs, search.train_cells(docs, 16))
+    found = {(r.qid, r.id) for r in search.search_ivf(index, queries, search.train_cells(docs, 16), 10, probes, "cosine").collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+
+
+def test_pairs_above_a_score(spark):
+    x, docs = vectors(spark, 200)
+    queries = docs.where("id < 9").withColumnRenamed("id", "qid")
+    got = {(r.qid, r.id) for r in search.score_pairs(docs, queries, "ip", least=2.0).collect()}
+    assert got == {(q, i) for q in range(9) for i in range(200) if x[q] @ x[i] >= 2.0}
+    near = {(r.qid, r.id) for r in search.score_pairs(docs, queries, "l2", least=5.0).collect()}
+    assert near == {(q, i) for q in range(9) for i in range(200) if ((x[q] - x[i]) ** 2).sum() <= 5.0}
+
+
 def test_k_is_checked(spark):
     _, docs = vectors(spark, 5)
     for k in (0, 16_001):
@@ -163,6 +201,118 @@ def test_snapshots(spark, tmp_path):
     C.write_snapshot(spark.range(3), folder)
     C.write_snapshot(C.read_snapshot(spark, folder).where("id > 0"), folder)
     assert sorted(r.id for r in C.read_snapshot(spark, folder).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        C.read_snapshot(spark, f"file://{tmp_path}/none")
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path):
+    """Both compute from version 1; the later commit is refused and changes nothing."""
+    folder = f"file://{tmp_path}/c"
+    C.write_snapshot(spark.range(3), folder)
+    version = C.version_of(spark, folder)
+    mine = C.read_snapshot(spark, folder).where("id > 0")
+    C.append_part(spark.range(5, 6), folder)
+    with pytest.raises(RuntimeError, match="already committed"):
+        C.write_snapshot(mine, folder, after=version)
+    assert sorted(r.id for r in C.read_snapshot(spark, folder).collect()) == [0, 1, 2, 5]
+
+
+def test_parts_are_merged_and_the_newest_row_counts(spark, tmp_path):
+    folder = f"file://{tmp_path}/c"
+    for k in range(21):
+        assert C.append_part(spark.range(k, k + 3).select("id", F.lit(k).alias("v")), folder) == 3
+    expected = {i: min(i, 20) for i in range(23)}
+    assert {r.id: r.v for r in C.read_snapshot(spark, folder).collect()} == expected
+    parts = C._parts(spark, folder, C.version_of(spark, folder))
+    assert len(parts) <= 8 and sum(p["rows"] for p in parts) < 63
+    C.vacuum(spark, folder, older_than=0)
+    assert {r.id: r.v for r in C.read_snapshot(spark, folder).collect()} == expected
+    assert len(list((tmp_path / "c" / "parts").iterdir())) == len(parts)
+
+
+def test_requests_and_jobs(spark):
+    with pytest.raises(ValueError, match="more than once"):
+        C.requested_once(spark.createDataFrame([("a",), ("b",), ("a",)], "id string"))
+    ledger = spark.createDataFrame([(i, 6, f"c{i % 2}") for i in range(11)], "task_id long, state int, collection_name string")
+    assert [r.task_id for r in C.jobs(ledger, None, 3).collect()] == [10, 9, 8]
+    lopsided = spark.createDataFrame([(i, 6, "a" if i > 2 else "b") for i in range(9)], "task_id long, state int, collection_name string")
+    assert [r.task_id for r in C.jobs(lopsided, None, 4).collect()] == [8, 7, 6, 5]
+    assert [r.task_id for r in C.jobs(lopsided, F.lit("b"), 4).collect()] == [2, 1]
+
+
+def test_document_limits(spark):
+    text, file = "x" * ((5 << 20) + 1), "x" * ((50 << 20) + 1)
+    rows = [("a", "x", "text/plain", ["1"]), ("b", text, "text/plain", ["1"]), ("c", text, "video/mp4", None), ("d", file, "video/mp4", ["1", "2"]), ("e f", "", None, [])]
+    docs = spark.createDataFrame(rows, "id string, content string, mime string, tags array<string>").withColumn("name", F.concat("id", F.lit("é")))
+    empty = F.create_map().cast("map<string,string>")
+    rules = C.document_rules(F.col("id"), F.col("content"), empty, F.array(F.lit(1.0)), 1, F.col("mime"), {"name": 2}, {"tags": 1})
+    good, bad = C.split_documents(docs, rules)
+    assert sorted(r.id for r in good.select("id").collect()) == ["a", "c"]
+    assert {r.id: sorted(r.violations) for r in bad.select("id", "violations").collect()} == {"b": ["content_size"], "d": ["array:tags", "content_size"], "e f": ["content", "id", "text:name"]}
+    with pytest.raises(ValueError):
+        C.document_rules(F.col("id"), F.col("content"), empty, F.array(F.lit(1.0)), 1, texts={"name": 0})
+
+
+# --- routing
+
+
+def test_documents_are_routed(spark):
+    rows = [(1, [1.0], None, None), (2, [1.0], "", None), (3, None, "x", None), (4, None, None, b"x"), (5, [1.0], "x", None), (6, None, "", None), (7, [], None, None), (8, [], "x", None)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<double>, content string, blob binary")
+    parts = routing.route_documents(docs, blob="blob", strict=False)
+    assert {k: sorted(r.id for r in v.collect()) for k, v in parts.items()} == {"embedded": [1, 2], "to_index": [3, 4], "ambiguous": [5, 6, 7, 8]}
+    with pytest.raises(ValueError):
+        routing.route_documents(docs, blob="blob")
+
+
+def test_queries_are_routed(spark):
+    queries = spark.createDataFrame([(1, "t", None, None), (2, None, "aGk=", None), (3, None, None, [0.5])], "qid long, text string, episode string, embedding array<double>")
+    got = {k: [(r.qid, r.payload) for r in v.collect()] for k, v in routing.route_queries(queries).items()}
+    assert got == {"text": [(1, "t")], "episode": [(2, bytearray(b"hi"))], "embedding": [(3, [0.5])]}
+    with pytest.raises(ValueError):
+        routing.route_queries(spark.createDataFrame([(1, "t", "aGk=")], "qid long, text string, episode string"))
+
+
+@pytest.mark.parametrize(
+    ("codec", "formats", "width", "height", "fault"),
+    [
+        ("h264", ["mov", "mp4"], 4096, 4096, None), ("h264", ["mp4"], 4097, 10, "too large"), ("h264", ["mp4"], 5000, None, None), ("ffv1", ["matroska"], 1, 1, "codec"),
+        ("vp9", ["Matroska", "webm"], 1, 1, "vp9 container"), ("vp9", ["mp4"], 1, 1, None), (" VP8 ", ["webm"], None, None, None), (None, ["mp4"], 1, 1, "codec"), ("av1", None, None, None, None),
+    ],
+)
+def test_media(spark, codec, formats, width, height, fault):
+    probes = spark.createDataFrame([(codec, formats, width, height)], "codec string, formats array<string>, width int, height int")
+    good, bad = routing.split_media(probes)
+    assert [r.fault for r in bad.collect()] == ([fault] if fault else []) and good.count() == (0 if fault else 1)
+
+
+def test_typed_metadata_and_stamps(spark):
+    df = spark.createDataFrame([({"n": "7", "x": "0.5"},), ({"n": None},)], "m map<string,string>")
+    assert [(r.n, r.x) for r in ingest.typed_meta(df, "m", {"n": "long", "x": "double"}).collect()] == [(7, 0.5), (None, None)]
+    with pytest.raises(Exception, match="CAST_INVALID"):
+        ingest.typed_meta(df, "m", {"x": "long"}).collect()
+    rows = ingest.stamp_documents(spark.createDataFrame([(1,), (None,), (None,)], "id long"), "id").collect()
+    assert rows[0].source_id == "1" and len({r.source_id for r in rows}) == 3 and rows[0].mime_type == "text/plain"
+    assert rows[0].indexed_at == rows[2].indexed_at
+
+
+def test_long_texts_and_missing_labels_are_errors(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, "abcdef"), (3, None)], "id long, text string")
+    with pytest.raises(ValueError, match="longer"):
+        embedding.with_random_vectors(df, "text", 4, 5)
+    good, long_ = embedding.with_random_vectors(df, "text", 4, 5, strict=False)
+    assert sorted(r.id for r in good.collect()) == [1, 3] and [r.id for r in long_.collect()] == [2]
+    with pytest.raises(ValueError, match="not stored.*2"):
+        refine.require_labelled(df.where("id > 1").select("id"), df.where("id <> 2"))
+    assert refine.require_labelled(df.where("id = 1").select("id"), df).count() == 1
+
+
+def test_places_in_groups_do_not_depend_on_partitions(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") % 10 > 0, F.lit("hot")).alias("g"), F.xxhash64("id").alias("o"))
+    got = {r.id: (r.g, r.place) for r in sampling.numbered(df, "g", [F.col("o")]).collect()}
+    for g in ("hot", None):
+        own = sorted((r.o, r.id) for r in df.collect() if r.g == g)
+        assert [got[i] for _, i in own] == [(g, n + 1) for n in range(len(own))]
 
 
 def test_delete_ids_prefers_source_ids(spark):
@@ -278,11 +428,42 @@ def test_classifier_separates(spark, n, dim):
     rng = np.random.default_rng(n)
     rows = [(i, (rng.normal(size=dim) + (3 if i < n // 2 else -3)).tolist(), i < n // 2) for i in range(n)]
     df = spark.createDataFrame(rows, "id long, vector array<double>, label boolean")
-    w, b = refine.linear_classifier(df, penalties=(1e-3,))
-    assert np.isfinite(w).all()
+    w, b, c = refine.linear_classifier(df, grid=(1e-2, 1.0, 1e2))
+    assert np.isfinite(w).all() and c in (1e-2, 1.0, 1e2)
     assert all((np.dot(v, w) + b > 0) == label for _, v, label in rows)
 
 
+def test_classifier_is_the_best_of_its_grid(spark):
+    """Against Newton's method on the same folds: the same choice, the same fit."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(60, 3)), np.arange(60) % 3 == 0
+    x[y] += [1.0, 0.5, 0.0]
+    df = spark.createDataFrame([(i, v.tolist(), bool(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, vector array<double>, label boolean")
+    folds = {r.id: r.fold for r in sampling.stratified_folds(df, "label", [F.xxhash64("id"), F.col("id")], 5).collect()}
+    fold = np.array([folds[i] for i in range(60)])
+    weight = np.where(y, 60 / (2 * y.sum()), 60 / (2 * (~y).sum()))
+
+    def fit(own, penalty):
+        x1, w = np.c_[x[own], np.ones(own.sum())], np.zeros(4)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x1 @ w))
+            grad = x1.T @ (weight[own] * (p - y[own])) / weight[own].sum() + penalty * np.r_[w[:3], 0]
+            hess = (x1 * (weight[own] * p * (1 - p))[:, None]).T @ x1 / weight[own].sum() + penalty * np.diag([1, 1, 1, 0])
+            w = w - np.linalg.solve(hess, grad)
+        return w
+
+    def f1(w, own):
+        said = np.c_[x[own], np.ones(own.sum())] @ w > 0
+        return 2 * (said & y[own]).sum() / max(1, said.sum() + y[own].sum())
+
+    grid = (1e-3, 1e-1, 10.0)
+    means = [np.mean([f1(fit(fold != k, 1 / (c * 0.8 * 60)), fold == k) for k in range(5)]) for c in grid]
+    w, b, c = refine.linear_classifier(df, grid=grid)
+    assert c == grid[int(np.argmax(means))]
+    assert np.allclose([*w, b], fit(np.ones(60, bool), 1 / (c * 60)), atol=1e-3)
+    assert len(refine.GRID) == 100 and refine.GRID[0] == pytest.approx(1e-5) and refine.GRID[-1] == pytest.approx(1e5)
+
+
 def test_classifier_filter_is_strict(spark):
     df = spark.createDataFrame([("a", [-1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 0.0])], "id string, vector array<double>")
     assert [r.id for r in refine.keep_by_classifier(df, [1.0, 0.0]).collect()] == ["b"]
@@ -304,7 +485,8 @@ def test_quality_scorer_is_linear(spark):
 def test_nearest_timestamp_ties(spark):
     rows = spark.createDataFrame([("s", 10.0, 1), ("s", 20.0, 2), ("s", 20.0, 3), ("t", 0.0, 4)], "session string, ts double, id long")
     look = spark.createDataFrame([(1, "s", 15.0), (2, "s", 0.0), (3, "s", 99.0), (4, "t", 5.0), (5, "none", 5.0)], "lookup_id long, session string, at double")
-    assert {r.lookup_id: r.id for r in sessions.nearest_timestamp(look, rows).collect()} == {1: 1, 2: 1, 3: 2, 4: 4}
+    for width in (0.5, 7.0, 3600.0):
+        assert {r.lookup_id: r.id for r in sessions.nearest_timestamp(look, rows, width).collect()} == {1: 1, 2: 1, 3: 2, 4: 4}
 
 
 def test_segments_include_their_ends(spark):
