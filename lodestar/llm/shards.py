@@ -3,11 +3,13 @@
 Method: each arrival is written as small immutable shards (Parquet files of a new folder) and added to the manifest.
 Shards are in tiers by size: tier k holds those of target / fan_in^k bytes or less and more than the next tier's. When a
 tier below the target holds fan_in shards or more, they are merged into files of about the target size. Every change is a
-new version of the manifest, written aside and renamed to its number: a version exists whole or not at all, a rename
-onto an existing version fails, and readers of older versions are not disturbed until vacuum() removes what only they use.
+new manifest, a table of its own, and becomes a version by one small file that is created without overwriting: a version
+exists whole or not at all, the second of two writers that follow the same version gets an error and has changed nothing,
+and readers of older versions are not disturbed until vacuum() removes what only they use.
 
 Merged rows are dealt by a hash of the file and the row's number in it, so no key can overload a shard, and a lost task
-deals them alike when it runs again.
+deals them alike when it runs again. A manifest has one row per shard, about one per target_bytes of data; the driver
+reads the paths of one version.
 
 Edge cases: empty arrivals add a version without shards; reading a store without shards gives an empty table of the
 store's schema. Null values and extra columns are stored as they are; columns are matched by name, and an arrival whose
@@ -17,51 +19,45 @@ columns differ from the store's is refused.
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestar.sources.commits import Commits
+
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
 MANIFEST = "path string, rows long, bytes long, tier int"
 
 
 class ShardStore:
-    """A folder with shards/ (immutable files) and manifests/ (one folder per version)."""
+    """A folder with shards/ (immutable files), manifests/ (a table per change) and versions/ (a file per version)."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: StructType, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.folder, self.schema, self.target, self.fan_in = spark, folder, schema, target_bytes, fan_in
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.versions = Commits(spark, f"{folder}/versions")
 
     # --- versions
 
     def version(self) -> int:
         """The newest committed version; 0 before the first."""
-        root = self._path(f"{self.folder}/manifests")
-        if not self._fs.exists(root):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return max([0, *(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())])
+        return self.versions.newest()
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """Shards of a version: path, rows, bytes, tier."""
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifests/v{version:08d}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifests/{self.versions.text(version)}")
 
     def commit(self, shards: DataFrame, after: int) -> int:
-        """Make shards the version that follows `after`; fails if somebody else has made that version."""
-        aside = f"{self.folder}/manifests/_new-{uuid.uuid4().hex}"
-        shards.select("path", "rows", "bytes", "tier").coalesce(1).write.parquet(aside)
-        final = self._path(f"{self.folder}/manifests/v{after + 1:08d}")
-        if self._fs.exists(final) or not self._fs.rename(self._path(aside), final):
-            self._fs.delete(self._path(aside), True)
-            raise RuntimeError(f"version {after + 1} is already committed")
-        return after + 1
+        """Make shards the version that follows `after`; an error if somebody else has made that version."""
+        name = uuid.uuid4().hex
+        shards.select("path", "rows", "bytes", "tier").coalesce(1).write.parquet(f"{self.folder}/manifests/{name}")
+        return self.versions.add(name, after)
 
     # --- writing
 
@@ -106,16 +102,19 @@ class ShardStore:
             if files >= due.n:
                 return version + 1
 
-    def vacuum(self) -> None:
-        """Remove folders of shards that the newest version does not use, and older manifests."""
+    def vacuum(self, older_than: float = 86_400) -> None:
+        """Remove shards and manifests that the newest version does not use, if they are older than so many seconds: longer
+        than a writer takes from its first shard to its commit, and than readers keep an older version."""
         version = self.version()
         used = {r.folder for r in self.manifest(version).select(F.regexp_extract("path", r"/shards/([^/]+)/", 1).alias("folder")).distinct().collect()}
-        for status in self._fs.listStatus(self._path(f"{self.folder}/shards")):
-            if status.getPath().getName() not in used:
-                self._fs.delete(status.getPath(), True)
-        for status in self._fs.listStatus(self._path(f"{self.folder}/manifests")):
-            if status.getPath().getName() != f"v{version:08d}":
-                self._fs.delete(status.getPath(), True)
+        used |= {self.versions.text(version)} if version else set()
+        for kind in ("shards", "manifests"):
+            root = self.versions.path(f"{self.folder}/{kind}")
+            for status in self.versions.fs.listStatus(root) if self.versions.fs.exists(root) else ():
+                age = time.time() - status.getModificationTime() / 1000
+                if status.getPath().getName() not in used and age >= older_than:
+                    self.versions.fs.delete(status.getPath(), True)
+        self.versions.remove_stale(older_than, keep=version)
 
     # --- reading
 

@@ -25,7 +25,7 @@ def test_appends_and_compaction_keep_rows(spark):
     tiers = [r.tier for r in shards if r.tier > 0]
     assert all(tiers.count(t) < 3 for t in tiers)
     before = s.read(3).count()
-    s.vacuum()
+    s.vacuum(older_than=0)
     assert s.read().count() == 3000 and before > 0
 
 
@@ -38,6 +38,33 @@ def test_versions_are_committed_once(spark):
     assert s.version() == 1 and s.read().count() == 10
 
 
+def test_the_second_of_two_writers_fails(spark):
+    """Both read version 1; the second one's commit is refused, and the first one's rows stay."""
+    first = store(spark)
+    first.append(arrival(spark, 0, 10))
+    second = ShardStore(spark, first.folder, first.schema)
+    late, shards = second.version(), second._written(arrival(spark, 100, 200))
+    first.append(arrival(spark, 10, 20))
+    with pytest.raises(RuntimeError):
+        second.commit(second.manifest(late).unionByName(shards), late)
+    assert first.version() == 2 and sorted(r.id for r in first.read().collect()) == list(range(20))
+
+
+def test_vacuum_leaves_what_another_writer_is_about_to_commit(spark):
+    first = store(spark)
+    first.append(arrival(spark, 0, 10))
+    second = ShardStore(spark, first.folder, first.schema)
+    shards = second._written(arrival(spark, 100, 110))
+    first.vacuum()
+    second.commit(second.manifest().unionByName(shards), 1)
+    assert first.read().count() == 20
+    first.versions.fs.create(first.versions._file(3), False).close()  # a writer that died while it committed
+    assert first.version() == 2
+    first.vacuum(older_than=0)
+    assert first.version() == 2 and first.read().count() == 20
+    assert first.append(arrival(spark, 20, 21)) == 3
+
+
 def test_old_versions_stay_readable(spark):
     s = store(spark, fan_in=2)
     s.append(arrival(spark, 0, 10, 3))
