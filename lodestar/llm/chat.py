@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Control strings of the template (fixed values).
 BEGIN, END, OPEN, CLOSE = "<s>", "</s>", "[INST] ", " [/INST]"
 CONTROL = r"(?:(<)(/?s>)|(\[)(/?INST\]))"
-TURN = r"(?s)<s>(?:\[INST\] )?((?:\\.|[^\\\n])*)\n(.*?)(?: \[/INST\])?</s>"
+TURN = r"(?s)<s>(?:\[INST\] )?((?:[^\\\n]++|\\.)*+)\n(.*?)(?: \[/INST\])?</s>"
 
 
 def escape(text: Column) -> Column:

@@ -43,6 +43,12 @@ def test_edges(spark):
     assert back(spark, []) == {}
 
 
+def test_very_long_roles_and_texts(spark):
+    role, text = "r\\\n" * 300_000, "t\n\\[INST]" * 100_000
+    got = back(spark, [(1, 1, role, text, 0), (1, 2, "assistant", text, 0)])[1]
+    assert [(t.role, t.text) for t in got.turns] == [(role, text), ("assistant", text)] and got.loss == text
+
+
 def test_only_dataframe_operations(spark):
     df = spark.createDataFrame([(1, 1, "user", "x", 1)], "conv_id long, turn long, role string, text string, example int")
     plan = chat.read_back(chat.expand(df))._jdf.queryExecution().executedPlan().toString()
