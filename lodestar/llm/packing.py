@@ -2,8 +2,8 @@
 
 Method: the cost of a piece of n tokens is n + n^2 / length (linear layers plus attention within the piece). Within a
 block of documents, pieces go in descending size to the sequence of lowest cost that still has room; the number of
-sequences is the least that holds the block, so less than one sequence of padding is left in a block. A piece that fits
-whole in none of the cheapest sequences is cut at the room of the cheapest.
+sequences is the least that holds the block, so less than one sequence of padding is left in a block. A piece that no
+sequence of the block has room for is cut at the room of the cheapest.
 
 One pass over the partitions, without a shuffle: a task tokenizes its rows, packs every `block_tokens` tokens and
 forgets them. What a task holds is one block and its longest document.
@@ -87,8 +87,12 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     return quick
 
 
-def assign(sizes: list[int], length: int, probes: int = 16) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, tokens, sequence, offset) of documents of the given sizes."""
+def assign(sizes: list[int], length: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, tokens, sequence, offset) of documents of the given sizes.
+
+    Pieces come in descending size, so a sequence without room for one is set aside, by its room, until pieces are small
+    enough for it: all open sequences are considered for every piece.
+    """
     total = sum(sizes)
     sequences = -(-total // length)
     pieces, rest, filled = [], [], 0
@@ -100,24 +104,32 @@ def assign(sizes: list[int], length: int, probes: int = 16) -> list[tuple[int, i
         if n > cut:
             rest.append((cut - n, k, cut))
     heapq.heapify(rest)
-    open_ = [(0.0, s) for s in range(filled, sequences)]
-    used = [0] * sequences
+    cost, used = [0.0] * sequences, [0] * sequences
+    fitting = [(0.0, s) for s in range(filled, sequences)]
+    every = list(fitting)
+    aside: list[tuple[int, float, int]] = []
+
+    def cheapest(heap: list[tuple]) -> tuple | None:
+        """The first entry of a heap that still holds: a sequence's cost has grown since others were made."""
+        while heap and (heap[0][-2] != cost[heap[0][-1]] or used[heap[0][-1]] == length):
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
     while rest:
         minus, k, start = heapq.heappop(rest)
-        n, skipped = -minus, []
-        while open_ and len(skipped) < probes and used[open_[0][1]] + n > length:
-            skipped.append(heapq.heappop(open_))
-        if open_ and used[open_[0][1]] + n <= length:
-            cost, s = heapq.heappop(open_)
-        else:
-            cost, s = skipped.pop(0)
-        for x in skipped:
-            heapq.heappush(open_, x)
+        n = -minus
+        while cheapest(aside) and -aside[0][0] >= n:
+            heapq.heappush(fitting, heapq.heappop(aside)[1:])
+        while cheapest(fitting) and used[fitting[0][1]] + n > length:
+            c, s = heapq.heappop(fitting)
+            heapq.heappush(aside, (used[s] - length, c, s))
+        s = (cheapest(fitting) or cheapest(every))[1]
         take = min(n, length - used[s])
         pieces.append((k, start, take, s, used[s]))
         used[s] += take
-        if used[s] < length:
-            heapq.heappush(open_, (cost + take + take * take / length, s))
+        cost[s] += take + take * take / length
+        heapq.heappush(fitting, (cost[s], s))
+        heapq.heappush(every, (cost[s], s))
         if take < n:
             heapq.heappush(rest, (take - n, k, start + take))
     return pieces

@@ -37,6 +37,28 @@ def test_costs_are_balanced():
     assert np.std(list(cost.values())) / np.mean(list(cost.values())) < 0.1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 700), max_size=80))
+def test_pieces_go_to_the_cheapest_sequence_with_room(sizes):
+    """Against a search of all open sequences for every piece; a document is cut only where none has room for it."""
+    rest = sorted(((-(n % 512), k, n - n % 512) for k, n in enumerate(sizes) if n % 512))
+    sequences = -(-sum(sizes) // 512) - sum(n // 512 for n in sizes)
+    cost, used = [0.0] * sequences, [0] * sequences
+    expected = []
+    while rest:
+        minus, k, start = rest.pop(0)
+        fits = [s for s in range(sequences) if used[s] - minus <= 512]
+        s = min(fits, key=lambda s: (cost[s], s)) if fits else min((s for s in range(sequences) if used[s] < 512), key=lambda s: (cost[s], s))
+        take = min(-minus, 512 - used[s])
+        expected.append((k, start, take, s, used[s]))
+        used[s], cost[s] = used[s] + take, cost[s] + take + take * take / 512
+        if take < -minus:
+            rest = sorted([*rest, (minus + take, k, start + take)])
+    first = sum(n // 512 for n in sizes)
+    got = [(k, start, n, s - first, at) for k, start, n, s, at in packing.assign(sizes, 512) if s >= first]
+    assert got == expected
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80) | st.sampled_from(["<|endoftext|>", "a<|endoftext|> b", "  \n\n x", "it's 12345 ÀÉ", " 　x", "x" * 3000]))
 def test_ids_are_those_of_the_library(text):
