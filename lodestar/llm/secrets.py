@@ -2,9 +2,9 @@
 
 Method: a string of random characters falls apart into many tokens of a vocabulary made from ordinary text. A run of
 key characters of at least MIN_RUN characters whose characters per token are below MAX_RATIO is a `random` span, after
-excluding what is known to be no secret though it looks random: digests (hex of the usual lengths), UUIDs, plain numbers
-and identifiers (runs of one letter case without digits, or words joined by separators). Spans inside one of a pattern
-are not repeated.
+excluding what is known to be no secret though it looks random: digests (hex of the usual lengths), UUIDs, numbers and
+dates, and identifiers (words joined by separators and short numbers) whose words alone have as many letters per token as
+ordinary text. Spans inside one of a pattern are not repeated.
 
 Edge cases: null and empty texts have no spans. Offsets are code points, end exclusive. Repeated rows are scanned each;
 other columns are kept as they are.
@@ -33,6 +33,8 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_/+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NUMBERS = re.compile(r"[0-9]+(?:[-_/+][0-9]+)*")
 MIN_RUN, MAX_RATIO = 20, 2.0
 SPAN_LIST = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -50,14 +52,15 @@ def token_counter(path: str):
     return lambda text: len(encoding.encode_ordinary(text))
 
 
-def _known(run: str) -> bool:
+def _known(run: str, tokens, max_ratio: float) -> bool:
+    """Whether a run that falls apart into tokens is a digest, a UUID, numbers, or words of an identifier."""
     core = run.rstrip("=")
-    return (
-        core.isdigit()
-        or (len(core) in DIGEST_LENGTHS and DIGEST.fullmatch(core) is not None)
-        or UUID.fullmatch(core) is not None
-        or IDENTIFIER.fullmatch(core) is not None
-    )
+    if NUMBERS.fullmatch(core) or UUID.fullmatch(core) or (len(core) in DIGEST_LENGTHS and DIGEST.fullmatch(core)):
+        return True
+    if not IDENTIFIER.fullmatch(core):
+        return False
+    words = WORD.findall(core)
+    return sum(map(len, words)) >= max_ratio * tokens(" ".join(words))
 
 
 def scan(text: str | None, tokens, min_run: int = MIN_RUN, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
@@ -72,7 +75,7 @@ def scan(text: str | None, tokens, min_run: int = MIN_RUN, max_ratio: float = MA
     added = []
     for m in RUN.finditer(text):
         run = m.group()
-        if len(run) >= min_run and not _known(run) and len(run) < max_ratio * tokens(run):
+        if len(run) >= min_run and len(run) < max_ratio * tokens(run) and not _known(run, tokens, max_ratio):
             if not any(s <= m.start() and m.end() <= e for _, s, e in found):
                 added.append(("random", *m.span()))
     return sorted(found + added, key=lambda x: (x[1], KINDS.index(x[0])))
