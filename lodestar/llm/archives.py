@@ -1,10 +1,11 @@
 """WARC records in ZIP-packaged archives: write them, find members by the directories, and range-read records.
 
 An archive is a ZIP file with stored (not compressed) members: `archive/data.warc.gz`, one gzip member per record, and
-`indexes/index.cdxj`, one line per record with its offset and length. A reader takes the end of the file, follows the
-ZIP64 locator where there is one, parses the central directory, then reads the index and single records by range; the
-archive is never extracted. Archives made elsewhere are read alike; members that are compressed are refused, and an
-archive without an index, or a WARC member that no line of the index names, is scanned record by record.
+`indexes/index.cdxj`, one line per record: the URL's reversed host and path, the time, and as JSON its file, offset and
+length. A reader takes the end of the file, follows the ZIP64 locator where there is one, parses the central directory,
+then reads the indexes (`.cdxj` or `.cdx`, plain or gzip) and single records by range; the archive is never extracted.
+Archives made elsewhere are read alike; members that are compressed are refused, and an archive without an index, or a
+WARC member that no line of the index names, is scanned record by record.
 
 Records of equal payloads of at least `least` bytes: the one of the smallest page_id is a response, the others are
 revisits that name it and have no payload. Every other record is a response.
@@ -21,12 +22,13 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.shared import materialize, shared_folder
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+INDEXES = (".cdxj", ".cdxj.gz", ".cdx", ".cdx.gz")
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 256 << 20
 SLICE_BYTES = 8 << 20
@@ -164,6 +167,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def sort_key(url: str | None) -> str:
+    """The host's names from the last to the first, then the rest of the URL in lower case; - without a URL."""
+    try:
+        parts = urlsplit(url or "")
+    except ValueError:
+        return "-"
+    if not parts.hostname:
+        return "-"
+    rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return quote(f"{','.join(reversed(parts.hostname.split('.')))}){rest.lower()}", safe="!#$%&()*+,/:;=?@[]~")
+
+
 def parse_record(data: bytes) -> tuple:
     """A row of READ from a record; the digest of a payload that is there must be right."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -190,7 +205,7 @@ def _write(folder: str, date: str, archive_bytes: int):
         def finish() -> pa.RecordBatch:
             archive.end()
             archive.begin(INDEX)
-            for line in index:
+            for line in sorted(index):
                 archive.write(line)
             archive.end()
             archive.close()
@@ -207,8 +222,8 @@ def _write(folder: str, date: str, archive_bytes: int):
                 page = page_id.as_py()
                 payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
                 packed = gzip.compress(record(page, url.as_py(), payload, digest.as_py(), refers.as_py(), date), 6, mtime=0)
-                where = {"offset": archive.members[0][3], "length": len(packed)}
-                index.append(f"{page} {json.dumps(where)}\n".encode())
+                where = {"url": url.as_py(), "digest": f"sha256:{digest.as_py()}", "filename": DATA.rsplit("/", 1)[1], "offset": archive.members[0][3], "length": len(packed)}
+                index.append(f"{sort_key(url.as_py())} {re.sub('[^0-9]', '', date)} {json.dumps(where)}\n".encode())
                 archive.write(packed)
                 if archive.at >= archive_bytes:
                     yield finish()
@@ -235,19 +250,39 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_byte
     return materialize(files, folder, "manifest")
 
 
-def _index_lines(file, at: int, left: int) -> Iterator[bytes]:
-    """The lines of a stored index, the last one with or without a newline."""
-    kept = b""
+def _index_lines(file, at: int, left: int, packed: bool) -> Iterator[bytes]:
+    """The lines of a stored index, gzip or not, the last one with or without a newline."""
+    inflate, kept = zlib.decompressobj(wbits=31), b""
     while left:
         part = file.read_at(min(left, SLICE_BYTES), at)
         if not part:
             raise ValueError("archive ends within its index")
         at, left = at + len(part), left - len(part)
+        if packed:
+            plain = []
+            while part:
+                plain.append(inflate.decompress(part))
+                part = inflate.unused_data
+                if inflate.eof and (part or left):
+                    inflate = zlib.decompressobj(wbits=31)
+            part = b"".join(plain)
         *full, kept = (kept + part).split(b"\n")
         yield from full
     yield kept
 
 
+def _index_entry(line: bytes) -> tuple[str | None, int, int] | None:
+    """(file, offset, length) of a line: JSON after a key and a time, or the last three of eleven columns."""
+    at = line.find(b" {") + 1
+    if at or line.startswith(b"{"):
+        x = json.loads(line[at:])
+        return x.get("filename"), int(x["offset"]), int(x["length"])
+    columns = line.decode().split()
+    if len(columns) == 11 and columns[-2].isdigit():
+        return columns[-1], int(columns[-2]), int(columns[-3])
+    return None
+
+
 def _named_member(named: str | None, data: dict) -> str:
     """The WARC member that an index line means: by its name, or the end of it, or the only one if the line has none."""
     if named is None and len(data) == 1:
@@ -267,12 +302,13 @@ def _places(file, members: dict) -> Iterator[tuple[int, int, bool]]:
     if not data:
         raise ValueError("an archive without WARC members")
     indexed = set()
-    for line in _index_lines(file, *member_data(file, members, INDEX)) if INDEX in members else ():
-        if b"{" in line:
-            x = json.loads(line[line.index(b"{") :])
-            member = _named_member(x.get("filename"), data)
-            indexed.add(member)
-            yield data[member][0] + int(x["offset"]), int(x["length"]), False
+    for name in sorted(m for m in members if m.startswith("indexes/") and m.endswith(INDEXES)):
+        for line in _index_lines(file, *member_data(file, members, name), name.endswith(".gz")):
+            entry = _index_entry(line)
+            if entry:
+                member = _named_member(entry[0], data)
+                indexed.add(member)
+                yield data[member][0] + entry[1], entry[2], False
     for member in data.keys() - indexed:
         base, size = data[member]
         if size:
@@ -337,11 +373,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The records of the archives whose paths the manifest lists: page_id, payload_bytes, payload_digest, record_type,
-    refers_to, url. Records are dealt to tasks by slices of archives, so a large archive is read by many."""
+    """The records of the archives whose paths (and bytes, if it has them) the manifest lists: page_id, payload_bytes,
+    payload_digest, record_type, refers_to, url. Records are dealt to tasks by slices of SLICE_BYTES of an archive, so a
+    large archive is read by many; with the bytes, to as many tasks as there are slices."""
     paths = manifest.select("path")
+    slices = -(-(manifest.agg(F.sum("bytes")).first()[0] or 0) // SLICE_BYTES) if "bytes" in manifest.columns else None
     located = paths.repartition("path").mapInArrow(_locate, "path string, offset long, length long, scan boolean")
-    dealt = located.withColumn("slice", F.expr(f"offset div {SLICE_BYTES}")).repartition("path", "slice")
+    dealt = located.withColumn("slice", F.expr(f"offset div {SLICE_BYTES}"))
+    dealt = dealt.repartition(max(1, slices), "path", "slice") if slices is not None else dealt.repartition("path", "slice")
     dealt = dealt.sortWithinPartitions("path", "offset").select("path", "offset", "length", "scan")
     return dealt.mapInArrow(_read, READ)
 

@@ -1,10 +1,13 @@
 import gzip
 import hashlib
 import io
+import json
+import re
 import zipfile
 
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from lodestar.llm import archives as A
 from lodestar.llm.shared import shared_folder
@@ -116,6 +119,40 @@ def test_foreign_archives_of_several_members(spark, tmp_path, end):
     assert sorted((r.page_id, r.payload_bytes) for r in got) == [(k, k) for k in range(12)]
 
 
+@pytest.mark.parametrize("name", ["indexes/index.cdx.gz", "indexes/index.cdx", "indexes/part.cdxj.gz"])
+def test_other_indexes(spark, tmp_path, name):
+    """Columns or JSON, plain or as several gzip members; what the index leaves out is no record."""
+    records = [gzip.compress(A.record(k, "http://x", b"y" * k, hashlib.sha256(b"y" * k).hexdigest(), None, "2020-01-01T00:00:00Z")) for k in range(6)]
+    at = [sum(map(len, records[:k])) for k in range(6)]
+    lines = [f"x)/ 2020 http://x text/html 200 D - - {len(r)} {a} w.warc.gz\n" if ".cdx." in name + "." else f'x)/ 2020 {{"filename": "w.warc.gz", "offset": {a}, "length": {len(r)}}}\n' for r, a in list(zip(records, at, strict=True))[1:]]
+    head = [" CDX N b a m s k r M S V g\n"] if ".cdx." in name + "." else []
+    packed = b"".join(gzip.compress(x.encode()) for x in head + lines) if name.endswith(".gz") else "".join(head + lines).encode()
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        z.writestr("archive/w.warc.gz", b"".join(records))
+        z.writestr(name, packed)
+    got = A.read_archives(spark.createDataFrame([(f"file://{tmp_path}/f.zip", 1)], "path string, bytes long")).collect()
+    assert sorted(r.page_id for r in got) == list(range(1, 6))
+
+
+def test_written_index(spark):
+    rows = [(1, "http://b.a.com/P?q=1", "x" * 200), (2, None, "y"), (3, "http://[", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    store, name = A.file_system(A.write_archives(df, shared_folder(spark)).first().path)
+    with zipfile.ZipFile(io.BytesIO(store.open_input_file(name).readall())) as z:
+        lines = z.read(A.INDEX).decode().splitlines()
+    assert [x.split(" ")[0] for x in lines] == ["-", "-", "com,a,b)/p?q=1"]
+    assert all(re.fullmatch(r"[0-9]{14}", x.split(" ")[1]) for x in lines)
+    assert json.loads(lines[2].split(" ", 2)[2])["filename"] == "data.warc.gz"
+
+
+def test_large_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(A, "SLICE_BYTES", 4096)
+    df = spark.range(300).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html")).coalesce(1)
+    found = A.read_archives(A.write_archives(df, shared_folder(spark)))
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 4 and sum(r["count"] for r in tasks) == 300
+
+
 def test_unclear_index_lines_are_errors():
     data = {"x/a.warc": (0, 1), "y/a.warc": (1, 1)}
     assert A._named_member("y/a.warc", data) == "y/a.warc"
