@@ -8,7 +8,8 @@ All budgets are whole numbers and those of children add up to their parent's.
 
 A leaf of budget b and t tokens takes b div t whole epochs, and of one more epoch the prefix of b mod t tokens in an order
 seeded by (seed, epoch, doc_id). Prefix sums are taken over 4096 hash buckets of a leaf first, and over single documents
-only in the one bucket where the prefix ends, so a leaf with a third of all rows is spread over all tasks.
+only in the one bucket where the prefix ends, so a leaf with a third of all rows is spread over all tasks. Tokens are
+counted once: ids, levels and counts are written to the shared folder.
 
 Edge cases: null and empty texts have 0 tokens and are taken with the prefix they lie in. Null levels are nodes of their
 own (name null). Nodes without a weight have weight 1; weight 0 gets a budget only as others are full. Leaves of no
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import stored
+
 BUCKET_DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,7 +89,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     """Rows of docs that the mixture takes: doc_id, the levels, tokens, epochs (how often whole), taken (tokens of one
     more epoch, null if none)."""
     names = list(levels)
-    rows = docs.select("doc_id", *[c.cast("string").alias(n) for n, c in levels.items()], token_count(F.col("text")).alias("tokens"))
+    rows = stored(docs.select("doc_id", *[c.cast("string").alias(n) for n, c in levels.items()], token_count(F.col("text")).alias("tokens")))
     leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     plan = budgets(leaves, names, weights, total, max_epochs)
     plan = plan.select(*[F.col(n).alias(f"leaf_{n}") for n in names], F.col("tokens").alias("leaf_tokens"), "epochs", "rest")
