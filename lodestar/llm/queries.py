@@ -88,7 +88,7 @@ def op10_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(4):
         store.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) == k))
         store.compact()
-        store.vacuum()
+        store.vacuum(older_than=0)  # nobody else knows this folder
     return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -100,7 +100,7 @@ def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' languages, learned from those whose crc32(doc_id) mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     model = language.learn(docs.where(~held_out))
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
