@@ -2,11 +2,14 @@
 
 Method: multiple-global-order filtering. If |x & y| >= t |x | y|, then under *every* global order of the shingles the
 first |x| - ceil(t |x|) + 1 shingles of x and those of y share one. A pair is a candidate only if it shares prefix
-shingles under several orders; only then its whole sets are intersected.
+shingles under several orders; only then its whole sets are fetched and intersected.
 
 * Order 1 puts shingles of few documents first (hash breaks ties), so that passages shared by many documents stay out
-  of the prefixes. Its prefixes are exploded and joined. The orders 2.. are orders by other hashes within the same
-  two classes; candidates of order 1 are tested against them just before verification.
+  of the prefixes. Its prefixes are exploded and joined; a shared shingle must also stand early enough in both.
+* A parity sketch of a few bits a shingle then drops pairs that cannot have the overlap.
+* The orders 2.. are orders by other hashes within the same two classes. The prefixes of documents that are still in a
+  pair are kept as arrays of 32-bit hashes, and pairs that share none under some order go. Equal shingles have equal
+  hashes, so this loses no link.
 * How common a shingle is only shapes order 1, never the result: any order gives the same links. So a table of the
   FREQUENT most common shingles (a fixed bound: 8 bytes each) is enough; all others count as rare.
 * Documents of equal sets form a class with one representative; only representatives are joined.
@@ -29,42 +32,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import arrow_batches, connected_components, drop_folder, materialize, mix, release, shared_folder, shingle_sets
+from lodestar.llm.shared import connected_components, drop_folder, materialize, mix, shared_folder, shingle_sets, small
 
 FREQUENT = 1 << 18
-SKETCH_BITS = (256, 1 << 13)
+SKETCH_BITS = (256, 1 << 17)
 ORDERS = 3
-#: Pairs of whole texts in one batch.
-PAIRS = 128
+#: Counters of a task's summary of common shingles, and shingles that are counted before they are merged into it.
+COUNTERS, BUFFER = 1 << 18, 1 << 21
 _TOP = np.uint64(1 << 63)
 
 
-def _order(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+def _places(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles are frequent, and their places by rising frequency."""
+    if not len(frequent):
+        return np.zeros(len(tokens), bool), np.empty(0, np.uint64)
+    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+    common = frequent[at] == tokens
+    return common, place[at[common]]
+
+
+def _order(tokens: np.ndarray, common: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
     """Sort keys of a global order: rare shingles by hash, then frequent ones, by falling rarity if seed is 0."""
     key = (tokens if seed == 0 else mix(tokens + np.uint64(seed))) >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        common = frequent[at] == tokens
-        key[common] = _TOP | (place[at[common]] if seed == 0 else key[common])
+    key[common] = _TOP | (places if seed == 0 else key[common])
     return key
 
 
-def _prefix(tokens: np.ndarray, keys: np.ndarray, num: int, den: int) -> np.ndarray:
-    n = len(tokens)
-    p = n - -(-num * n // den) + 1
-    return tokens[np.argsort(keys, kind="stable")[:p]]
+def _prefix_size(n: int, num: int, den: int) -> int:
+    return n - -(-num * n // den) + 1
+
+
+def _lowered(token: np.ndarray, n: np.ndarray, counters: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """At most `counters` of the counts, all lowered by the largest of the others; and by how much."""
+    cut = 0
+    if len(token) > counters:
+        cut = int(np.partition(n, len(n) - counters - 1)[len(n) - counters - 1])
+        token, n = token[n > cut], n[n > cut] - cut
+    return (token, n), cut
+
 
+def _summary(tokens: np.ndarray, known: tuple[np.ndarray, np.ndarray], counters: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """A summary (shingles and counts) with more shingles counted, and by how much counts were lowered at most."""
+    tokens.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(tokens)), bool), tokens[1:] != tokens[:-1]]))
+    more, cut = _lowered(tokens[first], np.diff(np.append(first, len(tokens))), counters)
+    token, n = (np.concatenate(x) for x in zip(known, more, strict=True))
+    if not len(token):
+        return (token, n), cut
+    order = np.argsort(token, kind="stable")
+    token, n = token[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    both, again = _lowered(token[first], np.add.reduceat(n, first), counters)
+    return both, cut + again
+
+
+def _count_common(words: int, counters: int, buffer: int):
+    """Counts of the shingles that stand twice or more in a task, at most 2 N / counters too low for N shingles."""
 
-def _count_common(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, size, lowered = [], 0, 0
         for batch in batches:
-            tokens = np.concatenate([np.empty(0, np.uint64), *(s for _, s in shingle_sets(batch.column(0), words))])
-            if len(tokens):
-                tokens.sort()
-                first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-                n = np.diff(np.concatenate([first, [len(tokens)]]))
-                token, n = tokens[first[n > 1]], n[n > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+            for _, s in shingle_sets(batch.column(0), words):
+                held.append(s)
+                size += len(s)
+                if size >= buffer:
+                    tokens, held, size = np.concatenate(held), [], 0
+                    known, cut = _summary(tokens, known, counters)
+                    lowered += cut
+        if held:
+            known, cut = _summary(np.concatenate(held), known, counters)
+            lowered += cut
+        token, n = (x[known[1] + lowered > 1] for x in known)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
     return run
 
@@ -73,7 +113,7 @@ def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.nd
     """Rows (doc_id, h, n, k1, k2, cut, sketch, rare, common) of all documents.
 
     h: a hash of the text; n: set size; k1, k2: two hashes of the set; sketch: parity of the set's hashes by places, a power of two of at least
-    2 n / 3 within SKETCH_BITS; rare and common: the prefix under order 1, in order, cut (after `cut` shingles) where the
+    8 n / 3 within SKETCH_BITS; rare and common: the prefix under order 1, in order, cut (after `cut` shingles) where the
     frequent ones begin.
     """
     names = ["doc_id", "h", "n", "k1", "k2", "cut", "sketch", "rare", "common"]
@@ -95,11 +135,11 @@ def _describe(words: int, num: int, den: int, frequent: np.ndarray, place: np.nd
                     continue
                 s = upcoming[1]
                 upcoming = next(sets, None)
-                places = min(max(1 << (2 * len(s) // 3).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+                places = min(max(1 << (8 * len(s) // 3).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
                 bits = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
-                keys = _order(s, frequent, place, 0)
-                prefix = _prefix(s, keys, num, den)
-                cut = int(np.count_nonzero(_order(prefix, frequent, place, 0) < _TOP))
+                keys = _order(s, *_places(s, frequent, place), 0)
+                first = np.argsort(keys, kind="stable")[: _prefix_size(len(s), num, den)]
+                prefix, cut = s[first], int(np.count_nonzero(keys[first] < _TOP))
                 prefix = prefix.view(np.int64)
                 made.append(
                     (
@@ -154,23 +194,24 @@ def _sketches_allow(num: int, den: int):
     return run
 
 
-def _verify(words: int, num: int, den: int, frequent: np.ndarray, place: np.ndarray, orders: int):
-    """Pairs (a, b, text_a, text_b) -> those that share prefixes under every order and pass the exact test."""
+def _lists(words: int, make, names: list[str], kind: pa.DataType):
+    """Rows (key, text) -> key and the lists that make(set of shingles) gives, for texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            left = shingle_sets(batch.column(2), words)
-            right = shingle_sets(batch.column(3), words)
-            for (row, x), (_, y) in zip(left, right, strict=True):
-                ok = all(
-                    len(np.intersect1d(*(_prefix(s, _order(s, frequent, place, seed), num, den) for s in (x, y)), assume_unique=True))
-                    for seed in range(1, orders)
-                )
-                if ok:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[row] = den * both >= num * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+            made, held = [], 0
+            for row, s in shingle_sets(batch.column(1), words):
+                made.append((batch.column(0)[row].as_py(), *make(s)))
+                held += len(s)
+                if held > 500_000:
+                    yield out(made)
+                    made, held = [], 0
+            if made:
+                yield out(made)
+
+    def out(made: list) -> pa.RecordBatch:
+        key, *lists = zip(*made, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(pa.array(x, pa.list_(kind)) for x in lists)], ["key", *names])
 
     return run
 
@@ -178,9 +219,11 @@ def _verify(words: int, num: int, den: int, frequent: np.ndarray, place: np.ndar
 def frequent_shingles(docs: DataFrame, words: int, most: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """The hashes (sorted) of at most `most` common shingles and each one's place by rising frequency.
 
-    A shingle counts where it recurs within one batch of documents; whole levels of frequency are taken from the top.
+    Each task counts all its shingles in a summary of COUNTERS counters, so no shingle of more than 2 N / COUNTERS of all N
+    occurrences is missed, however they are spread, but for one occurrence a task; whole levels of frequency are taken
+    from the top.
     """
-    counted = docs.select("text").mapInArrow(_count_common(words), "token long, n long")
+    counted = docs.select("text").mapInArrow(_count_common(words, COUNTERS, BUFFER), "token long, n long")
     counts = materialize(counted.groupBy("token").agg(F.sum("n").alias("n")), folder, "common")
     levels = counts.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).limit(most).collect()
     least, taken = 1 << 62, 0
@@ -198,7 +241,8 @@ def near_duplicate_components(
     docs: DataFrame, words: int = 5, threshold: str = "0.75", frequent_most: int = FREQUENT, orders: int = ORDERS, text_hash: bool = False
 ) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id reachable by links;
-    with text_hash also xxhash64(text), by which rows of one doc_id are told apart.
+    with text_hash also xxhash64(text), by which rows of one doc_id are told apart, and `first`: whether the row, or one of
+    equal doc_id and text, represents its component (a row without doc_id does so itself).
 
     threshold is a decimal or a ratio in text, so that the test is exact in integers. At most `frequent_most` hashes
     are sent to the executors, whatever the size of docs.
@@ -225,43 +269,65 @@ def near_duplicate_components(
     least = (F.min("key").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     classes = own.groupBy("k1", "k2", "n").agg(*least)
     copies = materialize(classes.where("copies > 1").drop("copies"), folder, "copies")
-    reps = own.join(copies, ["k1", "k2", "n"], "left").where("rep is null or rep = key")
+    others = own.select("key", "k1", "k2", "n").join(copies, ["k1", "k2", "n"]).where("rep <> key").select("key").distinct()
+    reps = own.join(small(materialize(others, folder, "others")), "key", "left_anti")
 
     # Prefix shingles that two representatives share. Rare ones have small groups and need one shuffle; the frequent
-    # ones are counted before the shuffle and joined, where Spark can split a skewed side.
+    # ones are at most frequent_most and are counted first, then looked up without a shuffle.
     def exploded(which: str) -> DataFrame:
         first = F.lit(0) if which == "rare" else F.col("cut").cast("int")
-        return reps.select("key", "n", F.posexplode(which).alias("pos", "token"), first.alias("first")).select(
+        return reps.select("key", F.col("n").cast("int").alias("n"), F.posexplode(which).alias("pos", "token"), first.alias("first")).select(
             "token", "key", "n", (F.col("pos") + F.col("first")).alias("pos")
         )
 
     group = Window.partitionBy("token")
+    lowest = F.min(F.struct("key", "n", "pos"))
     rare = exploded("rare").withColumn("df", F.count("*").over(group)).where("df > 1")
-    rare = rare.withColumn("centre", F.min("key").over(group)).drop("df")
+    rare = rare.withColumn("centre", lowest.over(group)).drop("df")
     common = exploded("common")
-    shared = common.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("centre")).where("df > 1").drop("df")
-    groups = materialize(rare.unionByName(common.join(shared, "token")), folder, "groups")
-
-    release(spark)
-    ids = groups.select("key").distinct()
-    texts = keyed(docs).select("key", "text").join(ids, "key", "left_semi").dropDuplicates(["key"])
-    texts = materialize(texts, folder, "texts")
-    sketches = own.select("key", "n", "sketch").join(ids, "key", "left_semi").dropDuplicates(["key"])
-    sketches = materialize(sketches, folder, "sketches")
+    shared = common.groupBy("token").agg(F.count("*").alias("df"), lowest.alias("centre")).where("df > 1").drop("df")
+    groups = materialize(rare.unionByName(common.join(F.broadcast(shared), "token")), folder, "groups")
+    sketches = own.select("key", "n", "sketch").dropDuplicates(["key"])
+
+    def sizes(x: str, y: str) -> str:
+        """Whether sets of n elements may be alike by their sizes."""
+        return f"{den} * {x}n >= {num} * {y}n and {den} * {y}n >= {num} * {x}n"
+
+    def close(x: str, y: str) -> str:
+        """Whether two sets may be alike whose first common shingle stands at pos in each."""
+        need = f"({num} * cast({x}n + {y}n as long) + {num + den - 1}) div {num + den}"
+        return f"{sizes(x, y)} and least({x}n - {x}pos, {y}n - {y}pos) >= {need}"
+
+    def prefix_hashes(s: np.ndarray) -> list[np.ndarray]:
+        """32 bits of the hashes of a set's prefixes under the orders from 2."""
+        known, size = _places(s, frequent, place), _prefix_size(len(s), num, den)
+        firsts = (np.argpartition(_order(s, *known, seed), size - 1)[:size] for seed in range(1, orders))
+        return [s[first].astype(np.uint32).view(np.int32) for first in firsts]
+
+    def listed(pairs: DataFrame, name: str, make, names: list[str], kind: pa.DataType, type_: str) -> DataFrame:
+        """Lists of the documents in pairs, one row per key: both sides of a join read the same exchange of them."""
+        ids = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        texts = keyed(docs).select("key", "text").join(small(materialize(ids, folder, name)), "key", "left_semi")
+        shape = ", ".join(["key long", *(f"{n} array<{type_}>" for n in names)])
+        return texts.mapInArrow(_lists(words, make, names, kind), shape).dropDuplicates(["key"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         left, right = (sketches.toDF(x, f"n{x}", f"s{x}") for x in "ab")
-        near = pairs.join(left, "a").join(right, "b").where(f"{den} * na >= {num} * nb and {den} * nb >= {num} * na")
-        near = near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketches_allow(num, den), "a long, b long")
-        left, right = (texts.toDF(x, f"text_{x}") for x in "ab")
-        both = near.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        linked = both.mapInArrow(_verify(words, num, den, frequent, place, orders), "a long, b long")
-        with arrow_batches(spark, PAIRS):
-            return materialize(linked, folder, name)
-
-    stars = groups.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
-    links = verified(stars, "links-1")
-    release(spark)
+        near = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+        near = materialize(near.mapInArrow(_sketches_allow(num, den), "a long, b long"), folder, f"near-{name}")
+        places = [f"o{k}" for k in range(1, orders)]
+        if places:
+            prefixes = listed(near, f"places-{name}", prefix_hashes, places, pa.int32(), "int")
+            left, right = (prefixes.toDF(x, *(f"{o}_{x}" for o in places)) for x in "ab")
+            alike = " and ".join(f"arrays_overlap({o}_a, {o}_b)" for o in places)
+            near = materialize(near.join(left, "a").join(right, "b").where(alike).select("a", "b"), folder, f"alike-{name}")
+        whole = listed(near, f"whole-{name}", lambda s: [s.view(np.int64)], ["tokens"], pa.int64(), "long")
+        left, right = (whole.toDF(x, f"t{x}") for x in "ab")
+        both = near.join(left, "a").join(right, "b").select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
+        return materialize(both.where(f"{den + num} * cast(both as long) >= {num} * cast(na + nb as long)").select("a", "b"), folder, f"links-{name}")
+
+    stars = groups.where("key <> centre.key").where(sizes("", "centre."))
+    links = verified(stars.select(F.col("centre.key").alias("a"), F.col("key").alias("b")).distinct(), "1")
     found = materialize(connected_components(links, f"{folder}/first"), folder, "components-1")
 
     # What is left: pairs of different components. In a group, one side is outside the group's main component.
@@ -270,14 +336,10 @@ def near_duplicate_components(
     spread = named.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
     spread = spread.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     mixed = materialize(named.join(spread.select("token", "main"), "token"), folder, "mixed")
-    x = mixed.where("comp <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("key", "n", "pos", "comp")))
-    need = f"ceil({num} * (n_x + n) / double({num + den}))"
-    apart = (
-        f"comp_x <> comp and (comp = main or key_x < key) and {den} * n_x >= {num} * n and {den} * n >= {num} * n_x"
-        f" and least(n_x - pos_x, n - pos) >= {need}"
-    )
-    rest = x.join(mixed, "token").where(apart).select(F.least("key_x", "key").alias("a"), F.greatest("key_x", "key").alias("b"))
-    more = verified(rest.distinct(), "links-2")
+    x = mixed.where("comp <> main").select("token", *(F.col(c).alias(f"x{c}") for c in ("key", "n", "pos", "comp")))
+    apart = f"xcomp <> comp and (comp = main or xkey < key) and {close('x', '')}"
+    rest = x.join(mixed, "token").where(apart).select(F.least("xkey", "key").alias("a"), F.greatest("xkey", "key").alias("b"))
+    more = verified(rest.distinct(), "2")
     if more.limit(1).count():
         every = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         found = connected_components(every, f"{folder}/second")
@@ -285,13 +347,14 @@ def near_duplicate_components(
     out = keyed(described.select("doc_id", "h", "n", "k1", "k2")).join(copies, ["k1", "k2", "n"], "left")
     out = out.withColumn("rep", F.coalesce("rep", "key")).join(found, F.col("rep") == F.col("node"), "left")
     out = out.withColumn("component", F.coalesce("component", "rep"))
-    if several.limit(1).count():
-        # The smallest key is not that of the smallest doc_id.
-        first = out.groupBy("component").agg(F.min(F.coalesce("first_id", "doc_id")).alias("first_of_all"))
-        out = out.join(first, "component", "left").withColumn("component", F.col("first_of_all"))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *([F.col("h").alias("text_hash")] if text_hash else []))
+    # A component is known by its smallest key, which is that of the smallest doc_id but where rows share a doc_id.
+    firsts = out.where("doc_id is not null").groupBy("component").agg(F.min(F.coalesce("first_id", "doc_id")).alias("smallest"), F.min(F.struct("doc_id", "h")).alias("first"))
+    out = out.join(firsts, "component", "left")
+    kept = F.col("doc_id").isNull() | (F.struct("doc_id", "h") == F.col("first"))
+    more = [F.col("h").alias("text_hash"), kept.alias("first")] if text_hash else []
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("smallest")).alias("component_id"), *more)
     out = materialize(out, folder, "result")
-    for part in ("common", "groups", "texts", "sketches", "mixed", "described", "several", "first", "second"):
+    parts = [f"{part}-{k}" for part in ("near", "places", "alike", "whole") for k in (1, 2)]
+    for part in ("common", "groups", "mixed", "described", "several", "copies", "others", "first", "second", *parts):
         drop_folder(spark, f"{folder}/{part}")
     return out

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.session import shared_base
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the session sets none (tests, a laptop) a folder of the warehouse is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_steps"
-    return f"{base.rstrip('/')}/steps-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for steps below spark.checkpoint.dir, which driver and executors share; an error on a cluster without it."""
+    return shared_base(spark, "steps")
 
 
 def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -29,22 +24,9 @@ def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within this block, actions hand at most `rows` rows at a time to Python: for rows that hold long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before))) if int(before) > 0 else str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now: it does so once the driver has collected their handles."""
-    gc.collect()
-    spark._jvm.System.gc()
+def small(df: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """df, a written table of narrow rows, marked for a broadcast join if it has at most `most` rows: about 16 MB."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:
@@ -53,12 +35,17 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Links of one node that a task takes at once.
+HOT = 10_000
+
+
 def connected_components(edges: DataFrame, folder: str, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the links a-b; component is the smallest node reachable.
 
     Alternates large-star and small-star steps: each is one shuffle by node that keeps, for a node and its
-    neighbours, links to the smallest of them. Every round is written to the shared folder. The links of one node
-    are reduced by min() before the shuffle, so a node with very many links is no hot spot.
+    neighbours, links to the smallest of them. Every round is written to the shared folder. The smallest neighbour is
+    found by min() before the shuffle, and it is brought to the links of a node of very many in parts of HOT links: the
+    nodes that need this are at most 2 links / HOT rows, which are sent to all tasks.
     """
 
     def star(links: DataFrame, large: bool) -> DataFrame:
@@ -66,8 +53,12 @@ def connected_components(edges: DataFrame, folder: str, a: str = "a", b: str = "
             both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             both = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = both.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.expr(f"count(*) div {HOT}").alias("parts"))
+        hot = F.broadcast(low.where("parts > 0").select("u", F.col("parts").alias("last")))
+        part = F.pmod(F.xxhash64("v"), F.coalesce("last", F.lit(0)) + 1)
+        dealt = both.join(hot, "u", "left").select("u", "v", part.alias("part"))
+        parts = low.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts"))).alias("part"))
+        linked = dealt.join(parts, ["u", "part"])
         if large:
             moved = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:

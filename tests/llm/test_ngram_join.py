@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import shared
+from lodestar.llm import ngram_join, shared
 from lodestar.llm.ngram_join import near_duplicate_components
 
 
@@ -59,6 +59,27 @@ def test_all_links_are_found(spark, frequent):
     assert run(spark, rows, frequent_most=frequent) == brute(rows)
 
 
+@pytest.mark.parametrize("counters", [3, 40, 10_000])
+def test_summaries_bound_their_error(counters):
+    """Counts are never too high, and too low by 2 N / counters at most; a task hands on what stood twice in it."""
+    rng = random.Random(counters)
+    docs = [" ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(300)) for _ in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(docs[k : k + 7])], ["text"]) for k in range(0, 40, 7)]
+    exact = {}
+    for batch in batches:
+        for _, s in shared.shingle_sets(batch.column(0), 1):
+            for t in s.view("int64").tolist():
+                exact[t] = exact.get(t, 0) + 1
+    found = {}
+    for batch in ngram_join._count_common(1, counters, 500)(iter(batches)):
+        found.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    assert all(n <= exact[t] and exact[t] > 1 for t, n in found.items())
+    off = 2 * sum(exact.values()) / counters
+    assert all(exact[t] - found.get(t, 0) <= off for t in exact if exact[t] > 1)
+    if counters == 10_000:
+        assert found == {t: n for t, n in exact.items() if n > 1}
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "A  B"), (6, "a b c"), (7, "x" * 200_000), (8, "ab"), (9, "é É"), (10, "é é")]
     got = run(spark, rows)
