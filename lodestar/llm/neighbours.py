@@ -2,12 +2,16 @@
 
 Method: vectors of unit length with cosine >= c are at most eps = sqrt(2 - 2c) apart, also after projection on leading
 principal dimensions. Vectors are sorted by the cells (of side eps) of their projections; the sorted sequence is cut into
-intervals, and the intervals into blocks. Pairs of intervals are joined recursively, from the whole sequence down to
-blocks and, inside a task, down to leaves: a pair whose bounding boxes are more than eps apart is skipped with all below
-it. What is left at the leaves is compared by cosine in double precision.
+intervals, the intervals into blocks, and up to STRIP blocks on end are a strip. Pairs of intervals are joined
+recursively, from the whole sequence down to strips and, inside a task, down to blocks and leaves: a pair whose bounding
+boxes are more than eps apart is skipped with all below it. What is left at the leaves is compared by cosine in double
+precision.
 
-Equal vectors are one class before the join. A pair of blocks returns at most one row for each of its vectors: how many
-links it has there, and the root of its links there, so a group of m near copies costs m rows, not m^2.
+A block is sent once to each pair of strips it is needed in, as 32-bit numbers where these are exact, so what is shuffled
+is about (blocks / STRIP) x the vectors where nothing can be skipped; projections are computed again from the vectors.
+Equal vectors are one class before the join (by two 64-bit hashes). A pair of strips returns at most one row for each of
+its vectors: how many links it has there, and the root of its links there, so a group of m near copies costs m rows, not
+m^2.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and keep
 themselves. Vectors of different lengths are compared with those of their own length only. A null id gives null
@@ -20,6 +24,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.feature import PCA
@@ -27,12 +32,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import connected_components, materialize, shared_folder
+from lodestar.llm.shared import connected_components, materialize, shared_folder, small
 
 LEADING = 16
 GRID = 8
 ROWS = 2048
 LEAF = 256
+#: Blocks that are joined with those of another strip in one task.
+STRIP = 8
 FAN = 64
 SLACK = 1e-9
 
@@ -62,8 +69,19 @@ def _place(axes: np.ndarray, side: float):
     return run
 
 
+def _packed(vectors: np.ndarray) -> bytes:
+    """Numbers of 32 bits where these are exact, else of 64."""
+    with np.errstate(over="ignore"):
+        narrow = vectors.astype("<f4")
+    return (narrow if (narrow == vectors).all() else vectors.astype("<f8")).tobytes()
+
+
+def _unpacked(data: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, "<f4" if len(data) == 4 * rows * width else "<f8").reshape(rows, width)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows -> one row per block: part, block, box (lows, then highs), ids, copies, vectors, projections."""
+    """Sorted rows -> one row per block: part, strip, block, box (lows, then highs), ids, copies, vectors."""
     part, number, held = TaskContext.get().partitionId(), 0, []
 
     def out(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -72,12 +90,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = np.concatenate([at.min(axis=0), at.max(axis=0)])
         columns = {
             "part": pa.array([part], pa.int64()),
+            "strip": pa.array([(part << 24) + number // STRIP], pa.int64()),
             "block": pa.array([(part << 24) + number], pa.int64()),
             "box": pa.array([box.tolist()], pa.list_(pa.float64())),
             "ids": pa.array([table["rep"].to_numpy().astype("<i8").tobytes()], pa.binary()),
             "copies": pa.array([table["copies"].to_numpy().astype("<i8").tobytes()], pa.binary()),
-            "vectors": pa.array([_matrix(table["vector"].combine_chunks()).astype("<f8").tobytes()], pa.binary()),
-            "at": pa.array([at.astype("<f8").tobytes()], pa.binary()),
+            "vectors": pa.array([_packed(_matrix(table["vector"].combine_chunks()))], pa.binary()),
         }
         return pa.RecordBatch.from_pydict(columns)
 
@@ -130,37 +148,44 @@ def _leaves(xa: np.ndarray, xb: np.ndarray, same: bool, eps: float) -> Iterator[
         stack += [(*x, *y) for x in left for y in right if not same or x[0] <= y[0]]
 
 
-def _join(least: float, eps: float):
-    """Pairs of blocks -> (vec, links, root): links of each vector within the pair, counting copies."""
+def _join_strips(axes: np.ndarray, least: float, eps: float):
+    """The blocks of a pair of strips -> (vec, links, root): links of each vector within the pair, counting copies."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                same = row["a"] == row["b"]
-                ids = [np.frombuffer(row[f"ids_{s}"], "<i8") for s in "ab"]
-                copies = [np.frombuffer(row[f"copies_{s}"], "<i8") for s in "ab"]
-                at = [np.frombuffer(row[f"at_{s}"], "<f8").reshape(len(i), -1) for s, i in zip("ab", ids, strict=True)]
-                unit = [_unit(np.frombuffer(row[f"vectors_{s}"], "<f8").reshape(len(i), -1)) for s, i in zip("ab", ids, strict=True)]
-                left, right = [], []
-                for a, b, c, d in _leaves(*at, same, eps):
-                    i, j = np.nonzero(unit[0][a:b] @ unit[1][c:d].T >= least)
-                    i, j = i + a, j + c
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("block").sort_values("block")
+        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        blocks, first = [], 0
+        for row in pdf.itertuples():
+            ids = np.frombuffer(row.ids, "<i8")
+            unit = _unit(_unpacked(row.vectors, len(ids), len(axes)))
+            blocks.append((row.strip, first, ids, np.frombuffer(row.copies, "<i8"), unit, unit @ axes))
+            first += len(ids)
+        every = np.concatenate([x[2] for x in blocks])
+        links, ends = np.zeros(len(every), np.int64), []
+        for k, (strip, p, ids, copies, unit, at) in enumerate(blocks):
+            for other, q, ids2, copies2, unit2, at2 in blocks[k:]:
+                if {strip, other} != {a, b}:
+                    continue
+                same, size = p == q, len(ids) + len(ids2)
+                place = np.concatenate([p + np.arange(len(ids)), q + np.arange(len(ids2))])
+                for low, high, low2, high2 in _leaves(at, at2, same, eps):
+                    i, j = np.nonzero(unit[low:high] @ unit2[low2:high2].T >= least)
+                    i, j = i + low, j + low2
                     if same:
                         i, j = i[i < j], j[i < j]
-                    left.append(i)
-                    right.append(j)
-                if not left or not sum(map(len, left)):
-                    continue
-                i, j = np.concatenate(left), np.concatenate(right)
-                first = 0 if same else len(ids[0])
-                every = ids[0] if same else np.concatenate(ids)
-                weight = copies[0] if same else np.concatenate(copies)
-                j = j + first
-                links = np.bincount(i, weights=weight[j], minlength=len(every)) + np.bincount(j, weights=weight[i], minlength=len(every))
-                root = local_roots(i, j, len(every))
-                some = np.flatnonzero(links)
-                arrays = [pa.array(every[some]), pa.array(links[some].astype(np.int64)), pa.array(every[root[some]])]
-                yield pa.RecordBatch.from_arrays(arrays, ["vec", "links", "root"])
+                    if not len(i):
+                        continue
+                    np.add.at(links, p + i, copies2[j])
+                    np.add.at(links, q + j, copies[i])
+                    to = j if same else j + len(ids)
+                    found = local_roots(i, to, size)
+                    some = np.flatnonzero(found != np.arange(size))
+                    ends.append((place[some], place[found[some]]))
+        if not ends:
+            return pd.DataFrame({"vec": [], "links": [], "root": []}).astype("int64")
+        root = local_roots(*(np.concatenate(x) for x in zip(*ends, strict=True)), len(every))
+        some = np.flatnonzero(links)
+        return pd.DataFrame({"vec": every[some], "links": links[some], "root": every[root[some]]})
 
     return run
 
@@ -173,9 +198,13 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     sound = "vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vector, x -> x <> 0)"
     rows = rows.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
+    rows = rows.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(1), F.reverse("vector")))
     good = rows.where("sound and vec_id is not null")
-    classes = good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes.select("rep", "copies", "vector"), folder, "classes")
+    copies = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    copies = materialize(copies, folder, "copies")
+    single = good.join(small(copies), ["h1", "h2"], "left_anti").select("h1", "h2", F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), "vector")
+    several = good.join(small(copies), ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["h1", "h2"]).select(single.columns)
+    classes = materialize(single.unionByName(several), folder, "classes")
     widths = [r.w for r in classes.select(F.size("vector").alias("w")).distinct().collect()]
     counted = None
     for width in widths:
@@ -190,15 +219,14 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
         )
         axes = np.asarray(model.pc.toArray())
         shape = "rep long, copies long, vector array<double>, at array<double>, cells array<int>"
-        placed = own.mapInArrow(_place(axes, max(eps, 1e-6)), shape)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = placed.repartitionByRange(parts, "cells", "rep").sortWithinPartitions("cells", "rep")
-        shape = "part long, block long, box array<double>, ids binary, copies binary, vectors binary, at binary"
+        placed = own.select("rep", "copies", "vector").mapInArrow(_place(axes, max(eps, 1e-6)), shape)
+        ordered = placed.repartitionByRange("cells", "rep").sortWithinPartitions("cells", "rep")
+        shape = "part long, strip long, block long, box array<double>, ids binary, copies binary, vectors binary"
         blocks = materialize(ordered.mapInArrow(_blocks, shape), folder, f"blocks-{width}")
 
-        boxes = materialize(blocks.select("part", "block", "box"), folder, f"boxes-{width}")
+        boxes = materialize(blocks.select("part", "strip", "box"), folder, f"boxes-{width}")
         pairs = spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-        levels = [(f"part div {FAN}", "0"), ("part", f"part div {FAN}"), ("block", "part")]
+        levels = [(f"part div {FAN}", "0"), ("part", f"part div {FAN}"), ("strip", "part")]
         for own_key, parent in levels:
             nodes = boxes.groupBy(F.expr(f"cast({own_key} as long)").alias("node"), F.expr(f"cast({parent} as long)").alias("parent")).agg(
                 F.array(*[F.min(F.col("box")[k]) for k in range(leading)], *[F.max(F.col("box")[leading + k]) for k in range(leading)]).alias("box")
@@ -209,19 +237,18 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
             ]
             near = f"na <= nb and {' + '.join(gaps)} <= {eps * eps + SLACK!r}"
             pairs = pairs.join(x, pairs.a == x.pa).join(y, F.col("b") == y.pb).where(near).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        left, right = (
-            blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "vectors", "at"))) for s in "ab"
-        )
-        joined = pairs.join(left, "a").join(right, "b").mapInArrow(_join(cosine, eps), "vec long, links long, root long")
+        sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("strip")).distinct()
+        sent = sides.join(blocks.select("strip", "block", "ids", "copies", "vectors"), "strip")
+        joined = sent.groupBy("a", "b").applyInPandas(_join_strips(axes, cosine, eps), "vec long, links long, root long")
         counted = joined if counted is None else counted.unionByName(joined)
     if counted is None:
         counted = spark.createDataFrame([], "vec long, links long, root long")
     counted = materialize(counted, folder, "counted")
     found = connected_components(counted.select(F.col("vec").alias("a"), F.col("root").alias("b")), folder)
     links = counted.groupBy("vec").agg(F.sum("links").alias("links"))
-    named = classes.join(links, classes.rep == links.vec, "left").join(found, classes.rep == found.node, "left")
-    named = named.select("vector", F.expr("copies - 1 + coalesce(links, 0)").alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = rows.join(named.withColumn("sound", F.lit(True)), ["vector", "sound"], "left")
+    named = classes.drop("vector").join(links, F.col("rep") == links.vec, "left").join(found, F.col("rep") == found.node, "left")
+    named = named.select("h1", "h2", F.expr("copies - 1 + coalesce(links, 0)").alias("n"), F.coalesce("component", "rep").alias("c"))
+    out = rows.drop("vector").join(named.withColumn("sound", F.lit(True)), ["h1", "h2", "sound"], "left")
     known = F.col("vec_id").isNotNull() & F.col("n").isNotNull()
     out = out.select(
         "vec_id",
