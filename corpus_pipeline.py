@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators over `documents`.
 
 1. language: documents without a recognizable language go; a missing lang is filled in.
-2. near_duplicates: of each group of near duplicates the document of the smallest doc_id stays.
+2. near_duplicates: of each group of near duplicates the document of the smallest doc_id stays (of several of that
+   doc_id, the one whose text's hash is smallest, and one row of it). Texts without words are no duplicates.
 3. secrets: secrets are replaced by [SECRET] in the texts; digests of the usual lengths are left alone.
 4. mixture: nine tenths of the tokens, by the weights of domain, language and source; at most one epoch.
 5. packing: the texts as pieces of sequences of at most 2048 tokens (columns of the packing operator).
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import language, mixture, packing, queries, secrets
 from lodestar.llm.ngram_join import near_duplicate_components
-from lodestar.llm.shared import materialize, shared_folder
+from lodestar.llm.shared import materialize, shared_folder, small
 from lodestar.session import ship
 
 
@@ -31,13 +32,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_duplicate_components(docs, text_hash=True)
-    others = classes.where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
-    kept = docs.withColumn("text_hash", F.xxhash64("text")).join(others, ["doc_id", "text_hash"], "left_anti")
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns)
+    classes = near_duplicate_components(docs, text_hash=True).where("doc_id is not null")
+    folder, row = shared_folder(spark), ["doc_id", "text_hash"]
+    others = materialize(classes.where("not first").select(row).distinct(), folder, "others")
+    copies = classes.where("first and n_shingles > 0").groupBy(row).count().where("count > 1").select(row)
+    copies = small(materialize(copies, folder, "copies"))
+    kept = docs.withColumn("text_hash", F.xxhash64("text")).join(small(others), row, "left_anti")
+    once = kept.join(copies, row, "left_semi").dropDuplicates(row)
+    return kept.join(copies, row, "left_anti").unionByName(once).select(docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
