@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import affine, l2_normalize
+from lodestar.session import stored
 
 PENALTY = 0.05
 #: Ids named in an error.
 MOST_NAMED = 20
+#: Rows of a training set that one task takes: a set of a few thousand is one task, so that hundreds of fits are quick.
+ROWS_PER_TASK = 50_000
+#: Second derivatives of models that are fitted at a time.
+GRID_BYTES = 32 << 20
 #: The grid of inverse penalties (fixed values).
 GRID = tuple(float(c) for c in np.logspace(-5, 5, 100))
 
@@ -109,16 +114,68 @@ def linear_probe(grounding: DataFrame, labelled: DataFrame, penalty: float = PEN
     return _newton(labelled.select("vector", "label"), len(anchor), anchor, penalty, steps, tolerance)
 
 
-def linear_classifier(labelled: DataFrame, grid: tuple[float, ...] = GRID, folds: int = 5, parallelism: int = 8) -> tuple[np.ndarray, float, float]:
+def _rows_of(batches):
+    """Batches of (vector, label, fold, weight) as arrays, the vectors with a last component of 1."""
+    for pdf in batches:
+        if len(pdf):
+            x = np.stack(pdf["vector"].to_numpy()).astype(float)
+            yield np.concatenate([x, np.ones((len(x), 1))], axis=1), pdf["label"].to_numpy(float), pdf["fold"].to_numpy(int), pdf["weight"].to_numpy(float)
+
+
+def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"model": pdf["model"].iloc[:1], "values": [np.sum(np.stack(pdf["values"].to_numpy()), axis=0)]})
+
+
+def _summed(rows: DataFrame, per_task) -> dict[int, np.ndarray]:
+    """per_task gives rows (model, values); their sums by model. One row per model and task is shuffled."""
+    shape = "model int, values array<double>"
+    return {r.model: np.array(r.values) for r in rows.mapInPandas(per_task, shape).groupBy("model").applyInPandas(_sum_rows, shape).collect()}
+
+
+def _fit_grid(rows: DataFrame, dim: int, models: list[tuple[float, int]], steps: int = 40, tolerance: float = 1e-6) -> np.ndarray:
+    """Coefficients (the last one: the intercept) of each model (penalty, left out fold): weighted mean logistic loss +
+    penalty / 2 |w|^2. One step of Newton's method of all models together is one pass over the rows."""
+    w = np.zeros((len(models), dim + 1))
+    todo = np.arange(len(models))
+    size, free = dim + 1, np.diag([1.0] * dim + [0.0])
+    for _ in range(steps):
+        now, left_out = w[todo].copy(), np.array([models[m][1] for m in todo])
+
+        def derivatives(batches, now=now, left_out=left_out, todo=todo):
+            total = np.zeros((len(todo), 1 + size + size * size))
+            for x, y, fold, c in _rows_of(batches):
+                weight = c[:, None] * (fold[:, None] != left_out)
+                p = 1 / (1 + np.exp(-np.clip(x @ now.T, -500, 500)))
+                total[:, 0] += weight.sum(axis=0)
+                total[:, 1 : 1 + size] += (x.T @ (weight * (p - y[:, None]))).T
+                for m, d in enumerate((weight * p * (1 - p)).T):
+                    total[m, 1 + size :] += ((x * d[:, None]).T @ x).reshape(-1)
+            yield pd.DataFrame({"model": todo.astype(np.int32), "values": list(total)})
+
+        moved = []
+        for m, values in _summed(rows, derivatives).items():
+            pull = models[m][0] * free
+            grad = values[1 : 1 + size] / values[0] + pull @ w[m]
+            hess = values[1 + size :].reshape(size, size) / values[0] + pull
+            move = np.linalg.solve(hess + 1e-12 * np.eye(size), grad)
+            w[m] -= min(1.0, 10.0 / max(1e-12, np.abs(move).max())) * move
+            if np.abs(grad).max() >= tolerance:
+                moved.append(m)
+        todo = np.array(sorted(moved), int)
+        if not len(todo):
+            break
+    return w
+
+
+def linear_classifier(labelled: DataFrame, grid: tuple[float, ...] = GRID, folds: int = 5) -> tuple[np.ndarray, float, float]:
     """(coef, intercept, c) of an L2 logistic regression with balanced classes: c is the inverse penalty of the grid with
-    the best mean F1 of the true class over stratified folds (the smallest of equals), the rest a fit of it on all rows.
+    the best mean F1 of the true class over stratified folds (the smallest of equals), the rest MLlib's fit of it on all rows.
 
     labelled: id, vector, label (boolean). The intercept is not penalised. Each label needs as many rows as there are folds.
+    All penalties and folds are fitted together, as many at a time as have GRID_BYTES of second derivatives.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     from lodestar.operators.sampling import stratified_folds
 
@@ -128,28 +185,29 @@ def linear_classifier(labelled: DataFrame, grid: tuple[float, ...] = GRID, folds
     total = sum(counts.values())
     weight = F.when(F.col("label"), total / (2 * counts[True])).otherwise(total / (2 * counts[False]))
     rows = stratified_folds(labelled, "label", [F.xxhash64("id"), F.col("id")], folds)
-    rows = rows.select(array_to_vector("vector").alias("features"), F.col("label").cast("double").alias("label"), F.col("fold").cast("int").alias("fold"), weight.alias("weight")).persist()
-
-    def estimator(share: float, c: float) -> LogisticRegression:
-        # Mean loss + penalty / 2 |w|^2 here, c * sum of losses + 1/2 |w|^2 where c comes from.
-        return LogisticRegression(weightCol="weight", standardization=False, maxIter=1000, tol=1e-8, regParam=1 / (c * share * total))
-
+    rows = rows.select("vector", F.col("label").cast("double").alias("label"), F.col("fold").cast("int").alias("fold"), weight.alias("weight"))
+    rows = stored(rows.coalesce(1 + total // ROWS_PER_TASK))
     best = float(grid[0])
     if len(grid) > 1:
-        plain = estimator(1.0, 1.0)
-        penalties = [1 / (c * (1 - 1 / folds) * total) for c in sorted(grid)]
-        search = CrossValidator(
-            estimator=plain,
-            estimatorParamMaps=ParamGridBuilder().addGrid(plain.regParam, penalties).build(),
-            evaluator=MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0),
-            foldCol="fold",
-            numFolds=folds,
-            parallelism=parallelism,
-        )
-        scores = search.fit(rows).avgMetrics
-        best = sorted(grid)[int(np.argmax(scores))]
-    fit = estimator(1.0, best).fit(rows)
-    rows.unpersist()
+        dim = len(rows.first().vector)
+        # Mean loss + penalty / 2 |w|^2 here, c * sum of losses + 1/2 |w|^2 where c comes from.
+        models = [(1 / (c * (1 - 1 / folds) * total), k) for c in sorted(grid) for k in range(folds)]
+        step = max(1, GRID_BYTES // (8 * (dim + 1) ** 2))
+        w = np.concatenate([_fit_grid(rows, dim, models[k : k + step]) for k in range(0, len(models), step)])
+        held = np.array([k for _, k in models])
+
+        def outcomes(batches):
+            counts = np.zeros((len(w), 3))
+            for x, y, fold, _ in _rows_of(batches):
+                said, own, true = x @ w.T > 0, fold[:, None] == held, y[:, None] > 0
+                counts += np.stack([(said & own & true).sum(axis=0), (said & own & ~true).sum(axis=0), (~said & own & true).sum(axis=0)], axis=1)
+            yield pd.DataFrame({"model": np.arange(len(w), dtype=np.int32), "values": list(counts)})
+
+        found = _summed(rows, outcomes)
+        f1 = np.array([2 * found[m][0] / max(1.0, 2 * found[m][0] + found[m][1] + found[m][2]) for m in range(len(models))])
+        best = sorted(grid)[int(np.argmax(f1.reshape(-1, folds).mean(axis=1).round(12)))]
+    fit = LogisticRegression(weightCol="weight", standardization=False, maxIter=1000, tol=1e-8, regParam=1 / (best * total))
+    fit = fit.fit(rows.select(array_to_vector("vector").alias("features"), "label", "weight"))
     return np.array(fit.coefficients.toArray()), float(fit.intercept), float(best)
 
 

@@ -31,7 +31,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"linear_classifier"}))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
@@ -56,5 +56,10 @@ def test_recall_of_probing(spark, folder):
     assert len(found) == len(exact) and recall >= 0.9
 
 
+def test_classifier_is_a_fit_of_all_rows(spark):
+    rows = catalog.QUERIES["linear_classifier"](spark, str(DATA)).collect()
+    assert len(rows) == 65 and all(r.optimal for r in rows) and rows[0].f1 > 0.4
+
+
 def test_flagship(spark):
     assert catalog.flagship(spark, str(DATA)).count() > 0
