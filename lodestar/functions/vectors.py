@@ -35,10 +35,16 @@ METRICS = {"ip": (dot, True), "cosine": (cosine, True), "l2": (squared_l2, False
 
 
 def l2_normalize(a: Column, eps: float = 0.0) -> Column:
-    """a / (|a| + eps); null where that is zero or a component is not finite."""
-    length = norm(a) + F.lit(eps)
-    sound = (length > 0) & (length < float("inf")) & ~F.isnan(length)
-    return F.when(sound, F.transform(a, lambda x: x.cast("double") / length))
+    """a / (|a| + eps); null where that is zero or a component is not finite.
+
+    The length is bound to a variable, as an expression inside a lambda would be evaluated again for every component.
+    """
+
+    def scaled(n: Column) -> Column:
+        sound = (n > 0) & (n < float("inf")) & ~F.isnan(n)
+        return F.when(sound, F.transform(a, lambda x: x.cast("double") / n))
+
+    return F.transform(F.array(norm(a) + F.lit(eps)), scaled)[0]
 
 
 def has_dim(a: Column, dim: int) -> Column:

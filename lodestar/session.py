@@ -12,9 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of one Arrow batch of a session that sets no limit of its own: Spark's default of 64 MB is large for small executors.
+ARROW_BYTES = 8 << 20
+DEFAULT_BYTES = "67108864b"
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors once per application, as --py-files would; returns the session."""
+    """Send the package to the executors once per application, as --py-files would, and lower the size of Arrow batches
+    where the session keeps the default; returns the session."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(_LIMIT) == DEFAULT_BYTES:
+        spark.conf.set(_LIMIT, str(ARROW_BYTES))
     if app not in _SHIPPED:
         here = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp()) / f"{here.name}.zip"
