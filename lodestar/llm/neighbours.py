@@ -210,12 +210,14 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     for width in widths:
         own = classes.where(F.size("vector") == width)
         leading = min(LEADING, width)
-        scaled = "transform(vector, x -> x / array_max(transform(vector, y -> abs(y))))"
+        # Lengths are bound to variables, as inside a lambda they would be computed again for every component.
+        scaled = "transform(array(array_max(transform(vector, y -> abs(y)))), m -> transform(vector, x -> x / m))[0]"
+        unit = "transform(array(sqrt(aggregate(vector, 0D, (s, y) -> s + y * y))), n -> transform(vector, x -> x / n))[0]"
         if own.limit(2).count() < 2:
             continue
         model = PCA(k=leading, inputCol="v", outputCol="p").fit(
             own.select(F.expr(scaled).alias("vector"))
-            .select(array_to_vector(F.expr("transform(vector, x -> x / sqrt(aggregate(vector, 0D, (s, y) -> s + y * y)))")).alias("v"))
+            .select(array_to_vector(F.expr(unit)).alias("v"))
         )
         axes = np.asarray(model.pc.toArray())
         shape = "rep long, copies long, vector array<double>, at array<double>, cells array<int>"

@@ -84,3 +84,13 @@ def test_column(spark, model):
 def test_without_labels(spark):
     model = L.learn(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert L.label_texts(model, ["some text"])[0]["lang"] == "und"
+
+
+def test_query_without_doc_ids(spark, tmp_path):
+    """A row without doc_id is not held out, and is labelled like others."""
+    from lodestar.llm import queries
+
+    rows = [(k, text(lang, 30, k), lang) for k in range(20) for lang in WORDS] + [(None, text("el", 30, 99), None), (None, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r for r in queries.op8_language_spans(spark, str(tmp_path)).collect() if r.doc_id is None]
+    assert sorted((r.held_out, r.lang_pred) for r in got) == [(False, "el"), (False, "und")]
