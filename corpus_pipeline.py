@@ -25,6 +25,7 @@ from lodestar.session import ship
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     model = language.learn(docs.where(~held_out))
     found = language.identify(docs, model, into="_language").where("_language.lang <> 'und'")
