@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import archives, chat, fingerprint, language, mixture, neighbours, packing, secrets, shards
+from lodestar.llm import archives, chat, fingerprint, language, mixture, neighbours, packing, runs, secrets, shards
 from lodestar.llm.ngram_join import near_duplicate_components
 from lodestar.llm.shared import shared_folder
 
@@ -116,6 +116,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, one in ten made periodic: the runs of each as numbers and digests."""
+    return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), edited=True))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -214,6 +219,7 @@ QUERIES = {
     "op8_language_spans": op8_language_spans,
     "op9_secret_scan": op9_secret_scan,
     "op10_tiered_shards": op10_tiered_shards,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL = {
     "op2_ngram_join": OP2_SQL,

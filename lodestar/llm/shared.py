@@ -119,8 +119,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words between ASCII white space, A-Z lower-cased, and the number of words of each row."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words between ASCII white space, A-Z lower-cased if `lower`, and the number of words of each row."""
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     word = ~_SPACE[data]
@@ -135,7 +135,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     stop = word.copy()
     stop[:-1] &= ~word[1:] | start[1:]
     length = np.flatnonzero(stop) + 1 - begin
-    letters = _BYTE[_LOWER[data[word]]]
+    letters = _BYTE[_LOWER[data[word]] if lower else data[word]]
     at = np.cumsum(length) - length
     place = np.arange(len(letters)) - np.repeat(at, length)
     power = np.empty(int(length.max()), np.uint64)
@@ -147,19 +147,41 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return words, np.diff(np.searchsorted(begin, offsets))
 
 
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all windows of `size` hashed words, by doubling; empty where there are fewer words."""
+    if len(words) < size:
+        return np.empty(0, np.uint64)
+    whole, have, part, long_, power = np.zeros(len(words) + 1, np.uint64), 0, words, 1, np.full(1, _POWER)
+    while True:
+        if size & long_:  # the next `long_` words of the window follow the `have` before
+            n = len(words) - have - long_ + 1
+            whole = whole[:n] * power + part[have : have + n]
+            have += long_
+        if long_ * 2 > size:
+            return mix(whole)
+        part = part[:-long_] * power + part[long_:]
+        long_, power = long_ * 2, power * power
+
+
+def slices(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of a string column, at most about `most` bytes or one row at a time, which bounds arrays of words."""
+    column = column.cast(pa.large_string())
+    sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1])
+    low = 0
+    while low < len(column):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[low : low + 4096]), most, side="right")))
+        yield low, column.slice(low, n)
+        low += n
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 64-bit hashes of its shingles) of each row that has words.
 
     A row of fewer words than size has one shingle, the whole sequence. The batch is hashed in slices of about a
     megabyte (or one row), which bounds the arrays.
     """
-    column = column.cast(pa.large_string())
-    sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1])
-    low = 0
-    while low < len(column):
-        total = np.cumsum(sizes[low : low + 4096])
-        n = max(1, int(np.searchsorted(total, 1_000_000, side="right")))
-        words, counts = word_hashes(*text_bytes(column.slice(low, n)))
+    for low, rows in slices(column):
+        words, counts = word_hashes(*text_bytes(rows))
         ends = np.cumsum(counts)
         if len(words) >= size:
             mixed = np.zeros(len(words) - size + 1, np.uint64)
@@ -175,4 +197,3 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]
                 for w in words[end - count : end]:
                     short = short * _POWER + w
                 yield low + row, mix(short * _GOLD)
-        low += n
