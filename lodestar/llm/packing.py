@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,12 +29,15 @@ from pyspark.sql import functions as F
 
 #: The split of byte-level BPE vocabularies of this kind (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: tiktoken looks back from the end of white space, which takes stack for each character; longer runs go to `tokenizers`.
+LONGEST_BLANK = 1 << 16
+BLANK = re.compile(r"\s+")
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 )
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The printable stand-ins of bytes in byte-level vocabularies: printable Latin-1 stays, the rest follows from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -41,22 +45,36 @@ def _byte_of_char() -> dict[str, int]:
 
 
 @functools.cache
-def _library(path: str):
+def _library(path: str, special_as_text: bool):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = special_as_text
+    return tokenizer
 
 
 @functools.cache
-def encoder(path: str) -> Callable[[str], list[int]]:
+def read_vocabulary(path: str) -> dict[str, int]:
+    """The tokens of a file of the `tokenizers` library and their ids, added ones too."""
+    return _library(path, False).get_vocab(with_added_tokens=True)
+
+
+def has_long_blank(text: str, most: int = LONGEST_BLANK) -> bool:
+    """Whether a run of white space is longer than tiktoken's regular expression is given."""
+    return len(text) > most and any(m.end() - m.start() > most for m in BLANK.finditer(text))
+
+
+@functools.cache
+def encoder(path: str, special_as_text: bool = False) -> Callable[[str], list[int]]:
     """text -> ids as the `tokenizers` library gives them for this file, without added special tokens.
 
     Where the vocabulary is a byte-level BPE whose ids follow its merges, tiktoken computes the same ids about four times
-    as fast; texts that hold the string of an added token, and all other vocabularies, go to `tokenizers`.
+    as fast; texts that hold the string of an added token (unless special_as_text, which makes it plain text), texts with
+    very long white space, and all other vocabularies go to `tokenizers`.
     """
 
     def exact(text: str) -> list[int]:
-        return _library(path).encode(text, add_special_tokens=False).ids
+        return _library(path, special_as_text).encode(text, add_special_tokens=False).ids
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
@@ -76,13 +94,14 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         return exact
     import tiktoken
 
-    byte = _byte_of_char()
+    byte = byte_of_char()
     added = [t["content"] for t in spec.get("added_tokens", [])]
+    apart = [t["content"] for t in spec.get("added_tokens", []) if not (special_as_text and t.get("special"))]
     ranks = {bytes(byte[c] for c in token): k for token, k in vocab.items() if token not in added}
     fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def quick(text: str) -> list[int]:
-        return exact(text) if any(a in text for a in added) else fast.encode_ordinary(text)
+        return exact(text) if any(a in text for a in apart) or has_long_blank(text) else fast.encode_ordinary(text)
 
     return quick
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import archives, chat, fingerprint, language, mixture, neighbours, packing, runs, secrets, shards
+from lodestar.llm import alignment, archives, chat, fingerprint, language, mixture, neighbours, packing, runs, secrets, shards
 from lodestar.llm.ngram_join import near_duplicate_components
 from lodestar.llm.shared import shared_folder
 
@@ -121,6 +121,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(table(spark, sf_dir, "documents"), edited=True))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: tokens of a byte-level and a piece vocabulary, their groups and links."""
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -220,6 +225,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_tiered_shards": op10_tiered_shards,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLE_SQL = {
     "op2_ngram_join": OP2_SQL,
