@@ -102,7 +102,7 @@ def test_chunks_of_many_pairs(spark):
     """More than 65,536 pairs in a chunk take wider codes."""
     rng = np.random.default_rng(1)
     pieces = [p.decode() for p in alignment.piece_tokens(B)[1] if p.strip().isalpha() and p.isascii()]
-    texts = [(k, "".join(rng.choice(pieces, 40_000))) for k in range(5)]
+    texts = [(k, "".join(rng.choice(pieces, 40_000))) for k in range(9)]
     got = alignment.align_tokens(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), A, B, 1 << 30)
     counts, rows = Counter(), {}
     for k, text in texts:
