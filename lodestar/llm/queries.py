@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import alignment, archives, chat, fingerprint, language, mixture, neighbours, packing, runs, secrets, shards
+from lodestar.llm import alignment, archives, chat, fingerprint, language, mixture, neighbours, packing, runs, secrets, shards, substrings
 from lodestar.llm.ngram_join import near_duplicate_components
 from lodestar.llm.shared import shared_folder
 
@@ -126,6 +126,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 35 words or more that stand anywhere else."""
+    return substrings.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -213,6 +218,20 @@ UNION ALL SELECT doc_id, domain, lang, source, tokens, epochs + 1, least(tokens,
 
 OP10_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
 
+OP13_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (
+  SELECT r, unnest(list_transform(range(1, len(ws) - 33), lambda i: {'i': i, 'h': md5(array_to_string(ws[i:i+34], ' '))}), recursive := true)
+  FROM w WHERE len(ws) >= 35),
+f AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM g JOIN f USING (h)),
+t AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM t ANTI JOIN c USING (r, k) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_ngram_join": op2_ngram_join,
@@ -226,6 +245,7 @@ QUERIES = {
     "op10_tiered_shards": op10_tiered_shards,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_token_alignment": op12_token_alignment,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 ORACLE_SQL = {
     "op2_ngram_join": OP2_SQL,
@@ -234,4 +254,5 @@ ORACLE_SQL = {
     "op5_chat_format": OP5_SQL,
     "op6_hierarchical_mix": OP6_SQL,
     "op10_tiered_shards": OP10_SQL,
+    "op13_substring_dedup": OP13_SQL,
 }
