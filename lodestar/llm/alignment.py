@@ -5,6 +5,9 @@ tokenizers are lexsorted by start, `maximum.accumulate` gives the furthest end s
 it: there, tokens of both end. Within groups overlaps are expanded: at every distinct start one A token and one B token are
 open, and each such pair of occurrences is a link (both tokenizers tile the same bytes, so a pair shares one stretch).
 
+Where both vocabularies allow it (see cut_where), texts are first cut before spaces: both tokenizers end a token there, so the
+distinct words of a chunk are tokenized and aligned once, all of them end to end, and texts are put together from them.
+
 How often an id pair is linked in the whole corpus is summed from the distinct pairs of each chunk (about 4 MB of text, or one
 longer text) and sent back to the chunks that have the pair, so neither all links nor all pairs are anywhere at once: texts
 and ids never leave their task, the links of a document travel as codes of its chunk's pairs (two bytes each, four in chunks
@@ -19,7 +22,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import functools
-import itertools
+import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -29,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.packing import byte_of_char, encoder, read_vocabulary
+from lodestar.llm.packing import byte_of_char, encoder, is_byte_level, read_vocabulary
 from lodestar.llm.shared import drop_folder, materialize, shared_folder
 
 CHUNK_BYTES = 4 << 20
 #: Codes of a chunk's pairs take two bytes up to so many pairs.
 NARROW = 1 << 16
+#: Where texts are cut, and what keeps words from being all between single spaces.
+CUT, DOUBLE = re.compile(r"(?<=\S)(?= [\s\S])"), re.compile(r"\s | \Z")
 DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 LINKED = f"chunk long, {DOC}, groups_sha256 string, links binary, pairs array<long>, counts array<long>"
 SCHEMA = f"{DOC}, n_best long, count_sum long, groups_sha256 string"
@@ -83,61 +88,141 @@ def coalesce(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray,
     return group[:a], group[a:], last - open_b[last], open_b[last] - 1
 
 
-def _link(path_a: str, path_b: str, chunk_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (encode_a, bytes_a), (encode_b, bytes_b) = byte_tokens(path_a), piece_tokens(path_b)
-        sizes_a, sizes_b = (np.array([len(x) for x in table], np.int64) for table in (bytes_a, bytes_b))
+def cut_where(path_a: str, pieces: list[bytes]) -> bool:
+    """Whether texts may be cut before each space that follows another character: the pattern of byte-level files ends a token
+    there, and no piece of the other vocabulary has a space behind another character."""
+    return is_byte_level(path_a) and not any(b" " in piece.lstrip(b" ") for piece in pieces)
+
+
+def cut(text: str) -> list[str]:
+    """The words of space + text, each without the space it begins with."""
+    if not DOUBLE.search(text) and not text.startswith(" "):
+        return text.split(" ")
+    return [w[1:] for w in CUT.split(f" {text}")]
+
+
+def _ends(group: np.ndarray) -> np.ndarray:
+    """Which tokens are the last of their group."""
+    out = np.ones(len(group), bool)
+    out[:-1] = group[1:] > group[:-1]
+    return out
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _gather(sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Places of all elements of the lists named by codes, where lists of the given sizes lie end to end."""
+    n = sizes[codes]
+    return np.repeat(_starts(sizes)[codes] - _starts(n), n) + np.arange(n.sum())
+
+
+class Aligner:
+    """Aligns the distinct words of texts."""
+
+    def __init__(self, path_a: str, path_b: str) -> None:
+        (self.encode_a, bytes_a), (self.encode_b, bytes_b) = byte_tokens(path_a), piece_tokens(path_b)
+        self.bytes = bytes_a, bytes_b
+        self.sizes = [np.array([len(x) for x in table], np.int64) for table in self.bytes]
+        self.cuts = cut_where(path_a, bytes_b)
         # a token's number and what follows it: "," within its side, "|" after the last A, ";" after the last B of a group
-        shown = [f"{k}{end}" for end in ",|" for k in range(len(bytes_a))] + [f"{k}{end}" for end in ",;" for k in range(len(bytes_b))]
-        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+        self.shown = [f"{k}{end}" for end in ",|" for k in range(len(bytes_a))] + [f"{k}{end}" for end in ",;" for k in range(len(bytes_b))]
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, or the whole text if it may not be cut; none if it is empty."""
+        return (cut(text) if self.cuts else [text]) if text else []
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Whether each word's tokens have its bytes, and if so its A and B tokens: their numbers, and all end to end."""
+        found = []
+        for word in words:
+            sides, raw = (self.encode_a(f" {word}"), self.encode_b(word)), f" {word}".encode()
+            same = all(b"".join([table[k] for k in ids]) == raw for table, ids in zip(self.bytes, sides, strict=True))
+            found.append(sides if same else None)
+        numbers = [np.array([len(x[side]) if x else 0 for x in found], np.int64) for side in (0, 1)]
+        flat = [np.array([k for x in found if x for k in x[side]], np.int64) for side in (0, 1)]
+        return np.array([x is not None for x in found], bool), numbers, flat
 
-        def tokens(text: str | None) -> tuple[list[int], list[int]]:
-            if not text:
-                return [], []
-            whole = f" {text}"
-            a, b, raw = encode_a(whole), encode_b(text), whole.encode()
-            same = b"".join([bytes_a[k] for k in a]) == raw and b"".join([bytes_b[k] for k in b]) == raw
-            return (a, b) if same else ([], [])
+    def _together(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The same of words that end without white space, as one text, which has the same tokens."""
+        text = " ".join(words)
+        raw = f" {text}".encode()
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        numbers, flat = [], []
+        for ids, table, sizes in zip((self.encode_a(f" {text}"), self.encode_b(text)), self.bytes, self.sizes, strict=True):
+            ids = np.array(ids, np.int64)
+            upto = np.cumsum(sizes[ids])
+            at = np.searchsorted(upto, ends)
+            if b"".join([table[k] for k in ids.tolist()]) != raw or (upto[at] != ends).any():
+                return self._apart(words)
+            numbers.append(np.diff(np.append(-1, at)))
+            flat.append(ids)
+        return np.ones(len(words), bool), numbers, flat
+
+    def align(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: whether it can be aligned, its A tokens, B tokens and shown groups; then the numbers of groups and
+        links, and all links (B id, A id) in order."""
+        odd = np.array([not self.cuts or len(w) > 1000 or not w or w[-1].isspace() or "▁" in w for w in words], bool)
+        plain = [w for w, o in zip(words, odd.tolist(), strict=True) if not o]
+        halves = [self._together(plain)] if plain else []
+        halves.append(self._apart([w for w, o in zip(words, odd.tolist(), strict=True) if o]))
+        place = np.argsort(np.argsort(odd, kind="stable"), kind="stable")  # of each word: plain ones first
+        good = np.concatenate([h[0] for h in halves])[place]
+        (n_a, a), (n_b, b) = ((np.concatenate([h[1][side] for h in halves]), np.concatenate([h[2][side] for h in halves])) for side in (0, 1))
+        a, b = a[_gather(n_a, place)], b[_gather(n_b, place)]
+        n_a, n_b = n_a[place], n_b[place]
+        group_a, group_b, link_a, link_b = coalesce(self.sizes[0][a], self.sizes[1][b])
+        word_a = np.repeat(np.arange(len(words)), n_a)
+        ends_a, ends_b = _ends(group_a), _ends(group_b)
+        n_groups = np.bincount(word_a[ends_a], minlength=len(words))
+        n_links = np.bincount(word_a[link_a], minlength=len(words))
+        order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.concatenate([group_a, group_b])))
+        number = np.concatenate([a + len(self.bytes[0]) * ends_a, b + 2 * len(self.bytes[0]) + len(self.bytes[1]) * ends_b])[order].tolist()
+        parts, shown, at = [self.shown[k] for k in number], [], 0
+        for n in (n_a + n_b).tolist():
+            shown.append("".join(parts[at : at + n]))
+            at += n
+        return good, n_a, n_b, shown, n_groups, n_links, b[link_b] << 32 | a[link_a]
+
+
+def _link(path_a: str, path_b: str, chunk_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = Aligner(path_a, path_b)
+        chunk = TaskContext.get().partitionId() << 32
+        held, words, size = [], {}, 0
 
         def out() -> pa.RecordBatch:
-            ids, a, b = zip(*held, strict=True)
-            n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-            a, b = (np.fromiter(itertools.chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
-            group_a, group_b, link_a, link_b = coalesce(sizes_a[a], sizes_b[b])
-            doc_a, doc_b = np.repeat(np.arange(len(ids)), n_a), np.repeat(np.arange(len(ids)), n_b)
-            firsts = np.flatnonzero(np.append(True, group_a[1:] > group_a[:-1])) if len(a) else np.empty(0, np.int64)
-            n_groups = np.bincount(doc_a[firsts], minlength=len(ids))
-            n_links = np.bincount(doc_a[link_a], minlength=len(ids))
-            pairs, codes, counts = np.unique(b[link_b] << 32 | a[link_a], return_inverse=True, return_counts=True)
-            codes = codes.astype("<u2" if len(pairs) <= NARROW else "<u4")
-
-            def number(k: np.ndarray, group: np.ndarray, first: int, n: int) -> np.ndarray:
-                return first + k + n * np.append(group[1:] > group[:-1], [True] * bool(len(k)))
-
-            number_a = number(a, group_a, 0, len(bytes_a))
-            number_b = number(b, group_b, 2 * len(bytes_a), len(bytes_b))
-            order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.concatenate([group_a, group_b])))
-            parts = [shown[k] for k in np.concatenate([number_a, number_b])[order].tolist()]
-            digests, links, part, link = [], [], 0, 0
-            for tokens_, n in zip((n_a + n_b).tolist(), n_links.tolist(), strict=True):
-                text = "".join(parts[part : part + tokens_])[:-1]
-                digests.append(sha256(text.encode()).hexdigest() if tokens_ else "")
-                links.append(codes[link : link + n].tobytes())
-                part, link = part + tokens_, link + n
+            ids, codes = zip(*held, strict=True)
+            good, n_a, n_b, shown, n_groups, n_links, links = aligner.align(list(words))
+            codes = [c if good[c].all() else c[:0] for c in codes]
+            flat = np.concatenate(codes)
+            used = np.zeros(len(good), bool)
+            used[flat] = True
+            pairs, of_link = np.unique(links[np.repeat(used, n_links)], return_inverse=True)
+            kind = "<u2" if len(pairs) <= NARROW else "<u4"
+            place = np.zeros(len(links), kind)
+            place[np.repeat(used, n_links)] = of_link
+            times = np.bincount(flat, minlength=len(good))
+            counts = np.bincount(place, np.repeat(times, n_links), minlength=len(pairs))[: len(pairs)].astype(np.int64)
+            digests = [sha256("".join([shown[k] for k in c.tolist()])[:-1].encode()).hexdigest() if len(c) else "" for c in codes]
+            blobs = [place[_gather(n_links, c)].tobytes() for c in codes]
+            sums = [[int(n[c].sum()) for c in codes] for n in (n_a, n_b, n_groups, n_links)]
             last = [None]  # the row of the chunk's pairs
-            longs = [pa.array([*x, None], pa.int64()) for x in (ids, n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist())]
+            longs = [pa.array([*x, None], pa.int64()) for x in (ids, *sums)]
             lists = [pa.array([None] * len(ids) + [x], pa.list_(pa.int64())) for x in (pairs, counts)]
-            arrays = [pa.array([chunk] * (len(ids) + 1), pa.int64()), *longs, pa.array(digests + last, pa.string()), pa.array(links + last, pa.binary()), *lists]
+            arrays = [pa.array([chunk] * (len(ids) + 1), pa.int64()), *longs, pa.array(digests + last, pa.string()), pa.array(blobs + last, pa.binary()), *lists]
             return pa.RecordBatch.from_arrays(arrays, [f.split(" ")[0] for f in LINKED.split(", ")])
 
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = value.as_py()
-                held.append((doc_id, *tokens(text)))
-                size += len(text or "")
+                text = value.as_py() or ""
+                own = [words.setdefault(w, len(words)) for w in aligner.words(text)]
+                held.append((doc_id, np.array(own, np.int32)))
+                size += len(text)
                 if size >= chunk_bytes:
                     yield out()
-                    chunk, held, size = chunk + 1, [], 0
+                    chunk, held, words, size = chunk + 1, [], {}, 0
         if held:
             yield out()
 
@@ -185,13 +270,9 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = C
 
 def token_groups(text: str, path_a: str, path_b: str) -> list[tuple[list[int], list[int]]]:
     """The groups of one text, as lists of A and B ids; none if the bytes of a tokenizer differ from space + text."""
-    (encode_a, bytes_a), (encode_b, bytes_b) = byte_tokens(path_a), piece_tokens(path_b)
-    a, b = encode_a(f" {text}"), encode_b(text)
-    if not text or any(b"".join(t[k] for k in x) != f" {text}".encode() for x, t in ((a, bytes_a), (b, bytes_b))):
+    aligner = Aligner(path_a, path_b)
+    good, _, _, shown, *_ = aligner.align(aligner.words(text))
+    if not text or not good.all():
         return []
-    group_a, group_b, *_ = coalesce(*(np.array([len(t[k]) for k in x], np.int64) for x, t in ((a, bytes_a), (b, bytes_b))))
-    groups = [([], []) for _ in range(int(group_a[-1]) + 1)]
-    for side, (ids, own) in enumerate(((a, group_a), (b, group_b))):
-        for k, g in zip(ids, own.tolist(), strict=True):
-            groups[g][side].append(k)
-    return groups
+    sides = (group.split("|") for group in "".join(shown)[:-1].split(";"))
+    return [tuple([int(k) for k in side.split(",")] for side in group) for group in sides]

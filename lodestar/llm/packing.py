@@ -64,6 +64,15 @@ def has_long_blank(text: str, most: int = LONGEST_BLANK) -> bool:
     return len(text) > most and any(m.end() - m.start() > most for m in BLANK.finditer(text))
 
 
+def is_byte_level(path: str) -> bool:
+    """Whether a file of the `tokenizers` library cuts plain texts by PATTERN and nothing else."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    split = spec.get("pre_tokenizer") or {}
+    alone = not spec.get("normalizer") and not split.get("add_prefix_space") and all(t.get("special") for t in spec.get("added_tokens", []))
+    return alone and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+
+
 @functools.cache
 def encoder(path: str, special_as_text: bool = False) -> Callable[[str], list[int]]:
     """text -> ids as the `tokenizers` library gives them for this file, without added special tokens.

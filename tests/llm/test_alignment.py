@@ -102,7 +102,7 @@ def test_chunks_of_many_pairs(spark):
     """More than 65,536 pairs in a chunk take wider codes."""
     rng = np.random.default_rng(1)
     pieces = [p.decode() for p in alignment.piece_tokens(B)[1] if p.strip().isalpha() and p.isascii()]
-    texts = [(k, "".join(rng.choice(pieces, 40_000))) for k in range(9)]
+    texts = [(k, "".join(rng.choice(pieces, 40_000))) for k in range(12)]
     got = alignment.align_tokens(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), A, B, 1 << 30)
     counts, rows = Counter(), {}
     for k, text in texts:
@@ -113,6 +113,23 @@ def test_chunks_of_many_pairs(spark):
     assert {r.doc_id: r.count_sum for r in got.collect()} == {k: sum(counts[x] for x in links) for k, links in rows.items()}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from(" \n\t\x1f\u00a0\u2003ab'1.é-"), max_size=60))
+def test_words_are_tokenized_as_in_the_whole_text(text):
+    words = [" " + w for w in alignment.cut(text)]
+    assert "".join(words) == " " + text
+    assert all(not w[-1].isspace() for w in words[:-1])
+    (encode_a, _), (encode_b, _) = alignment.byte_tokens(A), alignment.piece_tokens(B)
+    assert alignment.cut_where(A, alignment.piece_tokens(B)[1])
+    assert [k for w in words for k in encode_a(w)] == Tokenizer.from_file(A).encode(" " + text).ids
+    assert [k for w in words for k in encode_b(w[1:])] == encode_b(text) or not text
+
+
+def test_texts_that_may_not_be_cut():
+    assert not alignment.cut_where(A, [b" a", b"b c"])
+    assert not alignment.cut_where(queries.tokenizer("word_bpe_49k.json"), [b" a"])
+
+
 def _spread(x, y):
     (_, a), (_, b) = alignment.byte_tokens(A), alignment.piece_tokens(B)
     _, _, i, j = alignment.coalesce(np.array([len(a[k]) for k in x]), np.array([len(b[k]) for k in y]))
