@@ -9,7 +9,7 @@ in. At most about `per_language` rows of each language are used, chosen by a has
 sample); the model has a fixed size per language.
 
 Edge cases: null texts and texts without letters are `und` with score 0 and no spans. Without any labelled row every
-text is `und`. Rows with a null label are not learned from. Repeated rows are labelled each. Other columns are kept.
+text is `und`. More than MOST_LANGUAGES labels are an error. Rows with a null label are not learned from. Repeated rows are labelled each. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import mix
+from lodestar.llm.shared import free_name, mix
 
 GRAMS = (2, 3)
 BUCKETS = 1 << 16
 SWITCH = 12.0
 PER_LANGUAGE = 2000
+#: A model has 65,536 numbers a language; more labels than this are refused.
+MOST_LANGUAGES = 500
 LEAST_SHARE = 0.01
 BLOCK = 256
 CHUNK = 250_000
@@ -142,7 +144,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Model from rows (doc_id, text, lang); about per_language rows of each language, by a hash of doc_id, are read."""
     known = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = labelled.sparkSession.createDataFrame(sizes, "lang string, n long")
     share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) / 1e6
     sample = known.join(F.broadcast(sizes), "lang").where(share < per_language / F.col("n")).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, kind long, slot long, n long")
@@ -244,7 +249,8 @@ def label_texts(model: Model, texts: list[str | None], switch: float = SWITCH) -
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "language", switch: float = SWITCH) -> DataFrame:
-    """docs with a column `into`: struct of lang, score and spans (lang, start, end in code points)."""
+    """docs with a column `into`: struct of lang, score and spans (lang, start, end in code points); if docs has a column of
+    that name, it stays and the new one is called into_2 (see free_name)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(RESULT)
@@ -253,4 +259,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "lan
         return pa.array([row for part in parts for row in part], SPANS)
 
     # Not deterministic to Spark, so that a filter on the result does not make it compute the column twice.
-    return docs.withColumn(into, labelled.asNondeterministic()(F.col(text).cast("string")))
+    return docs.withColumn(free_name(docs, into), labelled.asNondeterministic()(F.col(text).cast("string")))

@@ -85,16 +85,20 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, Column], to
     return out.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column], total: Column, max_epochs: int = 4, seed: int = 17) -> DataFrame:
+def mix(
+    docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column], total: Column, max_epochs: int = 4, seed: int = 17, row: str | None = None
+) -> DataFrame:
     """Rows of docs that the mixture takes: doc_id, the levels, tokens, epochs (how often whole), taken (tokens of one
-    more epoch, null if none)."""
-    names = list(levels)
-    rows = stored(docs.select("doc_id", *[c.cast("string").alias(n) for n, c in levels.items()], token_count(F.col("text")).alias("tokens")))
+    more epoch, null if none). row: a column of distinct numbers, which is returned too and orders rows that share a
+    doc_id or have none."""
+    names, own = list(levels), ["doc_id"] if row is None else ["doc_id", row]
+    rows = stored(docs.select(*own, *[c.cast("string").alias(n) for n, c in levels.items()], token_count(F.col("text")).alias("tokens")))
     leaves = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     plan = budgets(leaves, names, weights, total, max_epochs)
     plan = plan.select(*[F.col(n).alias(f"leaf_{n}") for n in names], F.col("tokens").alias("leaf_tokens"), "epochs", "rest")
     placed = rows.join(plan, [rows[n].eqNullSafe(F.col(f"leaf_{n}")) for n in names]).drop(*[f"leaf_{n}" for n in names])
-    placed = placed.withColumn("key", order_key(seed, F.col("epochs") + 1, F.col("doc_id")))
+    ident = F.col("doc_id").cast("string") if row is None else F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col(row)))
+    placed = placed.withColumn("key", order_key(seed, F.col("epochs") + 1, ident))
     placed = placed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sums = placed.groupBy(*names, "bucket").agg(F.sum("tokens").alias("bucket_tokens"), F.max("rest").alias("b_rest"))
     in_leaf = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,12 +111,12 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     )
     on = [placed[n].eqNullSafe(F.col(f"b_{n}")) for n in names] + [placed.bucket == F.col("b_bucket")]
     sided = placed.join(sums, on).drop(*[f"b_{n}" for n in names], "b_bucket")
-    within = Window.partitionBy(*names, "bucket").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*names, "bucket").orderBy("key", *own, "tokens").rowsBetween(Window.unboundedPreceding, -1)
     cut = sided.where("side = 'cut'").withColumn("start", F.col("offset") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     cut = cut.withColumn("taken", F.expr("case when start < rest then least(tokens, rest - start) end")).drop("start")
     even = sided.where("side <> 'cut'").withColumn("taken", F.when(F.col("side") == "in", F.col("tokens")))
     every = even.unionByName(cut).where("epochs > 0 or taken is not null")
-    return every.select("doc_id", *names, "tokens", F.col("epochs").cast("long").alias("epochs"), "taken")
+    return every.select(*own, *names, "tokens", F.col("epochs").cast("long").alias("epochs"), "taken")
 
 
 def epochs_of(mixed: DataFrame) -> DataFrame:

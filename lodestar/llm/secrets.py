@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lodestar.llm.shared import free_name
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -82,7 +84,8 @@ def scan(text: str | None, tokens, min_run: int = MIN_RUN, max_ratio: float = MA
 
 
 def find_secrets(docs: DataFrame, vocabulary: str, text: str = "text", spans: str = "spans", min_run: int = MIN_RUN, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """docs with a column of spans, an array of (kind, start, end). vocabulary: a tiktoken rank file on every executor."""
+    """docs with a column of spans, an array of (kind, start, end); if docs has a column of that name, it stays and the new
+    one is called spans_2 (see free_name). vocabulary: a tiktoken rank file on every executor."""
 
     @F.arrow_udf(SPANS)
     def spans_of(texts: pa.Array) -> pa.Array:
@@ -91,7 +94,7 @@ def find_secrets(docs: DataFrame, vocabulary: str, text: str = "text", spans: st
         return pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in row] for row in found], SPAN_LIST)
 
     # Not deterministic to Spark, so that several uses of the spans do not make it scan the texts again.
-    return docs.withColumn(spans, spans_of.asNondeterministic()(F.col(text).cast("string")))
+    return docs.withColumn(free_name(docs, spans), spans_of.asNondeterministic()(F.col(text).cast("string")))
 
 
 def hide(text: str | None, found: list[tuple[str, int, int]]) -> str | None:

@@ -24,6 +24,12 @@ def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name_2, name_3, .. if df has a column of that name already (capital letters don't matter)."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(2, len(taken) + 3))) if n.lower() not in taken)
+
+
 def small(df: DataFrame, most: int = 1 << 19) -> DataFrame:
     """df, a written table of narrow rows, marked for a broadcast join if it has at most `most` rows: about 16 MB."""
     return F.broadcast(df) if df.count() <= most else df

@@ -94,3 +94,16 @@ def test_query_without_doc_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [r for r in queries.op8_language_spans(spark, str(tmp_path)).collect() if r.doc_id is None]
     assert sorted((r.held_out, r.lang_pred) for r in got) == [(False, "el"), (False, "und")]
+
+
+def test_a_column_of_that_name_stays(spark):
+    docs = spark.createDataFrame([(k, t, l, "mine") for k, (t, l) in enumerate([("the house of the king", "en"), ("das Haus der Katze", "de")] * 5)], "doc_id long, text string, lang string, language string")
+    got = L.identify(docs, L.learn(docs))
+    assert got.columns == [*docs.columns, "language_2"]
+    assert {(r.language, r.language_2.lang == r.lang) for r in got.collect()} == {("mine", True)}
+
+
+def test_too_many_languages(spark):
+    rows = spark.range(L.MOST_LANGUAGES + 1).selectExpr("id as doc_id", "'some words' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="languages"):
+        L.learn(rows)

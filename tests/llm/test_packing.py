@@ -95,3 +95,17 @@ def test_pieces_hold_every_token(spark):
 def test_small_tables(spark, rows):
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
     assert [(r.doc_id, r.start, r.length, r.ids) for r in got] == [(1, 0, 1, [1])] * len(rows)
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 5_000_000, "\n" * 5_000_000, "\t" * 1_000_000 + "b", "x" * 300_000, "1" * 300_000, "-" * 300_000, (" " * 70_000 + "y") * 3])
+def test_ids_of_very_long_texts(text):
+    exact = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(PATH)(text) == exact
+
+
+def test_strings_of_special_tokens_as_plain_text():
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    text = "a<|endoftext|>b <|endoftext|>"
+    assert packing.encoder(PATH, special_as_text=True)(text) == plain.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(PATH)(text) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from lodestar.llm import packing, queries
@@ -115,3 +117,31 @@ def test_one_row_of_each_group_stays(spark, seed):
         smallest[g] = min(d, smallest.get(g, d))
     assert sorted(r.doc_id for r in kept) == sorted(smallest.values())
     assert {(r.doc_id, r.text) for r in kept} <= set(rows)
+
+
+def test_columns_with_the_names_of_helpers(spark, docs):
+    own = {"_language": "'mine'", "text_hash": "7L", "_row": "'r'", "spans": "'s'", "language": "'l'", "key": "'k'", "domain": "'d'", "tokens": "'t'", "Count": "'c'", "first": "'f'"}
+    clashing = docs.selectExpr("*", *(f"{v} as {c}" for c, v in own.items()))
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, clashing, "")
+        assert got.columns == clashing.columns
+        assert {tuple(r[c] for c in own) for r in got.collect()} == {("mine", 7, "r", "s", "l", "k", "d", "t", "c", "f")}
+    assert P.pack(spark, clashing, "").count() == P.pack(spark, docs, "").count()
+
+
+@pytest.mark.parametrize("ids", ["null", "5", "id", "id div 40"])
+def test_mixture_takes_rows_one_by_one(spark, ids):
+    """Rows of equal length: nine in ten stay, also without a doc_id, with one for all, or with few."""
+    rows = spark.range(200).selectExpr(f"cast({ids} as long) as doc_id", "'one two three' as text", "'en' as lang", "'src1' as source", "13L as n_chars")
+    assert P.keep_mixture(spark, rows, "").count() == 180
+    named = rows.withColumn("text", F.concat(F.lit("one two "), F.monotonically_increasing_id()))
+    kept = [r.text for r in P.keep_mixture(spark, named, "").collect()]
+    assert len(set(kept)) == len(kept) == 180
+
+
+def test_packing_of_long_white_space(spark):
+    texts = ["a" + " " * 1_000_000, "\n" * 1_000_000 + "b", "x" + "\t" * 1_000_000]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    got = P.pack(spark, docs, "").collect()
+    exact = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    assert {r.doc_id: r.doc_tokens for r in got} == {k: len(exact.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}

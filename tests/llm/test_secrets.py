@@ -81,3 +81,11 @@ def test_column_and_redaction(spark):
     assert len(rows) == 5 and got[1] == ("assign:2:27,access:28:48", "é [SECRET] [SECRET] end")
     assert got[2] == ("", None) and got[3] == ("", "") and got[4] == ("", "x" * 200_000)
     assert S.find_secrets(df.limit(0), PATH).count() == 0
+
+
+def test_a_column_of_that_name_stays(spark):
+    docs = spark.createDataFrame([(1, "password=abcdef0123456789", "mine", 2)], "doc_id long, text string, Spans string, spans_2 int")
+    got = S.find_secrets(docs, PATH)
+    assert got.columns == ["doc_id", "text", "Spans", "spans_2", "spans_3"]
+    row = got.first()
+    assert (row[2], row[3], row[4][0].kind) == ("mine", 2, "assign")
