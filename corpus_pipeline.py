@@ -4,10 +4,12 @@
 2. near_duplicates: of each group of near duplicates the document of the smallest doc_id stays (of several of that
    doc_id, the one whose text's hash is smallest, and one row of it). Texts without words are no duplicates.
 3. secrets: secrets are replaced by [SECRET] in the texts; digests of the usual lengths are left alone.
-4. mixture: nine tenths of the tokens, by the weights of domain, language and source; at most one epoch.
+4. mixture: nine tenths of the tokens, by the weights of domain, language and source; at most one epoch. Each row is taken
+   or left by itself: those without a doc_id, and those that share one, are told apart by a number of their own.
 5. packing: the texts as pieces of sequences of at most 2048 tokens (columns of the packing operator).
 
-All but the last return the columns they got. Edge cases are those of the operators; rows with a null doc_id pass the
+All but the last return the columns they got, whatever those are called: columns that a stage needs for itself get names
+that are free. Edge cases are those of the operators; rows with a null doc_id pass the
 second stage and are mixed like others. An empty table gives an empty result.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import language, mixture, packing, queries, secrets
 from lodestar.llm.ngram_join import near_duplicate_components
-from lodestar.llm.shared import materialize, shared_folder, small
+from lodestar.llm.shared import free_name, materialize, shared_folder, small
 from lodestar.session import ship
 
 
@@ -28,17 +30,19 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ship(spark)
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     model = language.learn(docs.where(~held_out))
-    found = language.identify(docs, model, into="_language").where("_language.lang <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "_language.lang")).select(docs.columns)
+    own = free_name(docs, "_language")
+    found = language.identify(docs, model, into=own).where(F.col(own)["lang"] != "und")
+    return found.withColumn("lang", F.coalesce("lang", F.col(own)["lang"])).select(docs.columns)
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_duplicate_components(docs, text_hash=True).where("doc_id is not null")
-    folder, row = shared_folder(spark), ["doc_id", "text_hash"]
+    own = free_name(docs, "text_hash")
+    classes = near_duplicate_components(docs, text_hash=True).where("doc_id is not null").withColumnRenamed("text_hash", own)
+    folder, row = shared_folder(spark), ["doc_id", own]
     others = materialize(classes.where("not first").select(row).distinct(), folder, "others")
     copies = classes.where("first and n_shingles > 0").groupBy(row).count().where("count > 1").select(row)
     copies = small(materialize(copies, folder, "copies"))
-    kept = docs.withColumn("text_hash", F.xxhash64("text")).join(small(others), row, "left_anti")
+    kept = docs.withColumn(own, F.xxhash64("text")).join(small(others), row, "left_anti")
     once = kept.join(copies, row, "left_semi").dropDuplicates(row)
     return kept.join(copies, row, "left_anti").unionByName(once).select(docs.columns)
 
@@ -49,10 +53,10 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    total = F.floor(F.col("tokens") * 9 / 10)
-    taken = mixture.mix(docs, queries.mixture_levels(), queries.mixture_weights(), total, max_epochs=1)
-    ids = taken.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids["_id"]), "left_semi").select(docs.columns)
+    total, row = F.floor(F.col("tokens") * 9 / 10), free_name(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), shared_folder(spark), "rows")
+    taken = mixture.mix(rows, queries.mixture_levels(), queries.mixture_weights(), total, max_epochs=1, row=row)
+    return rows.join(taken.select(row), row, "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
