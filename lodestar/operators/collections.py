@@ -1,24 +1,29 @@
 """Collections on plain Parquet: registry, upserts and deletes as new snapshots, checks and the ledger of load jobs.
 
-A collection is a folder of immutable parts. Each version is one small file that lists the parts it consists of, oldest
-first, and that is created without overwriting, so of two writers that follow the same version one gets an error and has
-changed nothing. A batch is added as one new part; where a key is in several parts, the newest part's row counts. Parts
-are merged when four or more at the end are together as large as the one before them, so a row is rewritten about
-log4(rows / batch) times in all, and a reader meets few parts.
+A collection is a folder of immutable parts. Each version is one small file that appears whole and is never overwritten; it
+holds the declared schema, the partition key, the width of the vectors and the parts, oldest first. Of two writers that follow
+the same version one gets an error and has changed nothing. A batch is added as one new part; where a key is in several parts,
+the newest part's row counts. Parts are merged when four or more at the end are together as large as the one before them, so a
+row is rewritten about log4(rows / batch) times in all, and a reader meets few parts. A reader takes the keys of the newer
+parts, which are few, out of the oldest part where it stands: they are broadcast if their number, which the version knows, is
+small, and the oldest part is not shuffled then.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import time
 import uuid
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import urlsplit
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,19 +40,28 @@ MERGE = 4
 FOOTERS = 8
 
 
-def _versions(spark: SparkSession, folder: str) -> Commits:
-    return Commits(spark, f"{folder}/versions")
+#: Keys of newer parts that are broadcast to the oldest part, at most: about 16 MB.
+MOST_SENT = 1 << 19
 
 
-def _parts(spark: SparkSession, folder: str, version: int) -> list[dict]:
-    """path and rows of the parts of a version, oldest first."""
-    return json.loads(_versions(spark, folder).text(version)) if version else []
+@dataclass(frozen=True)
+class State:
+    """What a version of a collection says."""
 
+    version: int
+    schema: StructType | None
+    partition_by: tuple[str, ...] = ()
+    vector: str | None = None
+    dim: int | None = None
+    parts: tuple[dict, ...] = ()
 
-def _written(df: DataFrame, folder: str, partition_by: list[str]) -> dict:
-    path = f"{folder}/parts/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return {"path": path, "rows": df.sparkSession.read.parquet(path).count()}
+    def text(self, *parts: dict) -> str:
+        declared = {"partition_by": self.partition_by, "vector": self.vector, "dim": self.dim}
+        return json.dumps(declared | {"schema": self.schema.jsonValue(), "parts": parts})
+
+
+def _versions(spark: SparkSession, folder: str) -> Commits:
+    return Commits(spark, f"{folder}/versions")
 
 
 def version_of(spark: SparkSession, folder: str) -> int:
@@ -55,54 +69,124 @@ def version_of(spark: SparkSession, folder: str) -> int:
     return _versions(spark, folder).newest()
 
 
-def write_snapshot(df: DataFrame, folder: str, partition_by: list[str] = [], after: int | None = None) -> int:  # noqa: B006
-    """Make df the whole content of a collection; returns the version. after: the version that df was computed from, by
-    default the newest one; if another writer has followed it, this is an error."""
+def state_of(spark: SparkSession, folder: str, version: int | None = None) -> State:
+    """The newest or a given version of a collection; version 0 has no schema and no parts."""
+    version = version_of(spark, folder) if version is None else version
+    if not version:
+        return State(0, None)
+    said = json.loads(_versions(spark, folder).text(version))
+    return State(version, StructType.fromJson(said["schema"]), tuple(said["partition_by"]), said["vector"], said["dim"], tuple(said["parts"]))
+
+
+def create_collection(
+    spark: SparkSession, folder: str, schema: StructType, partition_by: Sequence[str] = (), vector: str | None = None, dim: int | None = None, exists: str = "error"
+) -> int:
+    """Declare a collection, empty, as version 1: its schema, the columns its files are partitioned by, and the width of its
+    vectors. One that is there already is an error, or, with exists="ignore", stays as it is. Returns the version."""
+    if exists not in ("error", "ignore"):
+        raise ValueError(f"exists must be error or ignore, not {exists!r}")
+    lacking = sorted({*partition_by, *([vector] if vector else [])} - set(schema.names))
+    if lacking:
+        raise ValueError(f"the schema lacks {lacking}")
+    version = version_of(spark, folder)
+    if not version:
+        try:
+            return _versions(spark, folder).add(State(0, schema, tuple(partition_by), vector, dim).text(), 0)
+        except RuntimeError:
+            version = version_of(spark, folder)
+    if exists == "error":
+        raise CollectionExists(f"{folder} is a collection already")
+    return version
+
+
+class CollectionExists(ValueError):
+    """A collection of that name is there already."""
+
+
+def _fitting(df: DataFrame, state: State) -> DataFrame:
+    """df with the declared columns in their order; columns that df lacks are null, others and other types are an error."""
+    have, plain = dict(df.dtypes), {f.name: f.dataType.simpleString() for f in state.schema}
+    wrong = sorted(f"{c} is {have[c]}, not {plain.get(c, 'declared')}" for c in have if have[c] != plain.get(c))
+    if wrong:
+        raise ValueError(f"columns do not fit the collection: {wrong}")
+    return df.select([F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema])
+
+
+def _written(df: DataFrame, folder: str, state: State) -> dict:
+    """A new part with the rows of df: path and rows. Vectors that are not of the declared width are an error, found where the
+    part is written, and the part is not used then."""
+    path = f"{folder}/parts/{uuid.uuid4().hex}"
+    checked = bool(state.vector and state.dim)
+    bad = ~F.coalesce(has_dim(F.col(state.vector), state.dim), F.lit(False)) if checked else F.lit(False)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("wrong")).write.partitionBy(*state.partition_by).parquet(path)
+    if seen.get["wrong"]:
+        raise ValueError(f"{seen.get['wrong']} vectors are not {state.dim} wide")
+    return {"path": path, "rows": seen.get["rows"]}
+
+
+def write_snapshot(df: DataFrame, folder: str, partition_by: Sequence[str] = (), after: int | None = None, vector: str | None = None, dim: int | None = None) -> int:
+    """Make df the whole content of a collection; returns the version.
+
+    Without `after` the collection is new, with df's schema; if it is there already, this is an error. after: the version that
+    df was computed from; df must fit its schema, and if another writer has followed it, this is an error.
+    """
     spark = df.sparkSession
-    after = version_of(spark, folder) if after is None else after
-    return _versions(spark, folder).add(json.dumps([_written(df, folder, partition_by)]), after)
+    if after is None:
+        create_collection(spark, folder, df.schema, partition_by, vector, dim)
+        after = 1
+    state = state_of(spark, folder, after)
+    return _versions(spark, folder).add(state.text(_written(_fitting(df, state), folder, state)), after)
 
 
 def append_part(df: DataFrame, folder: str, key: str = "id") -> int:
-    """Add rows, one per key, that replace those of equal key; returns their number. Writes no more than df, but for the
-    merging of parts."""
+    """Add rows, one per key, that replace those of equal key; returns their number. df must fit the collection's schema; the
+    first rows of a new collection declare it. Writes no more than df, but for the merging of parts."""
     spark = df.sparkSession
-    version = version_of(spark, folder)
-    parts = _parts(spark, folder, version)
-    new = _written(df, folder, [])
-    version = _versions(spark, folder).add(json.dumps([*parts, new]), version)
+    state = state_of(spark, folder)
+    if not state.version:
+        create_collection(spark, folder, df.schema, exists="ignore")
+        state = state_of(spark, folder)
+    new = _written(_fitting(df, state), folder, state)
+    version = _versions(spark, folder).add(state.text(*state.parts, new), state.version)
     _merge_parts(spark, folder, key, version)
     return new["rows"]
 
 
 def _merge_parts(spark: SparkSession, folder: str, key: str, version: int) -> None:
-    parts = _parts(spark, folder, version)
+    """Merge the parts at the end that are due. If another writer is faster, the merge is dropped: the rows are in anyway."""
+    state = state_of(spark, folder, version)
+    parts = state.parts
     first, rows = len(parts) - 1, parts[-1]["rows"]
     while first > 0 and parts[first - 1]["rows"] <= rows:
         first -= 1
         rows += parts[first]["rows"]
     if len(parts) - first >= MERGE:
-        merged = _written(_newest_rows(spark, parts[first:], key), folder, [])
-        _versions(spark, folder).add(json.dumps([*parts[:first], merged]), version)
+        merged = _written(_newest_rows(spark, state, parts[first:], key), folder, state)
+        with contextlib.suppress(RuntimeError):
+            _versions(spark, folder).add(state.text(*parts[:first], merged), version)
 
 
-def _newest_rows(spark: SparkSession, parts: list[dict], key: str | None) -> DataFrame:
-    frames = [spark.read.parquet(p["path"]) for p in parts]
-    if len(frames) == 1 or key is None:
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    marked = [f.withColumn("_part", F.lit(n)) for n, f in enumerate(frames)]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
-    newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max("_part").alias("_newest"))
-    same = rows[key].eqNullSafe(newest["_key"]) & (rows["_part"] == newest["_newest"])
-    return rows.join(newest, same, "left_semi").drop("_part")
+def _newest_rows(spark: SparkSession, state: State, parts: Sequence[dict], key: str | None) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], state.schema)
+    oldest, *newer = [spark.read.schema(state.schema).parquet(p["path"]).select(state.schema.names) for p in parts]
+    if not newer or key is None:
+        return reduce(DataFrame.unionByName, newer, oldest)
+    marked = reduce(DataFrame.unionByName, (f.withColumn("_part", F.lit(n)) for n, f in enumerate(newer)))
+    keys = marked.groupBy(F.col(key).alias("_key")).agg(F.max("_part").alias("_newest"))
+    own = marked.join(keys, marked[key].eqNullSafe(keys["_key"]) & (marked["_part"] == keys["_newest"]), "left_semi").drop("_part")
+    known = reduce(DataFrame.unionByName, (f.select(F.col(key).alias("_key")) for f in newer))
+    known = F.broadcast(known) if sum(p["rows"] for p in parts[1:]) <= MOST_SENT else known
+    return oldest.join(known, oldest[key].eqNullSafe(known["_key"]), "left_anti").unionByName(own)
 
 
 def read_snapshot(spark: SparkSession, folder: str, key: str | None = "id", version: int | None = None) -> DataFrame:
     """The rows of the newest or a given version; without a key, parts are not reconciled."""
-    version = version_of(spark, folder) if version is None else version
-    if not version:
+    state = state_of(spark, folder, version)
+    if not state.version:
         raise ValueError(f"{folder} has no version")
-    return _newest_rows(spark, _parts(spark, folder, version), key)
+    return _newest_rows(spark, state, state.parts, key)
 
 
 def vacuum(spark: SparkSession, folder: str, older_than: float = 86_400) -> None:
@@ -110,7 +194,7 @@ def vacuum(spark: SparkSession, folder: str, older_than: float = 86_400) -> None
     takes from its first file to its commit, and than readers keep an older version."""
     versions = _versions(spark, folder)
     newest = versions.newest()
-    used = {p["path"].rsplit("/", 1)[1] for p in _parts(spark, folder, newest)}
+    used = {p["path"].rsplit("/", 1)[1] for p in state_of(spark, folder, newest).parts}
     root = versions.path(f"{folder}/parts")
     for status in versions.fs.listStatus(root) if versions.fs.exists(root) else ():
         old = time.time() - status.getModificationTime() / 1000 >= older_than

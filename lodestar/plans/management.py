@@ -10,16 +10,24 @@ from lodestar.plans.joins import registry
 
 
 def created(t):
-    """Collections by language as snapshots of Parquet, created empty, then filled."""
+    """A declared collection, partitioned by language; creating it again is a conflict, then it is filled in two parts."""
     folder = t.work()
     docs = t.documents.select("doc_id", "lang", "n_chars")
-    C.write_snapshot(docs.limit(0), folder)
-    empty = C.read_snapshot(t.spark, folder).count()
-    C.write_snapshot(docs, folder, after=1)
-    return C.read_snapshot(t.spark, folder).groupBy("lang").agg(F.count("*").alias("n")).withColumn("n_before", F.lit(empty).cast("long"))
-
-
-query("create_collection", created, "SELECT lang, count(*) AS n, 0 AS n_before FROM documents GROUP BY lang")
+    C.create_collection(t.spark, folder, docs.schema, ["lang"])
+    empty = C.read_snapshot(t.spark, folder, "doc_id").count()
+    conflicts = 0
+    for again in (lambda: C.create_collection(t.spark, folder, docs.schema), lambda: C.write_snapshot(docs, folder)):
+        try:
+            again()
+        except C.CollectionExists:
+            conflicts += 1
+    C.append_part(docs.where("doc_id % 3 > 0"), folder, "doc_id")
+    C.append_part(docs.where("doc_id % 3 < 2"), folder, "doc_id")
+    found = C.read_snapshot(t.spark, folder, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+    return found.withColumns({"n_before": F.lit(empty).cast("long"), "conflicts": F.lit(conflicts).cast("long")})
+
+
+query("create_collection", created, "SELECT lang, count(*) AS n, 0 AS n_before, 2 AS conflicts FROM documents GROUP BY lang")
 query("register", lambda t: C.register(registry(t), t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("1").alias("pipeline"))), "SELECT n_nationkey::VARCHAR AS id, n_name AS name, n_regionkey::VARCHAR AS pipeline FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, '1' FROM supplier")
 
 

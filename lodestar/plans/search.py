@@ -51,16 +51,22 @@ query(
     lambda t: filters.where_raw(t.documents, 'lang in ["en", "de"] && n_chars > 1500').select("doc_id", "lang", "source", "n_chars"),
     DOCS + "lang IN ('en', 'de') AND n_chars > 1500",
 )
-#: Values that hold signs of the filter language, and metadata as a text of JSON.
-SIGNED = (F.concat(F.col("lang"), F.lit(" && "), F.col("source")).alias("label"), F.to_json(F.struct("lang", "n_chars", F.array("lang", "source").alias("tags"))).alias("meta"))
+
+
+def signed(t):
+    """Values that hold signs of the filter language, and metadata as a text of JSON."""
+    label = F.concat(F.col("lang"), F.lit(" && "), F.col("source")).alias("label")
+    return t.documents.select("doc_id", label, F.to_json(F.struct("lang", "n_chars", F.array("lang", "source").alias("tags"))).alias("meta"))
+
+
 query(
     "filter_raw_literals",
-    lambda t: filters.where_raw(t.documents.select("doc_id", *SIGNED), 'label == "en && src1" || label in ["de && src2", "x in [q]"] && not label like "%||%"').select("doc_id", "label"),
+    lambda t: filters.where_raw(signed(t), 'label == "en && src1" || label in ["de && src2", "x in [q]"] && not label like "%||%"').select("doc_id", "label"),
     "SELECT * FROM (SELECT doc_id, lang || ' && ' || source AS label FROM documents) WHERE label IN ('en && src1', 'de && src2')",
 )
 query(
     "filter_raw_json",
-    lambda t: filters.where_raw(t.documents.select("doc_id", *SIGNED), 'json_contains_any(meta["tags"], ["src1", "es"]) && meta["n_chars"] >= 700 && meta["lang"] != "fr"').select("doc_id"),
+    lambda t: filters.where_raw(signed(t), 'json_contains_any(meta["tags"], ["src1", "es"]) && meta["n_chars"] >= 700 && meta["lang"] != "fr"').select("doc_id"),
     "SELECT doc_id FROM documents WHERE (source = 'src1' OR lang = 'es') AND n_chars >= 700 AND lang <> 'fr'",
 )
 query(

@@ -1,5 +1,6 @@
 import json
 import math
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -199,7 +200,7 @@ def test_registry_refuses_known_ids(spark):
 def test_snapshots(spark, tmp_path):
     folder = f"file://{tmp_path}/c"
     C.write_snapshot(spark.range(3), folder)
-    C.write_snapshot(C.read_snapshot(spark, folder).where("id > 0"), folder)
+    C.write_snapshot(C.read_snapshot(spark, folder).where("id > 0"), folder, after=C.version_of(spark, folder))
     assert sorted(r.id for r in C.read_snapshot(spark, folder).collect()) == [1, 2]
     with pytest.raises(ValueError):
         C.read_snapshot(spark, f"file://{tmp_path}/none")
@@ -223,7 +224,7 @@ def test_parts_are_merged_and_the_newest_row_counts(spark, tmp_path):
         assert C.append_part(spark.range(k, k + 3).select("id", F.lit(k).alias("v")), folder) == 3
     expected = {i: min(i, 20) for i in range(23)}
     assert {r.id: r.v for r in C.read_snapshot(spark, folder).collect()} == expected
-    parts = C._parts(spark, folder, C.version_of(spark, folder))
+    parts = C.state_of(spark, folder).parts
     assert len(parts) <= 8 and sum(p["rows"] for p in parts) < 63
     C.vacuum(spark, folder, older_than=0)
     assert {r.id: r.v for r in C.read_snapshot(spark, folder).collect()} == expected
@@ -505,6 +506,97 @@ def test_embedder_contract(spark):
         embedding.embed_column(df, "text", embedding.hash_embedder(8), 16).collect()
 
 
+# --- versions and schemas of collections
+
+DECLARED = "id long, lang string, embedding array<float>"
+
+
+def test_create_refuses_or_leaves_what_is_there(spark, tmp_path):
+    folder, schema = f"file://{tmp_path}/c", spark.createDataFrame([], DECLARED).schema
+    assert C.create_collection(spark, folder, schema, ["lang"], "embedding", 2) == 1
+    assert C.read_snapshot(spark, folder).schema == schema and C.read_snapshot(spark, folder).count() == 0
+    C.append_part(spark.createDataFrame([(1, "en", [1.0, 2.0])], DECLARED), folder)
+    for again in (lambda: C.create_collection(spark, folder, schema), lambda: C.write_snapshot(spark.range(1), folder)):
+        with pytest.raises(C.CollectionExists):
+            again()
+    assert C.create_collection(spark, folder, schema, exists="ignore") == 2
+    assert C.read_snapshot(spark, folder).count() == 1
+    with pytest.raises(ValueError, match="lacks"):
+        C.create_collection(spark, f"{folder}2", schema, ["year"])
+
+
+def test_appends_are_held_against_the_schema(spark, tmp_path):
+    folder = f"file://{tmp_path}/c"
+    C.create_collection(spark, folder, spark.createDataFrame([], DECLARED).schema, ["lang"], "embedding", 2)
+    for shape, row, said in (("id long, lang double", (1, 2.0), "lang is double, not string"), ("id long, other string", (1, "x"), "other is string, not declared"), (DECLARED, (1, "en", [1.0]), "1 vectors are not 2 wide"), ("id long, lang string", (1, "en"), "vectors")):
+        with pytest.raises(ValueError, match=said):
+            C.append_part(spark.createDataFrame([row], shape), folder)
+    assert C.version_of(spark, folder) == 1
+    for k in range(6):
+        C.append_part(spark.createDataFrame([([1.0, float(k)], k, "en"), ([2.0, 0.0], 10 + k, "de")], "embedding array<float>, id long, lang string"), folder)
+    with pytest.raises(ValueError, match="do not fit"):
+        C.write_snapshot(spark.range(2).withColumnRenamed("id", "n"), folder, after=C.version_of(spark, folder))
+    state = C.state_of(spark, folder)
+    assert C.read_snapshot(spark, folder).count() == 12 and len(state.parts) < 6
+    assert all((Path(p["path"].removeprefix("file://")) / "lang=en").is_dir() for p in state.parts)
+
+
+def test_a_writer_that_dies_stops_nobody(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/c"
+    C.append_part(spark.range(3), folder)
+    (tmp_path / "c/versions/v00000003").touch()  # as left by a writer that created its version before filling it
+    C.append_part(spark.range(3, 5), folder)
+    monkeypatch.setattr(C.Commits, "_publish", lambda self, text, target: self._write(text[:5], self.path(f"{self.folder}/_dead")) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        C.append_part(spark.range(5, 6), folder)
+    monkeypatch.undo()
+    C.append_part(spark.range(6, 7), folder)
+    assert sorted(r.id for r in C.read_snapshot(spark, folder).collect()) == [0, 1, 2, 3, 4, 6]
+    C.vacuum(spark, folder, older_than=0)
+    assert [p.name for p in (tmp_path / "c/versions").iterdir() if not p.name.startswith(".")] == [f"v{C.version_of(spark, folder):08d}"]
+
+
+@pytest.mark.parametrize("scheme", ["file", "other"])
+def test_one_of_many_writers_makes_a_version(spark, tmp_path, scheme, monkeypatch):
+    """By hard links, and by Hadoop's rename without overwriting."""
+    monkeypatch.setattr(C.Commits, "_scheme", lambda self: scheme)
+    versions = C.Commits(spark, f"file://{tmp_path}/v")
+    assert versions.add("one", 0) == 1
+    with pytest.raises(RuntimeError, match="already committed"):
+        versions.add("two", 0)
+    assert not versions._publish("two", versions._file(1)) and versions.text(1) == "one"
+    assert versions.add("two", 1) == 2 and versions.newest() == 2
+
+
+def test_a_lost_merge_is_dropped(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/c"
+    for k in range(3):
+        C.append_part(spark.range(k, k + 1), folder)
+    merge = C._merge_parts
+
+    def late(spark, folder, key, version):
+        monkeypatch.setattr(C, "_merge_parts", lambda *a: None)
+        C.append_part(spark.range(50, 51), folder)
+        merge(spark, folder, key, version)
+
+    monkeypatch.setattr(C, "_merge_parts", late)
+    assert C.append_part(spark.range(99, 100), folder) == 1
+    assert sorted(r.id for r in C.read_snapshot(spark, folder).collect()) == [0, 1, 2, 50, 99]
+
+
+def test_reading_does_not_shuffle_the_oldest_part(spark, tmp_path):
+    folder = f"file://{tmp_path}/c"
+    C.write_snapshot(spark.range(2000).withColumn("v", F.lit("old")), folder)
+    C.append_part(spark.createDataFrame([(5, "new"), (None, "new"), (5000, "new")], "id long, v string"), folder)
+    C.append_part(spark.createDataFrame([(None, "newest"), (6, "newest")], "id long, v string"), folder)
+    got = C.read_snapshot(spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("Union")[1].split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in first and "LeftAnti" in first and "Exchange hashpartitioning" not in first
+    assert {(r.id, r.v) for r in got.where("v <> 'old'").collect()} == {(5, "new"), (None, "newest"), (5000, "new"), (6, "newest")}
+    assert got.count() == 2002
+
+
 # --- files of a load
 
 
