@@ -82,3 +82,16 @@ def test_edges(spark):
         s.append(spark.range(3))
     s.append(spark.createDataFrame([(None, None), (1, "é"), (1, "é"), (2, "x" * 300_000)], "id long, path string"))
     assert sorted((str(r.id), len(r.path or "")) for r in s.read().collect()) == [("1", 1), ("1", 1), ("2", 300_000), ("None", 0)]
+
+
+def test_a_writer_that_dies_stops_nobody(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(6)], "doc_id long, text string")
+    store = ShardStore(spark, f"file://{tmp_path}/s", docs.schema)
+    store.append(docs.where("doc_id < 2"))
+    (tmp_path / "s/versions/v00000002").touch()
+    store.append(docs.where("doc_id between 2 and 3"))
+    store.versions._write("half", store.versions.path(f"{store.folder}/versions/_draft"))
+    store.append(docs.where("doc_id > 3"))
+    assert sorted(r.doc_id for r in store.read().collect()) == list(range(6))
+    store.vacuum(older_than=0)
+    assert store.read().count() == 6 and not list((tmp_path / "s/versions").glob("_*"))
