@@ -187,6 +187,7 @@ def train_cells(docs: DataFrame, cells: int, seed: int = 7, most_rows: int = 100
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    docs = docs.where("vector is not null")
     share = min(1.0, most_rows / max(1, docs.count()))
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
     fit = KMeans(k=cells, seed=seed, featuresCol="v", maxIter=10).fit(sample.select(array_to_vector("vector").alias("v")))
