@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import vectors as V
 from lodestar.functions.text import is_uuid
 from lodestar.operators import collections as C
-from lodestar.operators import coded, filters, ingest, routing, search
+from lodestar.operators import coded, filters, graph, ingest, routing, search
 from lodestar.operators.embedding import gaussian_vector
 from lodestar.operators.metrics import relevance_join
 from lodestar.plans.base import HITS, RESULTS, query
@@ -180,6 +180,21 @@ def coded_clusters(t):
 query("knn_ivf_sq8_recall", coded_clusters, "SELECT 10 * count(*) AS n, true AS recalled FROM embeddings WHERE vec_id % 50 = 0")
 
 
+def graph_clusters(t):
+    """Recall of a search of a graph of clustered vectors, against the exact ten nearest: whether it is 0.9."""
+    rows = clustered(t)
+    asked = rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "vector")
+    built, _ = graph.build_graph(rows)
+    found, _ = graph.search_graph(stored(built), asked, 10)
+    exact = search.knn_exact(rows, asked, 10, "cosine")
+    hit = exact.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    return hit.agg(F.count("*").alias("n"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recalled"))
+
+
+query("knn_graph_recall", graph_clusters, "SELECT 10 * count(*) AS n, true AS recalled FROM embeddings WHERE vec_id % 50 = 0")
+query("knn_graph", lambda t: graph.search_graph(stored(graph.build_graph(t.vectors)[0]), t.queries, 10)[0].select("qid", "id", F.col("rank").cast("long").alias("rank")))
+
+
 def sq8(t):
     return search.knn_sq8(t.vectors, t.queries, 10).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 

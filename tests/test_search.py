@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import coded, search
+from lodestar.operators import coded, graph, search
+from lodestar.session import stored
 
 
 def rows_of(spark, seed, n=1500, width=24, groups=30):
@@ -60,7 +61,7 @@ def test_edges_of_coded_cells(spark):
     empty = coded.build_coded_cells(docs.limit(0), centres)
     assert coded.search_coded_cells(empty, asked, centres, 3, 2).count() == 0
     wide = spark.createDataFrame([(7, [1.0, 0.0, 2.0])], "qid long, vector array<float>")
-    with pytest.raises(Exception, match="components|shape|broadcast|align"):
+    with pytest.raises(Exception, match="components|mismatch|shape"):
         coded.search_coded_cells(coded.build_coded_cells(docs, centres), wide, centres, 3, 2).collect()
 
 
@@ -73,3 +74,47 @@ def test_a_search_reads_codes_only(spark, vectors, asked, tmp_path):
     assert "codes" in plan and "matrix:binary" not in plan
     sizes = index.select(F.sum(F.length("codes")).alias("c"), F.sum(F.length("matrix")).alias("m")).first()
     assert 4 * sizes.c == sizes.m
+
+
+# --- graph
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_graph_against_exact_search(spark, vectors, asked, metric):
+    built, changes = graph.build_graph(vectors, 12, metric=metric)
+    assert changes[-1] < 0.05 and changes == sorted(changes, reverse=True)
+    built = stored(built)
+    rows = built.collect()
+    assert len(rows) == 1500 and all(len(r.others) == 12 and len(set(r.others)) == 12 and r.id not in r.others for r in rows)
+    x = {r.id: np.array(r.vector) for r in rows}
+    scores = np.array([x[k] for k in range(1500)])
+    if metric == "cosine":
+        scores /= np.linalg.norm(scores, axis=1, keepdims=True)
+    far = ((scores[:, None] - scores[None, :300]) ** 2).sum(-1)
+    near = [set(np.argsort(far[:, k], kind="stable")[1:11]) for k in range(300)]
+    own = {r.id: set(r.others) for r in rows}
+    assert np.mean([len(near[k] & own[k]) / 10 for k in range(40, 300)]) > 0.9
+    found, rounds = graph.search_graph(built, asked, 10, 32, 64, metric)
+    exact = {(r.qid, r.id) for r in search.knn_exact(vectors, asked, 10, metric).collect()}
+    got = found.collect()
+    assert len({(r.qid, r.id) for r in got} & exact) / len(exact) >= 0.9 and 0 < rounds < 20
+    value = {(r.qid, r.id): r.score for r in search.score_pairs(vectors, asked, metric).collect()}
+    assert all(r.score == pytest.approx(value[r.qid, r.id], rel=1e-6, abs=1e-6) for r in got)
+    with pytest.raises(RuntimeError, match="still to be followed"):
+        graph.search_graph(built, asked, 10, 32, 16, metric, most_rounds=0)
+
+
+def test_edges_of_graphs(spark):
+    shape = "id long, vector array<float>"
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "qid long, vector array<float>")
+    empty, changes = graph.build_graph(spark.createDataFrame([], shape))
+    assert empty.count() == 0 and changes == []
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [1.0, 1.0]), (5, [-1.0, 0.0])]
+    built, _ = graph.build_graph(spark.createDataFrame(rows, shape))
+    assert {r.id: sorted(r.others) for r in built.collect()} == {1: [2, 4, 5], 2: [1, 4, 5], 4: [1, 2, 5], 5: [1, 2, 4]}
+    found, _ = graph.search_graph(built, asked, 3, 4)
+    assert [(r.qid, r.id, round(r.score, 3)) for r in found.orderBy("rank").collect()] == [(7, 2, 0.707), (7, 4, 0.707), (7, 1, 0.0)]
+    alone, _ = graph.build_graph(spark.createDataFrame(rows[:1], shape))
+    assert alone.first().others == [] and graph.search_graph(alone, asked, 1)[0].count() == 1
+    with pytest.raises(ValueError):
+        graph.build_graph(spark.createDataFrame(rows, shape), metric="ip")
