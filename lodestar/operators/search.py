@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import vectors as V
+from lodestar.session import stored
 
 MOST_K = 16_000
 QUERY_BLOCK = 1024
 DOC_BLOCK = 4096
 QUANTIZED_LEVELS = 255
+#: Query vectors that are broadcast, at most.
+MOST_SENT = 1 << 14
 
 
 def check_k(k: int) -> int:
@@ -250,7 +253,8 @@ def knn_sq8(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     kth = knn_exact(coded.select("id", F.col("rough").alias("vector")), queries, k).groupBy("qid").agg(F.min("score").alias("kth"))
     off = V.dot(F.transform("vector", F.abs), F.transform("b", lambda b: b["slack"]))
     q = queries.join(kth, "qid").crossJoin(bounds).select("qid", F.col("vector").alias("q_vector"), (F.col("kth") - 2 * off).alias("least"))
-    near = coded.crossJoin(F.broadcast(q)).where(V.dot(F.col("rough"), F.col("q_vector")) >= F.col("least"))
+    q = stored(q)
+    near = coded.crossJoin(F.broadcast(q) if q.count() <= MOST_SENT else q).where(V.dot(F.col("rough"), F.col("q_vector")) >= F.col("least"))
     return top_k(near.select("qid", "id", V.dot(F.col("vector"), F.col("q_vector")).alias("score")), k)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import vectors as V
 from lodestar.functions.text import is_uuid
 from lodestar.operators import collections as C
-from lodestar.operators import coded, filters, graph, ingest, routing, search
+from lodestar.operators import coded, filters, graph, ingest, pruned, routing, search
 from lodestar.operators.embedding import gaussian_vector
 from lodestar.operators.metrics import relevance_join
 from lodestar.plans.base import HITS, RESULTS, query
@@ -159,9 +159,9 @@ query("knn_ivf_sq8", lambda t: coded_cells(t, 8, 8), TOPK)
 query("knn_ivf_sq8_probe", lambda t: coded_cells(t, 16, 11))
 
 
-def clustered(t):
-    """The vectors around centres of their labels, which gives them the structure that cells are for."""
-    centre = gaussian_vector(F.pmod(F.xxhash64("id"), F.lit(64)), 64, 3)
+def clustered(t, groups=64):
+    """The vectors around centres drawn by a hash, which gives them the structure that cells are for."""
+    centre = gaussian_vector(F.pmod(F.xxhash64("id"), F.lit(groups)), 64, 3)
     near = F.zip_with("vector", centre, lambda x, c: (x.cast("double") + c).cast("float"))
     return t.vectors.withColumn("vector", near)
 
@@ -244,6 +244,33 @@ query(
 query("score_rank", lambda t: search.rank_scores(t.hits, 25).select("id", F.round("score", 6).alias("score")), f"WITH {HITS} SELECT id, round(max(score), 6) AS score FROM h GROUP BY id ORDER BY max(score) DESC, id LIMIT 25")
 query("dedup_keep_best", lambda t: search.rank_scores(t.hits).select("id", F.round("score", 6).alias("score")), f"WITH {HITS} SELECT id, round(max(score), 6) AS score FROM h GROUP BY id")
 query("group_best", lambda t: search.group_best(t.vectors, t.queries, "label", 5).select("qid", F.col("label").cast("int").alias("label"), "id", F.col("rank").cast("long").alias("rank")), f"WITH {HITS}, g AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS n FROM s) SELECT qid, label, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM g WHERE n = 1) WHERE rank <= 5")
+GROUPS = f"WITH {HITS}, g AS (SELECT *, row_number() OVER (PARTITION BY qid, label % 7 ORDER BY score DESC, id) AS n FROM s) SELECT qid, (label % 7)::VARCHAR AS part, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM g WHERE n = 1) WHERE rank <= 3"
+query("group_best_pruned", lambda t: pruned.group_best_pruned(t.vectors.withColumn("part", F.col("label") % 7), t.queries, "part", 3, sample=200).select("qid", "part", "id", F.col("rank").cast("long").alias("rank")), GROUPS)
+
+
+def balls(t, rows, metric="ip"):
+    return stored(pruned.build_balls(rows, search.train_cells(rows, 16), metric, 64))
+
+
+query("knn_pruned", lambda t: pruned.knn_pruned(balls(t, t.vectors), t.queries).select("qid", "id", F.col("rank").cast("long").alias("rank")), TOPK)
+query(
+    "min_similarity_pruned",
+    lambda t: pruned.range_pruned(balls(t, t.vectors, "cosine"), t.queries, 0.25, "cosine").select("qid", "id", F.round("score", 6).alias("score")),
+    f"WITH {HITS} SELECT qid, s.id, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6) AS score FROM s JOIN q USING (qid) JOIN embeddings ON vec_id = s.id WHERE list_cosine_similarity(qv, embedding::DOUBLE[]) >= 0.25",
+)
+
+
+def pruned_share(t):
+    """How many pairs of queries and blocks an exact search of clustered vectors leaves out: whether more than a third."""
+    rows = clustered(t, 10)
+    asked = rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "vector")
+    index = stored(pruned.build_balls(rows, search.train_cells(rows, 20), "cosine", 64))
+    every = index.crossJoin(asked.select("qid")).agg(F.count("*").alias("pairs"))
+    met = pruned.pairs_met(index, asked, 10, "cosine").agg(F.count("*").alias("met"), F.count_distinct("qid").alias("n"))
+    return met.crossJoin(every).select("n", (F.col("met") * 3 < F.col("pairs") * 2).alias("a_third_skipped"))
+
+
+query("pruned_share", pruned_share, "SELECT count(*) AS n, true AS a_third_skipped FROM embeddings WHERE vec_id % 50 = 0")
 query("page", lambda t: search.page(t.hits, [F.desc("score"), F.asc("qid"), F.asc("id")], 3, 10).select("qid", "id"), f"WITH {HITS} SELECT qid, id FROM h ORDER BY score DESC, qid, id LIMIT 10 OFFSET 20")
 query("concat_with_source", lambda t: t.hits.select("id", F.lit(0).cast("long").alias("source_index")).unionByName(t.vectors.select("id", F.lit(1).cast("long").alias("source_index"))), f"WITH {HITS} SELECT id, 0 AS source_index FROM h UNION ALL SELECT vec_id, 1 FROM embeddings")
 query("flatten_with_index", lambda t: t.vectors.select("id", F.posexplode("vector").alias("place", "x")).select("id", F.col("place").cast("long").alias("place"), "x"), "SELECT vec_id AS id, unnest(range(0, len(embedding))) AS place, unnest(embedding) AS x FROM embeddings")

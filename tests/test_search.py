@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import coded, graph, search
+from lodestar.operators import coded, graph, pruned, search
 from lodestar.session import stored
 
 
@@ -118,3 +118,42 @@ def test_edges_of_graphs(spark):
     assert alone.first().others == [] and graph.search_graph(alone, asked, 1)[0].count() == 1
     with pytest.raises(ValueError):
         graph.build_graph(spark.createDataFrame(rows, shape), metric="ip")
+
+
+# --- pruned exact search
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_pruned_search_is_exact(vectors, asked, metric):
+    index = stored(pruned.build_balls(vectors, search.train_cells(vectors, 30), metric, 40))
+    assert hits(pruned.knn_pruned(index, asked, 10, metric)) == hits(search.knn_exact(vectors, asked, 10, metric))
+    scores = sorted(r.score for r in search.score_pairs(vectors, asked, metric).collect())
+    for at in (len(scores) // 50, -len(scores) // 50):
+        least = (scores[at] + scores[at + 1]) / 2
+        pairs = {(r.qid, r.id): pytest.approx(r.score, rel=1e-6, abs=1e-9) for r in search.score_pairs(vectors, asked, metric, least).collect()}
+        assert {(r.qid, r.id): r.score for r in pruned.range_pruned(index, asked, least, metric).collect()} == pairs
+    met, every = pruned.pairs_met(index, asked, 10, metric).count(), index.count() * asked.count()
+    assert met < 0.5 * every
+
+
+def test_edges_of_pruned_search(spark):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [1.0, 1.0]), (5, [-1.0, 0.0])]
+    docs = spark.createDataFrame(rows, "id long, vector array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.0]), (9, None)], "qid long, vector array<float>")
+    centres = search.train_cells(docs, 2)
+    for metric in ("ip", "cosine", "l2"):
+        index = pruned.build_balls(docs, centres, metric, 1)
+        for k in (2, 9):
+            got = sorted((r.qid, r.rank, r.id, r.score) for r in pruned.knn_pruned(index, asked, k, metric).where("score is not null").collect())
+            assert got == sorted((r.qid, r.rank, r.id, r.score) for r in search.knn_exact(docs, asked, k, metric).where("score is not null").collect())
+    assert pruned.knn_pruned(pruned.build_balls(docs.limit(0), centres), asked).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_grouped_search_emits_few_rows(vectors, asked, metric):
+    docs = vectors.withColumn("g", F.when(F.col("id") % 7 > 0, F.col("id") % 400))
+    want = hits(search.group_best(docs, asked, "g", 5, metric))
+    assert hits(pruned.group_best_pruned(docs, asked, "g", 5, metric, sample=500)) == want
+    assert hits(pruned.group_best_pruned(docs, asked, "g", 5, metric, sample=1)) == want
+    few = pruned.group_rows(docs, asked, "g", 5, metric, sample=500).count()
+    assert few < 0.15 * search.knn_exact(docs, asked, 1, metric, group="g").count()
