@@ -162,7 +162,7 @@ query("knn_ivf_sq8_probe", lambda t: coded_cells(t, 16, 11))
 def clustered(t, groups=64):
     """The vectors around centres drawn by a hash, which gives them the structure that cells are for."""
     centre = gaussian_vector(F.pmod(F.xxhash64("id"), F.lit(groups)), 64, 3)
-    near = F.zip_with("vector", centre, lambda x, c: (x.cast("double") + c).cast("float"))
+    near = F.zip_with("vector", centre, lambda x, c: (x.cast("double") + 4 * c).cast("float"))
     return t.vectors.withColumn("vector", near)
 
 
