@@ -1,4 +1,4 @@
-"""Load and search of generated vectors: rows, width and queries from the command line; prints one JSON line.
+"""Load and search of generated vectors: rows, width and queries from the command line; prints JSON lines, the last of which has all.
 
     python bench_vectors.py 1000000 256 200
 
@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import hash_id
 from lodestar.functions.vectors import l2_normalize
-from lodestar.operators import search
+from lodestar.operators import coded, graph, pruned, search
 from lodestar.operators.embedding import gaussian_vector
 from lodestar.session import ship
 
 CENTRES, NOISE = 4096, 0.5
+#: Rows up to which the graph is built here: a round shuffles about 20 vectors a row.
+MOST_GRAPH = 100_000
 
 
 def main() -> None:
@@ -78,9 +80,46 @@ def main() -> None:
             exact = {h for h in hits["exact"] if h[0] % 2 == odd}
             if exact:
                 found[f"recall_{name}_{probes}"] = round(len(exact & hits["found"]) / len(exact), 3)
-    print(json.dumps(found))
+    print(json.dumps(found), flush=True)
+
+    def recall(name: str) -> None:
+        for kind, odd in (("clustered", 0), ("isotropic", 1)):
+            exact = {h for h in hits["exact"] if h[0] % 2 == odd}
+            found[f"recall_{kind}_{name}"] = round(len(exact & hits["found"]) / max(1, len(exact)), 3)
+
+    timed("coded_index_s", lambda: coded.build_coded_cells(docs, centres).write.partitionBy("cell").parquet(f"{scratch}/coded"))
+    codes = spark.read.parquet(f"{scratch}/coded").withColumn("cell", F.col("cell").cast("long"))
+    for probes in (8, cells // 10):
+        timed(f"coded_{probes}_s", lambda p=probes: keep("found", coded.search_coded_cells(codes, asked, centres, 10, p, "cosine")))
+        recall(f"coded_{probes}")
+    print(json.dumps(found), flush=True)
+    timed("balls_s", lambda: pruned.build_balls(docs, centres, "cosine").write.parquet(f"{scratch}/balls"))
+    balls = spark.read.parquet(f"{scratch}/balls")
+    near = asked.where("qid % 2 = 0")
+    timed("pruned_s", lambda: keep("found", pruned.knn_pruned(balls, near, 10, "cosine")))
+    recall("pruned")
+    found["pairs_met"] = round(pruned.pairs_met(balls, near, 10, "cosine").count() / max(1, balls.count() * near.count()), 4)
+    print(json.dumps(found), flush=True)
+    if rows <= MOST_GRAPH:
+        timed("graph_s", lambda: found.update(changes=build(docs, f"{scratch}/graph")))
+        linked = spark.read.parquet(f"{scratch}/graph")
+        timed("graph_search_s", lambda: found.update(rounds=follow(linked, asked, keep)))
+        recall("graph")
+    print(json.dumps(found), flush=True)
     spark.stop()
 
 
+def build(docs, path: str) -> list[float]:
+    graph_, changes = graph.build_graph(docs)
+    graph_.write.parquet(path)
+    return changes
+
+
+def follow(linked, asked, keep) -> int:
+    hits, rounds = graph.search_graph(linked, asked, 10)
+    keep("found", hits)
+    return rounds
+
+
 if __name__ == "__main__":
     main()
