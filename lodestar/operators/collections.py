@@ -16,7 +16,7 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -29,6 +29,7 @@ from pyspark.sql.types import StructType
 
 from lodestar.functions.text import state_name, valid_id
 from lodestar.functions.vectors import has_dim
+from lodestar.sources import files
 from lodestar.sources.commits import Commits
 
 MOST_KEYS, MOST_VALUE, MOST_TEXT, MOST_OTHER = 42, 1024, 5 << 20, 50 << 20
@@ -139,15 +140,18 @@ def write_snapshot(df: DataFrame, folder: str, partition_by: Sequence[str] = (),
     return _versions(spark, folder).add(state.text(_written(_fitting(df, state), folder, state)), after)
 
 
-def append_part(df: DataFrame, folder: str, key: str = "id") -> int:
+def append_part(df: DataFrame, folder: str, key: str = "id", accept: Callable[[], bool] = lambda: True) -> int | None:
     """Add rows, one per key, that replace those of equal key; returns their number. df must fit the collection's schema; the
-    first rows of a new collection declare it. Writes no more than df, but for the merging of parts."""
+    first rows of a new collection declare it. Writes no more than df, but for the merging of parts. accept is asked when the
+    rows are written; if it says no, they are not added, and None is returned."""
     spark = df.sparkSession
     state = state_of(spark, folder)
     if not state.version:
         create_collection(spark, folder, df.schema, exists="ignore")
         state = state_of(spark, folder)
     new = _written(_fitting(df, state), folder, state)
+    if not accept():
+        return None
     version = _versions(spark, folder).add(state.text(*state.parts, new), state.version)
     _merge_parts(spark, folder, key, version)
     return new["rows"]
@@ -337,16 +341,28 @@ def _lacks(spark: SparkSession, root: str, path: str, declared: StructType) -> l
     """Declared columns that are neither in a file's footer nor among its partition folders below root."""
     below = path[path.find(root) + len(root) :] if root in path else ""
     folders = {part.split("=")[0] for part in below.split("/")[:-1] if "=" in part}
-    footer = spark.read.parquet(re.sub(r"([\[\]{}*?\\])", r"\\\1", path)).schema
+    footer = spark.read.parquet(files.escaped(path)).schema
     return [c for c in validate_load(footer, declared) if c not in folders]
 
 
 def missing_by_file(spark: SparkSession, folder: str, declared: StructType) -> dict[str, list[str]]:
     """path -> declared columns that the file lacks, of every Parquet file in folder that lacks any.
 
-    Each footer is read by a Spark task of its own, a few at a time, so any store that Spark reads will do.
+    One job reads the footers inside its tasks. Of stores that only Spark opens, each footer is a job of its own, a few at a
+    time. A file that cannot be read is an error.
     """
-    paths = [r.path for r in spark.read.format("binaryFile").load(folder).select("path").toLocalIterator()]
+    found = files.listed(spark, folder)
+    first = found.first()
+    if first is None:
+        return {}
+    if files.can_open(first.path):
+        read = files.footers(found)
+        rows = read.select("path", "error", files.missing_columns(read, declared.names).alias("missing")).where("error is not null or size(missing) > 0").collect()
+        broken = {r.path: r.error for r in rows if r.error}
+        if broken:
+            raise ValueError(f"files cannot be read: {broken}")
+        return {r.path: r.missing for r in rows}
+    paths = [r.path for r in found.select("path").toLocalIterator()]
     root = urlsplit(folder).path.rstrip("/") + "/"
     lacks = inheritable_thread_target(spark)(lambda path: _lacks(spark, root, path, declared))
     with ThreadPoolExecutor(FOOTERS) as pool:
