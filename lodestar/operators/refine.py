@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import affine, l2_normalize
+from lodestar.operators.descent import fit_path, minimise, rows_of, summed, warn_unless
 from lodestar.session import stored
 
 PENALTY = 0.05
@@ -17,6 +18,8 @@ MOST_NAMED = 20
 ROWS_PER_TASK = 50_000
 #: Second derivatives of models that are fitted at a time.
 GRID_BYTES = 32 << 20
+#: Vectors of more components are fitted by gradients, without second derivatives.
+WIDE = 256
 #: The grid of inverse penalties (fixed values).
 GRID = tuple(float(c) for c in np.logspace(-5, 5, 100))
 
@@ -93,6 +96,8 @@ def _newton(rows: DataFrame, dim: int, anchor: np.ndarray, penalty: float, steps
         w, b = w - scale * move[:dim], b - scale * move[dim]
         if np.abs(grad).max() < tolerance:
             break
+    else:
+        warn_unless(False, "the probe")
     return w, b
 
 
@@ -100,7 +105,8 @@ def linear_probe(grounding: DataFrame, labelled: DataFrame, penalty: float = PEN
     """(w, b) that minimises mean cross-entropy of labelled (vector, label) + penalty |w - anchor|^2, where the anchor is
     the element-wise maximum of grounding (vector). Without labels w is the anchor; without both, None.
 
-    Newton's method: a step aggregates a (d+1)^2 matrix over the rows, so what reaches the driver does not grow with them.
+    Up to WIDE components Newton's method: a step aggregates a (d+1)^2 matrix over the rows, so what reaches the driver does not
+    grow with them. Wider vectors take L-BFGS, which aggregates gradients only. A fit that has not converged gives a warning.
     """
     anchor = anchor_max(grounding).first().anchor
     has_labels = labelled.limit(1).count() > 0
@@ -111,25 +117,14 @@ def linear_probe(grounding: DataFrame, labelled: DataFrame, penalty: float = PEN
     anchor = np.array(anchor, float)
     if not has_labels:
         return anchor, 0.0
-    return _newton(labelled.select("vector", "label"), len(anchor), anchor, penalty, steps, tolerance)
-
-
-def _rows_of(batches):
-    """Batches of (vector, label, fold, weight) as arrays, the vectors with a last component of 1."""
-    for pdf in batches:
-        if len(pdf):
-            x = np.stack(pdf["vector"].to_numpy()).astype(float)
-            yield np.concatenate([x, np.ones((len(x), 1))], axis=1), pdf["label"].to_numpy(float), pdf["fold"].to_numpy(int), pdf["weight"].to_numpy(float)
-
-
-def _sum_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"model": pdf["model"].iloc[:1], "values": [np.sum(np.stack(pdf["values"].to_numpy()), axis=0)]})
-
-
-def _summed(rows: DataFrame, per_task) -> dict[int, np.ndarray]:
-    """per_task gives rows (model, values); their sums by model. One row per model and task is shuffled."""
-    shape = "model int, values array<double>"
-    return {r.model: np.array(r.values) for r in rows.mapInPandas(per_task, shape).groupBy("model").applyInPandas(_sum_rows, shape).collect()}
+    rows = labelled.select("vector", "label")
+    if len(anchor) <= WIDE:
+        return _newton(rows, len(anchor), anchor, penalty, steps, tolerance)
+    rows = stored(rows.select("vector", F.col("label").cast("double").alias("label"), F.lit(0).alias("fold"), F.lit(1.0).alias("weight")))
+    begin = np.append(anchor, 0.0)
+    found, converged = minimise(rows, np.array([2 * penalty]), np.array([-1]), begin[None], begin, tolerance=tolerance)
+    warn_unless(bool(converged[0]), "the probe")
+    return found[0, :-1], float(found[0, -1])
 
 
 def _fit_grid(rows: DataFrame, dim: int, models: list[tuple[float, int]], steps: int = 40, tolerance: float = 1e-6) -> np.ndarray:
@@ -143,7 +138,7 @@ def _fit_grid(rows: DataFrame, dim: int, models: list[tuple[float, int]], steps:
 
         def derivatives(batches, now=now, left_out=left_out, todo=todo):
             total = np.zeros((len(todo), 1 + size + size * size))
-            for x, y, fold, c in _rows_of(batches):
+            for x, y, fold, c in rows_of(batches):
                 weight = c[:, None] * (fold[:, None] != left_out)
                 p = 1 / (1 + np.exp(-np.clip(x @ now.T, -500, 500)))
                 total[:, 0] += weight.sum(axis=0)
@@ -153,7 +148,7 @@ def _fit_grid(rows: DataFrame, dim: int, models: list[tuple[float, int]], steps:
             yield pd.DataFrame({"model": todo.astype(np.int32), "values": list(total)})
 
         moved = []
-        for m, values in _summed(rows, derivatives).items():
+        for m, values in summed(rows, derivatives).items():
             pull = models[m][0] * free
             grad = values[1 : 1 + size] / values[0] + pull @ w[m]
             hess = values[1 + size :].reshape(size, size) / values[0] + pull
@@ -164,6 +159,7 @@ def _fit_grid(rows: DataFrame, dim: int, models: list[tuple[float, int]], steps:
         todo = np.array(sorted(moved), int)
         if not len(todo):
             break
+    warn_unless(not len(todo), f"{len(todo)} of {len(models)} classifiers")
     return w
 
 
@@ -172,7 +168,8 @@ def linear_classifier(labelled: DataFrame, grid: tuple[float, ...] = GRID, folds
     the best mean F1 of the true class over stratified folds (the smallest of equals), the rest MLlib's fit of it on all rows.
 
     labelled: id, vector, label (boolean). The intercept is not penalised. Each label needs as many rows as there are folds.
-    All penalties and folds are fitted together, as many at a time as have GRID_BYTES of second derivatives.
+    All penalties and folds are fitted together, by Newton's method as many at a time as have GRID_BYTES of second derivatives, or
+    for vectors of more than WIDE components all by L-BFGS. Models that have not converged give a warning.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
@@ -192,18 +189,22 @@ def linear_classifier(labelled: DataFrame, grid: tuple[float, ...] = GRID, folds
         dim = len(rows.first().vector)
         # Mean loss + penalty / 2 |w|^2 here, c * sum of losses + 1/2 |w|^2 where c comes from.
         models = [(1 / (c * (1 - 1 / folds) * total), k) for c in sorted(grid) for k in range(folds)]
-        step = max(1, GRID_BYTES // (8 * (dim + 1) ** 2))
-        w = np.concatenate([_fit_grid(rows, dim, models[k : k + step]) for k in range(0, len(models), step)])
+        if dim <= WIDE:
+            step = max(1, GRID_BYTES // (8 * (dim + 1) ** 2))
+            w = np.concatenate([_fit_grid(rows, dim, models[k : k + step]) for k in range(0, len(models), step)])
+        else:
+            w, converged = fit_path(rows, dim, models)
+            warn_unless(bool(converged.all()), f"{int((~converged).sum())} of {len(models)} classifiers")
         held = np.array([k for _, k in models])
 
         def outcomes(batches):
             counts = np.zeros((len(w), 3))
-            for x, y, fold, _ in _rows_of(batches):
+            for x, y, fold, _ in rows_of(batches):
                 said, own, true = x @ w.T > 0, fold[:, None] == held, y[:, None] > 0
                 counts += np.stack([(said & own & true).sum(axis=0), (said & own & ~true).sum(axis=0), (~said & own & true).sum(axis=0)], axis=1)
             yield pd.DataFrame({"model": np.arange(len(w), dtype=np.int32), "values": list(counts)})
 
-        found = _summed(rows, outcomes)
+        found = summed(rows, outcomes)
         f1 = np.array([2 * found[m][0] / max(1.0, 2 * found[m][0] + found[m][1] + found[m][2]) for m in range(len(models))])
         best = sorted(grid)[int(np.argmax(f1.reshape(-1, folds).mean(axis=1).round(12)))]
     fit = LogisticRegression(weightCol="weight", standardization=False, maxIter=1000, tol=1e-8, regParam=1 / (best * total))
