@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from base64 import b64decode, b64encode
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +68,33 @@ def gaussian_nll(log_pi: Column, mu: Column, sigma: Column, y: Column) -> Column
     )
     top = F.array_max(parts)
     return -(top + F.log(_sum(F.transform(parts, lambda x: F.exp(x - top)))))
+
+
+def encode_vectors(vectors: Column) -> Column:
+    """Vectors as base64 of little-endian 32-bit floats. The floats of an Arrow batch become bytes at once."""
+
+    @F.arrow_udf("string")
+    def packed(column: pa.Array) -> pa.Array:
+        column = column.cast(pa.large_list(pa.float32()))
+        data = memoryview(np.ascontiguousarray(column.values, "<f4").tobytes())
+        ends = np.asarray(column.offsets, np.int64) * 4
+        texts = [b64encode(data[a:b]).decode() if good else None for a, b, good in zip(ends[:-1].tolist(), ends[1:].tolist(), column.is_valid().to_pylist(), strict=True)]
+        return pa.array(texts, pa.string())
+
+    return packed(vectors)
+
+
+def decode_vectors(texts: Column) -> Column:
+    """The vectors of such texts; the bytes of an Arrow batch become floats at once. A text of another length is an error."""
+
+    @F.arrow_udf("array<float>")
+    def unpacked(column: pa.Array) -> pa.Array:
+        parts = [None if t is None else b64decode(t, validate=True) for t in column.to_pylist()]
+        if any(p is not None and len(p) % 4 for p in parts):
+            raise ValueError("a text holds no whole number of floats")
+        flat = np.frombuffer(b"".join(p or b"" for p in parts), "<f4")
+        ends = np.cumsum([0, *(len(p or b"") // 4 for p in parts)])
+        mask = pa.array([p is None for p in parts])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.float32()), mask=mask)
+
+    return unpacked(texts)

@@ -237,3 +237,9 @@ def where_required(df: DataFrame, text: str, field: str) -> DataFrame:
     """Rows that pass a filter in text, which must fix a field (the partition key) by == or in."""
     tree = require_pinned(parse_filter(df.sparkSession, text), field)
     return df.where(compile_filter(tree, of=lambda leaf: _place(df, leaf)))
+
+
+def allowed_lists(lists: Column, allowed: list[str], whole: str) -> Column:
+    """Whether each item of a comma-separated list is allowed, or the list is the one value that passes as a whole."""
+    items = F.forall(F.split(lists, ","), lambda item: item.isin(allowed))
+    return (lists == whole) | items

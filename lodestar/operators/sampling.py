@@ -62,9 +62,22 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def split_validation(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
-    """df with `part`: validation for about share of the keys, else training."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000))
-    return df.withColumn("part", F.when(draw < int(share * 1_000_000), "validation").otherwise("training"))
+    """df with `part`: in an order drawn by the seed, exactly the first share of the rows (rounded down) is validation, the others
+    are training."""
+    placed = _drawn(df, key, seed)
+    first = int(df.count() * share)
+    return placed.withColumn("part", F.when(F.col("_place") <= first, "validation").otherwise("training")).drop("_place")
+
+
+def worker_shares(df: DataFrame, key: str, workers: int, seed: int = 0) -> DataFrame:
+    """df with `worker` 0..workers-1: rows in an order drawn by the seed are dealt one to each in turn."""
+    return _drawn(df, key, seed).withColumn("worker", F.pmod(F.col("_place") - 1, F.lit(workers)).cast("int")).drop("_place")
+
+
+def _drawn(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """df with `_place`, from 1, in an order drawn by the seed."""
+    placed = numbered(df.withColumn("_all", F.lit(0)), "_all", [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], "_place")
+    return placed.drop("_all")
 
 
 def stratified_folds(df: DataFrame, label: str, order: list[Column], k: int) -> DataFrame:

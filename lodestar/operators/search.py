@@ -308,11 +308,23 @@ def envelope(hits: DataFrame, collection: Column) -> DataFrame:
     )
 
 
-def search_collections(docs: DataFrame, queries: DataFrame, k: int, rerank: bool = True, metric: str = "ip") -> DataFrame:
+def strip_content(rows: DataFrame, content: str, vector: str, passed: Column | None = None) -> DataFrame:
+    """rows whose content is null where they have a vector, and whose vector is null where a classifier has let them pass."""
+    has = F.col(vector).isNotNull()
+    kept = F.when(~F.coalesce(passed, F.lit(False)), F.col(vector)) if passed is not None else F.col(vector)
+    return rows.withColumns({content: F.when(~has, F.col(content)), vector: kept})
+
+
+def search_collections(docs: DataFrame, queries: DataFrame, k: int, rerank: bool = True, metric: str = "ip", registry: DataFrame | None = None) -> DataFrame:
     """qid, collection_id, id, score, rank: the k nearest documents of each query in each collection, in one pass.
 
-    With rerank, `place` numbers a query's hits over all collections by score, nulls last; there is no second limit.
+    With rerank, `place` numbers a query's hits over all collections by score, nulls last; there is no second limit. Scores
+    compare only between collections of one pipeline: with a registry (id, pipeline) others are an error.
     """
+    if rerank and registry is not None:
+        own = registry.join(docs.select(F.col("collection_id").alias("id")).distinct(), "id", "left_semi")
+        if own.select("pipeline").distinct().limit(2).count() > 1:
+            raise ValueError("collections of several pipelines cannot be ranked together")
     hits = knn_exact(docs, queries, k, metric, group="collection_id").withColumnRenamed("grp", "collection_id")
     if not rerank:
         return hits

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import base64
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestar.functions import text as X
 from lodestar.functions import vectors as V
-from lodestar.operators import embedding, ingest, routing
+from lodestar.operators import embedding, filters, ingest, routing
 from lodestar.plans.aggregates import PER_QUERY, bundle
 from lodestar.plans.base import RESULTS, query
 from lodestar.sources import records, sinks
@@ -59,10 +54,14 @@ def url_manifest(t, good=True):
     folder = t.work()
     rows = t.pages.select(F.concat(F.lit(" p"), F.col("page_id"), F.lit(" ")).alias("name"), F.when(F.col("page_id") % 9 > 0, F.col("url")).alias("url"))
     rows.write.option("header", False).csv(folder)
+    for other in range(2):  # files with a header, and one of them with a record that looks like one
+        own = t.pages.where(F.col("page_id") % 2 == other).select(F.concat(F.lit("q"), "page_id").alias("name"), "url")
+        own = own.unionByName(t.region.where(F.col("r_regionkey") == other).select(F.lit("NAME").alias("name"), F.lit("URL").alias("url"))) if other else own
+        own.coalesce(1).write.option("header", True).mode("append").csv(folder)
     return records.scan_url_manifest(t.spark, folder)[0 if good else 1]
 
 
-query("scan_url_manifest", lambda t: url_manifest(t).select("name", "url"), "SELECT 'p' || page_id AS name, trim(url) AS url FROM pages WHERE page_id % 9 > 0")
+query("scan_url_manifest", lambda t: url_manifest(t).select("name", "url"), "SELECT 'p' || page_id AS name, trim(url) AS url FROM pages WHERE page_id % 9 > 0 UNION ALL SELECT 'q' || page_id, trim(url) FROM pages UNION ALL SELECT 'NAME', 'URL'")
 query("url_manifest_rejects", lambda t: url_manifest(t, False).select("name"), "SELECT 'p' || page_id AS name FROM pages WHERE page_id % 9 = 0")
 query("resolve_record_columns", lambda t: ingest.resolve_records(t.pages.select(F.when(F.col("page_id") % 2 == 0, F.col("page_id")).alias("id"), F.concat(F.lit("a/n"), F.col("page_id"), F.lit(".mp4")).alias("path"), F.md5("html").alias("text"))), "SELECT CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR ELSE 'n' || page_id END AS video_id, 'a/n' || page_id || '.mp4' AS video_path, md5(html) AS caption FROM pages")
 
@@ -207,18 +206,11 @@ query("b64_codec", lambda t: t.documents.select("doc_id", X.encode_b64(F.col("te
 
 def vector_codec(t):
     """Vectors to base64 little-endian floats and back."""
-    @F.pandas_udf(T.StringType())
-    def packed(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def unpacked(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: np.frombuffer(base64.b64decode(x), "<f4"))
-
-    return t.embeddings.select("vec_id", packed("embedding").alias("text")).select("vec_id", F.length("text").cast("long").alias("chars"), F.element_at(unpacked("text"), 1).alias("first"))
+    coded = t.embeddings.select("vec_id", V.encode_vectors(F.when(F.col("vec_id") % 5 > 0, F.col("embedding"))).alias("text"))
+    return coded.select("vec_id", F.length("text").cast("long").alias("chars"), V.decode_vectors(F.col("text")).alias("back"))
 
 
-query("vector_codec", vector_codec, "SELECT vec_id, 344 AS chars, embedding[1] AS first FROM embeddings")
+query("vector_codec", vector_codec, "SELECT vec_id, CASE WHEN vec_id % 5 > 0 THEN 344 END AS chars, CASE WHEN vec_id % 5 > 0 THEN embedding END AS back FROM embeddings")
 query("url_check", lambda t: t.pages.select("page_id", X.is_url(F.col("url")).alias("ok"), X.is_url(F.concat(F.lit("x"), F.col("url"))).alias("bad")), "SELECT page_id, regexp_matches(url, '^(http|https|ftp|ftps)://.+') AS ok, regexp_matches('x' || url, '^(http|https|ftp|ftps)://.+') AS bad FROM pages")
 query("s3_path_check", lambda t: t.documents.select("doc_id", X.s3_path_fault(F.expr("concat(if(lang = 'en', 's3://bucket/', if(lang = 'de', 's3://bkt/../', if(lang = 'fr', 'http://', 's3://bkt/*'))), doc_id)")).alias("fault")), "SELECT doc_id, CASE lang WHEN 'de' THEN 'parent folder' WHEN 'fr' THEN 'scheme' WHEN 'es' THEN 'glob or query' END AS fault FROM documents")
 query("url_quote", lambda t: t.documents.select("doc_id", X.quote_path(F.concat("source", F.lit("/a b+é/"), "doc_id")).alias("quoted")), "SELECT doc_id, source || '/a%20b%2B%C3%A9/' || doc_id AS quoted FROM documents")
@@ -230,7 +222,11 @@ query("fill_nan", lambda t: t.events.select("event_id", X.fill_nan(F.when(F.col(
 query("scale_label", lambda t: t.labels.select("doc_id", (F.col("quality") / 10.0).cast("double").alias("scaled")), "SELECT doc_id, quality / 10.0::DOUBLE AS scaled FROM labels")
 query("status_name", lambda t: t.events.select("event_id", X.state_name((F.col("event_id") % 9).cast("int")).alias("state")), "SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' WHEN 2 THEN 'started' WHEN 5 THEN 'persisted' WHEN 6 THEN 'completed' WHEN 7 THEN 'failed_and_cleaned' ELSE 'unknown' END AS state FROM events")
 query("flag_local_urls", lambda t: t.pages.select("page_id", X.is_local_url(F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("http://localhost:8000/"), F.col("page_id"))).otherwise(F.col("url"))).alias("local")), "SELECT page_id, page_id % 4 = 0 AS local FROM pages")
-query("select_by_allow_list", lambda t: t.documents.where(F.size(F.array_except(F.split(F.concat_ws(",", "lang", "source"), ","), F.array(*map(F.lit, ["en", "de", "src0", "src1", "src2"])))) == 0).select("doc_id"), "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source IN ('src0', 'src1', 'src2')")
+query(
+    "select_by_allow_list",
+    lambda t: t.documents.where(filters.allowed_lists(F.when(F.col("lang") == "fr", F.lit("every")).otherwise(F.concat_ws(",", "lang", "source")), ["en", "de", "src0", "src1", "src2"], "every")).select("doc_id"),
+    "SELECT doc_id FROM documents WHERE lang = 'fr' OR (lang IN ('en', 'de') AND source IN ('src0', 'src1', 'src2'))",
+)
 def probes(t):
     """Probe results made from parts: a codec, container formats, and a frame size that is unknown for every eleventh."""
     names = F.array(*map(F.lit, (*routing.CODECS, "ffv1", " VP9 ")))

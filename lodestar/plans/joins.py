@@ -118,6 +118,18 @@ SELECT conv_id, turn FROM c WHERE n >= 3 AND r % (n // 3) = 0 AND r < 3 * (n //
 query("assign_batches", lambda t: sampling.assign_batches(t.documents.select("doc_id", "source"), "source", [F.col("doc_id")], 64), "SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 64 AS batch FROM documents")
 query("stratified_folds", lambda t: sampling.stratified_folds(t.vectors.select("id", "label"), "label", [F.md5(F.col("id").cast("string"))], 5).select("id", "label", F.col("fold").cast("long").alias("fold")), "SELECT vec_id AS id, label, (row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR)) - 1) % 5 AS fold FROM embeddings")
 query("sample_n", lambda t: sampling.sample_n(t.benchmark.select("item_id"), "item_id", 20))
+def split_sizes(t):
+    """Rows of each part and worker."""
+    split = sampling.split_validation(t.vectors.select("id"), "id", 0.2)
+    shares = sampling.worker_shares(t.vectors.select("id"), "id", 3).groupBy("worker").agg(F.count("*").alias("n"))
+    return split.groupBy("part").agg(F.count("*").alias("n")).unionByName(shares.select(F.concat(F.lit("worker "), "worker").alias("part"), "n"))
+
+
+query(
+    "train_val_sizes",
+    split_sizes,
+    "WITH c AS (SELECT count(*) AS n FROM embeddings) SELECT 'validation' AS part, n // 5 AS n FROM c UNION ALL SELECT 'training', n - n // 5 FROM c UNION ALL SELECT 'worker ' || range, (n - range + 2) // 3 FROM c, range(3)",
+)
 query("train_val_split", lambda t: sampling.split_validation(t.vectors.select("id"), "id", 0.2))
 query(
     "patch_grid",

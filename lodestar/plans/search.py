@@ -208,6 +208,11 @@ def collections_of(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("c"), F.col("label")).alias("collection_id"))
 
 
+def pipelines_of(t):
+    """A registry where all collections of the embeddings have one pipeline, and others another."""
+    return t.embeddings.select(F.concat(F.lit("c"), F.col("label")).alias("id"), F.lit("p").alias("pipeline")).distinct().unionByName(t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("q").alias("pipeline")))
+
+
 query(
     "knn_multi_collection",
     lambda t: search.search_collections(collections_of(t), t.queries, 3).select("qid", "collection_id", "id", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place")),
@@ -215,7 +220,7 @@ query(
 )
 query(
     "rerank_collections",
-    lambda t: search.search_collections(collections_of(t), t.queries, 2).select("qid", "collection_id", "id", F.col("place").cast("long").alias("place")),
+    lambda t: search.search_collections(collections_of(t), t.queries, 2, registry=pipelines_of(t)).select("qid", "collection_id", "id", F.col("place").cast("long").alias("place")),
     f"WITH {HITS}, c AS (SELECT qid, 'c' || label AS collection_id, id, score, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS rank FROM s) SELECT qid, collection_id, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM c WHERE rank <= 2",
 )
 query(
@@ -290,7 +295,16 @@ query(
     lambda t: search.envelope(t.results.withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("mime_type"), F.concat(F.lit("text/"), F.col("metadata")["lang"])))), F.lit("docs")).select("collection_id", "id", F.round("score", 6).alias("score"), F.md5("content").alias("content"), "mime_type", F.size("metadata").cast("long").alias("n_keys")),
     f"WITH {RESULTS} SELECT 'docs' AS collection_id, id, round(score, 6) AS score, md5(content) AS content, 'text/' || lang AS mime_type, 3 AS n_keys FROM r",
 )
-query("strip_blob_content", lambda t: t.documents.drop("text"), "SELECT doc_id, lang, source, n_chars FROM documents")
+
+
+def stripped(t):
+    """Documents with a vector lose their text, those that a classifier has let pass lose the vector."""
+    rows = t.documents.select("doc_id", "text", "lang").join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    done = search.strip_content(rows, "text", "embedding", passed=F.col("lang") == "en")
+    return done.select("doc_id", F.md5("text").alias("text"), F.size("embedding").cast("long").alias("width"))
+
+
+query("strip_blob_content", stripped, "SELECT doc_id, CASE WHEN vec_id IS NULL THEN md5(text) END AS text, CASE WHEN vec_id IS NOT NULL AND lang <> 'en' THEN len(embedding) END AS width FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def stamped(t):
     """Documents, of which every fourth has no id of its own, with what stamping adds."""
     rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")).alias("id"), F.concat("source", F.lit("/"), "doc_id", F.when(F.col("lang") == "en", ".mp4").otherwise(".png")).alias("path"))

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from lodestar.operators.collections import describe
 from lodestar.operators.embedding import gaussian_vector
+from lodestar.session import stored
 
 
 def scan_embeddings(spark: SparkSession, path: str) -> DataFrame:
@@ -54,16 +55,19 @@ def scan_csv_records(spark: SparkSession, path: str, fields: list[str]) -> DataF
 
 
 def scan_url_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(name and url of a two-column file, rows that lack one). A header `name,url` counts only as the first row."""
+    """(name and url of two-column files, rows that lack one). A header `name,url` counts only as the first row of its file."""
     raw = spark.read.option("header", False).schema("name string, url string").csv(path)
     rows = raw.select(
         F.trim(F.coalesce("name", F.lit(""))).alias("name"),
         F.trim(F.coalesce("url", F.lit(""))).alias("url"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("n"),
     )
-    first = (F.col("n") == 0) & (F.lower("name") == "name") & (F.lower("url") == "url")
-    rows = rows.where(~first).where("name <> '' or url <> ''").drop("block", "n")
+    rows = stored(rows)  # numbers of rows rise within a file
+    firsts = rows.where("block = 0").groupBy("file").agg(F.min_by(F.struct("n", "name", "url"), "n").alias("f"))
+    headers = firsts.where("lower(f.name) = 'name' and lower(f.url) = 'url'").select(F.col("f.n").alias("n"))
+    rows = rows.join(headers, "n", "left_anti").where("name <> '' or url <> ''").drop("file", "block", "n")
     good = (F.col("name") != "") & (F.col("url") != "")
     return rows.where(good), rows.where(~good)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as X
 from lodestar.functions import vectors as V
 from lodestar.operators import collections as C
-from lodestar.operators import embedding, ingest, refine, routing, sampling, search, sessions
+from lodestar.operators import embedding, filters, ingest, refine, routing, sampling, search, sessions
 from lodestar.plans import search as plans
 from lodestar.sources import records, sinks
 from lodestar.streaming import ingest as stream
@@ -626,3 +626,57 @@ def test_partition_folders_count_as_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, "a"), (2, 3, "b")], "id long, n long, part string")
     df.write.partitionBy("part").parquet(str(tmp_path / "t"))
     assert C.missing_by_file(spark, str(tmp_path / "t"), df.schema) == {}
+
+
+# --- smaller operators
+
+
+def test_headers_of_each_manifest(spark, tmp_path):
+    for k, text in enumerate(("name,url\na,http://a\nName,URL\n", "name,url\nb,\n,\n", "c,http://c\n")):
+        (tmp_path / f"m{k}.csv").write_text(text)
+    good, bad = records.scan_url_manifest(spark, str(tmp_path))
+    assert sorted((r.name, r.url) for r in good.collect()) == [("Name", "URL"), ("a", "http://a"), ("c", "http://c")]
+    assert [(r.name, r.url) for r in bad.collect()] == [("b", "")]
+
+
+def test_exact_validation_and_shares(spark):
+    rows = spark.range(101).selectExpr("id", "id % 3 as x")
+    split = sampling.split_validation(rows, "id", 0.25, seed=4)
+    assert split.columns == ["id", "x", "part"] and split.where("part = 'validation'").count() == 25
+    again = sampling.split_validation(rows.repartition(7), "id", 0.25, seed=4)
+    assert {tuple(r) for r in split.collect()} == {tuple(r) for r in again.collect()}
+    assert sampling.split_validation(rows, "id", 0.25, seed=5).where("part = 'validation'").join(split.where("part = 'validation'"), "id").count() < 25
+    shares = sampling.worker_shares(rows, "id", 4).groupBy("worker").count().collect()
+    assert {r.worker: r["count"] for r in shares} == {0: 26, 1: 25, 2: 25, 3: 25}
+    assert sampling.worker_shares(rows.limit(0), "id", 4).count() == 0
+
+
+def test_lists_that_are_allowed(spark):
+    rows = spark.createDataFrame([("a",), ("a,b",), ("a,c",), ("every",), ("a,every",), ("",), (None,)], "v string")
+    ok = rows.where(filters.allowed_lists(F.col("v"), ["a", "b"], "every"))
+    assert [r.v for r in ok.collect()] == ["a", "a,b", "every"]
+
+
+def test_vectors_as_text(spark):
+    import base64
+    import struct
+
+    values = [[1.5, -2.0], [], None, [0.1] * 7, [float("inf"), -0.0]]
+    rows = spark.createDataFrame([(v,) for v in values], "v array<float>").coalesce(1)
+    coded = [r[0] for r in rows.select(V.encode_vectors(F.col("v"))).collect()]
+    assert coded == [None if v is None else base64.b64encode(struct.pack(f"<{len(v)}f", *v)).decode() for v in values]
+    back = rows.select("v", V.decode_vectors(V.encode_vectors(F.col("v"))).alias("b")).collect()
+    assert all(r.v == r.b for r in back)
+    with pytest.raises(Exception, match="whole number"):
+        spark.createDataFrame([("AAA=",)], "t string").select(V.decode_vectors(F.col("t"))).collect()
+
+
+def test_several_pipelines_are_not_ranked_together(spark):
+    docs = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0], "b")], "id long, vector array<float>, collection_id string")
+    asked = spark.createDataFrame([(7, [1.0])], "qid long, vector array<float>")
+    one = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q")], "id string, pipeline string")
+    assert search.search_collections(docs, asked, 1, registry=one).count() == 2
+    mixed = one.replace("p", "q", ["pipeline"]).unionByName(spark.createDataFrame([("a", "z")], "id string, pipeline string"))
+    with pytest.raises(ValueError, match="several pipelines"):
+        search.search_collections(docs, asked, 1, registry=mixed)
+    assert search.search_collections(docs, asked, 1, rerank=False, registry=mixed).count() == 2
