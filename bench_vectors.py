@@ -2,7 +2,7 @@
 
     python bench_vectors.py 1000000 256 200
 
-Half of the rows lie around 4096 centres (cells help there), the others have no structure. Recall is of the exact ten
+Half of the rows lie around centres, about 100 around each (cells help there), the others have no structure. Recall is of the exact ten
 nearest by cosine. Times are of one run each, without the generation of the rows.
 """
 
@@ -23,7 +23,8 @@ from lodestar.operators import coded, graph, pruned, search
 from lodestar.operators.embedding import gaussian_vector
 from lodestar.session import ship
 
-CENTRES, NOISE = 4096, 0.5
+#: Of the clustered half: rows of a centre, and the share of their own values.
+PER_CENTRE, NOISE = 100, 0.5
 #: Rows up to which the graph is built here: a round shuffles about 20 vectors a row.
 MOST_GRAPH = 100_000
 
@@ -52,7 +53,7 @@ def main() -> None:
         run()
         found[name] = round(time.perf_counter() - began, 2)
 
-    own, centre = gaussian_vector(F.col("id"), width), gaussian_vector(F.pmod(F.xxhash64("id"), F.lit(CENTRES)), width, 1)
+    own, centre = gaussian_vector(F.col("id"), width), gaussian_vector(F.pmod(F.xxhash64("id"), F.lit(max(16, rows // (2 * PER_CENTRE)))), width, 1)
     near = F.zip_with(own, centre, lambda x, c: x * NOISE + c)
     raw = spark.range(0, rows, 1, 64).select("id", F.when(F.col("id") % 2 == 0, near).otherwise(own).cast("array<float>").alias("vector"))
     raw.write.parquet(f"{scratch}/raw")
