@@ -329,6 +329,20 @@ def get_by_ids(base: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return base.join(ids.select(key).distinct(), key, "left_semi")
 
 
+# --- bucketed tables
+
+
+def bucketed(df: DataFrame, folder: str, key: str, buckets: int) -> DataFrame:
+    """df written once as a table in `buckets` buckets of its key, sorted within each, and read from there.
+
+    Joins and lookups by that key (upsert, get_by_ids, joins with sidecars) then shuffle the other side only, to the buckets.
+    """
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 # --- checks
 
 

@@ -9,7 +9,7 @@ from lodestar.functions import vectors as V
 from lodestar.operators import embedding, filters, ingest, routing
 from lodestar.plans.aggregates import PER_QUERY, bundle
 from lodestar.plans.base import RESULTS, query
-from lodestar.sources import records, sinks
+from lodestar.sources import files, records, sinks
 
 # --- sources
 query("scan_embeddings", lambda t: records.scan_embeddings(t.spark, f"{t.folder}/embeddings.parquet").select("vec_id", "label", F.size("embedding").cast("long").alias("dim")), "SELECT vec_id, label, len(embedding) AS dim FROM embeddings")
@@ -66,6 +66,18 @@ query("url_manifest_rejects", lambda t: url_manifest(t, False).select("name"), "
 query("resolve_record_columns", lambda t: ingest.resolve_records(t.pages.select(F.when(F.col("page_id") % 2 == 0, F.col("page_id")).alias("id"), F.concat(F.lit("a/n"), F.col("page_id"), F.lit(".mp4")).alias("path"), F.md5("html").alias("text"))), "SELECT CASE WHEN page_id % 2 = 0 THEN page_id::VARCHAR ELSE 'n' || page_id END AS video_id, 'a/n' || page_id || '.mp4' AS video_path, md5(html) AS caption FROM pages")
 
 
+def sidecars(t):
+    """A sidecar for each supplier, one in ten broken and one in ten missing, opened by id."""
+    root = t.work()
+    rows = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    text = F.when(F.col("id") % 10 == 3, F.lit('{"span_uuid": ')).otherwise(F.to_json(F.struct(F.col("name").alias("span_uuid"), "id")))
+    files.write_texts(rows.where("id % 10 <> 7").select(records.sidecar_path(root, F.col("id")).alias("path"), text.alias("text")))
+    return records.scan_sidecars_of(rows.select("id"), root).select("id", "span_uuid", F.split("fault", ":")[0].alias("fault"))
+
+
+query("scan_sidecar_files", sidecars, "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 NOT IN (3, 7) THEN s_name END AS span_uuid, CASE s_suppkey % 10 WHEN 3 THEN 'broken' WHEN 7 THEN 'missing' END AS fault FROM supplier")
+
+
 def sidecar_map(t):
     """One JSON object for each thousand documents, in files of their own, and read back."""
     folder = t.work()

@@ -55,6 +55,14 @@ query("upsert", lambda t: C.upsert(base_rows(t), new_rows(t)), f"WITH {NEW} SELE
 query("upsert_ignore", lambda t: C.upsert(base_rows(t), new_rows(t), "ignore"), f"WITH {NEW} SELECT * FROM b UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM b)")
 query("upsert_skip", lambda t: C.upsert(base_rows(t), new_rows(t), "skip"), f"WITH {NEW} SELECT * FROM b UNION ALL SELECT * FROM n")
 query("upsert_counts", lambda t: C.upsert_counts(base_rows(t), new_rows(t)), f"WITH {NEW} SELECT count(*) FILTER (id NOT IN (SELECT id FROM b)) AS inserted, count(*) FILTER (id IN (SELECT id FROM b)) AS existing FROM n")
+
+
+def in_buckets(t):
+    return C.bucketed(base_rows(t), t.work(), "id", 8)
+
+
+query("upsert_bucketed", lambda t: C.upsert(in_buckets(t), new_rows(t)), f"WITH {NEW} SELECT * FROM n UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM n)")
+query("get_by_ids_bucketed", lambda t: C.get_by_ids(in_buckets(t), new_rows(t).where("value > 100")), f"WITH {NEW} SELECT * FROM b WHERE id IN (SELECT id FROM n WHERE value > 100)")
 query(
     "delete_by_id",
     lambda t: C.delete_ids(t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, F.col("vec_id") + 1000000).alias("source_id")), t.labels.select((F.col("doc_id") + F.when(F.col("toxic") == 1, 1000000).otherwise(0)).alias("id"))),

@@ -91,3 +91,52 @@ def missing_columns(found: DataFrame, declared: list[str]) -> Column:
 def escaped(path: str) -> str:
     """A path as Spark reads it where it takes patterns."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+# --- files of given paths
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(path: str | None) -> tuple[str | None, str | None]:
+        if path is None:
+            return None, "missing: no path"
+        try:
+            store, inner = _file_system(path)
+            with store.open_input_file(inner) as file:
+                return file.read().decode(), None
+        except FileNotFoundError:
+            return None, "missing: no such file"
+        except Exception as error:
+            return None, f"broken: {type(error).__name__}: {error}"[:500]
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for batch in batches:
+            found = list(pool.map(one, batch.column("path").to_pylist()))
+            text, fault = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), pa.array(fault, pa.string())], [*batch.schema.names, "text", "fault"])
+
+
+def read_texts(rows: DataFrame) -> DataFrame:
+    """rows (with a column path) with the text of each file, or its fault. Exactly these paths are opened, inside tasks, without a
+    listing; a missing or unreadable file is a row with a fault that begins with `missing` or `broken`."""
+    shape = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+    tasks = 1 + rows.count() // PER_TASK
+    return rows.repartition(tasks).mapInArrow(_texts, f"{shape}, text string, fault string")
+
+
+def _put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(row: tuple[str, str]) -> None:
+        store, inner = _file_system(row[0])
+        store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(inner) as file:
+            file.write(row[1].encode())
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for batch in batches:
+            list(pool.map(one, zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column("path")], ["path"])
+
+
+def write_texts(rows: DataFrame) -> int:
+    """Write rows (path, text) as a file each, inside tasks; a task that runs again writes the same. Returns their number."""
+    return rows.select("path", "text").mapInArrow(_put, "path string").count()

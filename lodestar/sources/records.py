@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from lodestar.operators.collections import describe
 from lodestar.operators.embedding import gaussian_vector
 from lodestar.session import stored
+from lodestar.sources import files
 
 
 def scan_embeddings(spark: SparkSession, path: str) -> DataFrame:
@@ -85,6 +86,22 @@ def scan_sidecar_files(spark: SparkSession, root: str) -> DataFrame:
     return text.select(name.alias("id"), F.get_json_object("value", "$.span_uuid").alias("span_uuid"), F.col("value").alias("meta"))
 
 
+def sidecar_path(root: str, id_: Column) -> Column:
+    """Where the sidecar of an id lies."""
+    return F.concat(F.lit(f"{root.rstrip('/')}/metas/v0/"), id_.cast("string"), F.lit(".json"))
+
+
+def scan_sidecars_of(ids: DataFrame, root: str) -> DataFrame:
+    """id, span_uuid, meta (the whole text), fault: the sidecars of the given ids (a column id), opened by their paths. One that is
+    missing, or is no JSON object, is a row with a fault."""
+    found = files.read_texts(ids.select("id", sidecar_path(root, F.col("id")).alias("path")))
+    whole = F.try_variant_get(F.try_parse_json("text"), "$", "map<string,variant>").isNotNull()
+    fault = F.coalesce("fault", F.when(~whole, F.lit("broken: no JSON object")))
+    return found.select("id", fault.alias("fault"), "text").select(
+        "id", F.when(F.col("fault").isNull(), F.get_json_object("text", "$.span_uuid")).alias("span_uuid"), F.when(F.col("fault").isNull(), F.col("text")).alias("meta"), "fault"
+    )
+
+
 def gen_embeddings(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
     """n rows id vec_00000000.., unit embedding of normal values, $meta; values depend on the number and seed only."""
     rows = spark.range(n)

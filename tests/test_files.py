@@ -3,9 +3,10 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import collections as C
-from lodestar.sources import files
+from lodestar.sources import files, records
 from lodestar.streaming import ingest as S
 
 SHAPE = "id long, embedding array<float>, label string"
@@ -74,3 +75,32 @@ def test_every_file_has_its_outcome(spark, tmp_path):
     assert "missing" in reasons["lacking.parquet"] and "2 vectors are not 2 wide" in reasons["wide.parquet"]
     assert "of 8000 rows" in reasons["torn.parquet"] and reasons["junk.parquet"]
     assert {r.status: (r.files, r.rows) for r in S.outcome_totals(spark, paths[1]).collect()} == {"indexed": (8, 70), "error": (4, 0)}
+
+
+def test_sidecars_are_opened_by_their_paths(spark, tmp_path):
+    folder = tmp_path / "metas/v0"
+    folder.mkdir(parents=True)
+    for name, text in (("a", '{"span_uuid": "u1", "x": [1]}'), ("b[1]", "{}"), ("c", "[1]"), ("d", '{"span'), ("other", "{}")):
+        (folder / f"{name}.json").write_text(text)
+    (folder / "e.json").write_bytes(b"\xff\xfe")
+    ids = spark.createDataFrame([(x,) for x in ("a", "b[1]", "c", "d", "e", "gone", None)], "id string")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {r.id: (r.span_uuid, r.meta, (r.fault or "").split(":")[0]) for r in records.scan_sidecars_of(ids, root).collect()}
+        assert got == {"a": ("u1", '{"span_uuid": "u1", "x": [1]}', ""), "b[1]": (None, "{}", ""), "c": (None, None, "broken"), "d": (None, None, "broken"), "e": (None, None, "broken"), "gone": (None, None, "missing"), None: (None, None, "missing")}
+    assert records.scan_sidecars_of(ids.limit(0), str(tmp_path)).count() == 0
+
+
+def test_buckets_are_not_shuffled(spark, tmp_path):
+    base = C.bucketed(spark.range(500).withColumn("v", F.lit("old")), f"file://{tmp_path}/b", "id", 4)
+    new = spark.range(450, 520).withColumn("v", F.lit("new"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for got, rows in ((C.upsert(base, new), 520), (C.get_by_ids(base, new), 50), (base.join(new.withColumnRenamed("v", "w"), "id"), 50)):
+            assert got.count() == rows
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            for scan in (p for p in plan.split("Exchange hashpartitioning")[1:]):
+                assert "bucketed" not in scan.split("Range")[0] or "FileScan" not in scan.split("Range")[0]
+            assert plan.count("Exchange hashpartitioning") <= 2 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -45,14 +45,15 @@ def test_query(spark, duck, name):
     assert rows == sorted(([plain(r[k]) for k in order] for r in relation.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name", ["knn_ivf_probe", "knn_ivf_sq8_probe", "knn_graph"])
 @pytest.mark.parametrize("folder", [DATA, DATA.parent / "sf0.1"])
-def test_recall_of_probing(spark, folder):
+def test_recall_of_probing(spark, folder, name):
     """Of the exact ten nearest of every query, at least nine in ten are found."""
     t = Tables(spark, str(folder))
     exact = {(r.qid, r.id) for r in search.knn_exact(t.vectors, t.queries, 10).collect()}
-    found = {(r.qid, r.id) for r in catalog.QUERIES["knn_ivf_probe"](spark, str(folder)).collect()}
+    found = {(r.qid, r.id) for r in catalog.QUERIES[name](spark, str(folder)).collect()}
     recall = len(found & exact) / len(exact)
-    print(f"recall {folder.name}: {recall:.3f}")
+    print(f"recall {name} {folder.name}: {recall:.3f}")
     assert len(found) == len(exact) and recall >= 0.9
 
 
