@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.commits import OBJECT_STORES
+
 FOOTERS = "path string, bytes long, rows long, columns array<struct<name: string, type: string, nulls: long>>, error string"
 #: Stores that pyarrow opens.
 SCHEMES = ("file", "s3", "s3a", "s3n", "gs", "hdfs")
@@ -22,6 +24,31 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "length")
 
 
+def pages(spark: SparkSession, root: str) -> Iterator[tuple[str, int]]:
+    """path and length of the files below root in the order of their paths, listed as far as they are asked for: object stores
+    list by key, page by page; of other stores a folder is listed when it is reached. Empty files, and names that begin with `_`
+    or `.`, are passed over, as Spark does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def keyed() -> Iterator:
+        listing = store.listFiles(path, True)
+        while listing.hasNext():
+            yield listing.next()
+
+    def walked(folder) -> Iterator:
+        entries = ((s.getPath().getName() + "/" * s.isDirectory(), s) for s in store.listStatus(folder))
+        for name, status in sorted(entries, key=lambda e: e[0].encode()):
+            if status.isDirectory() and name[0] not in "_.":
+                yield from walked(status.getPath())
+            elif not status.isDirectory():
+                yield status
+
+    for status in keyed() if store.getUri().getScheme() in OBJECT_STORES else walked(path):
+        if status.getLen() and status.getPath().getName()[0] not in "_.":
+            yield status.getPath().toString(), status.getLen()
+
+
 def can_open(path: str) -> bool:
     """Whether tasks can open a path themselves."""
     scheme = re.match(r"([a-z0-9]+):", path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,13 +29,17 @@ def field_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str, extensions: list[str], limit: int | None = None) -> DataFrame:
-    """path and length of the files below root whose names end with an extension (case matters), by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    """path and length of the files below root whose names end with an extension (case matters).
+
+    With a limit, the first so many by path; the store is listed no further than needed.
+    """
+    if limit is not None:
+        found = (file for file in files.pages(spark, root) if file[0].endswith(tuple(extensions)))
+        return spark.createDataFrame(list(itertools.islice(found, limit)), "path string, length long")
     keep = F.lit(False)
     for e in extensions:
         keep = keep | F.endswith("path", F.lit(e))
-    found = files.where(keep)
-    return found if limit is None else found.orderBy("path").limit(limit)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length").where(keep)
 
 
 def truthy(columns: list[str]) -> Column:

@@ -104,3 +104,20 @@ def test_buckets_are_not_shuffled(spark, tmp_path):
             assert plan.count("Exchange hashpartitioning") <= 2 and "Bucketed: true" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_a_listing_stops_at_its_limit(spark, tmp_path, monkeypatch):
+    (tmp_path / "sub").mkdir()
+    for k in range(30):
+        (tmp_path / ("sub" if k % 2 else ".") / f"f{k}.{'json' if k % 3 else 'csv'}").write_text("x" * (k + 1))
+    (tmp_path / "_hidden.csv").write_text("x")
+    (tmp_path / "empty.csv").touch()
+    asked = []
+    listed = files.pages
+    monkeypatch.setattr(files, "pages", lambda *a: (asked.append(f) or f for f in listed(*a)))
+    every = {tuple(r) for r in records.scan_files(spark, str(tmp_path), [".csv"]).collect()}
+    assert len(every) == 10 and not asked
+    some = {tuple(r) for r in records.scan_files(spark, str(tmp_path), [".csv"], 3).collect()}
+    assert some == set(sorted(every)[:3]) and len(asked) < 30
+    assert {tuple(r) for r in records.scan_files(spark, str(tmp_path), [".csv"], 99).collect()} == every
+    assert records.scan_files(spark, str(tmp_path), [".none"], 2).count() == 0
