@@ -38,7 +38,7 @@ FREQUENT = 1 << 18
 SKETCH_BITS = (256, 1 << 17)
 ORDERS = 3
 #: Counters of a task's summary of common shingles, and shingles that are counted before they are merged into it.
-COUNTERS, BUFFER = 1 << 18, 1 << 21
+COUNTERS, BUFFER = 1 << 18, 1 << 19
 _TOP = np.uint64(1 << 63)
 
 
