@@ -46,13 +46,6 @@ class Tables:
         docs = self.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), meta.alias("metadata"))
         return self.hits.join(docs, "id")
 
-    @property
-    def relevant(self) -> DataFrame:
-        """qid, id of equal labels (class relevance)."""
-        v = self.embeddings.select("vec_id", "label")
-        q = v.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("qid"), "label")
-        return q.join(v.select(F.col("vec_id").alias("id"), "label"), "label").select("qid", "id")
-
 
 #: The same inputs in SQL.
 HITS = f"""q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % {QUERY_STEP} = 0),
