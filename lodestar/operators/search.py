@@ -16,6 +16,8 @@ from lodestar.session import stored
 MOST_K = 16_000
 QUERY_BLOCK = 1024
 DOC_BLOCK = 4096
+#: Queries of a block that are scored at once, so that the scores of a task are 4 MB at a time.
+STRIP = 128
 QUANTIZED_LEVELS = 255
 #: Query vectors that are broadcast, at most.
 MOST_SENT = 1 << 14
@@ -87,30 +89,41 @@ def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(rows, width).astype(np.float64)
 
 
-def _block_scores(metric: str):
-    """Rows of blocks -> ids, query ids, groups and the matrix of scores (queries x documents)."""
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches of blocks, of which one at a time is made Python's."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if row["width"] != row["q_width"]:
+                raise ValueError(f"query vectors have {row['q_width']} components, documents {row['width']}")
+            yield row
+
+
+def _block_scores(metric: str, strip: int = QUERY_BLOCK):
+    """Rows of blocks -> ids, query ids, groups and the matrix of scores (queries x documents), for `strip` queries at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["width"] != row["q_width"]:
-                    raise ValueError(f"query vectors have {row['q_width']} components, documents {row['width']}")
-                x = _matrix(row["matrix"], len(row["ids"]), row["width"])
-                q = _matrix(row["q_matrix"], len(row["qids"]), row["width"])
+        for row in _each(batches):
+            ids, qids = np.array(row["ids"]), np.array(row["qids"])
+            x = _matrix(row["matrix"], len(ids), row["width"])
+            every = _matrix(row["q_matrix"], len(qids), row["width"])
+            length, square = np.linalg.norm(x, axis=1)[None], (x * x).sum(axis=1)[None]
+            for low in range(0, len(qids), strip):
+                q = every[low : low + strip]
                 score = q @ x.T
                 if metric == "cosine":
                     with np.errstate(invalid="ignore", divide="ignore"):
-                        score /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+                        score /= np.linalg.norm(q, axis=1)[:, None] * length
                 elif metric == "l2":
-                    score = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * score
-                yield np.array(row["ids"]), np.array(row["qids"]), row["groups"], score
+                    score = (q * q).sum(axis=1)[:, None] + square - 2 * score
+                yield ids, qids[low : low + strip], row["groups"], score
 
     return run
 
 
 def _score_blocks(metric: str, k: int):
     """A block of documents and one of queries -> per query and group its k best documents and all that tie with them."""
-    scores = _block_scores(metric)
+    scores = _block_scores(metric, STRIP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, qids, groups, score in scores(batches):
@@ -129,7 +142,7 @@ def _score_blocks(metric: str, k: int):
 
 def _all_scores(metric: str, least: float | None):
     """A block of documents and one of queries -> every pair, or those of at least a score (at most a distance)."""
-    scores = _block_scores(metric)
+    scores = _block_scores(metric, STRIP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, qids, _, score in scores(batches):

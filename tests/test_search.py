@@ -157,3 +157,27 @@ def test_grouped_search_emits_few_rows(vectors, asked, metric):
     assert hits(pruned.group_best_pruned(docs, asked, "g", 5, metric, sample=1)) == want
     few = pruned.group_rows(docs, asked, "g", 5, metric, sample=500).count()
     assert few < 0.15 * search.knn_exact(docs, asked, 1, metric, group="g").count()
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_scores_of_a_block_take_little_memory(metric):
+    """All of a block at once: 32 MB for each matrix of scores, of which there were several."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(search.DOC_BLOCK, 16)), rng.normal(size=(search.QUERY_BLOCK, 16))
+    made = {"ids": [list(range(len(x)))], "groups": [[""] * len(x)], "width": [16], "matrix": [x.astype("<f8").tobytes()]}
+    made |= {"qids": [list(range(len(q)))], "q_width": [16], "q_matrix": [q.astype("<f8").tobytes()]}
+    batch = pa.RecordBatch.from_pydict(made)
+    tracemalloc.start()
+    best = [dict(zip(b["qid"].to_pylist(), b["id"].to_pylist(), strict=True)) for b in search._score_blocks(metric, 1)([batch])]
+    scored = sum(b.num_rows for b in search._all_scores(metric, None)([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scored == len(x) * len(q) and most < 32e6
+    found = {k: v for b in best for k, v in b.items()}
+    for k in (0, 500, len(q) - 1):
+        score = x @ q[k] if metric == "ip" else x @ q[k] / np.linalg.norm(x, axis=1) if metric == "cosine" else -((x - q[k]) ** 2).sum(axis=1)
+        assert found[k] == score.argmax()
