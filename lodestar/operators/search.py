@@ -240,7 +240,7 @@ def knn_ivf(docs: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 1
 
 def quantize_sq8(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """8-bit codes of vectors (column codes, array<int> 0..255), and per place its lowest and highest value."""
-    places = vectors.select(F.posexplode("vector").alias("place", "x")).groupBy("place").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    places = stored(vectors.select(F.posexplode("vector").alias("place", "x")).groupBy("place").agg(F.min("x").alias("low"), F.max("x").alias("high")))
     bounds = places.agg(F.sort_array(F.collect_list(F.struct("place", "low", "high"))).alias("bounds"))
     code = F.zip_with(
         "vector",
@@ -250,25 +250,64 @@ def quantize_sq8(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vectors.crossJoin(F.broadcast(bounds)).withColumn("codes", code).drop("bounds"), places
 
 
+def _coded_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, vector, codes) -> one row per block of rows: ids, width, a matrix of the vectors, their codes as bytes."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, DOC_BLOCK):
+            ids, vectors, codes = batch.slice(low, DOC_BLOCK).columns
+            width = _widths(vectors)
+            narrow = vectors.flatten().type == pa.float32()
+            made = {"ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "width": pa.array([width], pa.int64())}
+            made["matrix"] = pa.array([np.asarray(vectors.flatten().cast(pa.float32() if narrow else pa.float64())).tobytes()], pa.binary())
+            made["codes"] = pa.array([np.asarray(codes.flatten()).astype(np.uint8).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_pydict(made)
+
+
+def _rescored(low: np.ndarray, high: np.ndarray, k: int):
+    """A block of codes and one of queries -> exact scores of all rows of the block that may be among its k best."""
+    step, reach = (high - low) / QUANTIZED_LEVELS, np.maximum(np.abs(low), np.abs(high))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            ids, qids, width = np.array(row["ids"]), np.array(row["qids"]), row["width"]
+            x = _matrix(row["matrix"], len(ids), width)
+            every = _matrix(row["q_matrix"], len(qids), width)
+            codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), width).T.astype(np.float32)
+            n = min(k, len(ids)) - 1
+            for begin in range(0, len(qids), STRIP):
+                q = every[begin : begin + STRIP]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    scaled = q * step
+                    rough = (scaled.astype(np.float32) @ codes) + (q @ low)[:, None]
+                    off = np.abs(scaled).sum(axis=1) * (0.5 + 1e-3) + np.abs(q) @ reach * (width + 8) * 2.0**-20
+                    rough[~np.isfinite(rough)] = np.nan
+                    lowest = np.where(np.isnan(rough), -np.inf, rough - off[:, None])
+                    least = -np.partition(-lowest, n, axis=1)[:, n : n + 1]
+                    at, best = np.nonzero(~(rough + off[:, None] < least))
+                for some in range(0, len(at), 8 * DOC_BLOCK):
+                    a, b = at[some : some + 8 * DOC_BLOCK], best[some : some + 8 * DOC_BLOCK]
+                    score = np.einsum("ij,ij->i", q[a], x[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[begin + a]), pa.array(ids[b]), pa.array(score, from_pandas=True)], ["qid", "id", "score"])
+
+    return run
+
+
 def knn_sq8(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """qid, id, score, rank: the k nearest documents by inner product, found by 8-bit codes and exact.
 
     A quantized score is off by at most half a step per place times |query component|, summed (`off`, with room for the
-    rounding of floats). So every row whose quantized score plus `off` reaches the k-th best quantized score minus `off`
-    may be among the k best: all of them are scored exactly, where they are read, however many they are.
+    rounding of floats). So every row of a block whose quantized score plus `off` reaches the k-th best quantized score of the
+    block minus `off` may be among the k best: all of them are scored exactly, where they are read, however many they are.
+    Codes and queries meet as matrices, each block once. The lowest and highest value of each place reach the driver.
     """
-    coded, places = quantize_sq8(docs.select("id", "vector"))
-    low, high = F.col("low").cast("double"), F.col("high").cast("double")
-    slack = (high - low) * (0.5 / QUANTIZED_LEVELS + 1e-6) + F.greatest(F.abs(low), F.abs(high)) * 1e-9
-    bounds = F.broadcast(places.agg(F.sort_array(F.collect_list(F.struct("place", "low", "high", slack.alias("slack")))).alias("b")))
-    back = F.zip_with("codes", "b", lambda c, b: b["low"] + c / float(QUANTIZED_LEVELS) * (b["high"] - b["low"]))
-    coded = coded.crossJoin(bounds).select("id", "vector", back.alias("rough"))
-    kth = knn_exact(coded.select("id", F.col("rough").alias("vector")), queries, k).groupBy("qid").agg(F.min("score").alias("kth"))
-    off = V.dot(F.transform("vector", F.abs), F.transform("b", lambda b: b["slack"]))
-    q = queries.join(kth, "qid").crossJoin(bounds).select("qid", F.col("vector").alias("q_vector"), (F.col("kth") - 2 * off).alias("least"))
-    q = stored(q)
-    near = coded.crossJoin(F.broadcast(q) if q.count() <= MOST_SENT else q).where(V.dot(F.col("rough"), F.col("q_vector")) >= F.col("least"))
-    return top_k(near.select("qid", "id", V.dot(F.col("vector"), F.col("q_vector")).alias("score")), k)
+    coded, places = quantize_sq8(docs.select("id", "vector").where("vector is not null"))
+    bounds = sorted(places.select("place", F.col("low").cast("double"), F.col("high").cast("double")).collect())
+    low, high = (np.array([b[c] for b in bounds], float) for c in ("low", "high"))
+    blocks = coded.select("id", "vector", "codes").mapInArrow(_coded_blocks, "ids array<long>, width long, matrix binary, codes binary")
+    q = stored(_query_blocks(queries))
+    sent = q.agg(F.coalesce(F.sum(F.size("qids")), F.lit(0))).first()[0] <= MOST_SENT
+    near = stored(blocks).crossJoin(F.broadcast(q) if sent else q)
+    return top_k(near.mapInArrow(_rescored(low, high, check_k(k)), "qid long, id long, score double"), k)
 
 
 def rank_scores(hits: DataFrame, k: int | None = None, dedup: bool = True, largest: bool = True, keep: str = "id") -> DataFrame:

@@ -181,3 +181,15 @@ def test_scores_of_a_block_take_little_memory(metric):
     for k in (0, 500, len(q) - 1):
         score = x @ q[k] if metric == "ip" else x @ q[k] / np.linalg.norm(x, axis=1) if metric == "cosine" else -((x - q[k]) ** 2).sum(axis=1)
         assert found[k] == score.argmax()
+
+
+def test_codes_and_queries_meet_as_blocks(spark, vectors):
+    """Also where many rows are equal, and where a place is constant or wide."""
+    rows = vectors.select("id", F.transform("vector", lambda x, i: F.when(i == 0, 7.0).when(i == 1, x * 1000).otherwise(x).cast("float")).alias("vector"))
+    copies = spark.range(2000, 2300).select("id", F.lit(1).alias("one")).join(rows.where("id = 60").select("vector", F.lit(1).alias("one")), "one").drop("one")
+    docs = rows.unionByName(copies).unionByName(spark.createDataFrame([(9000, None)], rows.schema))
+    asked = docs.where("id % 60 = 0").select(F.col("id").alias("qid"), "vector")
+    found = search.knn_sq8(docs, asked, 10)
+    assert hits(found) == hits(search.knn_exact(docs, asked, 10)) and found.count() == 10 * asked.where("vector is not null").count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "q_matrix" in plan and "lambdafunction" not in plan  # no expression is evaluated for each pair
