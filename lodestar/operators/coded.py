@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import vectors as V
-from lodestar.operators.search import DOC_BLOCK, _blocks, _matrix, _query_blocks, assign_cells, check_k, top_k
+from lodestar.operators.search import DOC_BLOCK, STRIP, _blocks, _each, _matrix, _query_blocks, assign_cells, check_k, top_k
 from lodestar.session import stored
 
 LEVELS = 255
@@ -67,17 +67,16 @@ def _bounds(metric: str, k: int):
     score (for l2, of the negative distance)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["width"] != row["q_width"]:
-                    raise ValueError(f"query vectors have {row['q_width']} components, documents {row['width']}")
-                width = row["width"]
-                q = _matrix(row["q_matrix"], len(row["qids"]), width)
-                low, step = (np.frombuffer(row[c], "<f4").astype(float) for c in ("low", "step"))
-                squares = np.frombuffer(row["squares"], "<f8")
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(squares), width)
+        for row in _each(batches):
+            width, qids = row["width"], np.array(row["qids"])
+            every = _matrix(row["q_matrix"], len(qids), width)
+            low, step = (np.frombuffer(row[c], "<f4").astype(float) for c in ("low", "step"))
+            squares = np.frombuffer(row["squares"], "<f8")
+            codes = np.frombuffer(row["codes"], np.uint8).reshape(len(squares), width).T.astype(np.float32)
+            for begin in range(0, len(qids), STRIP):
+                q = every[begin : begin + STRIP]
                 scaled = q * step
-                rough = (scaled.astype(np.float32) @ codes.T.astype(np.float32)).astype(float) + (q @ low)[:, None]
+                rough = (scaled.astype(np.float32) @ codes).astype(float) + (q @ low)[:, None]
                 size = np.abs(scaled).sum(axis=1) * LEVELS + np.abs(q) @ np.abs(low)
                 off = (np.abs(scaled).sum(axis=1) * (0.5 + 1e-3) + size * ROUNDING * (width + 8))[:, None]
                 lowest, highest = rough - off, rough + off
@@ -94,7 +93,7 @@ def _bounds(metric: str, k: int):
                 n = min(k, len(squares))
                 least = -np.partition(-lowest, n - 1, axis=1)[:, n - 1 : n]
                 at, place = np.nonzero(highest >= least)
-                columns = [pa.array(np.array(row["qids"])[at])] + [pa.array(np.full(len(at), row[c])) for c in ("cell", "block")]
+                columns = [pa.array(qids[begin + at])] + [pa.array(np.full(len(at), row[c])) for c in ("cell", "block")]
                 columns += [pa.array(place.astype(np.int32)), pa.array(lowest[at, place]), pa.array(highest[at, place])]
                 yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in CANDIDATES.split(", ")])
 
@@ -106,18 +105,21 @@ def _exact(metric: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                x = _matrix(row["matrix"], len(row["ids"]), row["width"])[[w["place"] for w in row["wanted"]]]
-                q = np.array([w["vector"] for w in row["wanted"]], float)
-                score = np.einsum("ij,ij->i", x, q)
-                if metric == "cosine":
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        score /= np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1)
-                elif metric == "l2":
-                    score = (q * q).sum(axis=1) + (x * x).sum(axis=1) - 2 * score
-                ids = [row["ids"][w["place"]] for w in row["wanted"]]
-                columns = [pa.array([w["qid"] for w in row["wanted"]], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, from_pandas=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["qid", "id", "score"])
+            for at in range(batch.num_rows):
+                ids, width, matrix, wanted = (batch.column(c)[at] for c in ("ids", "width", "matrix", "wanted"))
+                ids, asked = ids.values.to_numpy(), wanted.values
+                every = _matrix(matrix.as_py(), len(ids), width.as_py())
+                for low in range(0, len(asked), DOC_BLOCK):
+                    qids, place, vectors = asked.slice(low, DOC_BLOCK).flatten()
+                    place = place.to_numpy()
+                    x, q = every[place], np.asarray(vectors.flatten().cast(pa.float64())).reshape(len(place), -1)
+                    score = np.einsum("ij,ij->i", x, q)
+                    if metric == "cosine":
+                        with np.errstate(invalid="ignore", divide="ignore"):
+                            score /= np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1)
+                    elif metric == "l2":
+                        score = (q * q).sum(axis=1) + (x * x).sum(axis=1) - 2 * score
+                    yield pa.RecordBatch.from_arrays([qids, pa.array(ids[place]), pa.array(score, from_pandas=True)], ["qid", "id", "score"])
 
     return run
 

@@ -193,3 +193,26 @@ def test_codes_and_queries_meet_as_blocks(spark, vectors):
     assert hits(found) == hits(search.knn_exact(docs, asked, 10)) and found.count() == 10 * asked.where("vector is not null").count()
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "q_matrix" in plan and "lambdafunction" not in plan  # no expression is evaluated for each pair
+
+
+def test_bounds_of_a_block_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(search.DOC_BLOCK, 16)), rng.normal(size=(search.QUERY_BLOCK, 16))
+    made = {"cell": [0], "ids": [list(range(len(x)))], "width": [16], "matrix": [x.astype("<f8").tobytes()]}
+    block = next(coded._coded([pa.RecordBatch.from_pydict(made)]))
+    made = {c: block.column(c) for c in block.schema.names if c not in ("ids", "matrix")}
+    batch = pa.RecordBatch.from_pydict(made | {"qids": [list(range(len(q)))], "q_width": [16], "q_matrix": [q.astype("<f8").tobytes()]})
+    tracemalloc.start()
+    found = [b.to_pydict() for b in coded._bounds("cosine", 3)([batch])]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    places = {k: set() for k in range(len(q))}
+    for b in found:
+        for k, place in zip(b["qid"], b["place"], strict=True):
+            places[k].add(place)
+    score = q @ x.T / np.linalg.norm(x, axis=1)
+    assert all(set(np.argsort(-score[k])[:3].tolist()) <= places[k] for k in range(len(q))) and most < 64e6
