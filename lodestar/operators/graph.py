@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.search import MOST_SENT as MOST_QUERIES
 from lodestar.operators.search import check_k, knn_exact, top_k
 from lodestar.session import stored
 
@@ -85,14 +86,19 @@ def _in_blocks(degree: int, metric: str):
 
 
 def _in_groups(most: int, metric: str):
-    """Links within the gathered members (ids and vectors end to end) of each node."""
+    """Links within the gathered members (ids and vectors end to end) of each node, as far as they reach the floor of the
+    member: the worst score of its links, if it has all it may have. No other could stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for members in batch.column(0):
                 rows = members.values
-                found.append(_links(rows.field("other").to_numpy(), _matrix_of(rows.field("vector"), metric), most, metric))
+                ids = rows.field("other").to_numpy()
+                near = _links(ids, _matrix_of(rows.field("vector"), metric), most, metric)
+                order = np.argsort(ids)
+                good = near[2] >= rows.field("floor").to_numpy()[order][np.searchsorted(ids, near[0], sorter=order)]
+                found.append([c[good] for c in near])
             columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "other", "score"])
 
@@ -100,8 +106,8 @@ def _in_groups(most: int, metric: str):
 
 
 def _nearest(links: DataFrame, degree: int) -> DataFrame:
-    """Of each id the `degree` nearest others."""
-    once = links.groupBy("id", "other").agg(F.max("score").alias("score"), F.min("age").alias("age"))
+    """Of each id the `degree` nearest others. Dealt by id, the links are shuffled once for both steps."""
+    once = links.repartition("id").groupBy("id", "other").agg(F.max("score").alias("score"), F.min("age").alias("age"))
     return top_k(once, degree, by="id", tie="other").drop("rank")
 
 
@@ -137,7 +143,9 @@ def build_graph(docs: DataFrame, degree: int = 16, sample: int = 12, rounds: int
     for n in range(1, rounds + 1):
         ahead, back = _sampled(links, "id", "other", sample, n), _sampled(links, "other", "id", sample, n)
         members = ahead.unionByName(back).unionByName(links.select(F.col("id").alias("node"), F.col("id").alias("other")).distinct()).distinct()
-        gathered = members.join(rows.withColumnRenamed("id", "other"), "other").groupBy("node").agg(F.collect_list(F.struct("other", "vector")).alias("members"))
+        floors = links.groupBy(F.col("id").alias("other")).agg(F.when(F.count("*") >= degree, F.min("score")).alias("floor"))
+        placed = rows.withColumnRenamed("id", "other").join(floors, "other", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        gathered = members.join(placed, "other").groupBy("node").agg(F.collect_list(F.struct("other", "vector", "floor")).alias("members"))
         found = gathered.select("members").mapInArrow(_in_groups(degree // 2, metric), LINKS).withColumn("age", F.lit(n))
         links = stored(_nearest(links.withColumn("age", F.lit(0)).unionByName(found), degree))
         sums = links.agg(F.avg((F.col("age") == n).cast("double")).alias("changed")).first()
@@ -166,7 +174,8 @@ def search_graph(graph: DataFrame, queries: DataFrame, k: int = 10, beam: int =
     after most_rounds is an error, not a shorter result."""
     if beam < check_k(k):
         raise ValueError("the beam must hold k")
-    asked = queries.where("vector is not null").select("qid", F.col("vector").alias("q_vector"))
+    asked = stored(queries.where("vector is not null").select("qid", F.col("vector").alias("q_vector")))
+    asked = F.broadcast(asked) if asked.count() <= MOST_QUERIES else asked
     share = min(1.0, entries / max(1, graph.count()))
     drawn = graph.where(F.pmod(F.xxhash64("id", F.lit("entry")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "vector")
     begun = knn_exact(drawn, queries, beam, metric).select("qid", "id", "score")

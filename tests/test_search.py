@@ -216,3 +216,15 @@ def test_bounds_of_a_block_take_little_memory():
             places[k].add(place)
     score = q @ x.T / np.linalg.norm(x, axis=1)
     assert all(set(np.argsort(-score[k])[:3].tolist()) <= places[k] for k in range(len(q))) and most < 64e6
+
+
+def test_links_below_a_floor_stay_in_their_group():
+    """Of a group only links leave that a member could keep; before, all did."""
+    import pyarrow as pa
+
+    shape = pa.list_(pa.struct([("other", pa.int64()), ("vector", pa.list_(pa.float32())), ("floor", pa.float64())]))
+    x = [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0]]
+    members = [{"other": k, "vector": v, "floor": f} for k, v, f in zip((5, 2, 9), x, (0.5, 0.999, -np.inf), strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array([members], shape)], ["members"])
+    found = [r for b in graph._in_groups(2, "cosine")([batch]) for r in b.to_pylist()]
+    assert sorted((r["id"], r["other"]) for r in found) == [(5, 2), (9, 2), (9, 5)]
