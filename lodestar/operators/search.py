@@ -162,6 +162,12 @@ def _query_blocks(queries: DataFrame, keys: list[str] = []) -> DataFrame:  # noq
     return q.select("qids", *keys, F.col("width").alias("q_width"), F.col("matrix").alias("q_matrix"))
 
 
+def _pairs_of_blocks(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every block of documents with every block of queries. Blocks are made once and stored, so a task that scores them holds
+    one Python worker and makes no block again for each partition of the other side; neither side is broadcast."""
+    return stored(docs).hint("shuffle_replicate_nl").crossJoin(stored(queries))
+
+
 def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", group: str | None = None) -> DataFrame:
     """qid, id, score, rank: the k nearest documents (id, vector) of each query (qid, vector); with `group` (a column of
     docs), of each query and group, and the column grp.
@@ -172,7 +178,8 @@ def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str = "i
     """
     own = F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp") if group else F.lit("").alias("grp")
     d = _blocks(docs.select("id", own, "vector"), "ids", DOC_BLOCK)
-    scored = d.crossJoin(_query_blocks(queries)).mapInArrow(_score_blocks(metric, check_k(k)), "qid long, id long, grp string, score double")
+    best = _score_blocks(metric, check_k(k))
+    scored = _pairs_of_blocks(d, _query_blocks(queries)).mapInArrow(best, "qid long, id long, grp string, score double")
     largest = V.METRICS[metric][1]
     return top_k(scored, k, by=["qid", "grp"], largest=largest) if group else top_k(scored.drop("grp"), k, largest=largest)
 
@@ -181,7 +188,7 @@ def score_pairs(docs: DataFrame, queries: DataFrame, metric: str = "ip", least:
     """qid, id, score of every query (a stated set) and document, block by block; with `least`, of the pairs that reach it
     (l2: that are as near), which is all that leaves a block."""
     d = _blocks(docs.select("id", F.lit("").alias("grp"), "vector"), "ids", DOC_BLOCK)
-    return d.crossJoin(_query_blocks(queries)).mapInArrow(_all_scores(metric, least), "qid long, id long, score double")
+    return _pairs_of_blocks(d, _query_blocks(queries)).mapInArrow(_all_scores(metric, least), "qid long, id long, score double")
 
 
 def assign_cells(vectors: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:

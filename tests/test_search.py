@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import coded, graph, pruned, search
+from lodestar.plans import catalog
 from lodestar.session import stored
 
 
@@ -183,6 +184,13 @@ def test_scores_of_a_block_take_little_memory(metric):
         assert found[k] == score.argmax()
 
 
+@pytest.mark.parametrize("name", ["score_cosine", "log2_discount"])
+def test_a_task_that_scores_holds_one_python_worker(spark, name):
+    """Blocks were made in the tasks that score them, again for each partition of the other side."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "CartesianProduct" in plan
+
+
 def test_codes_and_queries_meet_as_blocks(spark, vectors):
     """Also where many rows are equal, and where a place is constant or wide."""
     rows = vectors.select("id", F.transform("vector", lambda x, i: F.when(i == 0, 7.0).when(i == 1, x * 1000).otherwise(x).cast("float")).alias("vector"))
