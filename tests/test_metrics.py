@@ -33,3 +33,28 @@ def test_a_label_of_many_members_makes_no_pairs(spark):
 def test_relevance_is_not_joined_by_label(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and not any("Join" in line and "label" in line for line in plan.splitlines())
+
+
+def rows_of_joins(plan):
+    """The rows that each join of a plan that has run put out."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        yield from rows_of_joins(plan.executedPlan())
+        return
+    if "Join" in plan.getClass().getSimpleName():
+        yield plan.metrics().get("numOutputRows").get().value()
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        yield from rows_of_joins(plan.plan())
+    for k in range(plan.children().size()):
+        yield from rows_of_joins(plan.children().apply(k))
+
+
+@pytest.mark.parametrize("name", ["relevance_join", "metric_per_query", *(f"metric_{m}" for m in ("f1_at_k", "mrr", "ndcg", "precision_at_k", "recall_at_k"))])
+def test_no_join_of_a_metric_makes_the_pairs_of_a_label(spark, tmp_path, name):
+    """80 queries of a label of 2667 members, which are 213,360 pairs, among 4000 vectors."""
+    angle, label = F.col("id") * 0.001, F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 3).cast("int")
+    made = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(F.cos(angle), F.sin(angle)).cast("array<float>").alias("embedding"), label.alias("label"))
+    made.write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert df.collect()
+    joins = list(rows_of_joins(df._jdf.queryExecution().executedPlan()))
+    assert len(joins) >= 2 and max(joins) <= 4000
