@@ -18,6 +18,8 @@ QUERY_BLOCK = 1024
 DOC_BLOCK = 4096
 #: Queries of a block that are scored at once, so that the scores of a task are 4 MB at a time.
 STRIP = 128
+#: Blocks of each side that one task scores, about: 64 pairs of blocks leave it 655,360 rows at most of the 10 best.
+TASK_BLOCKS = 8
 QUANTIZED_LEVELS = 255
 #: Query vectors that are broadcast, at most.
 MOST_SENT = 1 << 14
@@ -162,10 +164,20 @@ def _query_blocks(queries: DataFrame, keys: list[str] = []) -> DataFrame:  # noq
     return q.select("qids", *keys, F.col("width").alias("q_width"), F.col("matrix").alias("q_matrix"))
 
 
+def _dealt(blocks: DataFrame, least: int = 1) -> DataFrame:
+    """Blocks, stored and dealt evenly: about TASK_BLOCKS a task, fewer where that would be under `least` tasks. A table of one
+    row group is read, and its blocks are made, by one task."""
+    made = stored(blocks)
+    n = made.count()
+    return made.repartition(max(1, min(n, max(least, -(-n // TASK_BLOCKS)))))
+
+
 def _pairs_of_blocks(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Every block of documents with every block of queries. Blocks are made once and stored, so a task that scores them holds
-    one Python worker and makes no block again for each partition of the other side; neither side is broadcast."""
-    return stored(docs).hint("shuffle_replicate_nl").crossJoin(stored(queries))
+    one Python worker and makes no block again for each partition of the other side; neither side is broadcast. What a task
+    scores and sorts depends neither on the size of the tables nor on the files that hold them."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return _dealt(docs, cores).hint("shuffle_replicate_nl").crossJoin(_dealt(queries))
 
 
 def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", group: str | None = None) -> DataFrame:

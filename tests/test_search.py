@@ -191,6 +191,17 @@ def test_a_task_that_scores_holds_one_python_worker(spark, name):
     assert plan.count("MapInArrow") == 1 and "CartesianProduct" in plan
 
 
+def test_a_table_of_one_partition_is_not_scored_by_one_task(spark, monkeypatch):
+    """All 10,000 pairs of 100 blocks were one task's, whose sort grew with the square of the rows."""
+    monkeypatch.setattr(search, "DOC_BLOCK", 10)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 10)
+    rows = spark.range(0, 1000, 1, 1).select("id", F.lit("").alias("grp"), F.array(F.col("id").cast("double")).alias("vector"))
+    docs, queries = search._blocks(rows, "ids", 10), search._query_blocks(rows.withColumnRenamed("id", "qid"))
+    pairs = search._pairs_of_blocks(docs, queries).select(F.spark_partition_id().alias("task"), "ids", "qids")
+    counts = [r["count"] for r in pairs.groupBy("task").count().collect()]
+    assert sum(counts) == pairs.distinct().select("ids", "qids").distinct().count() == 10_000 and max(counts) <= 100
+
+
 def test_codes_and_queries_meet_as_blocks(spark, vectors):
     """Also where many rows are equal, and where a place is constant or wide."""
     rows = vectors.select("id", F.transform("vector", lambda x, i: F.when(i == 0, 7.0).when(i == 1, x * 1000).otherwise(x).cast("float")).alias("vector"))
