@@ -101,42 +101,81 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield row
 
 
+def _sized(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors with their lengths and squared lengths."""
+    return x, np.linalg.norm(x, axis=1), (x * x).sum(axis=1)
+
+
+def _strips(batches: Iterator[pa.RecordBatch], strip: int):
+    """Rows of blocks -> ids, query ids, groups, the vectors of `strip` queries at a time and those of the documents, both sized."""
+    for row in _each(batches):
+        ids, qids = np.array(row["ids"]), np.array(row["qids"])
+        x = _sized(_matrix(row["matrix"], len(ids), row["width"]))
+        every = _matrix(row["q_matrix"], len(qids), row["width"])
+        for low in range(0, len(qids), strip):
+            yield ids, qids[low : low + strip], row["groups"], _sized(every[low : low + strip]), x
+
+
+def _scores(metric: str, product: np.ndarray, q: list[np.ndarray], x: list[np.ndarray]) -> np.ndarray:
+    """Inner products -> scores, from lengths and squared lengths of both sides that broadcast to the products."""
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            product /= q[0] * x[0]
+    return q[1] + x[1] - 2 * product if metric == "l2" else product
+
+
+def _all_products(metric: str, q: tuple, x: tuple) -> np.ndarray:
+    """The matrix of scores (queries x documents)."""
+    return _scores(metric, q[0] @ x[0].T, [s[:, None] for s in q[1:]], [s[None] for s in x[1:]])
+
+
+def _pair_scores(metric: str, q: tuple, x: tuple, at: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Scores of the pairs (query at, document best), each summed in the same order wherever its rows stand: a product of
+    matrices rounds by the shape of the block, and so tells copies in different blocks apart."""
+    some = max(1, (1 << 17) // max(1, q[0].shape[1]))
+    product = [np.einsum("ij,ij->i", q[0][at[i : i + some]], x[0][best[i : i + some]]) for i in range(0, len(at), some)]
+    return _scores(metric, np.concatenate(product), [s[at] for s in q[1:]], [s[best] for s in x[1:]])
+
+
+def _rounding(metric: str, q: tuple, x: tuple) -> np.ndarray:
+    """For each query, twice what a score of the matrix and that of its pair may differ by at most, with room."""
+    unit, most = (q[0].shape[1] + 8) * 2.0**-50, np.fmax.reduce(x[1])
+    with np.errstate(invalid="ignore", over="ignore"):
+        return np.full(len(q[1]), unit) if metric == "cosine" else unit * (q[1] + most) ** 2 if metric == "l2" else unit * q[1] * most
+
+
 def _block_scores(metric: str, strip: int = QUERY_BLOCK):
     """Rows of blocks -> ids, query ids, groups and the matrix of scores (queries x documents), for `strip` queries at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for row in _each(batches):
-            ids, qids = np.array(row["ids"]), np.array(row["qids"])
-            x = _matrix(row["matrix"], len(ids), row["width"])
-            every = _matrix(row["q_matrix"], len(qids), row["width"])
-            length, square = np.linalg.norm(x, axis=1)[None], (x * x).sum(axis=1)[None]
-            for low in range(0, len(qids), strip):
-                q = every[low : low + strip]
-                score = q @ x.T
-                if metric == "cosine":
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        score /= np.linalg.norm(q, axis=1)[:, None] * length
-                elif metric == "l2":
-                    score = (q * q).sum(axis=1)[:, None] + square - 2 * score
-                yield ids, qids[low : low + strip], row["groups"], score
+        for ids, qids, groups, q, x in _strips(batches, strip):
+            yield ids, qids, groups, _all_products(metric, q, x)
 
     return run
 
 
 def _score_blocks(metric: str, k: int):
-    """A block of documents and one of queries -> per query and group its k best documents and all that tie with them."""
-    scores = _block_scores(metric, STRIP)
+    """A block of documents and one of queries -> per query and group its k best documents, by score and then id, never more:
+    of documents that tie, such as copies, others than the first could not be among the k best of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, qids, groups, score in scores(batches):
+        for ids, qids, groups, q, x in _strips(batches, STRIP):
             names, group = np.unique(np.array(groups, dtype=object).astype(str), return_inverse=True)
+            by_id = np.array([np.iinfo(np.int64).min if i is None else i for i in ids]) if ids.dtype == object else ids
+            score, off = _all_products(metric, q, x), _rounding(metric, q, x)[:, None]
             for g, name in enumerate(names):
                 own = np.flatnonzero(group == g)
-                part = score[:, own]
-                key = np.where(np.isnan(part), np.inf, part if metric == "l2" else -part)
+                key = score[:, own] if metric == "l2" else -score[:, own]
                 n = min(k, len(own))
-                at, best = np.nonzero(key <= np.partition(key, n - 1, axis=1)[:, n - 1 : n])
-                columns = [pa.array(qids[at]), pa.array(ids[own[best]]), pa.array([str(name)] * len(at), pa.string()), pa.array(part[at, best], from_pandas=True)]
+                with np.errstate(invalid="ignore"):
+                    last = np.partition(key, n - 1, axis=1)[:, n - 1 : n] + off
+                at, best = np.nonzero((key <= last) | np.isnan(last))
+                best = own[best]
+                found = _pair_scores(metric, q, x, at, best)
+                order = np.lexsort((by_id[best], found if metric == "l2" else -found, at))
+                order = order[np.arange(len(at)) - np.searchsorted(at, at) < n]
+                at, best, found = at[order], best[order], found[order]
+                columns = [pa.array(qids[at], pa.int64()), pa.array(ids[best], pa.int64()), pa.array([str(name)] * len(at), pa.string()), pa.array(found, from_pandas=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["qid", "id", "grp", "score"])
 
     return run

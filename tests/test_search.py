@@ -184,6 +184,48 @@ def test_scores_of_a_block_take_little_memory(metric):
         assert found[k] == score.argmax()
 
 
+def block_of(x, q, ids=None, groups=None):
+    import pyarrow as pa
+
+    made = {"ids": [list(range(len(x))) if ids is None else ids], "groups": [groups or [""] * len(x)], "width": [x.shape[1]], "matrix": [x.astype("<f8").tobytes()]}
+    made |= {"qids": [list(range(len(q)))], "q_width": [q.shape[1]], "q_matrix": [q.astype("<f8").tobytes()]}
+    return pa.RecordBatch.from_pydict(made)
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_copies_leave_a_block_k_times_at_most(metric):
+    """All that tied with the k-th best left it: of 4096 copies and 1024 queries, 4 million rows for a task to sort."""
+    rng = np.random.default_rng(8)
+    x, q = np.tile(rng.normal(size=16), (search.DOC_BLOCK, 1)), rng.normal(size=(search.QUERY_BLOCK, 16))
+    q[5] = 0
+    ids = rng.permutation(search.DOC_BLOCK).tolist()
+    found = [r for b in search._score_blocks(metric, 10)([block_of(x, q, ids)]) for r in b.to_pylist()]
+    assert len(found) == 10 * len(q) and all(r["id"] == n % 10 for n, r in enumerate(found))
+    assert {r["qid"] for r in found if r["score"] is None} == ({5} if metric == "cosine" else set())
+    found = [b.num_rows for b in search._score_blocks(metric, 2)([block_of(x, q, ids, [str(k % 3) for k in ids])])]
+    assert sum(found) == 3 * 2 * len(q)
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_copies_in_blocks_of_any_shape_have_equal_scores(metric):
+    """A product of matrices rounds by its shape, so that a copy with a greater id could come first."""
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(size=64).astype(np.float32), rng.normal(size=(search.STRIP, 64)).astype(np.float32)
+    blocks = [block_of(np.tile(x, (n, 1)), q) for n in (1, 2, 3, 5, 257, 4096)]
+    found = [r for b in search._score_blocks(metric, 3)(blocks) for r in b.to_pylist()]
+    assert len({(r["qid"], r["score"]) for r in found}) == len(q)
+
+
+def test_null_ids_and_values_that_are_no_numbers(spark):
+    rows = [(3, [np.inf, 0.0]), (1, [np.nan, 1.0]), (None, [1.0, 1.0]), (2, [1.0, 1.0]), (4, [0.0, 0.0]), (0, [1.0, 1.0])]
+    docs = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([(7, [1.0, 1.0]), (8, [0.0, 0.0])], "qid long, vector array<double>")
+    for metric, best, least in (("ip", [3, None, 0, 2, 4, 1], [None, 0, 2, 4, 1, 3]), ("l2", [None, 0, 2, 4, 1, 3], [4, None, 0, 2, 1, 3])):
+        for k in range(1, 7):
+            got = [(r.qid, r.id) for r in search.knn_exact(docs, asked, k, metric).orderBy("qid", "rank").collect()]
+            assert got == [(7, i) for i in best[:k]] + [(8, i) for i in least[:k]]
+
+
 @pytest.mark.parametrize("name", ["score_cosine", "log2_discount"])
 def test_a_task_that_scores_holds_one_python_worker(spark, name):
     """Blocks were made in the tasks that score them, again for each partition of the other side."""
