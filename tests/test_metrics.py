@@ -58,3 +58,21 @@ def test_no_join_of_a_metric_makes_the_pairs_of_a_label(spark, tmp_path, name):
     assert df.collect()
     joins = list(rows_of_joins(df._jdf.queryExecution().executedPlan()))
     assert len(joins) >= 2 and max(joins) <= 4000
+
+
+def rows_scored(plan):
+    """The rows that tasks which score blocks gave back, of a plan that has run."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return rows_scored(plan.executedPlan())
+    own = plan.metrics().get("pythonNumRowsReceived").get().value() if plan.getClass().getSimpleName() == "MapInArrowExec" else 0
+    below = [plan.children().apply(k) for k in range(plan.children().size())]
+    return own + sum(map(rows_scored, [*below, *([plan.plan()] if plan.getClass().getSimpleName().endswith("QueryStageExec") else [])]))
+
+
+@pytest.mark.parametrize("name", ["metric_mrr"])
+def test_copies_do_not_all_leave_a_block(spark, tmp_path, name):
+    """80 queries and 4000 copies, of which all 320,000 pairs left the block."""
+    made = spark.range(0, 4000, 1, 1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"), (F.col("id") % 3).cast("int").alias("label"))
+    made.write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert df.collect() and 800 <= rows_scored(df._jdf.queryExecution().executedPlan()) <= 80 * 10 * 2
