@@ -69,7 +69,7 @@ def rows_scored(plan):
     return own + sum(map(rows_scored, [*below, *([plan.plan()] if plan.getClass().getSimpleName().endswith("QueryStageExec") else [])]))
 
 
-@pytest.mark.parametrize("name", ["metric_mrr", "metric_ndcg", "metric_per_query", "metric_precision_at_k"])
+@pytest.mark.parametrize("name", ["metric_mrr", "metric_ndcg", "metric_per_query", "metric_precision_at_k", "metric_recall_at_k"])
 def test_copies_do_not_all_leave_a_block(spark, tmp_path, name):
     """80 queries and 4000 copies, of which all 320,000 pairs left the block."""
     made = spark.range(0, 4000, 1, 1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"), (F.col("id") % 3).cast("int").alias("label"))
