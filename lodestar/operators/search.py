@@ -20,6 +20,9 @@ DOC_BLOCK = 4096
 STRIP = 128
 #: Blocks of each side that one task scores, about: 64 pairs of blocks leave it 655,360 rows at most of the 10 best.
 TASK_BLOCKS = 8
+#: Bits of the place of a pair among those that are ordered by score at once (2^24 keys are 128 MB), and their strips, at most.
+PLACE_BITS = 24
+ORDERED_STRIPS = 256
 QUANTIZED_LEVELS = 255
 #: Query vectors that are broadcast, at most.
 MOST_SENT = 1 << 14
@@ -197,6 +200,61 @@ def _all_scores(metric: str, least: float | None):
     return run
 
 
+def _pairs(qids: np.ndarray, ids: np.ndarray, scores: np.ndarray, rounded: bool) -> pa.RecordBatch:
+    columns = [pa.array(qids, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, from_pandas=True), pa.array(np.full(len(ids), rounded))]
+    return pa.RecordBatch.from_arrays(columns, ["qid", "id", "score", "rounded"])
+
+
+def _ordered(keys: np.ndarray, strips: list[tuple[int, np.ndarray, np.ndarray]], digits: int) -> Iterator[pa.RecordBatch]:
+    """Keys (a score in units of its last digit, then the place of its pair in strips) -> the pairs, by score where the bulk
+    of the scores are so near each other that many are equal, else as they are."""
+    some = np.sort(keys[:: max(1, len(keys) // DOC_BLOCK)] >> PLACE_BITS)
+    if some[len(some) * 19 // 20] - some[len(some) // 20] < len(keys) // 2:
+        keys.sort()
+    starts, qids, ids = zip(*strips, strict=True)
+    starts, wide = np.array(starts), np.array([len(i) for i in ids])
+    first_q, first = (np.cumsum([0, *map(len, side[:-1])]) for side in (qids, ids))
+    qids, ids = np.concatenate(qids), np.concatenate(ids)
+    for low in range(0, len(keys), 1 << 16):
+        key = keys[low : low + (1 << 16)]
+        place = key & ((1 << PLACE_BITS) - 1)
+        strip = np.searchsorted(starts, place, side="right") - 1
+        at, best = np.divmod(place - starts[strip], wide[strip])
+        yield _pairs(qids[first_q[strip] + at], ids[first[strip] + best], (key >> PLACE_BITS) / 10.0**digits, True)
+
+
+def _alike_scores(metric: str, digits: int):
+    """Blocks of documents and of queries -> every pair. Pairs whose scores round to one number have that number and stand side
+    by side, so that a file stores it once and not 8 bytes a pair. Scores next to the middle of two numbers, very large ones
+    and those that are no numbers leave as they are, for Spark to round."""
+    scores, unit = _block_scores(metric, STRIP), 10.0**digits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.empty(1 << PLACE_BITS, np.int64)
+        strips, used, n = [], 0, 0
+        for ids, qids, _, score in scores(batches):
+            if used + score.size > len(keys) or len(strips) == ORDERED_STRIPS:
+                if n:
+                    yield from _ordered(keys[:n], strips, digits)
+                strips, used, n = [], 0, 0
+            with np.errstate(invalid="ignore", over="ignore"):
+                units = score.ravel() * unit
+                whole = np.rint(units)
+                sure = (np.abs(whole) < 2.0 ** (62 - PLACE_BITS)) & (np.abs(np.abs(units - whole) - 0.5) > np.abs(units) * 2.0**-50)
+            good = np.flatnonzero(sure)
+            keys[n : n + len(good)] = (whole[good].astype(np.int64) << PLACE_BITS) + (used + good)
+            strips.append((used, qids, ids))
+            used, n = used + score.size, n + len(good)
+            others = np.flatnonzero(~sure)
+            for low in range(0, len(others), 1 << 16):
+                at, best = np.divmod(others[low : low + (1 << 16)], len(ids))
+                yield _pairs(qids[at], ids[best], score[at, best], False)
+        if n:
+            yield from _ordered(keys[:n], strips, digits)
+
+    return run
+
+
 def _query_blocks(queries: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Blocks of the queries (qid, keys.., vector), the side of a search that is sent around if it is small enough."""
     q = _blocks(queries.select("qid", *keys, F.lit("").alias("grp"), "vector"), "qids", QUERY_BLOCK, keys)
@@ -235,11 +293,18 @@ def knn_exact(docs: DataFrame, queries: DataFrame, k: int = 10, metric: str = "i
     return top_k(scored, k, by=["qid", "grp"], largest=largest) if group else top_k(scored.drop("grp"), k, largest=largest)
 
 
-def score_pairs(docs: DataFrame, queries: DataFrame, metric: str = "ip", least: float | None = None) -> DataFrame:
+def score_pairs(docs: DataFrame, queries: DataFrame, metric: str = "ip", least: float | None = None, digits: int | None = None) -> DataFrame:
     """qid, id, score of every query (a stated set) and document, block by block; with `least`, of the pairs that reach it
-    (l2: that are as near), which is all that leaves a block."""
+    (l2: that are as near), which is all that leaves a block. With `digits`, of all pairs, rounded to so many digits and ordered
+    by score within blocks, so that the result, which grows with the square, takes about half the bytes where it is written."""
+    if least is not None and digits is not None:
+        raise ValueError("least and digits are not given together")
     d = _blocks(docs.select("id", F.lit("").alias("grp"), "vector"), "ids", DOC_BLOCK)
-    return _pairs_of_blocks(d, _query_blocks(queries)).mapInArrow(_all_scores(metric, least), "qid long, id long, score double")
+    pairs = _pairs_of_blocks(d, _query_blocks(queries))
+    if digits is None:
+        return pairs.mapInArrow(_all_scores(metric, least), "qid long, id long, score double")
+    scored = pairs.mapInArrow(_alike_scores(metric, digits), "qid long, id long, score double, rounded boolean")
+    return scored.select("qid", "id", F.when(F.col("rounded"), F.col("score")).otherwise(F.round("score", digits)).alias("score"))
 
 
 def assign_cells(vectors: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:

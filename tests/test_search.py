@@ -226,6 +226,63 @@ def test_null_ids_and_values_that_are_no_numbers(spark):
             assert got == [(7, i) for i in best[:k]] + [(8, i) for i in least[:k]]
 
 
+def pairs_of(batches, digits=None):
+    from decimal import ROUND_HALF_UP, Context, Decimal
+
+    def rounded(x):
+        return x if x is None or not np.isfinite(x) else float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, Context(700))) + 0.0
+
+    rows = [r for b in batches for r in b.to_pylist()]
+    return [(r["qid"], r["id"], r["score"] if digits is None else rounded(r["score"])) for r in rows]
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_scores_that_round_alike_are_all_there_and_side_by_side(metric, monkeypatch):
+    """Also of rows without an id, of values that are no numbers, very large or halfway between two numbers, of blocks of any
+    shape, and where there are more pairs than are ordered at once."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(400, 2)), [[0, 0], [np.nan, 1], [np.inf, 0], [1e9, 0], [1e200, 1], [0.0125, 0], [-0.0125, 0]]])
+    q = np.concatenate([rng.normal(size=(150, 2)), [[0, 0], [1, 0], [-1, 0], [0, np.inf]]])
+    ids = [None, *range(1, len(x))]
+    blocks = [block_of(x, q, ids), block_of(x[:1], q), block_of(x[400:], q[150:], ids[400:]), block_of(x[::-1], q[:3], ids[::-1])]
+    by = {"key": lambda r: (r[0], r[1] is None, r[1] or 0, repr(r[2]))}
+    want = sorted(pairs_of(search._all_scores(metric, None)(blocks), 3), **by)
+    for bits, strips in ((24, 256), (18, 256), (24, 1)):
+        monkeypatch.setattr(search, "PLACE_BITS", bits)
+        monkeypatch.setattr(search, "ORDERED_STRIPS", strips)
+        assert sorted(pairs_of(search._alike_scores(metric, 3)(blocks), 3), **by) == want
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(search.DOC_BLOCK, 8)), rng.normal(size=(search.STRIP, 8))))
+    found = [r[2] for r in pairs_of(search._alike_scores(metric, 3)([block_of(x, q)]))]
+    turns = np.count_nonzero(np.diff(found))
+    assert len(found) == len(x) * len(q) and turns < 2 * len(set(found)) < 20_000
+    found = [r[:2] for r in pairs_of(search._alike_scores(metric, 8)([block_of(x, q)]))]  # hardly two alike: as they are
+    assert found == sorted(found)
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_a_written_score_of_every_pair_takes_few_bytes(spark, tmp_path, metric):
+    """Nine bytes a pair, eight of them its score: some 67 GB of 615,384 vectors."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(11)
+    n, asked = search.DOC_BLOCK, search.QUERY_BLOCK
+    x = rng.normal(size=(n, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.array([50 * k if k < asked else 50 * k + 1 for k in range(n)])
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array([0] * n, pa.int32())}), tmp_path / "embeddings.parquet")
+    catalog.QUERIES[f"score_{metric}"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    found = pq.read_table(files)
+    assert found.num_rows == n * asked and sum(f.stat().st_size for f in files) < 6.5 * n * asked
+    score = np.full((asked, n), np.nan)
+    score[np.asarray(found["qid"]) // 50, np.asarray(found["id"]) // 50] = np.asarray(found["score"])
+    product = x[:asked].astype(float) @ x.T.astype(float)
+    length = np.linalg.norm(x.astype(float), axis=1)
+    want = product if metric == "ip" else product / length[:asked, None] / length if metric == "cosine" else length[:asked, None] ** 2 + length**2 - 2 * product
+    assert np.abs(score - want).max() < 0.51e-6
+
+
 @pytest.mark.parametrize("name", ["score_cosine", "log2_discount"])
 def test_a_task_that_scores_holds_one_python_worker(spark, name):
     """Blocks were made in the tasks that score them, again for each partition of the other side."""
